@@ -2,13 +2,31 @@
 
 from __future__ import annotations
 
-from . import quality
+from . import bpe, licenses, mixing, quality
 from .common import table
 
 
+def word_bpe_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op2_mixing(spark, sf_dir):
+    return mixing.mixed(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
 def op4_quality(spark, sf_dir):
     return quality.quality(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op4_quality": op4_quality}
-ORACLE: dict[str, str] = {}
+def op6_licenses(spark, sf_dir):
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
+def op9_bpe(spark, sf_dir):
+    return bpe.digests(table(spark, sf_dir, "documents"), word_bpe_path())
+
+
+QUERIES = {"op2_mixing": op2_mixing, "op4_quality": op4_quality, "op6_licenses": op6_licenses, "op9_bpe": op9_bpe}
+ORACLE: dict[str, str] = {"op2_mixing": mixing.ORACLE}
