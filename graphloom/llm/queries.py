@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, licenses, mixing, quality
+from . import bpe, licenses, mixing, quality, warc
 from .common import table
 
 
@@ -12,6 +12,10 @@ def word_bpe_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_warc(spark, sf_dir):
+    return warc.archive(table(spark, sf_dir, "pages"))
+
+
 def op2_mixing(spark, sf_dir):
     return mixing.mixed(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -28,5 +32,5 @@ def op9_bpe(spark, sf_dir):
     return bpe.digests(table(spark, sf_dir, "documents"), word_bpe_path())
 
 
-QUERIES = {"op2_mixing": op2_mixing, "op4_quality": op4_quality, "op6_licenses": op6_licenses, "op9_bpe": op9_bpe}
+QUERIES = {"op1_warc": op1_warc, "op2_mixing": op2_mixing, "op4_quality": op4_quality, "op6_licenses": op6_licenses, "op9_bpe": op9_bpe}
 ORACLE: dict[str, str] = {"op2_mixing": mixing.ORACLE}
