@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, licenses, mixing, quality, warc
+from . import bpe, jaccard, licenses, mixing, quality, substrings, warc
 from .common import table
 
 
@@ -20,6 +20,10 @@ def op2_mixing(spark, sf_dir):
     return mixing.mixed(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op3_jaccard(spark, sf_dir):
+    return jaccard.join(table(spark, sf_dir, "documents"))
+
+
 def op4_quality(spark, sf_dir):
     return quality.quality(table(spark, sf_dir, "documents"))
 
@@ -28,9 +32,16 @@ def op6_licenses(spark, sf_dir):
     return licenses.scan(table(spark, sf_dir, "documents"))
 
 
+def op10_substrings(spark, sf_dir):
+    return substrings.substrings(table(spark, sf_dir, "documents"))
+
+
 def op9_bpe(spark, sf_dir):
     return bpe.digests(table(spark, sf_dir, "documents"), word_bpe_path())
 
 
-QUERIES = {"op1_warc": op1_warc, "op2_mixing": op2_mixing, "op4_quality": op4_quality, "op6_licenses": op6_licenses, "op9_bpe": op9_bpe}
+QUERIES = {
+    "op1_warc": op1_warc, "op2_mixing": op2_mixing, "op3_jaccard": op3_jaccard, "op4_quality": op4_quality,
+    "op6_licenses": op6_licenses, "op9_bpe": op9_bpe, "op10_substrings": op10_substrings,
+}
 ORACLE: dict[str, str] = {"op2_mixing": mixing.ORACLE}
