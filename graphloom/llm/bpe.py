@@ -14,7 +14,10 @@ are installed.
 from __future__ import annotations
 
 import json
+import re
+import struct
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -24,7 +27,9 @@ NEVER = 1 << 60
 #: A word's last symbol is another symbol than the same byte inside a word.
 _END = 0x10000
 #: Distinct words whose encodings one Python worker keeps; beyond it the older half goes.
-CACHE_WORDS = 200_000
+CACHE_WORDS = 600_000
+#: Pairs of tokens whose compatibility one Python worker keeps.
+CACHE_PAIRS = 600_000
 #: Every character below this has the same Unicode properties in all versions, and is its own NFC form.
 _PLAIN_END = "ɏ"
 
@@ -44,8 +49,8 @@ class Bpe:
         self.added = {a["content"]: a["id"] for a in spec["added_tokens"]}
         self.added_pattern = regex.compile("|".join(f"({regex.escape(x)})" for x in self.added)) if self.added else None
         self.split = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
-        self.plain = regex.compile(f"[\\x00-{_PLAIN_END}]*+")
-        self.blank = regex.compile(r"\s+")
+        self.plain = re.compile(f"[\\x00-{_PLAIN_END}]*")
+        self.ascii_split = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+")
         library = Tokenizer.from_file(path)
         self.normalize, self.pre_tokenize = library.normalizer.normalize_str, library.pre_tokenizer.pre_tokenize_str
         self.byte_char = [chr(b) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255 else "" for b in range(256)]
@@ -59,8 +64,8 @@ class Bpe:
         self.made = made
         self._right: dict[int, list] = {}
         self._left: dict[int, list] = {}
-        self._fits: dict[tuple[int, int], bool] = {}
-        self.length: dict[int, int] = {}
+        self._fits: dict[int, bool] = {}
+        self.length = [0] * (max(vocab.values()) + 1)
         self.automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
         for s, i in vocab.items():
             if i in made and self.crossing(*made[i][1:], before=made[i][0] + 1) != made[i][0]:
@@ -101,35 +106,43 @@ class Bpe:
         return found
 
     def fits(self, first: int, second: int) -> bool:
-        key = (first, second)
-        got = self._fits.get(key)
-        if got is None:
-            if len(self._fits) > 2_000_000:
-                self._fits.clear()
-            got = self._fits[key] = self.crossing(first, second) is None
+        """Whether encoding the two tokens' text together gives just these two."""
+        if len(self._fits) > CACHE_PAIRS:
+            self._fits.clear()
+        got = self._fits[first << 20 | second] = self.crossing(first, second) is None
         return got
 
     def word(self, symbols: str) -> list[int]:
         """Ids of one word, given as byte characters."""
         s = symbols[:-1] + chr(ord(symbols[-1]) + _END)
         last = [-1] * len(s)
-        length, fits = self.length, self.fits
+        length, known = self.length, self._fits.get
         for end, t in self.automaton.iter(s):
             if last[end] < 0:
                 at = end - length[t]
-                if at < 0 or (last[at] >= 0 and fits(last[at], t)):
+                if at < 0:
                     last[end] = t
+                elif (before := last[at]) >= 0:
+                    ok = known(before << 20 | t)
+                    if ok or (ok is None and self.fits(before, t)):
+                        last[end] = t
         out, at = [], len(s) - 1
         while at >= 0:
             out.append(last[at])
             at -= length[last[at]]
         return out[::-1]
 
-    def pieces(self, text: str) -> list[str]:
-        """The words of a text without special tokens, in bytes-as-characters if the text isn't plain."""
+    def pieces(self, text: str) -> tuple[list[str], bool]:
+        """The words of a text without special tokens; and whether they are text yet, or bytes written as characters.
+
+        White space only parts words, so it needs no normalising. In small letters a plain text has the words
+        that the library finds; for any other text the library's own normaliser and splitter are asked.
+        """
+        if text.isascii():
+            return self.ascii_split.findall(text.lower()), True
         if self.plain.fullmatch(text):
-            return self.split.findall(self.blank.sub(" ", text).lower())
-        return [x for x, _ in self.pre_tokenize(self.normalize(text))]
+            return self.split.findall(text.lower()), True
+        return [x for x, _ in self.pre_tokenize(self.normalize(text))], False
 
     def encode(self, text: str, cache: dict[str, bytes]) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
@@ -142,18 +155,23 @@ class Bpe:
         return self._encode(text, cache)
 
     def _encode(self, text: str, cache: dict[str, bytes]) -> bytes:
-        plain, out = self.plain.fullmatch(text) is not None, []
-        for w in self.pieces(text):
-            got = cache.get(w) if plain else None
-            if got is None:
-                symbols = "".join(map(self.byte_char.__getitem__, w.encode())) if plain else w
-                got = np.array(self.word(symbols), dtype="<u4").tobytes()
-                if plain:
-                    if len(cache) >= CACHE_WORDS:
-                        for k in list(cache)[: CACHE_WORDS // 2]:
-                            del cache[k]
-                    cache[w] = got
-            out.append(got)
+        words, plain = self.pieces(text)
+        if not plain:
+            return b"".join([struct.pack(f"<{len(ids)}I", *ids) for ids in map(self.word, words)])
+        out = list(map(cache.get, words))
+        if None in out:
+            byte_char = self.byte_char.__getitem__
+            for i, got in enumerate(out):
+                if got is None:
+                    w = words[i]
+                    got = cache.get(w)
+                    if got is None:
+                        ids = self.word(w if w.isascii() and w.isprintable() else "".join(map(byte_char, w.encode())))
+                        if len(cache) >= CACHE_WORDS:
+                            for k in list(islice(cache, CACHE_WORDS // 4)):
+                                del cache[k]
+                        got = cache[w] = struct.pack(f"<{len(ids)}I", *ids)
+                    out[i] = got
         return b"".join(out)
 
     @property
