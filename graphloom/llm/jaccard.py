@@ -240,6 +240,14 @@ def components(edges: DataFrame, most: int = 60) -> DataFrame:
 def join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 3, num: int = 9, den: int = 10) -> DataFrame:
     """Per row of ``df``: doc_id, n_shingles, component_id and n_copies (rows of the same set).
 
+    See :func:`classes`; this is its result without the text's key.
+    """
+    return classes(df, id_col, text_col, n, num, den).drop("tid")
+
+
+def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 3, num: int = 9, den: int = 10) -> DataFrame:
+    """Per row of ``df``: doc_id, tid (MD5 of the text), n_shingles, component_id and n_copies.
+
     Two rows are linked if their sets have a Jaccard similarity of num/den or more; component_id is the
     smallest id that links lead to, itself included. Null, empty and wordless texts have no shingles, are
     linked with nothing and keep their own id. Rows of equal sets are one class, whatever their ids: repeated
@@ -293,7 +301,7 @@ def join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int =
         named = named.select("key", F.col("first_id").alias("component_id"), "n_copies")
     out = docs.join(named, "key", "left")
     return out.select(
-        F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"),
+        F.col("id").alias("doc_id"), "tid", F.col("n").alias("n_shingles"),
         F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"),
         F.coalesce("n_copies", F.lit(1)).cast("long").alias("n_copies"),
     )
@@ -334,10 +342,17 @@ def _cross_pairs(rows: DataFrame, num: int, den: int) -> DataFrame:
 def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, num: int = 4, den: int = 5) -> DataFrame:
     """The rows of ``df`` with one document of each component: that of the smallest id, with all columns of ``df``.
 
-    Of rows that repeat both id and text one stays. Texts without words are linked with nothing and stay.
+    If several texts of a component have that id, the one of the smallest MD5 stays; of rows that repeat both id
+    and text one stays. Texts without words are linked with nothing and stay.
     """
-    marks = staged(join(df, id_col, text_col, n, num, den).filter((F.col("n_shingles") == 0) | F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_keep"), (F.col("n_shingles") > 0).alias("_has")).distinct(), "keep")
-    has = text_of(text_col).rlike(r"[^\x20\x09-\x0D]")
-    kept = df.withColumn("_has_words", has).join(marks, F.col(id_col).eqNullSafe(F.col("_keep")) & (F.col("_has_words") == F.col("_has"))).drop("_keep", "_has", "_has_words")
-    one = kept.filter(has).dropDuplicates([id_col])
-    return kept.filter(~has).unionByName(one)
+    found = staged(classes(df, id_col, text_col, n, num, den), "classes")
+    named = found.filter((F.col("n_shingles") > 0) & F.col("doc_id").eqNullSafe(F.col("component_id")))
+    one = named.groupBy("component_id").agg(F.min("tid").alias("_tid"), F.count("*").alias("n")).withColumnRenamed("component_id", "_id")
+    none = found.filter(F.col("n_shingles") == 0).select(F.col("doc_id").alias("_id"), F.col("tid").alias("_tid")).distinct()
+    marks = staged(one.select("_id", "_tid").unionByName(none), "keep")
+    keyed = df.withColumn("_text_key", F.unhex(F.md5(text_of(text_col))))
+    kept = keyed.join(marks, (F.col("_text_key") == F.col("_tid")) & F.col(id_col).eqNullSafe(F.col("_id")), "left_semi")
+    if one.filter(F.col("n") > 1).isEmpty():
+        return kept.drop("_text_key")
+    words = text_of(text_col).rlike(r"[^\x20\x09-\x0D]")
+    return kept.filter(~words).unionByName(kept.filter(words).dropDuplicates([id_col, "_text_key"])).drop("_text_key")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, jaccard, licenses, mixing, neighbours, quality, substrings, warc
+from . import bpe, jaccard, language, licenses, mixing, neighbours, quality, substrings, warc
 from .common import table
 
 
@@ -36,6 +36,10 @@ def op10_substrings(spark, sf_dir):
     return substrings.substrings(table(spark, sf_dir, "documents"))
 
 
+def op7_language(spark, sf_dir):
+    return language.identify(table(spark, sf_dir, "documents"))
+
+
 def op8_neighbours(spark, sf_dir):
     return neighbours.search(table(spark, sf_dir, "embeddings"))
 
@@ -46,6 +50,6 @@ def op9_bpe(spark, sf_dir):
 
 QUERIES = {
     "op1_warc": op1_warc, "op2_mixing": op2_mixing, "op3_jaccard": op3_jaccard, "op4_quality": op4_quality,
-    "op6_licenses": op6_licenses, "op8_neighbours": op8_neighbours, "op9_bpe": op9_bpe, "op10_substrings": op10_substrings,
+    "op6_licenses": op6_licenses, "op7_language": op7_language, "op8_neighbours": op8_neighbours, "op9_bpe": op9_bpe, "op10_substrings": op10_substrings,
 }
 ORACLE: dict[str, str] = {"op2_mixing": mixing.ORACLE}
