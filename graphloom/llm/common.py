@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import gc
+import time
 import uuid
 
 import numpy as np
@@ -42,6 +44,25 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Delete a table made by :func:`staged`, once a later table holds all that is still needed of it."""
+    jvm, path = df.sparkSession._jvm, df.inputFiles()
+    if path:
+        folder = jvm.org.apache.hadoop.fs.Path(path[0]).getParent()
+        folder.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def release(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of finished plans: it does so when the driver's objects are collected.
+
+    The pauses give the threads that drop references and delete files, on either side, the time to do so.
+    """
+    gc.collect()
+    time.sleep(0.3)
+    spark.sparkContext._jvm.System.gc()
+    time.sleep(0.7)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -15,14 +15,13 @@ different clusters is lost, and none within a cluster is needed for the componen
 
 from __future__ import annotations
 
-import gc
 import hashlib
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ngram_hashes, staged, text_of, text_slices, words_by_row
+from .common import discard, ngram_hashes, release, staged, text_of, text_slices, words_by_row
 
 #: Counters that estimate document frequencies; with 4 bytes each, the bound of what is broadcast (1 MB).
 BUCKETS, SLICES = 1 << 18, 64
@@ -91,12 +90,6 @@ def prefix(tokens: np.ndarray, load: np.ndarray, mean: float, num: int, den: int
     return tokens[order[:cut]], level, best
 
 
-def _free(spark) -> None:
-    """Lets Spark delete the shuffle files of finished plans."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def _profile(rows: DataFrame, n: int) -> DataFrame:
     """id, tid, n, key for each row; then, per task, the counts of token buckets in SLICES rows."""
     kind = rows.schema["id"].dataType.simpleString()
@@ -261,17 +254,18 @@ def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: in
     load, mean = _loads(profile)
     shared = spark.sparkContext.broadcast(load)
     tokens = staged(_prefixes(rows.select("text"), n, num, den, shared, mean).groupBy("token", "key").agg(F.first("n").alias("n"), F.first("need").alias("need"), F.first("level").alias("level")), "tokens")
-    _free(spark)
+    release(spark)
     met = tokens.groupBy("token").agg(F.count("*").alias("met")).filter(F.col("met") > 1)
     groups = staged(tokens.join(met, "token").drop("met"), "groups")
-    _free(spark)
+    discard(tokens)
+    release(spark)
     class_of = docs.filter(F.col("n") > 0).groupBy("key").agg(F.min("id").alias("first_id"), F.count("*").alias("n_copies"), F.min(F.struct(F.col("id"), F.col("tid"))).alias("pick"))
     wanted = groups.select("key").distinct().join(class_of, "key").select("key", F.col("pick.id").alias("p_id"), F.col("pick.tid").alias("p_tid"))
     texts = staged(
         rows.join(wanted, (F.col("tid") == F.col("p_tid")) & F.col("id").eqNullSafe(F.col("p_id"))).select("key", "text").dropDuplicates(["key"]),
         "texts",
     )
-    _free(spark)
+    release(spark)
     links, roots = None, None
     for turn in range(MOST_ROUNDS):
         at = groups if roots is None else groups.join(roots.select(F.col("node").alias("key"), "root"), "key", "left")
@@ -288,7 +282,7 @@ def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: in
             pairs, last = _leader_pairs(staged(open_rows, "open"), turn, num, den), False
         found = staged(_verify(staged(pairs, "pairs"), texts, n, num, den), "links")
         links = found if links is None else links.unionByName(found)
-        _free(spark)
+        release(spark)
         roots = components(links)
         if last:
             break

@@ -12,23 +12,17 @@ about one row in fourteen words is shuffled to find the rest. Equal texts are on
 
 from __future__ import annotations
 
-import gc
 import hashlib
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, WORD, ngram_hashes, staged, text_of, text_slices, words_by_row
+from .common import SPACE, WORD, discard, ngram_hashes, release, staged, text_of, text_slices, words_by_row
 
 WINDOW, SEED = 35, 8
 
 
-def _free(spark) -> None:
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def minimizer_runs(words: np.ndarray, bounds: np.ndarray, window: int, seed: int):
     """Runs of windows with one minimizer: (row, first window, last window, hash), windows counted within the row."""
     n, none = len(words), np.zeros(0, dtype=np.int64)
@@ -191,14 +185,15 @@ def repeated_spans(rows: DataFrame, window: int, seed: int) -> tuple[DataFrame,
     spark = rows.sparkSession
     pick = rows.groupBy("tid").agg(F.min("id").alias("p_id"))
     found = staged(_minimizers(rows.select("tid", "text"), window, seed).groupBy("m", "tid", "first").agg(F.max("last").alias("last")), "minimizers")
-    _free(spark)
+    release(spark)
     again = found.groupBy("m").agg(F.count("*").alias("n")).filter(F.col("n") > 1)
     runs = staged(found.join(again, "m").groupBy("tid").agg(F.collect_list(F.struct("first", "last")).alias("runs")), "runs")
-    _free(spark)
+    discard(found)
+    release(spark)
     wanted = runs.join(pick, "tid").select(F.col("tid").alias("p_tid"), "p_id", "runs")
     texts = rows.join(wanted, (F.col("tid") == F.col("p_tid")) & F.col("id").eqNullSafe(F.col("p_id"))).select("tid", "text", "runs").dropDuplicates(["tid"])
     texts = staged(texts.withColumn("doc", F.monotonically_increasing_id()), "texts")
-    _free(spark)
+    release(spark)
     edges = staged(_edges(texts, window), "edges")
     of = edges.groupBy("h").agg(
         F.count("*").alias("n"), F.count("next").alias("n_next"), F.min("next").alias("next_a"), F.max("next").alias("next_b"),
@@ -208,9 +203,11 @@ def repeated_spans(rows: DataFrame, window: int, seed: int) -> tuple[DataFrame,
     flag = lambda c: F.coalesce(F.col(c), F.lit(False)).alias(c)
     places = edges.select("h", "doc", "pos").join(alone, "h").select("doc", "pos", flag("alone_out"), flag("alone_in"))
     spans = staged(_paths(places.repartition("doc").sortWithinPartitions("doc", "pos")), "paths")
-    _free(spark)
+    discard(edges)
+    release(spark)
     by_doc = spans.groupBy("doc").agg(F.collect_list(F.struct("first", "count")).alias("spans"))
     read = staged(_read_spans(texts.select("doc", "text").join(by_doc, "doc"), window), "spans")
+    release(spark)
     same = read.groupBy("digest").agg(F.count("*").alias("n")).filter(F.col("n") > 1).select("digest")
     return texts, read.join(same, "digest")
 
