@@ -5,6 +5,7 @@ from __future__ import annotations
 import gc
 import time
 import uuid
+from contextlib import contextmanager
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -15,6 +16,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]"
 #: Bytes of text that one numpy pass works on; bounds a Python worker's memory.
 SLICE_BYTES = 1 << 20
+#: Rows of an Arrow batch that is written to a staged table.
+BATCH_ROWS = 1_000
 
 
 def text_of(column: str | Column) -> Column:
@@ -37,10 +40,23 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/graphloom/{name}-{uuid.uuid4().hex}"
 
 
+@contextmanager
+def small_batches(spark: SparkSession):
+    """Arrow batches of whole texts are held twice, in the JVM and in Python: fewer rows each bound their memory."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(min(int(before) or BATCH_ROWS, BATCH_ROWS)))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
     """``df`` written to the shared folder and read again: cuts the lineage, outlives any executor."""
     path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
+    with small_batches(df.sparkSession):
+        df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
