@@ -79,6 +79,71 @@ def release(spark: SparkSession) -> None:
     time.sleep(0.7)
 
 
+def one_row_each(rows: DataFrame, wanted: DataFrame, key: str, name: str) -> DataFrame:
+    """Staged: the row of ``rows`` (id, tid, text) that ``wanted`` (p_id, p_tid and more) names, once for each ``key``.
+
+    Most rows are wanted by nobody, so that a bit field of fixed size, FILTER_BITS, keeps most of their texts out of
+    the shuffle; what it lets through is joined exactly. Where many keys fill the field it only filters less.
+    """
+    spark = rows.sparkSession
+    bits = spark.sparkContext.broadcast(bit_field(wanted.select(F.xxhash64("p_tid").alias("h"))))
+
+    @F.arrow_udf("boolean")
+    def may_be(h):
+        import pyarrow as pa
+
+        h, field = h.to_numpy().view(np.uint64), bits.value
+        a, b = ((x & np.uint64(FILTER_BITS - 1)).astype(np.int64) for x in (h, h >> np.uint64(32)))
+        return pa.array((field[a >> 3] >> (a & 7) & 1 & (field[b >> 3] >> (b & 7))).astype(bool))
+
+    more = [c for c in wanted.columns if c not in ("p_id", "p_tid")]
+    found = (
+        rows.withColumn("_h", F.xxhash64("tid")).filter(may_be("_h")).drop("_h")
+        .join(wanted, (F.col("tid") == F.col("p_tid")) & F.col("id").eqNullSafe(F.col("p_id")))
+        .select(*dict.fromkeys([key, "text", *more]))
+    )
+    held = staged(found, name)
+    if held.groupBy(key).agg(F.count("*").alias("n")).filter("n > 1").isEmpty():
+        return held
+    return staged(held.dropDuplicates([key]), name)  # rows that repeat both id and text
+
+
+#: Bits of the field (2 MB), and the pieces that it is put together from.
+FILTER_BITS, FILTER_PARTS = 1 << 24, 32
+
+
+def bit_field(keys: DataFrame) -> np.ndarray:
+    """Two bits set for each 64-bit hash ``h``, united on the executors piece by piece."""
+
+    def local(batches):
+        import zlib
+
+        import pyarrow as pa
+
+        field = np.zeros(FILTER_BITS, dtype=bool)
+        for batch in batches:
+            h = batch.column("h").to_numpy().view(np.uint64)
+            for x in (h, h >> np.uint64(32)):
+                field[(x & np.uint64(FILTER_BITS - 1)).astype(np.int64)] = True
+        parts = np.packbits(field, bitorder="little").reshape(FILTER_PARTS, -1)
+        yield pa.RecordBatch.from_arrays([pa.array(range(FILTER_PARTS), pa.int32()), pa.array([zlib.compress(p.tobytes(), 1) for p in parts], pa.binary())], ["part", "bits"])
+
+    def unite(group, found):
+        import zlib
+
+        import pyarrow as pa
+
+        total = np.zeros(FILTER_BITS // 8 // FILTER_PARTS, dtype=np.uint8)
+        for x in found.column("bits").to_pylist():
+            total |= np.frombuffer(zlib.decompress(x), dtype=np.uint8)
+        return pa.table({"part": pa.array([group[0].as_py()], pa.int32()), "bits": pa.array([total.tobytes()], pa.binary())})
+
+    out = np.zeros((FILTER_PARTS, FILTER_BITS // 8 // FILTER_PARTS), dtype=np.uint8)
+    for r in keys.mapInArrow(local, "part int, bits binary").groupBy("part").applyInArrow(unite, "part int, bits binary").collect():
+        out[r["part"]] = np.frombuffer(r["bits"], dtype=np.uint8)
+    return out.ravel()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -21,7 +21,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, ngram_hashes, release, staged, text_of, text_slices, words_by_row
+from .common import discard, ngram_hashes, one_row_each, release, staged, text_of, text_slices, words_by_row
 
 #: Counters that estimate document frequencies; with 4 bytes each, the bound of what is broadcast (1 MB).
 BUCKETS, SLICES = 1 << 18, 64
@@ -261,10 +261,9 @@ def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: in
     release(spark)
     class_of = docs.filter(F.col("n") > 0).groupBy("key").agg(F.min("id").alias("first_id"), F.count("*").alias("n_copies"), F.min(F.struct(F.col("id"), F.col("tid"))).alias("pick"))
     wanted = groups.select("key").distinct().join(class_of, "key").select("key", F.col("pick.id").alias("p_id"), F.col("pick.tid").alias("p_tid"))
-    texts = staged(
-        rows.join(wanted, (F.col("tid") == F.col("p_tid")) & F.col("id").eqNullSafe(F.col("p_id"))).select("key", "text").dropDuplicates(["key"]),
-        "texts",
-    )
+    wanted = staged(wanted, "wanted")
+    release(spark)
+    texts = one_row_each(rows, wanted, "key", "texts").select("key", "text")
     release(spark)
     links, roots = None, None
     for turn in range(MOST_ROUNDS):

@@ -18,7 +18,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, WORD, discard, ngram_hashes, release, staged, text_of, text_slices, words_by_row
+from .common import SPACE, WORD, discard, ngram_hashes, one_row_each, release, staged, text_of, text_slices, words_by_row
 
 WINDOW, SEED = 35, 8
 
@@ -191,8 +191,8 @@ def repeated_spans(rows: DataFrame, window: int, seed: int) -> tuple[DataFrame,
     discard(found)
     release(spark)
     wanted = runs.join(pick, "tid").select(F.col("tid").alias("p_tid"), "p_id", "runs")
-    texts = rows.join(wanted, (F.col("tid") == F.col("p_tid")) & F.col("id").eqNullSafe(F.col("p_id"))).select("tid", "text", "runs").dropDuplicates(["tid"])
-    texts = staged(texts.withColumn("doc", F.monotonically_increasing_id()), "texts")
+    wanted = staged(wanted.withColumn("doc", F.monotonically_increasing_id()).withColumn("class", F.col("p_tid")), "wanted")
+    texts = one_row_each(rows, wanted, "doc", "texts").withColumnRenamed("class", "tid")
     release(spark)
     edges = staged(_edges(texts, window), "edges")
     of = edges.groupBy("h").agg(
