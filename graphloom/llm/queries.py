@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, jaccard, language, licenses, mixing, neighbours, quality, substrings, warc
+from . import bpe, jaccard, language, licenses, mixing, neighbours, quality, substrings, tokens, warc
 from .common import table
 
 
@@ -28,6 +28,12 @@ def op4_quality(spark, sf_dir):
     return quality.quality(table(spark, sf_dir, "documents"))
 
 
+def op5_tokens(spark, sf_dir):
+    import public_tokenizers
+
+    return tokens.materialise(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
 def op6_licenses(spark, sf_dir):
     return licenses.scan(table(spark, sf_dir, "documents"))
 
@@ -50,6 +56,6 @@ def op9_bpe(spark, sf_dir):
 
 QUERIES = {
     "op1_warc": op1_warc, "op2_mixing": op2_mixing, "op3_jaccard": op3_jaccard, "op4_quality": op4_quality,
-    "op6_licenses": op6_licenses, "op7_language": op7_language, "op8_neighbours": op8_neighbours, "op9_bpe": op9_bpe, "op10_substrings": op10_substrings,
+    "op5_tokens": op5_tokens, "op6_licenses": op6_licenses, "op7_language": op7_language, "op8_neighbours": op8_neighbours, "op9_bpe": op9_bpe, "op10_substrings": op10_substrings,
 }
 ORACLE: dict[str, str] = {"op2_mixing": mixing.ORACLE}
