@@ -233,13 +233,13 @@ def components(edges: DataFrame, most: int = 60) -> DataFrame:
 def join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 3, num: int = 9, den: int = 10) -> DataFrame:
     """Per row of ``df``: doc_id, n_shingles, component_id and n_copies (rows of the same set).
 
-    See :func:`classes`; this is its result without the text's key.
+    See :func:`classes`; this is its result without its keys.
     """
-    return classes(df, id_col, text_col, n, num, den).drop("tid")
+    return classes(df, id_col, text_col, n, num, den).drop("tid", "root")
 
 
 def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 3, num: int = 9, den: int = 10) -> DataFrame:
-    """Per row of ``df``: doc_id, tid (MD5 of the text), n_shingles, component_id and n_copies.
+    """Per row of ``df``: doc_id, tid (MD5 of the text), n_shingles, component_id, n_copies and root (the component's own key).
 
     Two rows are linked if their sets have a Jaccard similarity of num/den or more; component_id is the
     smallest id that links lead to, itself included. Null, empty and wordless texts have no shingles, are
@@ -289,14 +289,14 @@ def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: in
     if roots is not None:
         named = named.join(roots.select(F.col("node").alias("key"), "root"), "key", "left").withColumn("root", F.coalesce("root", "key"))
         names = named.groupBy("root").agg(F.min("first_id").alias("component_id"))
-        named = named.join(names, "root").select("key", "component_id", "n_copies")
+        named = named.join(names, "root").select("key", "component_id", "n_copies", "root")
     else:
-        named = named.select("key", F.col("first_id").alias("component_id"), "n_copies")
+        named = named.select("key", F.col("first_id").alias("component_id"), "n_copies", F.col("key").alias("root"))
     out = docs.join(named, "key", "left")
     return out.select(
         F.col("id").alias("doc_id"), "tid", F.col("n").alias("n_shingles"),
         F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"),
-        F.coalesce("n_copies", F.lit(1)).cast("long").alias("n_copies"),
+        F.coalesce("n_copies", F.lit(1)).cast("long").alias("n_copies"), "root",
     )
 
 
@@ -340,7 +340,7 @@ def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: i
     """
     found = staged(classes(df, id_col, text_col, n, num, den), "classes")
     named = found.filter((F.col("n_shingles") > 0) & F.col("doc_id").eqNullSafe(F.col("component_id")))
-    one = named.groupBy("component_id").agg(F.min("tid").alias("_tid"), F.count("*").alias("n")).withColumnRenamed("component_id", "_id")
+    one = named.groupBy("root").agg(F.first("component_id").alias("_id"), F.min("tid").alias("_tid"), F.count("*").alias("n"))
     none = found.filter(F.col("n_shingles") == 0).select(F.col("doc_id").alias("_id"), F.col("tid").alias("_tid")).distinct()
     marks = staged(one.select("_id", "_tid").unionByName(none), "keep")
     keyed = df.withColumn("_text_key", F.unhex(F.md5(text_of(text_col))))
