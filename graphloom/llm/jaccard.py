@@ -3,9 +3,10 @@
 Each text becomes the set of its word n-grams, as 64-bit hashes. Equal sets are one class from the start,
 so copies cost nothing further. Tokens are put in one global order, rarest first by an estimate of their
 document frequency. If two sets of similarity t or more are cut to prefixes of |s| - ceil(t|s|) + l tokens,
-these share l tokens at least. Every document picks its own l from the estimated cost of its candidates:
-where its first tokens are frequent, a longer prefix with more required matches leaves fewer candidates.
-Two documents of different l are held to the smaller of the two. Candidates are then verified on whole sets.
+these share l tokens at least. All documents begin with l = 1; those whose prefix meets no other document are done.
+Each of the rest picks its own l from the cost of the candidates that it met: the more of them, the longer
+its prefix and the more shared tokens it asks for. Two documents of different l are held to the smaller of
+the two. Candidates are then verified on whole sets.
 
 A group of thousands of near copies would give millions of pairs. Before pairs are made, clusters are
 grown: in each group of documents with a common prefix token, members are verified against one leader,
@@ -25,10 +26,8 @@ from .common import discard, ngram_hashes, one_row_each, release, staged, text_o
 
 #: Counters that estimate document frequencies; with 4 bytes each, the bound of what is broadcast (1 MB).
 BUCKETS, SLICES = 1 << 18, 64
-#: Most matches that a prefix may require.
-MOST_MATCHES = 4
-#: Cost of verifying a candidate, in prefix tokens.
-VERIFY_COST = 4.0
+#: Cost of verifying a candidate, in prefix tokens, for each token of a set: its whole text has to travel.
+VERIFY_COST = 0.12
 #: Pairs between clusters, per row of the token groups, below which clusters are grown no further.
 PAIRS_PER_ROW, MOST_ROUNDS = 2.0, 8
 
@@ -63,31 +62,28 @@ def _key(tokens: np.ndarray) -> bytes:
     return hashlib.blake2b(tokens.tobytes(), digest_size=16).digest()
 
 
-def prefix(tokens: np.ndarray, load: np.ndarray, mean: float, num: int, den: int):
-    """Prefix tokens in global order, the level from which each belongs to it, and the chosen number of matches.
+def matches(size: int, contacts: int, num: int, den: int) -> int:
+    """How many shared prefix tokens a document asks for, from what its first prefix met.
 
-    A longer prefix is taken if what it costs in tokens is less than what it saves in candidates.
+    A prefix of base + l - 1 tokens leaves about contacts / l candidates; the l of least total cost is taken.
     """
+    need = required(size, num, den)
+    return int(min(max(1, round((VERIFY_COST * size * contacts) ** 0.5)), need))
+
+
+def prefix(tokens: np.ndarray, load: np.ndarray, least: int, num: int, den: int):
+    """The prefix that asks for ``least`` matches, in global order, and the level from which each token belongs to it."""
     count = load[tokens & np.uint64(BUCKETS - 1)]
     n = len(tokens)
-    need = required(n, num, den)
-    base, most = n - need + 1, min(MOST_MATCHES, need)
-    longest = min(n, base + most - 1)
-    if longest < n:
-        part = np.argpartition(count, longest - 1)[:longest]
+    base = n - required(n, num, den) + 1
+    cut = min(n, base + least - 1)
+    if cut < n:
+        part = np.argpartition(count, cut - 1)[:cut]
         part = np.flatnonzero(count <= count[part].max())  # with all ties of the last, which the hash decides
     else:
         part = np.arange(n)
-    order = part[np.lexsort((tokens[part], count[part]))][:longest]
-    held = np.maximum(count[order] - 1 - mean, 0.0)
-    best, cost = 1, None
-    for l in range(1, most + 1):
-        c = (base + l - 1) + VERIFY_COST * held[:base + l - 1].sum() / (l * l)
-        if cost is None or c < cost:
-            best, cost = l, c
-    cut = base + best - 1
-    level = np.maximum(np.arange(cut) - base + 2, 1)
-    return tokens[order[:cut]], level, best
+    order = part[np.lexsort((tokens[part], count[part]))][:cut]
+    return tokens[order], np.maximum(np.arange(cut) - base + 2, 1)
 
 
 def _profile(rows: DataFrame, n: int) -> DataFrame:
@@ -122,7 +118,7 @@ def _profile(rows: DataFrame, n: int) -> DataFrame:
     return rows.mapInArrow(run, f"id {kind}, tid binary, n long, key binary, slice int, counts binary")
 
 
-def _loads(profile: DataFrame) -> tuple[np.ndarray, float]:
+def _loads(profile: DataFrame) -> np.ndarray:
     """The bucket counts over all documents: summed slice by slice on the executors; BUCKETS numbers reach the driver."""
 
     def add(key, batches):
@@ -147,21 +143,25 @@ def _loads(profile: DataFrame) -> tuple[np.ndarray, float]:
     load = np.zeros((SLICES, BUCKETS // SLICES), dtype=np.int64)
     for r in parts.groupBy("slice").applyInArrow(lambda key, table: add(key, table.to_batches()), "slice int, counts binary").collect():
         load[r["slice"]] = np.frombuffer(r["counts"], dtype="<i8")
-    load = load.ravel()
-    return load.astype(np.float32), float(np.median(load))
+    return load.ravel().astype(np.float32)
 
 
-def _prefixes(rows: DataFrame, n: int, num: int, den: int, load, mean: float) -> DataFrame:
-    """token, key, n, need (matches), level for each prefix token of each distinct set."""
+def _prefixes(rows: DataFrame, n: int, num: int, den: int, load) -> DataFrame:
+    """token, key, n, need (matches), level for each prefix token of each distinct set.
+
+    With a column ``contacts`` a document's matches follow from it, else one is asked for.
+    """
+    known = "contacts" in rows.columns
 
     def run(batches):
         import pyarrow as pa
 
         loads, seen = load.value, set()
         for batch in batches:
-            for _, _, raw, offsets in text_slices(batch.column("text")):
+            contacts = batch.column("contacts").to_pylist() if known else None
+            for at, _, raw, offsets in text_slices(batch.column("text")):
                 out = [[], [], [], [], []]
-                for s in sets_of(raw, offsets, n):
+                for i, s in enumerate(sets_of(raw, offsets, n)):
                     if not len(s):
                         continue
                     k = _key(s)
@@ -169,7 +169,8 @@ def _prefixes(rows: DataFrame, n: int, num: int, den: int, load, mean: float) ->
                         continue
                     if len(seen) < 200_000:
                         seen.add(k)
-                    tokens, level, need = prefix(s, loads, mean, num, den)
+                    need = matches(len(s), contacts[at + i], num, den) if known else 1
+                    tokens, level = prefix(s, loads, need, num, den)
                     m = len(tokens)
                     for column, value in zip(out, (tokens.astype(np.int64), np.full(m, len(s), np.int64), np.full(m, need, np.int32), level.astype(np.int32)), strict=False):
                         column.append(value)
@@ -251,20 +252,27 @@ def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: in
     rows = df.select(F.col(id_col).alias("id"), text_of(text_col).alias("text")).withColumn("tid", F.unhex(F.md5("text")))
     profile = staged(_profile(rows.select("id", "tid", "text"), n), "profile")
     docs = profile.filter(F.col("slice").isNull()).select("id", "tid", "n", "key")
-    load, mean = _loads(profile)
-    shared = spark.sparkContext.broadcast(load)
-    tokens = staged(_prefixes(rows.select("text"), n, num, den, shared, mean).groupBy("token", "key").agg(F.first("n").alias("n"), F.first("need").alias("need"), F.first("level").alias("level")), "tokens")
+    shared = spark.sparkContext.broadcast(_loads(profile))
+    # First the shortest prefixes, of all documents: only those that meet another document go on.
+    tokens = staged(_prefixes(rows.select("text"), n, num, den, shared).select("token", "key").distinct(), "tokens")
     release(spark)
     met = tokens.groupBy("token").agg(F.count("*").alias("met")).filter(F.col("met") > 1)
-    groups = staged(tokens.join(met, "token").drop("met"), "groups")
+    contacts = staged(tokens.join(met, "token").groupBy("key").agg(F.sum(F.col("met") - 1).alias("contacts")), "contacts")
     discard(tokens)
     release(spark)
     class_of = docs.filter(F.col("n") > 0).groupBy("key").agg(F.min("id").alias("first_id"), F.count("*").alias("n_copies"), F.min(F.struct(F.col("id"), F.col("tid"))).alias("pick"))
-    wanted = groups.select("key").distinct().join(class_of, "key").select("key", F.col("pick.id").alias("p_id"), F.col("pick.tid").alias("p_tid"))
+    wanted = contacts.join(class_of, "key").select("key", "contacts", F.col("pick.id").alias("p_id"), F.col("pick.tid").alias("p_tid"))
     wanted = staged(wanted, "wanted")
     release(spark)
-    texts = one_row_each(rows, wanted, "key", "texts").select("key", "text")
+    texts = one_row_each(rows, wanted, "key", "texts")
+    release(spark)
+    # Then prefixes as long as each document's candidates call for.
+    longer = staged(_prefixes(texts.select("text", "contacts"), n, num, den, shared).dropDuplicates(["token", "key"]), "longer")
+    met = longer.groupBy("token").agg(F.count("*").alias("met")).filter(F.col("met") > 1)
+    groups = staged(longer.join(met, "token").drop("met"), "groups")
+    discard(longer)
     release(spark)
+    texts = texts.select("key", "text")
     links, roots = None, None
     for turn in range(MOST_ROUNDS):
         at = groups if roots is None else groups.join(roots.select(F.col("node").alias("key"), "root"), "key", "left")
@@ -303,13 +311,15 @@ def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: in
 def _leader_pairs(rows: DataFrame, turn: int, num: int, den: int) -> DataFrame:
     """For each document the leader, of another cluster, with which it shares most prefix tokens.
 
-    A token's leader is its holder of smallest seeded hash; the seed changes with the turn. One pair per document.
+    A token's leader is its holder of smallest seeded hash; the seed changes with the turn. One pair per document, if the
+    tokens that it shares with its leader are enough; what is missed here is left to the pairs between clusters.
     """
-    lead = rows.groupBy("token").agg(F.min(F.struct(F.xxhash64("key", F.lit(turn)).alias("h"), "key", "n", "cluster")).alias("lead"))
+    lead = rows.groupBy("token").agg(F.min(F.struct(F.xxhash64("key", F.lit(turn)).alias("h"), "key", "n", "need", "cluster")).alias("lead"))
     met = (
         rows.join(lead, "token")
         .filter((F.col("cluster") != F.col("lead.cluster")) & (F.lit(den) * F.least("n", "lead.n") >= F.lit(num) * F.greatest("n", "lead.n")))
-        .groupBy(F.col("key").alias("a"), F.col("lead.key").alias("b")).agg(F.count("*").alias("shared"))
+        .groupBy(F.col("key").alias("a"), F.col("lead.key").alias("b")).agg(F.count("*").alias("shared"), F.first(F.least("need", "lead.need")).alias("need"))
+        .filter(F.col("shared") >= F.col("need"))
     )
     return met.groupBy("a").agg(F.max_by("b", F.struct("shared", "b")).alias("b")).select("a", "b")
 
