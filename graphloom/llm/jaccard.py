@@ -28,7 +28,10 @@ from .common import discard, ngram_hashes, one_row_each, release, staged, text_o
 BUCKETS, SLICES = 1 << 18, 64
 #: Cost of verifying a candidate, in prefix tokens, for each token of a set: its whole text has to travel.
 VERIFY_COST = 0.12
-#: Pairs between clusters, per row of the token groups, below which clusters are grown no further.
+#: Most matches that a prefix may ask for; a bound on its length, not on candidates.
+MOST_MATCHES = 24
+#: Pairs between clusters, per row of the token groups, below which clusters are grown no further; nor are they
+#: where a round no longer helps.
 PAIRS_PER_ROW, MOST_ROUNDS = 2.0, 8
 
 
@@ -63,27 +66,31 @@ def _key(tokens: np.ndarray) -> bytes:
 
 
 def matches(size: int, contacts: int, num: int, den: int) -> int:
-    """How many shared prefix tokens a document asks for, from what its first prefix met.
+    """How many shared prefix tokens a document would ask for, from what its first prefix met.
 
     A prefix of base + l - 1 tokens leaves about contacts / l candidates; the l of least total cost is taken.
     """
-    need = required(size, num, den)
-    return int(min(max(1, round((VERIFY_COST * size * contacts) ** 0.5)), need))
+    return int(min(max(1, round((VERIFY_COST * size * contacts) ** 0.5)), MOST_MATCHES, required(size, num, den)))
 
 
-def prefix(tokens: np.ndarray, load: np.ndarray, least: int, num: int, den: int):
-    """The prefix that asks for ``least`` matches, in global order, and the level from which each token belongs to it."""
+def prefix(tokens: np.ndarray, load: np.ndarray, usual: float, most: int, num: int, den: int):
+    """The prefix in global order, the level from which each token belongs to it, and the matches it asks for.
+
+    That are ``most`` at best; fewer where the tokens that would be added are frequent, since each of those meets
+    more documents than it rules out.
+    """
     count = load[tokens & np.uint64(BUCKETS - 1)]
     n = len(tokens)
     base = n - required(n, num, den) + 1
-    cut = min(n, base + least - 1)
+    cut = min(n, base + most - 1)
     if cut < n:
         part = np.argpartition(count, cut - 1)[:cut]
         part = np.flatnonzero(count <= count[part].max())  # with all ties of the last, which the hash decides
     else:
         part = np.arange(n)
     order = part[np.lexsort((tokens[part], count[part]))][:cut]
-    return tokens[order], np.maximum(np.arange(cut) - base + 2, 1)
+    cut = base + int(np.searchsorted(count[order[base:]], usual, side="right"))
+    return tokens[order[:cut]], np.maximum(np.arange(cut) - base + 2, 1), cut - base + 1
 
 
 def _profile(rows: DataFrame, n: int) -> DataFrame:
@@ -157,6 +164,7 @@ def _prefixes(rows: DataFrame, n: int, num: int, den: int, load) -> DataFrame:
         import pyarrow as pa
 
         loads, seen = load.value, set()
+        usual = float(np.median(loads)) * 1.3 + 64  # a bucket above this holds a frequent token
         for batch in batches:
             contacts = batch.column("contacts").to_pylist() if known else None
             for at, _, raw, offsets in text_slices(batch.column("text")):
@@ -169,8 +177,8 @@ def _prefixes(rows: DataFrame, n: int, num: int, den: int, load) -> DataFrame:
                         continue
                     if len(seen) < 200_000:
                         seen.add(k)
-                    need = matches(len(s), contacts[at + i], num, den) if known else 1
-                    tokens, level = prefix(s, loads, need, num, den)
+                    most = matches(len(s), contacts[at + i], num, den) if known else 1
+                    tokens, level, need = prefix(s, loads, usual, most, num, den)
                     m = len(tokens)
                     for column, value in zip(out, (tokens.astype(np.int64), np.full(m, len(s), np.int64), np.full(m, need, np.int32), level.astype(np.int32)), strict=False):
                         column.append(value)
@@ -273,7 +281,7 @@ def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: in
     discard(longer)
     release(spark)
     texts = texts.select("key", "text")
-    links, roots = None, None
+    links, roots, before = None, None, None
     for turn in range(MOST_ROUNDS):
         at = groups if roots is None else groups.join(roots.select(F.col("node").alias("key"), "root"), "key", "left")
         at = at.withColumn("cluster", F.col("key") if roots is None else F.coalesce("root", "key"))
@@ -283,7 +291,9 @@ def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: in
         if not total["rows"]:
             break
         open_rows = at.join(cross.select("token"), "token").select("token", "key", "n", "need", "level", "cluster")
-        if total["pairs"] <= PAIRS_PER_ROW * total["rows"] or turn == MOST_ROUNDS - 1:
+        stuck = before is not None and total["pairs"] > 0.7 * before
+        before = total["pairs"]
+        if stuck or total["pairs"] <= PAIRS_PER_ROW * total["rows"] or turn == MOST_ROUNDS - 1:
             pairs, last = _cross_pairs(staged(open_rows, "open"), num, den), True
         else:
             pairs, last = _leader_pairs(staged(open_rows, "open"), turn, num, den), False
