@@ -18,8 +18,8 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-DIRECTIONS, LEAF = 8, 48
-BLOCK_ROWS, QUERY_ROWS = 8_192, 1_024
+DIRECTIONS, LEAF = 8, 256
+BLOCK_ROWS, QUERY_ROWS = 16_384, 512
 
 
 def chi_square(x: np.ndarray, degrees: int) -> np.ndarray:
@@ -110,7 +110,7 @@ def usable(df: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     return rows.filter(F.col("vec_id").isNotNull() & v.isNotNull()).filter(F.coalesce(good, F.lit(False)))
 
 
-def search(df: DataFrame, every: int = 20, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", certain: float = 0.97, seed: int = 11) -> DataFrame:
+def search(df: DataFrame, every: int = 20, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", certain: float = 0.93, seed: int = 11) -> DataFrame:
     """query_id, rank, vec_id and score: the k nearest found of each row whose id is divisible by ``every``.
 
     Candidates are all usable rows but those of the query's own id; of rows that repeat a query's id one asks.
