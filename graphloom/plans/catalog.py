@@ -127,7 +127,7 @@ QUERIES = {
     "tree": q(V.basket, O.tree()),
     "cycle_count": counted(V.copart, O.cycle()),
     "spine": q(V.dialog, O.spine(0)),
-    "union_of_shortest_paths": q(V.dialog, F2(O.union_of_shortest_paths((1, 3)))),
+    "union_of_shortest_paths": q(V.basket, F2(O.union_of_shortest_paths((1, 2)))),
     "complement": q(V.basket, F2(O.edge(), O.complement()), N_NODES),
     "edge_complement": q(V.basket, F2(O.connected_component(), O.edge_complement(), dedup=False), N_EDGES),
     "local_complement": q(V.basket, F2(O.degree((0, 1)), O.local_complement())),
@@ -275,6 +275,28 @@ ORACLE = {
     "to_graph_export": _sql(BASKET, "l AS (SELECT count(*) AS n FROM be x JOIN be y ON x.g = y.g AND (x.s < y.s OR (x.s = y.s AND x.d < y.d)) AND (x.s = y.s OR x.s = y.d OR x.d = y.s OR x.d = y.d))", select="""
       SELECT 'base_node' AS kind, count(*) AS n FROM (SELECT DISTINCT g, n FROM bn) UNION ALL SELECT 'base_edge', count(*) FROM be UNION ALL SELECT 'sg_node', count(*) FROM be UNION ALL SELECT 'abstract', 2 * count(*) FROM be UNION ALL SELECT 'sg_edge', n FROM l"""),
 }
+ISLANDS = "isl AS (SELECT g, n, n - row_number() OVER (PARTITION BY g ORDER BY n) AS k FROM bn), pos AS (SELECT g, n, row_number() OVER (PARTITION BY g, k ORDER BY n) - 1 AS i, count(*) OVER (PARTITION BY g, k) AS c FROM isl)"
+DOMINATED = "EXISTS (SELECT 1 FROM {0} y WHERE y.brand = x.brand AND ((y.size > x.size AND y.price <= x.price) OR (y.size = x.size AND y.price < x.price)))"
+ORACLE |= {
+    "union_of_shortest_paths": _sql(BASKET, ADJ, "two AS (SELECT x.g, x.a, y.b AS c, x.b FROM adj x JOIN adj y ON x.g = y.g AND x.b = y.a WHERE x.a < y.b AND NOT EXISTS (SELECT 1 FROM adj z WHERE z.g = x.g AND z.a = x.a AND z.b = y.b))",
+        select=f"SELECT DISTINCT graph_id, members FROM (SELECT g AS graph_id, {PAIR} AS members FROM be UNION ALL SELECT g, {TEXT.format('list_sort(list(b) || [a, c])')} FROM two GROUP BY g, a, c)"),
+    "betweenness_centrality": _sql(DIALOG, ISLANDS, select="SELECT g AS graph_id, n::VARCHAR AS members FROM (SELECT g, n, row_number() OVER (PARTITION BY g ORDER BY i * (c - 1 - i) DESC, n) AS r FROM pos) WHERE r = 1"),
+    "combination": _sql(SESSION, select=f"""SELECT DISTINCT x.g AS graph_id, x.s || ',' || y.d AS members FROM be x JOIN be y ON x.g = y.g AND x.d = y.s WHERE x.s < y.d
+      AND NOT EXISTS (SELECT 1 FROM be z WHERE z.g = x.g AND z.s = x.s AND z.d = y.d)"""),
+    "binary_combination": _sql(DIALOG, select=f"SELECT g AS graph_id, {PAIR} AS members FROM be"),
+    "for_loop": _sql(DIALOG, select=f"SELECT DISTINCT graph_id, members FROM (SELECT g AS graph_id, {PAIR} AS members FROM be UNION ALL SELECT g, d::VARCHAR FROM be UNION ALL SELECT g, n::VARCHAR FROM bn WHERE NOT EXISTS (SELECT 1 FROM be WHERE be.g = bn.g AND be.s = bn.n))"),
+    "while_loop": _sql(DIALOG, "v AS (SELECT g, count(*) AS v, list_sort(list(n)) AS m FROM bn GROUP BY g)", select=f"SELECT g AS graph_id, {TEXT.format('m')} AS members FROM v WHERE v <= 2 UNION ALL SELECT be.g, {PAIR} FROM be JOIN v ON be.g = v.g WHERE v > 2"),
+    "select_top": _sql(DIALOG, "r AS (SELECT g, s, d, 2 AS score FROM be UNION ALL SELECT g, n, NULL, 1 FROM bn)", select="""SELECT g AS graph_id, CASE WHEN d IS NULL THEN s::VARCHAR ELSE s || ',' || d END AS members
+      FROM (SELECT *, row_number() OVER (PARTITION BY g ORDER BY score DESC, s) AS k FROM r) WHERE k <= 2"""),
+    "cc_from_ranking": _sql(DIALOG, ADJ, "deg AS (SELECT bn.g, bn.n, 2 * count(adj.b) + 1 AS s FROM bn LEFT JOIN adj ON bn.g = adj.g AND bn.n = adj.a GROUP BY bn.g, bn.n)", "top AS (SELECT g, n FROM (SELECT *, row_number() OVER (PARTITION BY g ORDER BY s DESC, n::VARCHAR) AS k FROM deg) WHERE k <= 3)",
+        "isl AS (SELECT g, n, n - row_number() OVER (PARTITION BY g ORDER BY n) AS k FROM top)", select=f"SELECT g AS graph_id, {TEXT.format('list_sort(list(n))')} AS members FROM isl GROUP BY g, k"),
+    "pareto_front": "WITH p AS (SELECT p_brand AS brand, p_partkey, p_size::BIGINT AS size, p_retailprice AS price FROM part), a AS (SELECT *, " + DOMINATED.format("p") + " AS out FROM p x), rest AS (SELECT brand, p_partkey, size, price FROM a WHERE out) "
+      "SELECT brand, p_partkey, size, price, 1::BIGINT AS shell FROM a WHERE NOT out UNION ALL SELECT *, 2 FROM rest x WHERE NOT " + DOMINATED.format("rest"),
+    "knn_vote": """WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v, label FROM embeddings WHERE embedding IS NOT NULL),
+      d AS (SELECT q.vec_id AS q, c.label, row_number() OVER (PARTITION BY q.vec_id ORDER BY list_distance(q.v, c.v), c.vec_id) AS k FROM e q JOIN e c ON q.vec_id <> c.vec_id WHERE q.vec_id % 100 = 0),
+      n AS (SELECT q, label, count(*) AS n FROM d WHERE k <= 5 GROUP BY q, label)
+      SELECT q AS vec_id, label::BIGINT AS vote FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY n DESC, label) AS r FROM n) WHERE r = 1""",
+}
 ORACLE["merge_edges"] = ORACLE["merge"]
 ORACLE["intersection_edges"] = _sql(BASKET, select="""SELECT x.g AS graph_id, x.s || ',' || x.d AS u_members, y.s || ',' || y.d AS v_members, 1::BIGINT AS shared FROM be x JOIN be y
   ON x.g = y.g AND (x.s < y.s OR (x.s = y.s AND x.d < y.d)) AND (x.s = y.s OR x.s = y.d OR x.d = y.s OR x.d = y.d)""")
