@@ -62,7 +62,10 @@ def sequences(ids: np.ndarray, end: int, length: int = LENGTH) -> np.ndarray:
 
 
 def _tokenised(rows: DataFrame, path: str, pattern: str, end: int, length: int) -> DataFrame:
-    """id, n_tokens, ids (compressed), part and before: the task, and the sequences it has made before this row."""
+    """For each batch of rows: id and n_tokens lists, all their ids (compressed), part (the task), before and after.
+
+    before, after: the sequences that the task has made up to this batch and with it.
+    """
     kind = rows.schema["id"].dataType.simpleString()
 
     def run(batches):
@@ -73,16 +76,22 @@ def _tokenised(rows: DataFrame, path: str, pattern: str, end: int, length: int)
         part, before, pack = TaskContext.get().partitionId(), 0, zstandard.ZstdCompressor(level=LEVEL)
         coder = encoding(path, pattern)
         for batch in batches:
-            count, blob, at = [], [], []
-            for x in batch.column("text"):
-                ids = np.array(coder.encode_ordinary(x.as_py()), dtype="<u2")
-                count.append(len(ids))
-                blob.append(pack.compress(ids.tobytes()))
-                at.append(before)
-                before += -(-(len(ids) + 1) // length)
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(count, pa.int64()), pa.array(blob, pa.binary()), pa.array([part] * len(count), pa.int32()), pa.array(at, pa.int64())], ["id", "n_tokens", "ids", "part", "before"])
+            found = [coder.encode_to_numpy(x.as_py(), disallowed_special=()).astype("<u2") for x in batch.column("text")]
+            if not found:
+                continue
+            count = [len(x) for x in found]
+            after = before + sum(-(-(n + 1) // length) for n in count)
+            ids = batch.column("id")
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids), pa.array([count], pa.list_(pa.int64())), pa.array([pack.compress(np.concatenate(found).tobytes())], pa.binary()),
+                    pa.array([part], pa.int32()), pa.array([before], pa.int64()), pa.array([after], pa.int64()),
+                ],
+                ["id", "n_tokens", "ids", "part", "before", "after"],
+            )
+            before = after
 
-    return rows.mapInArrow(run, f"id {kind}, n_tokens long, ids binary, part int, before long")
+    return rows.mapInArrow(run, f"id array<{kind}>, n_tokens array<long>, ids binary, part int, before long, after long")
 
 
 def write(df: DataFrame, out: str, path: str, pattern: str, end: int = 50_256, key: int = 23, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, shard: int = SHARD) -> DataFrame:
@@ -99,7 +108,7 @@ def write(df: DataFrame, out: str, path: str, pattern: str, end: int = 50_256, k
     with small_batches(spark):
         _tokenised(rows, path, pattern, end, length).write.option("compression", "uncompressed").parquet(staged_path)
     held = spark.read.parquet(staged_path)
-    totals = held.groupBy("part").agg(F.max(F.col("before") + F.ceil((F.col("n_tokens") + 1) / length)).alias("n")).orderBy("part").collect()
+    totals = held.groupBy("part").agg(F.max("after").alias("n")).orderBy("part").collect()
     base, total = {}, 0
     for r in totals:  # one number a task
         base[r["part"]] = total
@@ -122,14 +131,17 @@ def write(df: DataFrame, out: str, path: str, pattern: str, end: int = 50_256, k
             return pa.RecordBatch.from_arrays([pa.array([int(of[g[0]]) for g in groups], pa.int64()), pa.array([len(g) for g in groups], pa.int64()), pa.array(data, pa.binary())], ["shard", "n", "block"])
 
         for batch in batches:
-            for ids, n, part, before in zip(*(batch.column(c).to_pylist() for c in ("ids", "n_tokens", "part", "before")), strict=True):
-                own = sequences(np.frombuffer(unpack.decompress(ids, max_output_size=2 * n + 16), "<u2"), end, length)
-                slots.append(permute(base[part] + before + np.arange(len(own)), total, key))
-                bodies.append(own)
-                size += own.nbytes
-                if size > GATHER:
-                    yield blocks()
-                    slots, bodies, size = [], [], 0
+            for ids, counts, part, at in zip(*(batch.column(c).to_pylist() for c in ("ids", "n_tokens", "part", "before")), strict=True):
+                every = np.frombuffer(unpack.decompress(ids, max_output_size=2 * sum(counts) + 16), "<u2")
+                for own in np.split(every, np.cumsum(counts)[:-1]):
+                    rows = sequences(own, end, length)
+                    slots.append(permute(base[part] + at + np.arange(len(rows)), total, key))
+                    bodies.append(rows)
+                    at += len(rows)
+                    size += rows.nbytes
+                    if size > GATHER:
+                        yield blocks()
+                        slots, bodies, size = [], [], 0
         if slots:
             yield blocks()
 
@@ -164,19 +176,19 @@ def write(df: DataFrame, out: str, path: str, pattern: str, end: int = 50_256, k
 
 
 def _index(held: DataFrame, base: dict, total: int, key: int, length: int, shard: int) -> DataFrame:
-    kind = held.schema["id"].dataType.simpleString()
+    kind = held.schema["id"].dataType.elementType.simpleString()
 
     def run(batches):
         import pyarrow as pa
 
         for batch in batches:
-            n = batch.column("n_tokens").to_numpy()
-            many = -(-(n + 1) // length)
-            row = np.repeat(np.arange(len(n)), many)
-            seq = np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many)
-            start = np.array([base[p] for p in batch.column("part").to_pylist()], dtype=np.int64) + batch.column("before").to_numpy()
-            slot = permute(start[row] + seq, total, key) if len(row) else np.zeros(0, dtype=np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(row)), pa.array(seq), pa.array(slot), pa.array(slot // shard), pa.array(np.clip(n[row] - seq * length, 0, length))], ["doc_id", "seq", "slot", "shard", "n_tokens"])
+            for ids, counts, part, before in zip(batch.column("id"), batch.column("n_tokens").to_pylist(), batch.column("part").to_pylist(), batch.column("before").to_pylist(), strict=True):
+                n = np.array(counts, dtype=np.int64)
+                many = -(-(n + 1) // length)
+                row = np.repeat(np.arange(len(n)), many)
+                seq = np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many)
+                slot = permute(base[part] + before + np.arange(len(row)), total, key)
+                yield pa.RecordBatch.from_arrays([ids.values.take(pa.array(row)), pa.array(seq), pa.array(slot), pa.array(slot // shard), pa.array(np.clip(n[row] - seq * length, 0, length))], ["doc_id", "seq", "slot", "shard", "n_tokens"])
 
     return held.select("id", "n_tokens", "part", "before").mapInArrow(run, f"doc_id {kind}, seq long, slot long, shard long, n_tokens long")
 
