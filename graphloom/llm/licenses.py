@@ -1,10 +1,10 @@
 """License scan over a positional rare-token index, native expressions only.
 
-The templates are short licence notices. The index holds, for each template word, the places where it
-stands in each template. Of a file's licence words the rarest ones (highest IDF over the corpus) are looked
-up; a place in the file less a place in the template is a relative position, and a template whose rare
-words agree on one relative position is a candidate there. A candidate counts only if all its mandatory
-key phrases stand in the file.
+The templates are short licence notices. Each is looked up by a word of its own: of the words of its first key
+phrase the rarest one (highest IDF over the corpus). A place of that word in the file less its place in the
+template is a relative position. There all words of the template vote, and a template of which two words or more
+agree is a candidate. A candidate counts only if all its mandatory key phrases stand in the file. Whatever else the
+file holds, no template is left out: the phrase that a template must have holds the word it is looked up by.
 
 The whole scan is one projection: nothing is shuffled, grouped or joined by document. The only
 aggregation is the document frequency of the template words, a table as long as the templates' vocabulary.
@@ -14,7 +14,6 @@ from __future__ import annotations
 
 import math
 import re
-from collections import defaultdict
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -50,8 +49,6 @@ TEMPLATES = (
 _A_Z = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _BETWEEN = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 _INSIDE = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
-#: Rarest licence words of a file that are looked up.
-RARE = 6
 
 
 def spaced(text: Column) -> Column:
@@ -103,50 +100,44 @@ def frequencies(df: DataFrame, text_col: str) -> tuple[int, dict[str, int]]:
     return total, {r["w"]: r["n"] for r in rows.select(F.explode("w").alias("w")).groupBy("w").agg(F.count("*").alias("n")).collect()}
 
 
-def _postings(words: set[str]) -> dict[str, list[tuple[int, int]]]:
-    found: dict[str, list[tuple[int, int]]] = defaultdict(list)
-    for t, (_, notice, _) in enumerate(TEMPLATES):
-        for k, w in enumerate(notice.split()):
-            if w in words:
-                found[w].append((t, k))
-    return found
+def anchor(notice: str, key: str, idf: dict[str, float]) -> tuple[str, int]:
+    """The word that a template is looked up by, the rarest of its key phrase, and its place in the notice."""
+    first, parts = place_of(notice, key), key.split()
+    k = max(range(len(parts)), key=lambda i: (idf.get(parts[i], 0.0), -i))
+    return parts[k], first + k
+
+
+def place_of(notice: str, key: str) -> int:
+    """Word number, from 0, at which a key phrase stands in its notice."""
+    words, parts = notice.split(), key.split()
+    return next(i for i in range(len(words)) if words[i:i + len(parts)] == parts)
 
 
 def matches(words: Column, wide: Column, idf: dict[str, float]) -> Column:
     """array<struct<template int, share double>>: templates that are candidates at some relative position and pass their key phrases.
 
     ``words``, ``wide``: bound columns, the words and the same text with blanks. Share: of the template's
-    looked-up words, the part that agrees on its best relative position.
+    words, the part that agrees on its best relative position.
     """
-    order = sorted(vocabulary(), key=lambda w: (-idf.get(w, 0.0), w))
-    place = {w: i for i, w in enumerate(order)}
-    posting = F.create_map(*[x for w in order for x in (F.lit(w), F.array(*[F.struct(F.lit(t).alias("t"), F.lit(k).alias("k")) for t, k in _postings({w})[w]]))])
-    rank = F.create_map(*[x for w in order for x in (F.lit(w), F.lit(place[w]))])
-
-    def looked_up(hits: Column) -> Column:
-        rarest = F.slice(F.array_sort(F.array_distinct(F.transform(hits, lambda h: F.element_at(rank, h["w"])))), 1, RARE)
-        return let(rarest, lambda r: F.filter(hits, lambda h: F.array_contains(r, F.element_at(rank, h["w"]))))
-
-    hits = F.filter(F.transform(words, lambda w, i: F.struct(w.alias("w"), i.alias("i"))), lambda h: h["w"].isin(*order))
-    votes = let(
-        let(hits, looked_up),
-        lambda hs: F.flatten(F.transform(hs, lambda h: F.transform(F.element_at(posting, h["w"]), lambda p: F.struct(p["t"].alias("t"), (h["i"] - p["k"]).alias("at"))))),
-    )
+    by = [anchor(notice, keys[0], idf) for _, notice, keys in TEMPLATES]
+    wanted = sorted({w for w, _ in by})
+    hits = F.array_compact(F.transform(words, lambda w, i: F.when(w.isin(*wanted), F.struct(w.alias("w"), i.alias("i")))))
 
-    def one(vs: Column, t: int, notice: str, keys: tuple[str, ...]) -> Column:
-        distinct = len(set(notice.split()))
-        phrases = F.lit(True)
-        for k in keys:
-            phrases = phrases & wide.contains(_padded(k))
-        places = F.array_sort(F.transform(F.filter(vs, lambda v: v["t"] == F.lit(t)), lambda v: v["at"]))
-        agree = let(places, lambda p: F.coalesce(F.array_max(F.transform(F.array_distinct(p), lambda x: F.size(F.filter(p, lambda y: y == x)))), F.lit(0)))
-        found = let(agree, lambda n: F.when(n >= F.lit(min(2, distinct)), F.least(F.lit(1.0), n / F.lit(float(min(RARE, distinct))))))
-        return F.when(phrases, let(found, lambda x: F.when(x.isNotNull(), F.struct(F.lit(t).alias("template"), x.alias("share")))))
+    def votes(at: Column, notice: str) -> Column:
+        said = [F.coalesce(F.get(words, at + F.lit(k)) == F.lit(w), F.lit(False)).cast("int") for k, w in enumerate(notice.split())]
+        return sum(said[1:], said[0])
 
-    def best(vs: Column) -> Column:
-        return F.array_compact(F.array(*[one(vs, t, notice, keys) for t, (_, notice, keys) in enumerate(TEMPLATES)]))
+    def one(hs: Column, t: int, notice: str, keys: tuple[str, ...]) -> Column:
+        word, k = by[t]
+        phrases = F.lit(True)
+        for key in keys:
+            phrases = phrases & wide.contains(_padded(key))
+        ats = F.transform(F.filter(hs, lambda h: h["w"] == F.lit(word)), lambda h: h["i"] - F.lit(k))
+        agree = F.array_max(F.transform(ats, lambda at: votes(at, notice)))
+        share = let(agree, lambda n: F.when(n >= F.lit(2), n / F.lit(float(len(notice.split())))))
+        return F.when(phrases, let(share, lambda x: F.when(x.isNotNull(), F.struct(F.lit(t).alias("template"), x.alias("share")))))
 
-    return let(votes, best)
+    return let(hits, lambda hs: F.array_compact(F.array(*[one(hs, t, notice, keys) for t, (_, notice, keys) in enumerate(TEMPLATES)])))
 
 
 def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -154,7 +145,7 @@ def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataF
 
     Null and empty texts have no words, no labels and a score of 0. Each row is judged by itself:
     repeated rows give repeated results. A word is a run of ASCII letters, digits and anything beyond ASCII.
-    Score: 1 where a base phrase stands, else the best share of agreeing rare words, else 0.
+    Score: 1 where a base phrase stands, else the best share of agreeing template words, else 0.
     """
     n, df_of = frequencies(df, text_col)
     idf = {w: math.log((1 + n) / (1 + df_of.get(w, 0))) for w in vocabulary()}

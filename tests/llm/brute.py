@@ -64,6 +64,17 @@ def quality(text):
     return len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in text or ""), len(lines) - len(set(lines)), len(covered)
 
 
+def licenses(text, templates):
+    """Labels of the templates of which two words agree on a relative position, and whose key phrases stand in the text."""
+    w = re.findall(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", low(text))
+    found, whole = set(), f" {' '.join(w)} "
+    for label, notice, keys in templates:
+        votes = Counter(i - k for i, x in enumerate(w) for k, y in enumerate(notice.split()) if x == y)
+        if max(votes.values(), default=0) >= 2 and all(f" {k} " in whole for k in keys):
+            found.add(label)
+    return ",".join(sorted(found))
+
+
 def archive(rows):
     by = {}
     for p, h in rows:

@@ -131,6 +131,19 @@ def test_licenses(spark, rows):
     assert licenses.scan(extra.limit(0)).count() == 0
 
 
+def test_licenses_of_one_file(spark):
+    """No template depends on what else the file holds: an uncapped brute force, every template word voting."""
+    notices = [t for _, t, _ in licenses.TEMPLATES]
+    four = ". ".join([notices[1], notices[14], "Subject to the terms of the Mozilla Public License, v. 2.0", notices[18]])
+    prose = "The charge of a copy was granted with attribution to a universal domain of public creative mozilla files. " * 3
+    rng = random.Random(3)
+    own = [(1, four), (2, prose + "Released under the BSD license."), (3, f"{prose} ".join(notices)), (4, prose)]
+    own += [(i, " ".join(rng.choice([prose, *notices]) for _ in range(rng.randint(1, 9)))) for i in range(5, 60)]
+    expected = {i: brute.licenses(t, licenses.TEMPLATES) for i, t in own}
+    assert expected[1] == "bsd,mit,mpl-2.0,unlicense" and expected[2] == "bsd" and expected[4] == ""
+    assert {r.doc_id: r.labels for r in licenses.scan(spark.createDataFrame(own, SCHEMA)).collect()} == expected
+
+
 def test_language(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     known = {r.doc_id: r.lang for r in docs.collect()}
