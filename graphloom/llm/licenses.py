@@ -3,8 +3,9 @@
 The templates are short licence notices. Each is looked up by a word of its own: of the words of its first key
 phrase the rarest one (highest IDF over the corpus). A place of that word in the file less its place in the
 template is a relative position. There all words of the template vote, and a template of which two words or more
-agree is a candidate. A candidate counts only if all its mandatory key phrases stand in the file. Whatever else the
-file holds, no template is left out: the phrase that a template must have holds the word it is looked up by.
+agree is a candidate. A candidate counts only if its mandatory key phrases stand where that position puts them: the
+first one exactly, any further one at most INSERTED words before or after its place. Whatever else the file holds,
+no template is left out: the phrase that a template must have holds the word it is looked up by.
 
 The whole scan is one projection: nothing is shuffled, grouped or joined by document. The only
 aggregation is the document frequency of the template words, a table as long as the templates' vocabulary.
@@ -12,6 +13,7 @@ aggregation is the document frequency of the template words, a table as long as
 
 from __future__ import annotations
 
+import json
 import math
 import re
 
@@ -44,13 +46,23 @@ TEMPLATES = (
     ("mpl-2.0", "subject to the terms of the mozilla public license v 2 0", ("mozilla public license",)),
     ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", ("for any purpose with or without fee is hereby granted",)),
     ("unlicense", "this is free and unencumbered software released into the public domain", ("free and unencumbered software",)),
+    ("gpl-3.0", "under the terms of the gnu general public license as published by the free software foundation either version 3", ("gnu general public license as published by the free software foundation", "version 3")),
+    ("gpl-2.0", "under the terms of the gnu general public license as published by the free software foundation either version 2", ("gnu general public license as published by the free software foundation", "version 2")),
+    ("gpl-3.0", "licensed under the gnu general public license version 2 or version 3", ("gnu general public license", "version 2 or version 3")),
+    ("gpl-2.0", "licensed under the gnu general public license version 3 or version 2", ("gnu general public license", "version 3 or version 2")),
 )
 
+#: Words by which a further key phrase may be off its place: "License (GPL), version 3", "License, either version 3".
+INSERTED = 2
+
 _A_Z = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _BETWEEN = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 _INSIDE = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 
+_TABLE = "array<struct<t int, notice array<string>, word string, k int, keys array<struct<padded string, words array<string>, at int, off int>>>>"
+
+
 def spaced(text: Column) -> Column:
     """The words in small letters, each with a blank of its own on either side, so that phrases are plain substrings."""
     low = F.translate(text, _A_Z, _A_Z.lower())
@@ -119,25 +131,33 @@ def matches(words: Column, wide: Column, idf: dict[str, float]) -> Column:
     ``words``, ``wide``: bound columns, the words and the same text with blanks. Share: of the template's
     words, the part that agrees on its best relative position.
     """
-    by = [anchor(notice, keys[0], idf) for _, notice, keys in TEMPLATES]
-    wanted = sorted({w for w, _ in by})
+    made = []
+    for t, (_, notice, keys) in enumerate(TEMPLATES):
+        word, k = anchor(notice, keys[0], idf)
+        phrases = [{"padded": _padded(x), "words": x.split(), "at": place_of(notice, x), "off": INSERTED if n else 0} for n, x in enumerate(keys)]
+        made.append({"t": t, "notice": notice.split(), "word": word, "k": k, "keys": phrases})
+    table = F.from_json(F.lit(json.dumps(made)), _TABLE)
+    wanted = sorted({x["word"] for x in made})
     hits = F.array_compact(F.transform(words, lambda w, i: F.when(w.isin(*wanted), F.struct(w.alias("w"), i.alias("i")))))
 
-    def votes(at: Column, notice: str) -> Column:
-        said = [F.coalesce(F.get(words, at + F.lit(k)) == F.lit(w), F.lit(False)).cast("int") for k, w in enumerate(notice.split())]
-        return sum(said[1:], said[0])
-
-    def one(hs: Column, t: int, notice: str, keys: tuple[str, ...]) -> Column:
-        word, k = by[t]
-        phrases = F.lit(True)
-        for key in keys:
-            phrases = phrases & wide.contains(_padded(key))
-        ats = F.transform(F.filter(hs, lambda h: h["w"] == F.lit(word)), lambda h: h["i"] - F.lit(k))
-        agree = F.array_max(F.transform(ats, lambda at: votes(at, notice)))
-        share = let(agree, lambda n: F.when(n >= F.lit(2), n / F.lit(float(len(notice.split())))))
-        return F.when(phrases, let(share, lambda x: F.when(x.isNotNull(), F.struct(F.lit(t).alias("template"), x.alias("share")))))
-
-    return let(hits, lambda hs: F.array_compact(F.array(*[one(hs, t, notice, keys) for t, (_, notice, keys) in enumerate(TEMPLATES)])))
+    def stands(at: Column, key: Column) -> Column:
+        def here(d: Column) -> Column:
+            i = at + key["at"] + d
+            return (i >= 0) & (F.slice(words, F.greatest(i, F.lit(0)) + 1, F.size(key["words"])) == key["words"])
+
+        return F.exists(F.sequence(-key["off"], key["off"]), here)
+
+    def votes(at: Column, notice: Column) -> Column:
+        return F.size(F.filter(F.transform(notice, lambda w, k: F.get(words, at + k) == w), lambda x: x))
+
+    def one(hs: Column, t: Column) -> Column:
+        ats = F.transform(F.filter(hs, lambda h: h["w"] == t["word"]), lambda h: h["i"] - t["k"])
+        ats = F.filter(ats, lambda at: F.forall(t["keys"], lambda key: stands(at, key)))
+        agree = F.array_max(F.transform(ats, lambda at: votes(at, t["notice"])))
+        return let(agree, lambda n: F.when(n >= 2, F.struct(t["t"].alias("template"), (n / F.size(t["notice"])).alias("share"))))
+
+    held = F.filter(table, lambda t: F.forall(t["keys"], lambda key: F.contains(wide, key["padded"])))
+    return let(hits, lambda hs: F.array_compact(F.transform(held, lambda t: one(hs, t))))
 
 
 def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

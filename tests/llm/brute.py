@@ -64,14 +64,17 @@ def quality(text):
     return len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in text or ""), len(lines) - len(set(lines)), len(covered)
 
 
-def licenses(text, templates):
-    """Labels of the templates of which two words agree on a relative position, and whose key phrases stand in the text."""
+def licenses(text, templates, off=2):
+    """Labels of the templates of which two words agree on a relative position, and whose key phrases stand there, further ones within ``off`` words."""
     w = re.findall(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", low(text))
-    found, whole = set(), f" {' '.join(w)} "
+    found = set()
     for label, notice, keys in templates:
-        votes = Counter(i - k for i, x in enumerate(w) for k, y in enumerate(notice.split()) if x == y)
-        if max(votes.values(), default=0) >= 2 and all(f" {k} " in whole for k in keys):
-            found.add(label)
+        n = notice.split()
+        place = [next(i for i in range(len(n)) if n[i:i + len(k.split())] == k.split()) for k in keys]
+        votes = Counter(i - k for i, x in enumerate(w) for k, y in enumerate(n) if x == y)
+        for at in (x for x, v in votes.items() if v >= 2):
+            if all(any(at + p + d >= 0 and w[at + p + d:at + p + d + len(k.split())] == k.split() for d in (range(-off, off + 1) if m else (0,))) for m, (k, p) in enumerate(zip(keys, place, strict=True))):
+                found.add(label)
     return ",".join(sorted(found))
 
 

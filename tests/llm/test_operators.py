@@ -144,6 +144,24 @@ def test_licenses_of_one_file(spark):
     assert {r.doc_id: r.labels for r in licenses.scan(spark.createDataFrame(own, SCHEMA)).collect()} == expected
 
 
+def test_licenses_phrases_in_place(spark):
+    gpl = "You can redistribute it under the terms of the GNU General Public License as published by the Free Software Foundation"
+    own = {
+        "Licensed under the GNU General Public License, version 2. See the notes of plugin version 3 below.": "gpl,gpl-2.0",
+        "Licensed under the Apache License. The tool needs version 2.0 of make.": "apache",
+        "Version 2.0 of make. " + "word " * 50 + "Licensed under the Apache License.": "apache",
+        "Licensed under the Apache License, Version 2.0 (the \"License\")": "apache,apache-2.0",
+        "Licensed under the GNU General Public License (GPL), version 3.": "gpl,gpl-3.0",
+        "GNU General Public License, either version 2": "gpl,gpl-2.0",
+        f"{gpl}, either version 3 of the License, or (at your option) any later version. It needs version 2 of make.": "gpl,gpl-3.0",
+        f"{gpl}; version 2 of the License.": "gpl,gpl-2.0",
+        "GNU General Public License, version 2 or version 3": "gpl,gpl-2.0,gpl-3.0",
+        "GNU General Public License, version 2. The old GNU General Public License, version 3": "gpl,gpl-2.0,gpl-3.0",
+    }
+    rows = list(enumerate(own))
+    assert {r.doc_id: r.labels for r in licenses.scan(spark.createDataFrame(rows, SCHEMA)).collect()} == {i: own[t] for i, t in rows}
+
+
 def test_language(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     known = {r.doc_id: r.lang for r in docs.collect()}
