@@ -45,6 +45,14 @@ def n_dup_lines(text: Column) -> Column:
     return let(lines_with_words(text), lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long")
 
 
+def n_dup_line_words(text: Column) -> Column:
+    """Words of lines that repeat an earlier one."""
+    def words(lines: Column) -> Column:
+        return F.aggregate(lines, F.lit(0).cast("long"), lambda a, x: a + n_words(x))
+
+    return let(lines_with_words(text), lambda x: words(x) - words(F.array_distinct(x)))
+
+
 def words_of(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(WORD), F.lit(0))
 
@@ -108,7 +116,7 @@ class Facts:
     n_symbols = property(lambda s: s._get("n_symbols", lambda: n_symbols(s.text)))
     n_dup_lines = property(lambda s: s._get("n_dup_lines", lambda: n_dup_lines(s.text)))
     n_repeat_words = property(lambda s: s._get("n_repeat_words", lambda: n_repeat_words(words_of(s.text))))
-    n_lines = property(lambda s: F.size(lines_with_words(s.text)))
+    n_dup_line_words = property(lambda s: n_dup_line_words(s.text))
 
     def letters(self, kind: str) -> Column:
         return F.length(self.text) - F.length(F.regexp_replace(self.text, kind, ""))
@@ -146,10 +154,10 @@ BASE_RULES = (
     Rule("repeated_words", lambda f: F.lit(100) * f.n_repeat_words > F.lit(20) * f.n_words),
 )
 #: The method's own rules. A clean text stays far from every limit: prose has well under one symbol
-#: in three words, few equal lines, words of some 2 to 15 letters and mostly small letters.
+#: in three words, few words in equal lines (a header that stands twice is few words), words of some 2 to 15 letters and mostly small letters.
 OWN_RULES = (
     Rule("symbols", lambda f: F.lit(10) * f.n_symbols > F.lit(3) * f.n_words),
-    Rule("equal_lines", lambda f: F.lit(10) * f.n_dup_lines > F.lit(3) * f.n_lines),
+    Rule("equal_lines", lambda f: (f.n_dup_lines > F.lit(0)) & (F.lit(10) * f.n_dup_line_words > F.lit(3) * f.n_words)),
     Rule("word_length", lambda f: (f.word_chars < F.lit(2) * f.n_words) | (f.word_chars > F.lit(25) * f.n_words)),
     Rule("capitals", lambda f: F.lit(2) * f.letters(r"\p{Lu}+") > f.letters(r"\p{L}+")),
 )
