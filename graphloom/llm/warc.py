@@ -20,7 +20,7 @@ import zlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import new_path
+from .common import new_path, release
 
 #: Fixed values of the format.
 VERSION, END = "WARC/1.1", "\r\n\r\n"
@@ -51,7 +51,7 @@ def _clean(value):
 
 
 def records(df: DataFrame, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", least: int = 0) -> DataFrame:
-    """One row per input row: page_id, url, payload, digest (SHA-1), key (SHA-256), record_type, refers_to.
+    """One row per input row: page_id, url, payload, its bytes n, digest (SHA-1), key (SHA-256), record_type, refers_to.
 
     Payloads count as equal by their SHA-256. A null payload is empty. Payloads of fewer than ``least`` bytes are never deduplicated. Among equal
     payloads the record of the smallest id is the response; rows that repeat its id are responses too.
@@ -61,8 +61,8 @@ def records(df: DataFrame, id_col: str = "page_id", url_col: str = "url", payloa
     join back is one that adaptive execution may split.
     """
     rows = df.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.coalesce(F.col(payload_col).cast("binary"), F.lit(b"")).alias("payload"))
-    rows = rows.withColumn("digest", base32_sha1(F.col("payload"))).withColumn("key", F.sha2("payload", 256))
-    first = rows.filter(F.length("payload") >= least).groupBy("key").agg(F.min("page_id").alias("first_id"))
+    rows = rows.withColumn("digest", base32_sha1(F.col("payload"))).withColumn("key", F.sha2("payload", 256)).withColumn("n", F.length("payload").cast("long"))
+    first = rows.filter(F.col("n") >= least).groupBy("key").agg(F.min("page_id").alias("first_id"))
     again = F.col("first_id").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first_id"))
     return (
         rows.join(first, "key", "left")
@@ -91,17 +91,21 @@ def header():
         F.when(revisit, F.lit("WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")),
         F.when(revisit, F.concat(F.lit("WARC-Refers-To: "), _record_id(F.col("refers_to")))),
         F.lit("Content-Type: text/html; charset=utf-8"),
-        F.concat(F.lit("Content-Length: "), F.when(revisit, F.lit(0)).otherwise(F.length("payload")).cast("string")),
+        F.concat(F.lit("Content-Length: "), F.when(revisit, F.lit(0).cast("long")).otherwise(F.col("n")).cast("string")),
     )
 
 
+def _put(rows: DataFrame, path: str) -> None:
+    """Write the binary column ``record``, less its END, as gzip-compressed WARC files."""
+    rows.select(F.col("record").cast("string").alias("value")).write.option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", RECORDS_PER_FILE).text(path)
+
+
 def write(df: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", least: int = 0) -> str:
     """Write one WARC record per row under ``path``; a revisit's block is empty, its payload is its response's."""
     rows = records(df, id_col, url_col, payload_col, least)
     head = F.concat(header(), F.lit(END)).cast("binary")
     block = F.when(F.col("record_type") == "revisit", F.lit(b"")).otherwise(F.col("payload"))
-    whole = F.concat(head, block).cast("string")
-    rows.select(whole.alias("value")).write.option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", RECORDS_PER_FILE).text(path)
+    _put(rows.select(F.concat(head, block).alias("record")), path)
     return path
 
 
@@ -186,7 +190,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
                 for head, payload in parse(_gunzip(content.as_py())):
                     kind, digest = _field(head, "WARC-Type"), (_field(head, "WARC-Payload-Digest") or "").removeprefix("sha1:")
                     key = (_field(head, "X-Payload-Key") or "").removeprefix("sha256:")
-                    if kind == "response" and (base64.b32encode(hashlib.sha1(payload).digest()).decode() != digest or hashlib.sha256(payload).hexdigest() != key):
+                    if (kind == "response" and base64.b32encode(hashlib.sha1(payload).digest()).decode() != digest) or (kind != "revisit" and hashlib.sha256(payload).hexdigest() != key):
                         raise ValueError(f"payload of {_field(head, 'WARC-Record-ID')} doesn't have its digests")
                     rows.append((_page(_field(head, "WARC-Record-ID")), kind, digest, key, _page(_field(head, "WARC-Refers-To")), head, payload))
                     held += len(payload) + len(head)
@@ -199,34 +203,71 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     return files.mapInArrow(run, _READ)
 
 
-def summary(found: DataFrame, id_type: str = "long") -> DataFrame:
-    """Per record: page_id, payload_bytes, payload_digest, record_type, refers_to; a revisit's size comes from its response.
-
-    The join needs one row per digest that has revisits, without payload bytes.
-    """
-    slim = found.select("page_id", "record_type", "digest", "key", "refers_to", F.length("payload").cast("long").alias("n"))
-    held = slim.filter(F.col("record_type") == "response").groupBy("key").agg(F.max("n").alias("held_n"))
-    return slim.join(held, "key", "left").select(
-        F.col("page_id").cast(id_type).alias("page_id"),
-        F.when(F.col("record_type") == "revisit", F.col("held_n")).otherwise(F.col("n")).alias("payload_bytes"),
-        F.col("digest").alias("payload_digest"), "record_type", F.col("refers_to").cast(id_type).alias("refers_to"),
+def _store(heads: DataFrame, payloads: DataFrame, path: str) -> str:
+    """``payloads`` (key, payload) as WARC records named by their key, each key once; ``heads`` as a table."""
+    name = F.concat(F.lit("urn:sha256:"), F.col("key"))
+    head = F.concat_ws(
+        "\r\n", F.lit(VERSION), F.lit("WARC-Type: resource"), F.concat(F.lit("WARC-Record-ID: <"), name, F.lit(">")), F.concat(F.lit("WARC-Target-URI: "), name), F.lit(f"WARC-Date: {DATE}"),
+        F.concat(F.lit("X-Payload-Key: sha256:"), F.col("key")), F.lit("Content-Type: application/octet-stream"), F.concat(F.lit("Content-Length: "), F.length("payload").cast("string")),
     )
+    _put(payloads.dropDuplicates(["key"]).select(F.concat(F.concat(head, F.lit(END)).cast("binary"), F.col("payload")).alias("record")), f"{path}/payloads")
+    heads.select("page_id", "record_type", "digest", "key", "refers_to", "header").write.parquet(f"{path}/headers")
+    release(heads.sparkSession)
+    return path
 
 
 def split_store(found: DataFrame, path: str) -> str:
-    """Write a content-addressed store: ``payloads`` (key, payload) once each, ``headers`` one row per record."""
-    found.filter(F.col("record_type") == "response").select("key", "payload").dropDuplicates(["key"]).write.parquet(f"{path}/payloads")
-    found.select("page_id", "record_type", "digest", "key", "refers_to", "header").write.parquet(f"{path}/headers")
-    return path
+    """Write a content-addressed store of records that were read: payloads once each, headers one row per record."""
+    return _store(found, found.filter(F.col("record_type") == "response").select("key", "payload"), path)
+
+
+def store(df: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", least: int = 0) -> str:
+    """Write the rows as a content-addressed store; the headers are made without the payloads being moved."""
+    rows = records(df, id_col, url_col, payload_col, least)
+    payload = F.coalesce(F.col(payload_col).cast("binary"), F.lit(b""))
+    return _store(rows.withColumn("header", F.concat(header(), F.lit(END)).cast("binary")), df.select(F.sha2(payload, 256).alias("key"), payload.alias("payload")), path)
 
 
 def restore(spark: SparkSession, path: str) -> DataFrame:
-    """Original records of a store, page_id and exact bytes, each with its full payload, through a join by key."""
-    heads, held = spark.read.parquet(f"{path}/headers"), spark.read.parquet(f"{path}/payloads")
-    return heads.join(held, "key").select("page_id", "record_type", "header", "payload", F.concat("header", "payload", F.lit(END.encode())).alias("record"))
+    """Original records of a store through a join by key: page_id, exact header, full payload, and the record's exact bytes.
+
+    A revisit's record holds no payload, as it was written. A header without its payload is an error.
+    """
+    heads, held = spark.read.parquet(f"{path}/headers"), read(spark, f"{path}/payloads").select("key", "payload")
+    block = F.when(F.col("record_type") == "revisit", F.lit(b"")).otherwise(F.col("payload"))
+    return (
+        heads.join(held, "key", "left")
+        .withColumn("payload", F.coalesce("payload", F.raise_error(F.concat(F.lit("no payload of key "), F.col("key"))).cast("binary")))
+        .select("page_id", "record_type", "header", "payload", F.concat("header", block, F.lit(END.encode())).alias("record"))
+    )
+
+
+def described(restored: DataFrame, id_type: str = "long") -> DataFrame:
+    """Per restored record, from its header and payload: page_id, payload_bytes, payload_digest, record_type, refers_to.
+
+    The digest is worked out from the restored payload, a revisit's too, and must equal the one in the header;
+    Content-Length must be the length of the record's block.
+    """
+    head = F.col("header").cast("string")
+
+    def field(name: str, value: str):
+        return F.regexp_extract(head, rf"(?md)^{name}: {value}\r$", 1)
+
+    def page(name: str):
+        found = field(name, "<urn:page:([^\\r\\n]*)>")
+        return F.when(~found.isin("", "none"), found).cast(id_type)
+
+    digest = base32_sha1(F.col("payload"))
+    block = F.length("record") - F.length("header") - F.lit(len(END))
+    sound = (digest == field("WARC-Payload-Digest", "sha1:([A-Z2-7]+)")) & (block.cast("string") == field("Content-Length", "([0-9]+)"))
+    return restored.select(
+        page("WARC-Record-ID").alias("page_id"), F.length("payload").cast("long").alias("payload_bytes"),
+        F.when(sound, digest).otherwise(F.raise_error(F.concat(F.lit("a record isn't as it was written: "), head))).alias("payload_digest"),
+        field("WARC-Type", "([a-z]+)").alias("record_type"), page("WARC-Refers-To").alias("refers_to"),
+    )
 
 
 def archive(df: DataFrame, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", least: int = 0) -> DataFrame:
-    """Write the rows as WARC records into the shared folder, read the files back and describe each record."""
-    path = write(df, new_path(df.sparkSession, "warc"), id_col, url_col, payload_col, least)
-    return summary(read(df.sparkSession, path), dict(df.dtypes)[id_col])
+    """Write the rows as a content-addressed store into the shared folder, restore every record and describe it."""
+    path = store(df, new_path(df.sparkSession, "warc"), id_col, url_col, payload_col, least)
+    return described(restore(df.sparkSession, path), dict(df.dtypes)[id_col])

@@ -50,6 +50,19 @@ def test_warc(spark, sf_dir, tmp_path):
     assert warc.archive(df.limit(0)).count() == 0
 
 
+def test_warc_restores_records(spark, tmp_path):
+    """Through the store of the query's own path, every record comes back as write() writes it, revisits too."""
+    own = [(5, "abc"), (3, "abc"), (9, None), (1, ""), (8, "\u00e9\n\n"), (10, "abc"), (None, "abc"), (None, "q"), (7, "x\r\n\r\nWARC/1.1\r\nContent-Length: 9\r\n\r\n")]
+    df = spark.createDataFrame([(p, "http://a/\u2028WARC-Record-ID: <urn:page:4>", h) for p, h in own], "page_id long, url string, html string")
+    written = sorted(bytes(r.header) + (b"" if r.record_type == "revisit" else bytes(r.payload)) + b"\r\n\r\n" for r in warc.read(spark, warc.write(df, str(tmp_path / "w"))).collect())
+    back = warc.restore(spark, warc.store(df, str(tmp_path / "s")))
+    records = [bytes(r.record) for r in back.collect()]
+    assert sorted(records) == written and len(list(warc.parse(records))) == len(own)
+    assert warc.read(spark, str(tmp_path / "s/payloads")).count() == len({h or "" for _, h in own})
+    found = {(r.page_id, r.payload_bytes, r.record_type, r.refers_to) for r in warc.described(back).collect()}
+    assert {(3, 3, "response", None), (5, 3, "revisit", 3), (None, 3, "revisit", 3), (None, 1, "response", None), (9, 0, "revisit", 1)} <= found
+
+
 def test_mixing(spark, sf_dir):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW documents AS SELECT * FROM '{sf_dir}/documents.parquet'")
