@@ -57,36 +57,58 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     path = new_path(df.sparkSession, name)
     with small_batches(df.sparkSession):
         df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._staged_at = path
+    return out
 
 
 def discard(df: DataFrame) -> None:
-    """Delete a table made by :func:`staged`, once a later table holds all that is still needed of it."""
-    jvm, path = df.sparkSession._jvm, df.inputFiles()
-    if path:
-        folder = jvm.org.apache.hadoop.fs.Path(path[0]).getParent()
-        folder.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(folder, True)
+    """Delete a table made by :func:`staged`, once later tables hold all that is still needed of it.
+
+    This and :func:`release` are the only places that reach through to the JVM: PySpark has no call that deletes a
+    path of any file system, nor one that drops the shuffle files of a finished plan.
+    """
+    jvm = df.sparkSession._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(df._staged_at)
+    folder.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def release(spark: SparkSession) -> None:
     """Lets Spark delete the shuffle files of finished plans: it does so when the driver's objects are collected.
 
-    The pauses give the threads that drop references and delete files, on either side, the time to do so.
+    Only called after the large shuffles. The pause gives the thread that drops references the time to do so.
     """
     gc.collect()
-    time.sleep(0.3)
+    time.sleep(0.2)
     spark.sparkContext._jvm.System.gc()
-    time.sleep(0.7)
+    time.sleep(0.3)
 
 
-def one_row_each(rows: DataFrame, wanted: DataFrame, key: str, name: str) -> DataFrame:
-    """Staged: the row of ``rows`` (id, tid, text) that ``wanted`` (p_id, p_tid and more) names, once for each ``key``.
+def text_key(text: Column | str) -> Column:
+    """Names a text: its SHA-256, so that equal keys are equal texts."""
+    return F.unhex(F.sha2(F.col(text) if isinstance(text, str) else text, 256))
+
+
+def columns(df: DataFrame) -> list[Column]:
+    """The columns of ``df``, whatever their names."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in df.columns]
+
 
-    Most rows are wanted by nobody, so that a bit field of fixed size, FILTER_BITS, keeps most of their texts out of
-    the shuffle; what it lets through is joined exactly. Where many keys fill the field it only filters less.
+def new_names(taken, count: int) -> list[str]:
+    """Column names that none of the taken ones begins with, whatever their case."""
+    taken, n = [c.lower() for c in taken], 0
+    while any(c.startswith(f"_c{n}_") for c in taken):
+        n += 1
+    return [f"_c{n}_{i}" for i in range(count)]
+
+
+def rows_among(keys: DataFrame):
+    """A function of xxhash64 of a key: false only if that isn't one of ``keys`` (one column).
+
+    It tests a bit field of fixed size, FILTER_BITS; where many keys fill it, it only lets more through.
     """
-    spark = rows.sparkSession
-    bits = spark.sparkContext.broadcast(bit_field(wanted.select(F.xxhash64("p_tid").alias("h"))))
+    spark = keys.sparkSession
+    bits = spark.sparkContext.broadcast(bit_field(keys.select(F.xxhash64(keys.columns[0]).alias("h"))))
 
     @F.arrow_udf("boolean")
     def may_be(h):
@@ -96,16 +118,27 @@ def one_row_each(rows: DataFrame, wanted: DataFrame, key: str, name: str) -> Dat
         a, b = ((x & np.uint64(FILTER_BITS - 1)).astype(np.int64) for x in (h, h >> np.uint64(32)))
         return pa.array((field[a >> 3] >> (a & 7) & 1 & (field[b >> 3] >> (b & 7))).astype(bool))
 
+    return may_be
+
+
+def one_row_each(rows: DataFrame, wanted: DataFrame, key: str, name: str) -> DataFrame:
+    """Staged: the row of ``rows`` (id, tid, text) that ``wanted`` (p_id, p_tid and more) names, once for each ``key``.
+
+    Most rows are wanted by nobody: a bit field keeps most of their texts out of the shuffle, what it lets through is
+    joined exactly.
+    """
     more = [c for c in wanted.columns if c not in ("p_id", "p_tid")]
     found = (
-        rows.withColumn("_h", F.xxhash64("tid")).filter(may_be("_h")).drop("_h")
+        rows.withColumn("_h", F.xxhash64("tid")).filter(rows_among(wanted.select("p_tid"))("_h")).drop("_h")
         .join(wanted, (F.col("tid") == F.col("p_tid")) & F.col("id").eqNullSafe(F.col("p_id")))
         .select(*dict.fromkeys([key, "text", *more]))
     )
     held = staged(found, name)
     if held.groupBy(key).agg(F.count("*").alias("n")).filter("n > 1").isEmpty():
         return held
-    return staged(held.dropDuplicates([key]), name)  # rows that repeat both id and text
+    single = staged(held.dropDuplicates([key]), name)  # rows that repeat both id and text
+    discard(held)
+    return single
 
 
 #: Bits of the field (2 MB), and the pieces that it is put together from.

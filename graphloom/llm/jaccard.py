@@ -1,12 +1,15 @@
 """Exact n-gram Jaccard join with adaptive multi-match prefixes, and its components.
 
 Each text becomes the set of its word n-grams, as 64-bit hashes. Equal sets are one class from the start,
-so copies cost nothing further. Tokens are put in one global order, rarest first by an estimate of their
-document frequency. If two sets of similarity t or more are cut to prefixes of |s| - ceil(t|s|) + l tokens,
-these share l tokens at least. All documents begin with l = 1; those whose prefix meets no other document are done.
-Each of the rest picks its own l from the cost of the candidates that it met: the more of them, the longer
-its prefix and the more shared tokens it asks for. Two documents of different l are held to the smaller of
-the two. Candidates are then verified on whole sets.
+so copies cost nothing further. Tokens are put in one global order. A fixed share of all tokens, picked by their
+hash, comes first and is ordered by exact document frequency; the others, and those whose bucket shows them to be
+frequent, follow by estimated frequency. The share is so large that an ordinary document finds its whole prefix in
+tokens that stand nowhere else: it can't be similar to another and is done, without a row of it going on.
+
+If two sets of similarity t or more are cut to prefixes of |s| - ceil(t|s|) + l tokens, these share l tokens at
+least. Each document that meets others picks its own l from the estimated cost of its candidates: a longer prefix
+costs more rows, and as many more shared tokens as it asks for leave fewer candidates to verify. Two documents of
+different l are held to the smaller of the two. Candidates are then verified on whole sets.
 
 A group of thousands of near copies would give millions of pairs. Before pairs are made, clusters are
 grown: in each group of documents with a common prefix token, members are verified against one leader,
@@ -19,10 +22,10 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import discard, ngram_hashes, one_row_each, release, staged, text_of, text_slices, words_by_row
+from .common import columns, discard, new_names, ngram_hashes, one_row_each, release, rows_among, staged, text_key, text_of, text_slices, words_by_row
 
 #: Counters that estimate document frequencies; with 4 bytes each, the bound of what is broadcast (1 MB).
 BUCKETS, SLICES = 1 << 18, 64
@@ -30,6 +33,10 @@ BUCKETS, SLICES = 1 << 18, 64
 VERIFY_COST = 0.12
 #: Most matches that a prefix may ask for; a bound on its length, not on candidates.
 MOST_MATCHES = 24
+#: The counted share of all tokens, as a multiple of a prefix's share 1 - t.
+COUNTED = 2.0
+#: Frequencies from here on count as equal in the order of tokens; bounds what a task holds of one token.
+OFTEN = 1_000
 #: Pairs between clusters, per row of the token groups, below which clusters are grown no further; nor are they
 #: where a round no longer helps.
 PAIRS_PER_ROW, MOST_ROUNDS = 2.0, 8
@@ -61,68 +68,45 @@ def similar(a: np.ndarray, b: np.ndarray, num: int, den: int) -> bool:
     return den * both >= num * (len(a) + len(b) - both)
 
 
-def _key(tokens: np.ndarray) -> bytes:
-    return hashlib.blake2b(tokens.tobytes(), digest_size=16).digest()
-
-
-def matches(size: int, contacts: int, num: int, den: int) -> int:
-    """How many shared prefix tokens a document would ask for, from what its first prefix met.
-
-    A prefix of base + l - 1 tokens leaves about contacts / l candidates; the l of least total cost is taken.
-    """
-    return int(min(max(1, round((VERIFY_COST * size * contacts) ** 0.5)), MOST_MATCHES, required(size, num, den)))
-
-
-def prefix(tokens: np.ndarray, load: np.ndarray, usual: float, most: int, num: int, den: int):
-    """The prefix in global order, the level from which each token belongs to it, and the matches it asks for.
-
-    That are ``most`` at best; fewer where the tokens that would be added are frequent, since each of those meets
-    more documents than it rules out.
-    """
-    count = load[tokens & np.uint64(BUCKETS - 1)]
-    n = len(tokens)
-    base = n - required(n, num, den) + 1
-    cut = min(n, base + most - 1)
-    if cut < n:
-        part = np.argpartition(count, cut - 1)[:cut]
-        part = np.flatnonzero(count <= count[part].max())  # with all ties of the last, which the hash decides
-    else:
-        part = np.arange(n)
-    order = part[np.lexsort((tokens[part], count[part]))][:cut]
-    cut = base + int(np.searchsorted(count[order[base:]], usual, side="right"))
-    return tokens[order[:cut]], np.maximum(np.arange(cut) - base + 2, 1), cut - base + 1
+def _key(tokens: np.ndarray) -> tuple[int, int]:
+    """96 bits that name a set, as a 64-bit and a 32-bit number."""
+    d = hashlib.blake2b(tokens.tobytes(), digest_size=12).digest()
+    return int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True)
 
 
 def _profile(rows: DataFrame, n: int) -> DataFrame:
-    """id, tid, n, key for each row; then, per task, the counts of token buckets in SLICES rows."""
+    """id, tid, n, k1, k2 for each row; then, per task, the counts of token buckets in SLICES rows."""
     kind = rows.schema["id"].dataType.simpleString()
 
     def run(batches):
         import pyarrow as pa
 
         counts, schema = np.zeros(BUCKETS, dtype=np.int64), None
-        seen: set[bytes] = set()
+        seen: set[tuple[int, int]] = set()
         for batch in batches:
             schema = schema or batch.schema.field("id").type
-            size, key = [], []
+            size, keys = [], []
             for _, _, raw, offsets in text_slices(batch.column("text")):
+                fresh = []
                 for s in sets_of(raw, offsets, n):
                     k = _key(s)
                     size.append(len(s))
-                    key.append(k)
+                    keys.append(k)
                     if k not in seen:
                         if len(seen) < 200_000:
                             seen.add(k)
-                        counts += np.bincount((s & np.uint64(BUCKETS - 1)).astype(np.int64), minlength=BUCKETS) if len(s) > 20_000 else 0
-                        if len(s) <= 20_000:
-                            np.add.at(counts, (s & np.uint64(BUCKETS - 1)).astype(np.int64), 1)
+                        fresh.append(s)
+                if fresh:
+                    counts += np.bincount((np.concatenate(fresh) & np.uint64(BUCKETS - 1)).astype(np.int64), minlength=BUCKETS)
             none = pa.nulls(len(size), pa.int32()), pa.nulls(len(size), pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("tid"), pa.array(size, pa.int64()), pa.array(key, pa.binary()), *none], ["id", "tid", "n", "key", "slice", "counts"])
+            k1, k2 = pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int32())
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("tid"), pa.array(size, pa.int64()), k1, k2, *none], ["id", "tid", "n", "k1", "k2", "slice", "counts"])
         if schema is not None:
             parts = [x.astype("<i8").tobytes() for x in counts.reshape(SLICES, -1)]
-            yield pa.RecordBatch.from_arrays([pa.nulls(SLICES, schema), pa.nulls(SLICES, pa.binary()), pa.nulls(SLICES, pa.int64()), pa.nulls(SLICES, pa.binary()), pa.array(range(SLICES), pa.int32()), pa.array(parts, pa.binary())], ["id", "tid", "n", "key", "slice", "counts"])
+            blank = [pa.nulls(SLICES, kind) for kind in (schema, pa.binary(), pa.int64(), pa.int64(), pa.int32())]
+            yield pa.RecordBatch.from_arrays([*blank, pa.array(range(SLICES), pa.int32()), pa.array(parts, pa.binary())], ["id", "tid", "n", "k1", "k2", "slice", "counts"])
 
-    return rows.mapInArrow(run, f"id {kind}, tid binary, n long, key binary, slice int, counts binary")
+    return rows.mapInArrow(run, f"id {kind}, tid binary, n long, k1 long, k2 int, slice int, counts binary")
 
 
 def _loads(profile: DataFrame) -> np.ndarray:
@@ -153,12 +137,28 @@ def _loads(profile: DataFrame) -> np.ndarray:
     return load.ravel().astype(np.float32)
 
 
-def _prefixes(rows: DataFrame, n: int, num: int, den: int, load) -> DataFrame:
-    """token, key, n, need (matches), level for each prefix token of each distinct set.
+def first_tokens(s: np.ndarray, load: np.ndarray, usual: float, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
+    """The counted tokens of a set, and of the others, in their order, those that its longest prefix may reach.
 
-    With a column ``contacts`` a document's matches follow from it, else one is asked for.
+    Whether a token is counted depends on the token alone: on its hash, and on whether its bucket is a frequent one.
+    """
+    count = load[s & np.uint64(BUCKETS - 1)]
+    share = min(1.0, COUNTED * (den - num) / den)
+    counted = (s >> np.uint64(11)) < np.uint64(int(share * (1 << 53)))
+    counted &= count <= usual
+    first, rest = s[counted], ~counted
+    more = min(len(s), len(s) - required(len(s), num, den) + MOST_MATCHES) - len(first)
+    if more <= 0:
+        return first, s[:0]
+    others, count = s[rest], count[rest]
+    return first, others[np.lexsort((others, count))[:more]]
+
+
+def _tokens(rows: DataFrame, n: int, num: int, den: int, load) -> DataFrame:
+    """token, k1, tail for the first tokens of each distinct set; tail: k2 above, below the place among the uncounted.
+
+    A counted token has place 0. Each set has a further row with n and the number of its counted tokens.
     """
-    known = "contacts" in rows.columns
 
     def run(batches):
         import pyarrow as pa
@@ -166,10 +166,9 @@ def _prefixes(rows: DataFrame, n: int, num: int, den: int, load) -> DataFrame:
         loads, seen = load.value, set()
         usual = float(np.median(loads)) * 1.3 + 64  # a bucket above this holds a frequent token
         for batch in batches:
-            contacts = batch.column("contacts").to_pylist() if known else None
-            for at, _, raw, offsets in text_slices(batch.column("text")):
-                out = [[], [], [], [], []]
-                for i, s in enumerate(sets_of(raw, offsets, n)):
+            for _, _, raw, offsets in text_slices(batch.column("text")):
+                out, keys, sizes, counted = [], [], [], []
+                for s in sets_of(raw, offsets, n):
                     if not len(s):
                         continue
                     k = _key(s)
@@ -177,17 +176,101 @@ def _prefixes(rows: DataFrame, n: int, num: int, den: int, load) -> DataFrame:
                         continue
                     if len(seen) < 200_000:
                         seen.add(k)
-                    most = matches(len(s), contacts[at + i], num, den) if known else 1
-                    tokens, level, need = prefix(s, loads, usual, most, num, den)
-                    m = len(tokens)
-                    for column, value in zip(out, (tokens.astype(np.int64), np.full(m, len(s), np.int64), np.full(m, need, np.int32), level.astype(np.int32)), strict=False):
-                        column.append(value)
-                    out[4] += [k] * m
-                if out[4]:
-                    a = [np.concatenate(x) for x in out[:4]]
-                    yield pa.RecordBatch.from_arrays([pa.array(a[0]), pa.array(out[4], pa.binary()), pa.array(a[1]), pa.array(a[2]), pa.array(a[3])], ["token", "key", "n", "need", "level"])
+                    first, others = first_tokens(s, loads, usual, num, den)
+                    place = np.zeros(len(first) + len(others), dtype=np.int64)
+                    place[len(first):] = np.arange(1, len(others) + 1)
+                    out.append((np.concatenate([first, others]).view(np.int64), np.full(len(place), k[0], np.int64), place | k[1] << 32))
+                    keys.append(k)
+                    sizes.append(len(s))
+                    counted.append(len(first))
+                if not keys:
+                    continue
+                a = [np.concatenate(x) for x in zip(*out, strict=True)]
+                none = pa.nulls(len(a[0]), pa.int64())
+                yield pa.RecordBatch.from_arrays([*map(pa.array, a), none, none], ["token", "k1", "tail", "n", "counted"])
+                k1, tail = (np.array([k[i] for k in keys], dtype=np.int64) << 32 * i for i in (0, 1))
+                yield pa.RecordBatch.from_arrays([pa.array(k1 ^ tail), pa.array(k1), pa.array(tail), pa.array(sizes, pa.int64()), pa.array(counted, pa.int64())], ["token", "k1", "tail", "n", "counted"])
+
+    return rows.mapInArrow(run, "token long, k1 long, tail long, n long, counted long")
+
+
+def _met(tokens: DataFrame) -> DataFrame:
+    """The rows of tokens that stand in several sets, with their number ``df`` (OFTEN at most), and the rows of sets.
+
+    ``tokens`` comes in order of token, k1 and tail, all of a token in one task. A token's rows are held until they
+    are OFTEN or end.
+    """
+    names = ["token", "k1", "tail", "n", "counted", "df"]
+
+    def run(batches):
+        import pyarrow as pa
 
-    return rows.mapInArrow(run, "token long, key binary, n long, need int, level int")
+        held, last = None, None  # the open token's rows (token, k1, tail) and how many, if it's known to be frequent; the last row
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            n = batch.column("n")
+            of_set = n.is_valid().to_numpy(zero_copy_only=False)
+            if of_set.any():
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).filter(pa.array(of_set)) for c in names[:5]), pa.nulls(int(of_set.sum()), pa.int32())], names)
+            cols = np.stack([batch.column(c).to_numpy()[~of_set] for c in names[:3]])
+            if not cols.shape[1]:
+                continue
+            before = cols[:, :1] + 1 if last is None else last
+            last = cols[:, -1:]
+            shifted = np.concatenate([before, cols[:, :-1]], axis=1)
+            cols = cols[:, (cols != shifted).any(axis=0)]  # a set may come from several tasks
+            if held is not None:
+                cols = np.concatenate([held[0], cols], axis=1)
+            if not cols.shape[1]:
+                continue
+            start = np.flatnonzero(np.r_[True, cols[0][1:] != cols[0][:-1]])
+            count = np.diff(np.r_[start, cols.shape[1]])
+            if held is not None and cols[0][0] == held[0][0][0]:
+                count[0] += held[1]
+            df = np.minimum(np.repeat(count, np.diff(np.r_[start, cols.shape[1]])), OFTEN)
+            open_from, gone = int(start[-1]), 0
+            if count[-1] >= OFTEN:  # known to be frequent: all but one row may go
+                open_from, gone = cols.shape[1] - 1, int(count[-1]) - 1
+            done = np.flatnonzero(df[:open_from] > 1)
+            held = (cols[:, open_from:], gone)
+            if len(done):
+                yield pa.RecordBatch.from_arrays([*(pa.array(x[done]) for x in cols), *[pa.nulls(len(done), pa.int64())] * 2, pa.array(df[done].astype(np.int32))], names)
+        if held is not None:
+            cols, gone = held
+            df = min(cols.shape[1] + gone, OFTEN)
+            if df > 1:
+                m = cols.shape[1]
+                yield pa.RecordBatch.from_arrays([*(pa.array(x) for x in cols), *[pa.nulls(m, pa.int64())] * 2, pa.array(np.full(m, df, np.int32))], names)
+
+    return tokens.repartition("token").sortWithinPartitions("token", "k1", "tail").mapInArrow(run, "token long, k1 long, tail long, n long, counted long, df int")
+
+
+def _prefixes(met: DataFrame, num: int, den: int) -> DataFrame:
+    """token, k1, k2, n, need, level: the prefixes of the sets that meet others, those tokens left out that meet none.
+
+    ``level`` is the least number of matches for whose prefix the token counts, ``need`` the number that the set asks
+    for: of the prefixes that it could have the one whose rows and candidates cost least.
+    """
+    key = Window.partitionBy("k1", "k2")
+    rows = met.select("token", "k1", F.shiftright("tail", 32).cast("int").alias("k2"), F.col("tail").bitwiseAND(0x7FFFFFFF).alias("place"), "n", "counted", "df")
+    # The whole set's figures first: sets whose base prefix meets nobody leave before their rows are put in order.
+    rows = rows.withColumns({
+        "size": F.max("n").over(key), "first": F.max("counted").over(key), "shared": F.sum(F.when(F.col("n").isNull() & (F.col("place") == 0), 1).otherwise(0)).over(key),
+        "late": F.min(F.when(F.col("place") > 0, F.col("place"))).over(key),
+    })
+    least = F.expr(f"CAST((size * {num} + {den - 1}) DIV {den} AS LONG)")
+    rows = rows.withColumn("base", F.col("size") - least + 1).withColumn("alone", F.col("first") - F.col("shared"))
+    meets = ((F.col("shared") > 0) & (F.col("alone") < F.col("base"))) | (F.col("late").isNotNull() & (F.col("first") + F.col("late") - 1 < F.col("base")))
+    rows = rows.filter(F.col("n").isNull() & meets)
+    order = key.orderBy("place", "df", "token")
+    rows = rows.withColumn("at", F.when(F.col("place") > 0, F.col("first") + F.col("place") - 1).otherwise(F.col("alone") + F.row_number().over(order) - 1))
+    rows = rows.withColumn("level", F.greatest(F.col("at") - F.col("base") + 2, F.lit(1)).cast("int")).filter(F.col("level") <= F.least(F.lit(MOST_MATCHES), least))
+    upto = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    cost = F.count("*").over(upto) + F.lit(VERIFY_COST) * F.col("size") * F.sum(F.col("df") - 1).over(upto) / F.col("level")
+    rows = rows.withColumn("cost", cost).withColumn("cost", F.when(F.col("level") > 1, F.col("cost")).otherwise(F.max(F.when(F.col("level") == 1, F.col("cost"))).over(key)))
+    rows = rows.withColumn("need", F.min(F.struct("cost", "level")).over(key)["level"])
+    return rows.filter(F.col("level") <= F.col("need")).select("token", "k1", "k2", F.col("size").alias("n"), "need", "level")
 
 
 def _verify(pairs: DataFrame, texts: DataFrame, n: int, num: int, den: int) -> DataFrame:
@@ -196,7 +279,7 @@ def _verify(pairs: DataFrame, texts: DataFrame, n: int, num: int, den: int) -> D
     def run(batches):
         import pyarrow as pa
 
-        held: tuple[bytes, np.ndarray] = (b"", np.zeros(0, dtype=np.uint64))
+        held: tuple[int, np.ndarray] = (-1, np.zeros(0, dtype=np.uint64))
         for batch in batches:
             left, right, yes = batch.column("a").to_pylist(), batch.column("b").to_pylist(), []
             one = (s for _, _, raw, off in text_slices(batch.column("a_text")) for s in sets_of(raw, off, n))
@@ -207,24 +290,26 @@ def _verify(pairs: DataFrame, texts: DataFrame, n: int, num: int, den: int) -> D
                     held = (right[i], next(sets_of(raw, off, n)))
                 yes.append(similar(s, held[1], num, den))
             keep = [i for i, y in enumerate(yes) if y]
-            yield pa.RecordBatch.from_arrays([pa.array([left[i] for i in keep], pa.binary()), pa.array([right[i] for i in keep], pa.binary())], ["a", "b"])
+            yield pa.RecordBatch.from_arrays([pa.array([left[i] for i in keep], pa.int64()), pa.array([right[i] for i in keep], pa.int64())], ["a", "b"])
 
     with_a = pairs.join(texts.select(F.col("key").alias("a"), F.col("text").alias("a_text")), "a")
     both = with_a.join(texts.select(F.col("key").alias("b"), F.col("text").alias("b_text")), "b")
-    return both.select("a", "b", "a_text", "b_text").mapInArrow(run, "a binary, b binary")
+    return both.select("a", "b", "a_text", "b_text").mapInArrow(run, "a long, b long")
 
 
 def components(edges: DataFrame, most: int = 60) -> DataFrame:
     """node, root (smallest node of its component) for every node of an edge table (a, b).
 
     Each round gives every node the smallest root among itself and its neighbours, and then its root's root;
-    roots are hooked to the smallest root seen from their trees. Each round is a written table. The loop ends when
-    nothing changes; ``most`` rounds (paths of 2^``most`` nodes) without an end are an error.
+    roots are hooked to the smallest root seen from their trees. Each round is a written table, and replaces the
+    one before. The loop ends when nothing changes; ``most`` rounds (paths of 2^``most`` nodes) without an end are
+    an error.
     """
     both = edges.select(F.col("a").alias("u"), F.col("b").alias("v"))
     both = staged(both.unionByName(edges.select(F.col("b").alias("u"), F.col("a").alias("v"))).distinct(), "arcs")
-    at = staged(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("root")).select(F.col("u").alias("node"), "root"), "roots")
+    held = staged(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("root")).select(F.col("u").alias("node"), "root"), "roots")
     for _ in range(most):
+        at = held.select("node", "root")
         near = both.join(at.select(F.col("node").alias("v"), "root"), "v").groupBy("u").agg(F.min("root").alias("near"))
         seen = at.join(near, F.col("node") == F.col("u")).select("node", F.col("root").alias("old"), F.least("root", "near").alias("root"))
         hooks = seen.groupBy(F.col("old").alias("h_node")).agg(F.min("root").alias("hook"))
@@ -233,9 +318,11 @@ def components(edges: DataFrame, most: int = 60) -> DataFrame:
             .select("node", "old", F.least("root", F.coalesce("hook", "root")).alias("root"))
         )
         new = staged(new, "roots")
+        discard(held)
         if new.filter(F.col("root") != F.col("old")).isEmpty():
-            return new.select("node", "root")
-        at = new.select("node", "root")
+            discard(both)
+            return new
+        held = new
     raise RuntimeError("components didn't settle")
 
 
@@ -248,69 +335,78 @@ def join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int =
 
 
 def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 3, num: int = 9, den: int = 10) -> DataFrame:
-    """Per row of ``df``: doc_id, tid (MD5 of the text), n_shingles, component_id, n_copies and root (the component's own key).
+    """Per row of ``df``: doc_id, tid (SHA-256 of the text), n_shingles, component_id, n_copies and root (the component's own key).
 
     Two rows are linked if their sets have a Jaccard similarity of num/den or more; component_id is the
     smallest id that links lead to, itself included. Null, empty and wordless texts have no shingles, are
     linked with nothing and keep their own id. Rows of equal sets are one class, whatever their ids: repeated
     rows, repeated ids and null ids each give their row; null ids never are a component's name unless
-    it holds nothing else. Extra columns are ignored, so their names can't clash. An empty table gives no rows.
+    it holds nothing else. Very long texts take part whole. Extra columns are ignored, so their names can't clash.
+    An empty table gives no rows.
     """
     spark = df.sparkSession
-    rows = df.select(F.col(id_col).alias("id"), text_of(text_col).alias("text")).withColumn("tid", F.unhex(F.md5("text")))
+    rows = df.select(F.col(id_col).alias("id"), text_of(text_col).alias("text")).withColumn("tid", text_key("text"))
     profile = staged(_profile(rows.select("id", "tid", "text"), n), "profile")
-    docs = profile.filter(F.col("slice").isNull()).select("id", "tid", "n", "key")
-    shared = spark.sparkContext.broadcast(_loads(profile))
-    # First the shortest prefixes, of all documents: only those that meet another document go on.
-    tokens = staged(_prefixes(rows.select("text"), n, num, den, shared).select("token", "key").distinct(), "tokens")
+    docs = profile.filter(F.col("slice").isNull()).select("id", "tid", "n", "k1", "k2")
+    loads = spark.sparkContext.broadcast(_loads(profile))
+    prefixes = staged(_prefixes(_met(_tokens(rows.select("text"), n, num, den, loads)), num, den), "prefixes")
     release(spark)
-    met = tokens.groupBy("token").agg(F.count("*").alias("met")).filter(F.col("met") > 1)
-    contacts = staged(tokens.join(met, "token").groupBy("key").agg(F.sum(F.col("met") - 1).alias("contacts")), "contacts")
-    discard(tokens)
+    class_of = docs.filter(F.col("n") > 0).groupBy("k1", "k2").agg(F.min("id").alias("first_id"), F.count("*").alias("n_copies"), F.min(F.struct(F.col("id"), F.col("tid"))).alias("pick"))
+    # Only sets that still meet another one get a number and their texts a way to the executors that verify them.
+    again = prefixes.groupBy("token").agg(F.count("*").alias("met")).filter(F.col("met") > 1).select("token")
+    left = staged(prefixes.join(again, "token"), "left")
+    discard(prefixes)
+    wanted = left.select("k1", "k2").distinct().join(class_of, ["k1", "k2"]).select("k1", "k2", "first_id", F.col("pick.id").alias("p_id"), F.col("pick.tid").alias("p_tid"))
+    wanted = staged(wanted.withColumn("key", F.monotonically_increasing_id()), "wanted")
+    groups = staged(left.join(wanted.select("k1", "k2", "key"), ["k1", "k2"]).select("token", "key", "n", "need", "level"), "groups")
+    discard(left)
+    texts = one_row_each(rows, wanted.select("key", "p_id", "p_tid"), "key", "texts")
     release(spark)
-    class_of = docs.filter(F.col("n") > 0).groupBy("key").agg(F.min("id").alias("first_id"), F.count("*").alias("n_copies"), F.min(F.struct(F.col("id"), F.col("tid"))).alias("pick"))
-    wanted = contacts.join(class_of, "key").select("key", "contacts", F.col("pick.id").alias("p_id"), F.col("pick.tid").alias("p_tid"))
-    wanted = staged(wanted, "wanted")
-    release(spark)
-    texts = one_row_each(rows, wanted, "key", "texts")
-    release(spark)
-    # Then prefixes as long as each document's candidates call for.
-    longer = staged(_prefixes(texts.select("text", "contacts"), n, num, den, shared).dropDuplicates(["token", "key"]), "longer")
-    met = longer.groupBy("token").agg(F.count("*").alias("met")).filter(F.col("met") > 1)
-    groups = staged(longer.join(met, "token").drop("met"), "groups")
-    discard(longer)
-    release(spark)
-    texts = texts.select("key", "text")
-    links, roots, before = None, None, None
+    roots, before = None, None
     for turn in range(MOST_ROUNDS):
         at = groups if roots is None else groups.join(roots.select(F.col("node").alias("key"), "root"), "key", "left")
         at = at.withColumn("cluster", F.col("key") if roots is None else F.coalesce("root", "key"))
         sizes = at.groupBy("token", "cluster").agg(F.count("*").alias("m")).groupBy("token").agg(F.sum("m").alias("all"), F.sum(F.col("m") * F.col("m")).alias("own"))
-        cross = sizes.filter(F.col("all") * F.col("all") > F.col("own"))
+        cross = staged(sizes.filter(F.col("all") * F.col("all") > F.col("own")), "cross")
         total = cross.agg(F.sum((F.col("all") * F.col("all") - F.col("own")) / 2).alias("pairs"), F.sum("all").alias("rows")).first()
         if not total["rows"]:
+            discard(cross)
             break
-        open_rows = at.join(cross.select("token"), "token").select("token", "key", "n", "need", "level", "cluster")
+        open_rows = staged(at.join(cross.select("token"), "token").select("token", "key", "n", "need", "level", "cluster"), "open")
+        discard(cross)
         stuck = before is not None and total["pairs"] > 0.7 * before
         before = total["pairs"]
-        if stuck or total["pairs"] <= PAIRS_PER_ROW * total["rows"] or turn == MOST_ROUNDS - 1:
-            pairs, last = _cross_pairs(staged(open_rows, "open"), num, den), True
-        else:
-            pairs, last = _leader_pairs(staged(open_rows, "open"), turn, num, den), False
-        found = staged(_verify(staged(pairs, "pairs"), texts, n, num, den), "links")
-        links = found if links is None else links.unionByName(found)
+        last = stuck or total["pairs"] <= PAIRS_PER_ROW * total["rows"] or turn == MOST_ROUNDS - 1
+        pairs = staged(_cross_pairs(open_rows, num, den) if last else _leader_pairs(open_rows, turn, num, den), "pairs")
+        discard(open_rows)
+        found = staged(_verify(pairs, texts, n, num, den), "links")
+        discard(pairs)
+        links = found if roots is None else found.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b")))
+        grown = components(links)
+        for table in (found, roots):
+            if table is not None:
+                discard(table)
+        roots = grown
         release(spark)
-        roots = components(links)
         if last:
             break
-    named = class_of.select("key", "first_id", "n_copies")
+    discard(groups)
+    discard(texts)
+    linked = None
     if roots is not None:
-        named = named.join(roots.select(F.col("node").alias("key"), "root"), "key", "left").withColumn("root", F.coalesce("root", "key"))
-        names = named.groupBy("root").agg(F.min("first_id").alias("component_id"))
-        named = named.join(names, "root").select("key", "component_id", "n_copies", "root")
+        of = wanted.join(roots.select(F.col("node").alias("key"), "root"), "key").select("k1", "k2", "first_id", "root")
+        names = of.groupBy("root").agg(F.min("first_id").alias("name"), F.min(F.struct("k1", "k2")).alias("of_root"))
+        linked = staged(of.join(names, "root").select("k1", "k2", "name", "of_root"), "linked")
+        discard(roots)
+    discard(wanted)
+    own = F.struct("k1", "k2")
+    if linked is None:
+        named = class_of.select("k1", "k2", F.col("first_id").alias("component_id"), "n_copies", own.alias("root"))
     else:
-        named = named.select("key", F.col("first_id").alias("component_id"), "n_copies", F.col("key").alias("root"))
-    out = docs.join(named, "key", "left")
+        named = class_of.join(linked, ["k1", "k2"], "left").select(
+            "k1", "k2", F.when(F.col("of_root").isNull(), F.col("first_id")).otherwise(F.col("name")).alias("component_id"), "n_copies", F.coalesce("of_root", own).alias("root"),
+        )
+    out = docs.join(staged(named, "named"), ["k1", "k2"], "left")
     return out.select(
         F.col("id").alias("doc_id"), "tid", F.col("n").alias("n_shingles"),
         F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"),
@@ -355,17 +451,25 @@ def _cross_pairs(rows: DataFrame, num: int, den: int) -> DataFrame:
 def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, num: int = 4, den: int = 5) -> DataFrame:
     """The rows of ``df`` with one document of each component: that of the smallest id, with all columns of ``df``.
 
-    If several texts of a component have that id, the one of the smallest MD5 stays; of rows that repeat both id
-    and text one stays. Texts without words are linked with nothing and stay.
+    If several texts of a component have that id, the one of the smallest SHA-256 stays; of rows that repeat both id
+    and text one stays. Null, empty and wordless texts are linked with nothing and all stay; a null id counts as the
+    largest. Texts of any length are compared whole. Columns of any name are kept. An empty table gives no rows.
+
+    Only rows that may have to go are shuffled: a bit field of those rows' texts lets the others through.
     """
     found = staged(classes(df, id_col, text_col, n, num, den), "classes")
-    named = found.filter((F.col("n_shingles") > 0) & F.col("doc_id").eqNullSafe(F.col("component_id")))
-    one = named.groupBy("root").agg(F.first("component_id").alias("_id"), F.min("tid").alias("_tid"), F.count("*").alias("n"))
-    none = found.filter(F.col("n_shingles") == 0).select(F.col("doc_id").alias("_id"), F.col("tid").alias("_tid")).distinct()
-    marks = staged(one.select("_id", "_tid").unionByName(none), "keep")
-    keyed = df.withColumn("_text_key", F.unhex(F.md5(text_of(text_col))))
-    kept = keyed.join(marks, (F.col("_text_key") == F.col("_tid")) & F.col(id_col).eqNullSafe(F.col("_id")), "left_semi")
-    if one.filter(F.col("n") > 1).isEmpty():
-        return kept.drop("_text_key")
-    words = text_of(text_col).rlike(r"[^\x20\x09-\x0D]")
-    return kept.filter(~words).unionByName(kept.filter(words).dropDuplicates([id_col, "_text_key"])).drop("_text_key")
+    named = found.filter(F.col("n_shingles") > 0)
+    one = staged(named.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("root").agg(F.first("component_id").alias("_id"), F.min("tid").alias("_tid")), "one")
+    stays = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("tid") == F.col("_tid"))
+    marks = named.join(one, "root").select("doc_id", "tid", stays.alias("stays")).groupBy("doc_id", "tid").agg(F.max("stays").alias("stays"), F.count("*").alias("n"))
+    marks = staged(marks.filter(~F.col("stays") | (F.col("n") > 1)).select(F.col("doc_id").alias("_id"), F.col("tid").alias("_tid"), "stays"), "marks")
+    discard(one)
+    key, flag, mark = new_names(df.columns, 3)
+    marks = marks.select(F.col("_id").alias(f"{key}_id"), F.col("_tid").alias(f"{key}_tid"), F.col("stays").alias(mark))
+    rows = df.withColumn(key, text_key(text_of(text_col)))
+    rows = rows.withColumn(flag, rows_among(marks.select(F.col(f"{key}_tid").alias("tid")))(F.xxhash64(key)))
+    clear = rows.filter(~F.col(flag)).select(*columns(df))
+    held = rows.filter(flag).join(marks, (F.col(key) == F.col(f"{key}_tid")) & F.col(f"`{id_col}`").eqNullSafe(F.col(f"{key}_id")), "left")
+    single = held.filter(F.col(mark).isNull()).select(*columns(df))
+    several = held.filter(F.col(mark)).dropDuplicates([id_col, key]).select(*columns(df))
+    return clear.unionByName(single).unionByName(several)

@@ -18,7 +18,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, WORD, discard, ngram_hashes, one_row_each, release, staged, text_of, text_slices, words_by_row
+from .common import SPACE, WORD, discard, ngram_hashes, one_row_each, release, staged, text_key, text_of, text_slices, words_by_row
 
 WINDOW, SEED = 35, 8
 
@@ -215,7 +215,7 @@ def repeated_spans(rows: DataFrame, window: int, seed: int) -> tuple[DataFrame,
 def _classes(df: DataFrame, id_col: str, text_col: str, window: int):
     """(rows, plain, multi): rows with text and its class; their counts and digests without text; classes of several rows."""
     text = text_of(text_col)
-    rows = df.select(F.col(id_col).alias("id"), text.alias("text")).withColumn("tid", F.unhex(F.md5("text")))
+    rows = df.select(F.col(id_col).alias("id"), text.alias("text")).withColumn("tid", text_key("text"))
     whole = F.trim(F.regexp_replace("text", f"{SPACE}+", " "))
     plain = staged(
         rows.select("id", "tid", F.size(F.regexp_extract_all("text", F.lit(WORD), F.lit(0))).cast("long").alias("n_words"), F.sha2(whole.cast("binary"), 256).alias("whole_sha256")),
@@ -259,7 +259,7 @@ def without_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """
     rows, _, multi = _classes(df, id_col, text_col, window)
     cut = _kept(rows, window, seed).select("tid", F.col("kept").alias("_kept_text"))
-    tid = F.unhex(F.md5(text_of(text_col)))
+    tid = text_key(text_of(text_col))
     text = F.when(F.col("_copied"), F.lit("")).when(F.col("_kept_text").isNotNull(), F.col("_kept_text")).otherwise(F.col(text_col))
     joined = (
         df.withColumn("_tid", tid).join(multi.select(F.col("tid").alias("_tid"), F.col("copied").alias("_copied")), "_tid", "left")
