@@ -57,20 +57,19 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     path = new_path(df.sparkSession, name)
     with small_batches(df.sparkSession):
         df.write.parquet(path)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
-    out._staged_at = path
-    return out
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def discard(df: DataFrame) -> None:
-    """Delete a table made by :func:`staged`, once later tables hold all that is still needed of it.
+    """Delete a table that was written to one folder, once later tables hold all that is still needed of it.
 
     This and :func:`release` are the only places that reach through to the JVM: PySpark has no call that deletes a
     path of any file system, nor one that drops the shuffle files of a finished plan.
     """
-    jvm = df.sparkSession._jvm
-    folder = jvm.org.apache.hadoop.fs.Path(df._staged_at)
-    folder.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(folder, True)
+    jvm, files = df.sparkSession._jvm, df.inputFiles()
+    if files:
+        folder = jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
+        folder.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def release(spark: SparkSession) -> None:

@@ -4,16 +4,19 @@ Each text becomes the set of its word n-grams, as 64-bit hashes. Equal sets are
 so copies cost nothing further. Tokens are put in one global order. A fixed share of all tokens, picked by their
 hash, comes first and is ordered by exact document frequency; the others, and those whose bucket shows them to be
 frequent, follow by estimated frequency. The share is so large that an ordinary document finds its whole prefix in
-tokens that stand nowhere else: it can't be similar to another and is done, without a row of it going on.
+tokens that stand nowhere else: it can't be similar to another and is done, without a row of it going on. Among the
+documents that are left the same is done with all tokens, so that only those with too few tokens of their own go on.
 
 If two sets of similarity t or more are cut to prefixes of |s| - ceil(t|s|) + l tokens, these share l tokens at
 least. Each document that meets others picks its own l from the estimated cost of its candidates: a longer prefix
 costs more rows, and as many more shared tokens as it asks for leave fewer candidates to verify. Two documents of
-different l are held to the smaller of the two. Candidates are then verified on whole sets.
+different l are held to the smaller of the two. A pair's rarest common token has a place in each of the shortest
+prefixes, the earlier the nearer the two sizes are; pairs are made at such places only, and then have to share enough
+tokens of their whole prefixes before they are verified on whole sets.
 
 A group of thousands of near copies would give millions of pairs. Before pairs are made, clusters are
-grown: in each group of documents with a common prefix token, members are verified against one leader,
-and linked ones become one cluster. Pairs are then made between clusters only, so no link between
+grown: in each group of documents with a common prefix token, members are verified against one leader, first the one
+with the fewest tokens of its own, and linked ones become one cluster. Pairs are then made between clusters only, so no link between
 different clusters is lost, and none within a cluster is needed for the components.
 """
 
@@ -22,7 +25,7 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import columns, discard, new_names, ngram_hashes, one_row_each, release, rows_among, staged, text_key, text_of, text_slices, words_by_row
@@ -137,13 +140,12 @@ def _loads(profile: DataFrame) -> np.ndarray:
     return load.ravel().astype(np.float32)
 
 
-def first_tokens(s: np.ndarray, load: np.ndarray, usual: float, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
+def first_tokens(s: np.ndarray, load: np.ndarray, usual: float, share: float, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
     """The counted tokens of a set, and of the others, in their order, those that its longest prefix may reach.
 
     Whether a token is counted depends on the token alone: on its hash, and on whether its bucket is a frequent one.
     """
     count = load[s & np.uint64(BUCKETS - 1)]
-    share = min(1.0, COUNTED * (den - num) / den)
     counted = (s >> np.uint64(11)) < np.uint64(int(share * (1 << 53)))
     counted &= count <= usual
     first, rest = s[counted], ~counted
@@ -154,7 +156,7 @@ def first_tokens(s: np.ndarray, load: np.ndarray, usual: float, num: int, den: i
     return first, others[np.lexsort((others, count))[:more]]
 
 
-def _tokens(rows: DataFrame, n: int, num: int, den: int, load) -> DataFrame:
+def _tokens(rows: DataFrame, n: int, num: int, den: int, load, share: float) -> DataFrame:
     """token, k1, tail for the first tokens of each distinct set; tail: k2 above, below the place among the uncounted.
 
     A counted token has place 0. Each set has a further row with n and the number of its counted tokens.
@@ -176,7 +178,7 @@ def _tokens(rows: DataFrame, n: int, num: int, den: int, load) -> DataFrame:
                         continue
                     if len(seen) < 200_000:
                         seen.add(k)
-                    first, others = first_tokens(s, loads, usual, num, den)
+                    first, others = first_tokens(s, loads, usual, share, num, den)
                     place = np.zeros(len(first) + len(others), dtype=np.int64)
                     place[len(first):] = np.arange(1, len(others) + 1)
                     out.append((np.concatenate([first, others]).view(np.int64), np.full(len(place), k[0], np.int64), place | k[1] << 32))
@@ -247,8 +249,9 @@ def _met(tokens: DataFrame) -> DataFrame:
 
 
 def _prefixes(met: DataFrame, num: int, den: int) -> DataFrame:
-    """token, k1, k2, n, need, level: the prefixes of the sets that meet others, those tokens left out that meet none.
+    """token, k1, k2, n, need, level, at, own: the prefixes of the sets that meet others, those tokens left out that meet none.
 
+    ``at`` is the token's place in the set's order, ``own`` the first such place: so many tokens stand nowhere else.
     ``level`` is the least number of matches for whose prefix the token counts, ``need`` the number that the set asks
     for: of the prefixes that it could have the one whose rows and candidates cost least.
     """
@@ -270,7 +273,17 @@ def _prefixes(met: DataFrame, num: int, den: int) -> DataFrame:
     cost = F.count("*").over(upto) + F.lit(VERIFY_COST) * F.col("size") * F.sum(F.col("df") - 1).over(upto) / F.col("level")
     rows = rows.withColumn("cost", cost).withColumn("cost", F.when(F.col("level") > 1, F.col("cost")).otherwise(F.max(F.when(F.col("level") == 1, F.col("cost"))).over(key)))
     rows = rows.withColumn("need", F.min(F.struct("cost", "level")).over(key)["level"])
-    return rows.filter(F.col("level") <= F.col("need")).select("token", "k1", "k2", F.col("size").alias("n"), "need", "level")
+    rows = rows.withColumn("own", F.min("at").over(key))
+    return rows.filter(F.col("level") <= F.col("need")).select("token", "k1", "k2", F.col("size").alias("n"), "need", "level", F.col("at").cast("long").alias("at"), F.col("own").cast("long").alias("own"))
+
+
+def _still_met(prefixes: DataFrame) -> DataFrame:
+    """Staged: the prefix rows whose tokens still stand in several of the sets that are left."""
+    held = staged(prefixes, "prefixes")
+    again = held.groupBy("token").agg(F.count("*").alias("met")).filter(F.col("met") > 1).select("token")
+    left = staged(held.join(again, "token"), "left")
+    discard(held)
+    return left
 
 
 def _verify(pairs: DataFrame, texts: DataFrame, n: int, num: int, den: int) -> DataFrame:
@@ -349,22 +362,24 @@ def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: in
     profile = staged(_profile(rows.select("id", "tid", "text"), n), "profile")
     docs = profile.filter(F.col("slice").isNull()).select("id", "tid", "n", "k1", "k2")
     loads = spark.sparkContext.broadcast(_loads(profile))
-    prefixes = staged(_prefixes(_met(_tokens(rows.select("text"), n, num, den, loads)), num, den), "prefixes")
-    release(spark)
     class_of = docs.filter(F.col("n") > 0).groupBy("k1", "k2").agg(F.min("id").alias("first_id"), F.count("*").alias("n_copies"), F.min(F.struct(F.col("id"), F.col("tid"))).alias("pick"))
-    # Only sets that still meet another one get a number and their texts a way to the executors that verify them.
-    again = prefixes.groupBy("token").agg(F.count("*").alias("met")).filter(F.col("met") > 1).select("token")
-    left = staged(prefixes.join(again, "token"), "left")
-    discard(prefixes)
+    prefixes = lambda of, share: _still_met(_prefixes(_met(_tokens(of.select("text"), n, num, den, loads, share)), num, den))
+    left = prefixes(rows, min(1.0, COUNTED * (den - num) / den))
+    release(spark)
+    # Only sets that still meet another one get a number, and their texts go to the executors that verify them.
     wanted = left.select("k1", "k2").distinct().join(class_of, ["k1", "k2"]).select("k1", "k2", "first_id", F.col("pick.id").alias("p_id"), F.col("pick.tid").alias("p_tid"))
     wanted = staged(wanted.withColumn("key", F.monotonically_increasing_id()), "wanted")
-    groups = staged(left.join(wanted.select("k1", "k2", "key"), ["k1", "k2"]).select("token", "key", "n", "need", "level"), "groups")
     discard(left)
     texts = one_row_each(rows, wanted.select("key", "p_id", "p_tid"), "key", "texts")
+    left = prefixes(texts, 1.0)
+    groups = staged(left.join(wanted.select("k1", "k2", "key"), ["k1", "k2"]).select("token", "key", "n", "need", "level", "at", "own"), "groups")
+    discard(left)
     release(spark)
     roots, before = None, None
     for turn in range(MOST_ROUNDS):
-        at = groups if roots is None else groups.join(roots.select(F.col("node").alias("key"), "root"), "key", "left")
+        at = groups.filter(F.col("level") == 1)
+        if roots is not None:
+            at = at.join(roots.select(F.col("node").alias("key"), "root"), "key", "left")
         at = at.withColumn("cluster", F.col("key") if roots is None else F.coalesce("root", "key"))
         sizes = at.groupBy("token", "cluster").agg(F.count("*").alias("m")).groupBy("token").agg(F.sum("m").alias("all"), F.sum(F.col("m") * F.col("m")).alias("own"))
         cross = staged(sizes.filter(F.col("all") * F.col("all") > F.col("own")), "cross")
@@ -372,13 +387,22 @@ def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: in
         if not total["rows"]:
             discard(cross)
             break
-        open_rows = staged(at.join(cross.select("token"), "token").select("token", "key", "n", "need", "level", "cluster"), "open")
+        open_rows = staged(at.join(cross.select("token"), "token").select("token", "key", "n", "need", "at", "own", "cluster"), "open")
         discard(cross)
-        stuck = before is not None and total["pairs"] > 0.7 * before
-        before = total["pairs"]
-        last = stuck or total["pairs"] <= PAIRS_PER_ROW * total["rows"] or turn == MOST_ROUNDS - 1
-        pairs = staged(_cross_pairs(open_rows, num, den) if last else _leader_pairs(open_rows, turn, num, den), "pairs")
-        discard(open_rows)
+        # The first round is the leaders', unless hardly any pairs are there; later ones go by the pairs that would be made.
+        between, count = None, total["pairs"]
+        if turn or count <= PAIRS_PER_ROW * total["rows"]:
+            between = staged(_between(open_rows, num, den), "between")
+            count = between.count()
+        last = count <= PAIRS_PER_ROW * total["rows"] or (turn > 1 and count > 0.7 * before) or turn == MOST_ROUNDS - 1
+        before = count
+        pairs = staged(_cross_pairs(open_rows, between, num, den) if last else _leader_pairs(open_rows, turn, num, den), "pairs")
+        for table in (open_rows, between):
+            if table is not None:
+                discard(table)
+        close = staged(_sharing(pairs, groups, num, den), "close")
+        discard(pairs)
+        pairs = close
         found = staged(_verify(pairs, texts, n, num, den), "links")
         discard(pairs)
         links = found if roots is None else found.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b")))
@@ -414,40 +438,66 @@ def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: in
     )
 
 
+def overlap(a: str, b: str, num: int, den: int) -> Column:
+    """The least overlap at which sets of these sizes are similar."""
+    return F.expr(f"CAST(({num} * ({a} + {b}) + {num + den - 1}) DIV {num + den} AS LONG)")
+
+
 def _leader_pairs(rows: DataFrame, turn: int, num: int, den: int) -> DataFrame:
-    """For each document the leader, of another cluster, with which it shares most prefix tokens.
+    """For each document the leader, of another cluster, with which it shares most tokens of the shortest prefixes.
 
-    A token's leader is its holder of smallest seeded hash; the seed changes with the turn. One pair per document, if the
-    tokens that it shares with its leader are enough; what is missed here is left to the pairs between clusters.
+    A token's leader is its holder with the fewest tokens of its own, in later turns that of smallest seeded hash. One
+    pair per document; what is missed here is left to the pairs between clusters.
     """
-    lead = rows.groupBy("token").agg(F.min(F.struct(F.xxhash64("key", F.lit(turn)).alias("h"), "key", "n", "need", "cluster")).alias("lead"))
+    first = F.col("own") / F.col("n") if turn == 0 else F.lit(0.0)
+    lead = rows.groupBy("token").agg(F.min(F.struct(first.alias("first"), F.xxhash64("key", F.lit(turn)).alias("h"), "key", "n", "cluster")).alias("lead"))
     met = (
-        rows.join(lead, "token")
+        rows.join(staged(lead, "lead"), "token")
         .filter((F.col("cluster") != F.col("lead.cluster")) & (F.lit(den) * F.least("n", "lead.n") >= F.lit(num) * F.greatest("n", "lead.n")))
-        .groupBy(F.col("key").alias("a"), F.col("lead.key").alias("b")).agg(F.count("*").alias("shared"), F.first(F.least("need", "lead.need")).alias("need"))
-        .filter(F.col("shared") >= F.col("need"))
+        .groupBy(F.col("key").alias("a"), F.col("lead.key").alias("b")).agg(F.count("*").alias("shared"))
     )
     return met.groupBy("a").agg(F.max_by("b", F.struct("shared", "b")).alias("b")).select("a", "b")
 
 
-def _cross_pairs(rows: DataFrame, num: int, den: int) -> DataFrame:
-    """All candidate pairs of different clusters: as many shared tokens, at the smaller requirement, as that asks for.
+def _between(rows: DataFrame, num: int, den: int) -> DataFrame:
+    """token, ca, cb: the clusters of which some documents may have this token as their first common one.
 
-    Clusters of a token are paired first, members then: pairs within a cluster are never made.
+    After place i of a set of n no more than n - i tokens can be common, which has to be enough for sets of the two sizes.
     """
-    kinds = rows.groupBy("token", "cluster").agg(F.min("n").alias("low"), F.max("n").alias("high"))
-    a, b = kinds.select("token", F.col("cluster").alias("ca"), F.col("low").alias("la"), F.col("high").alias("ha")), kinds.select("token", F.col("cluster").alias("cb"), F.col("low").alias("lb"), F.col("high").alias("hb"))
-    between = a.join(b, "token").filter((F.col("ca") < F.col("cb")) & (F.lit(den) * F.col("ha") >= F.lit(num) * F.col("lb")) & (F.lit(den) * F.col("hb") >= F.lit(num) * F.col("la"))).select("token", "ca", "cb")
-    side = lambda s: rows.select("token", F.col("cluster").alias(f"c{s}"), F.col("key").alias(s), F.col("n").alias(f"n{s}"), F.col("need").alias(f"need{s}"), F.col("level").alias(f"level{s}"))
-    need = F.least("needa", "needb")
+    kinds = rows.groupBy("token", "cluster").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.max(F.col("n") - F.col("at")).alias("room"))
+    of = lambda s: kinds.select("token", F.col("cluster").alias(f"c{s}"), F.col("low").alias(f"l{s}"), F.col("high").alias(f"h{s}"), F.col("room").alias(f"r{s}"))
+    sizes = (F.lit(den) * F.col("ha") >= F.lit(num) * F.col("lb")) & (F.lit(den) * F.col("hb") >= F.lit(num) * F.col("la"))
+    return of("a").join(of("b"), "token").filter((F.col("ca") < F.col("cb")) & sizes & (F.least("ra", "rb") >= overlap("la", "lb", num, den))).select("token", "ca", "cb")
+
+
+def _cross_pairs(rows: DataFrame, between: DataFrame, num: int, den: int) -> DataFrame:
+    """All pairs of documents of the paired clusters with a common token at places where their first one may stand.
+
+    Pairs within a cluster are never made.
+    """
+    side = lambda s: rows.select("token", F.col("cluster").alias(f"c{s}"), F.col("key").alias(s), F.col("n").alias(f"n{s}"), (F.col("n") - F.col("at")).alias(f"r{s}"))
     return (
         between.join(side("a"), ["token", "ca"]).join(side("b"), ["token", "cb"])
-        .filter((F.lit(den) * F.least("na", "nb") >= F.lit(num) * F.greatest("na", "nb")) & (F.greatest("levela", "levelb") <= need))
-        .groupBy("a", "b").agg(F.count("*").alias("shared"), F.first(need).alias("need"))
-        .filter(F.col("shared") >= F.col("need")).select("a", "b")
+        .filter((F.lit(den) * F.least("na", "nb") >= F.lit(num) * F.greatest("na", "nb")) & (F.least("ra", "rb") >= overlap("na", "nb", num, den)))
+        .select("a", "b").distinct()
     )
 
 
+def _sharing(pairs: DataFrame, groups: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs that share as many prefix tokens as the smaller of their two requirements asks for.
+
+    With prefixes that leave out ra and rb tokens, the overlap is the shared ones and max(ra, rb) at most.
+    """
+    own = groups.groupBy("key").agg(F.collect_list(F.struct("token", "level")).alias("tokens"), F.first("n").alias("n"), F.first("need").alias("need"))
+    side = lambda s: own.select(F.col("key").alias(s), F.col("tokens").alias(f"t{s}"), F.col("n").alias(f"n{s}"), F.col("need").alias(f"need{s}"))
+    need = F.least("needa", "needb")
+    upto = lambda s: F.transform(F.filter(f"t{s}", lambda x: x["level"] <= need), lambda x: x["token"])
+    least = lambda s: F.expr(f"CAST((n{s} * {num} + {den - 1}) DIV {den} AS LONG)")
+    both = pairs.join(side("a"), "a").join(side("b"), "b")
+    shared = F.size(F.array_intersect(upto("a"), upto("b")))
+    return both.filter(shared >= need + overlap("na", "nb", num, den) - F.greatest(least("a"), least("b"))).select("a", "b")
+
+
 def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, num: int = 4, den: int = 5) -> DataFrame:
     """The rows of ``df`` with one document of each component: that of the smallest id, with all columns of ``df``.
 
