@@ -7,7 +7,7 @@ slots from k * SHARD on, in order, each in STRIDE bytes: two for an id, little-e
 byte (s mod SHARD) * STRIDE of its shard, so reading goes on from any slot without an index.
 
 Texts are tokenised once, into a compressed table that is staged; ids travel in compressed blocks, one per task
-and shard.
+and shard. Partition p of P gets the p-th range of slots, whole shards of it, and writes them one after another.
 """
 
 from __future__ import annotations
@@ -26,7 +26,9 @@ STRIDE = 2 * LENGTH + 1
 ROUNDS = 6
 #: Bytes of sequences that a task gathers before it sends its blocks.
 GATHER = 8 << 20
-LEVEL = 9
+LEVEL = 3
+#: Most partitions that slots are dealt to; beyond, each writes several shards.
+MOST_RANGES = 20_000
 
 
 def permute(index: np.ndarray, n: int, key: int) -> np.ndarray:
@@ -53,12 +55,16 @@ def encoding(path: str, pattern: str):
     return tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
 
-def sequences(ids: np.ndarray, end: int, length: int = LENGTH) -> np.ndarray:
-    """The ids and an end mark in rows of ``length``, the last filled up with end marks."""
-    n = -(-(len(ids) + 1) // length)
-    out = np.full(n * length, end, dtype="<u2")
-    out[: len(ids)] = ids
-    return out.reshape(n, length)
+def sequences(ids: np.ndarray, counts: np.ndarray, end: int, length: int = LENGTH) -> np.ndarray:
+    """The ids of texts that have ``counts`` of them, each text's followed by an end mark, in rows of ``length``.
+
+    Every text begins a row; its last row is filled up with end marks.
+    """
+    many = -(-(counts + 1) // length)
+    out = np.full(int(many.sum()) * length, end, dtype="<u2")
+    shift = (np.cumsum(many) - many) * length - (np.cumsum(counts) - counts)
+    out[np.arange(len(ids)) + np.repeat(shift, counts)] = ids
+    return out.reshape(-1, length)
 
 
 def _tokenised(rows: DataFrame, path: str, pattern: str, end: int, length: int) -> DataFrame:
@@ -76,15 +82,17 @@ def _tokenised(rows: DataFrame, path: str, pattern: str, end: int, length: int)
         part, before, pack = TaskContext.get().partitionId(), 0, zstandard.ZstdCompressor(level=LEVEL)
         coder = encoding(path, pattern)
         for batch in batches:
-            found = [coder.encode_to_numpy(x.as_py(), disallowed_special=()).astype("<u2") for x in batch.column("text")]
+            found = [coder.encode_to_numpy(x, disallowed_special=()) for x in batch.column("text").to_pylist()]
             if not found:
                 continue
-            count = [len(x) for x in found]
+            count, every = [len(x) for x in found], np.concatenate(found)
+            if len(every) and int(every.max()) > 0xFFFF:
+                raise ValueError("an id doesn't fit into two bytes")
             after = before + sum(-(-(n + 1) // length) for n in count)
             ids = batch.column("id")
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids), pa.array([count], pa.list_(pa.int64())), pa.array([pack.compress(np.concatenate(found).tobytes())], pa.binary()),
+                    pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids), pa.array([count], pa.list_(pa.int64())), pa.array([pack.compress(every.astype("<u2").tobytes())], pa.binary()),
                     pa.array([part], pa.int32()), pa.array([before], pa.int64()), pa.array([after], pa.int64()),
                 ],
                 ["id", "n_tokens", "ids", "part", "before", "after"],
@@ -123,49 +131,60 @@ def write(df: DataFrame, out: str, path: str, pattern: str, end: int = 50_256, k
 
         def blocks():
             slot, body = np.concatenate(slots), np.concatenate(bodies)
-            of = slot // shard
-            order = np.lexsort((slot, of))
-            cut = np.flatnonzero(np.diff(of[order])) + 1
-            groups = np.split(order, cut)
+            order = np.argsort(slot)
+            of = slot[order] // shard
+            groups = np.split(order, np.flatnonzero(np.diff(of)) + 1)
             data = [pack.compress(slot[g].astype("<i8").tobytes() + body[g].tobytes()) for g in groups]
-            return pa.RecordBatch.from_arrays([pa.array([int(of[g[0]]) for g in groups], pa.int64()), pa.array([len(g) for g in groups], pa.int64()), pa.array(data, pa.binary())], ["shard", "n", "block"])
+            return pa.RecordBatch.from_arrays([pa.array([int(slot[g[0]]) // shard for g in groups], pa.int64()), pa.array([len(g) for g in groups], pa.int64()), pa.array(data, pa.binary())], ["shard", "n", "block"])
 
         for batch in batches:
             for ids, counts, part, at in zip(*(batch.column(c).to_pylist() for c in ("ids", "n_tokens", "part", "before")), strict=True):
                 every = np.frombuffer(unpack.decompress(ids, max_output_size=2 * sum(counts) + 16), "<u2")
-                for own in np.split(every, np.cumsum(counts)[:-1]):
-                    rows = sequences(own, end, length)
-                    slots.append(permute(base[part] + at + np.arange(len(rows)), total, key))
-                    bodies.append(rows)
-                    at += len(rows)
-                    size += rows.nbytes
-                    if size > GATHER:
-                        yield blocks()
-                        slots, bodies, size = [], [], 0
+                rows = sequences(every, np.array(counts, dtype=np.int64), end, length)
+                slots.append(permute(base[part] + at + np.arange(len(rows)), total, key))
+                bodies.append(rows)
+                size += rows.nbytes
+                if size > GATHER:
+                    yield blocks()
+                    slots, bodies, size = [], [], 0
         if slots:
             yield blocks()
 
-    def fill(group, table):
+    def fill(batches):
         import pyarrow as pa
         import zstandard
 
-        unpack, slots, bodies = zstandard.ZstdDecompressor(), [], []
-        for n, block in zip(table.column("n").to_pylist(), table.column("block").to_pylist(), strict=True):
-            raw = unpack.decompress(block, max_output_size=n * (8 + 2 * length) + 16)
-            slots.append(np.frombuffer(raw[: 8 * n], "<i8"))
-            bodies.append(np.frombuffer(raw[8 * n:], "<u2").reshape(n, length))
-        slot, body = np.concatenate(slots), np.concatenate(bodies)
-        order = np.argsort(slot)
-        flat = body[order].tobytes()
-        width = 2 * length
-        return pa.table({"shard": pa.array([group[0].as_py()] * len(order), pa.int64()), "slot": pa.array(slot[order]), "value": pa.array([flat[i * width:(i + 1) * width] for i in range(len(order))], pa.binary())})
-
-    blocks = held.mapInArrow(place, "shard long, n long, block binary")
-    filled = blocks.groupBy("shard").applyInArrow(fill, "shard long, slot long, value binary")
+        unpack, width = zstandard.ZstdDecompressor(), 2 * length
+
+        def whole(of, slots, bodies):
+            slot, body = np.concatenate(slots), np.concatenate(bodies)
+            order = np.argsort(slot)
+            flat = pa.py_buffer(np.ascontiguousarray(body[order]))
+            value = pa.Array.from_buffers(pa.binary(), len(order), [None, pa.py_buffer((np.arange(len(order) + 1) * width).astype(np.int32)), flat])
+            return pa.RecordBatch.from_arrays([pa.array(np.full(len(order), of)), pa.array(slot[order]), value], ["shard", "slot", "value"])
+
+        open_, slots, bodies = None, [], []
+        for batch in batches:
+            for of, n, block in zip(batch.column("shard").to_pylist(), batch.column("n").to_pylist(), batch.column("block").to_pylist(), strict=True):
+                if of != open_ and slots:
+                    yield whole(open_, slots, bodies)
+                    slots, bodies = [], []
+                raw = unpack.decompress(block, max_output_size=n * (8 + width) + 16)
+                open_ = of
+                slots.append(np.frombuffer(raw[: 8 * n], "<i8"))
+                bodies.append(np.frombuffer(raw[8 * n:], "<u2").reshape(n, length))
+        if slots:
+            yield whole(open_, slots, bodies)
+
+    shards = -(-total // shard)
+    ranges = max(1, min(shards, MOST_RANGES))
+    blocks = held.select("id", "n_tokens", "ids", "part", "before").mapInArrow(place, "shard long, n long, block binary")
+    dealt = blocks.repartitionById(ranges, F.floor(F.col("shard") * ranges / max(1, shards)).cast("int")).sortWithinPartitions("shard")
+    filled = dealt.mapInArrow(fill, "shard long, slot long, value binary")
     if total:
         with small_batches(spark):
             (
-                filled.sortWithinPartitions("shard", "slot").select("shard", F.col("value").cast("string").alias("value"))
+                filled.select("shard", F.col("value").cast("string").alias("value"))
                 .write.option("lineSep", "\n").partitionBy("shard").text(out)
             )
     index = _index(held, base, total, key, length, shard)
