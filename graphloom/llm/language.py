@@ -19,9 +19,10 @@ from pyspark.sql import functions as F
 from .common import text_of, text_slices
 
 HIDDEN, STRETCH = 8, 96
-#: Bounds of what is learned from: texts a language, stretches a text, languages.
-TEXTS_PER_LANGUAGE, STRETCHES_PER_TEXT, MOST_LANGUAGES = 160, 4, 200
-EPOCHS, BATCH, RATE = 8, 128, 0.012
+#: Bounds of what is learned from: texts a language, texts in all (but one of each language at least), stretches a text.
+TEXTS_PER_LANGUAGE, TEXTS, STRETCHES_PER_TEXT = 160, 32_000, 4
+#: A small sample is gone through more often, LEAST_STEPS batches in all.
+EPOCHS, LEAST_STEPS, BATCH, RATE = 8, 240, 128, 0.012
 #: Bytes worked on at once when predicting.
 SLICE = 1 << 19
 UNKNOWN = "und"
@@ -149,14 +150,17 @@ def step(model: Model, codes, mask, labels) -> tuple[float, list[np.ndarray]]:
     return loss, [*tables, *weights, *biases, d_out, d_logits.sum(axis=(0, 1))]
 
 
-def train(texts: list[bytes], labels: list[str], hidden: int = HIDDEN, epochs: int = EPOCHS, rate: float = RATE, seed: int = 5) -> Model:
-    """A network from stretches of text and their languages; the same input gives the same network."""
+def train(texts: list[bytes], labels: list[str], hidden: int = HIDDEN, epochs: int = EPOCHS, least: int = LEAST_STEPS, rate: float = RATE, seed: int = 5) -> Model:
+    """A network from texts and their languages; the same input gives the same network.
+
+    ``epochs`` times through all stretches, and on until ``least`` batches were seen; the rate falls to a twentieth.
+    """
     rng = np.random.default_rng(seed)
     languages = sorted(set(labels))
     parts, of = [], []
     for text, label in zip(texts, labels, strict=True):
-        if text:
-            parts.append(np.frombuffer(text, np.uint8)[:STRETCH])
+        for at in range(0, len(text), STRETCH):  # as many stretches as its bytes fill
+            parts.append(np.frombuffer(text, np.uint8)[at:at + STRETCH])
             of.append(languages.index(label))
     codes, mask = np.zeros((STRETCH, len(parts)), np.uint8), np.zeros((STRETCH, len(parts), 1), np.float32)
     for i, x in enumerate(parts):
@@ -165,18 +169,20 @@ def train(texts: list[bytes], labels: list[str], hidden: int = HIDDEN, epochs: i
     of = np.array(of)
     model = new_model(languages, hidden, seed)
     first, second, turn = [np.zeros_like(x) for x in model.parameters()], [np.zeros_like(x) for x in model.parameters()], 0
-    for epoch in range(epochs):
+    steps = max(epochs * -(-len(parts) // BATCH), least)
+    while turn < steps:
         order = rng.permutation(len(parts))
         for at in range(0, len(order), BATCH):
             pick = order[at:at + BATCH]
             _, grads = step(model, codes[:, pick], mask[:, pick], of[pick])
             norm = float(np.sqrt(sum((g * g).sum() for g in grads)))
             turn += 1
+            pace = rate * 0.05 ** (turn / steps)
             for x, g, m, v in zip(model.parameters(), grads, first, second, strict=True):
                 g = g * min(1.0, 1.0 / (norm + 1e-9))
                 m += 0.1 * (g - m)
                 v += 0.01 * (g * g - v)
-                x -= (rate * 0.7**epoch) * (m / (1 - 0.9**turn)) / (np.sqrt(v / (1 - 0.99**turn)) + 1e-7)
+                x -= pace * (m / (1 - 0.9**turn)) / (np.sqrt(v / (1 - 0.99**turn)) + 1e-7)
     return model
 
 
@@ -208,21 +214,23 @@ def remainder(id_col: str):
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % 4
 
 
-def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = TEXTS_PER_LANGUAGE, seed: int = 5) -> Model | None:
+def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = TEXTS_PER_LANGUAGE, texts: int = TEXTS, seed: int = 5) -> Model | None:
     """Train on at most ``per_language`` labelled texts of each language, drawn by a seeded hash of text and language.
 
-    Rows without a label or text, or with remainder 2, teach nothing. If there are more than MOST_LANGUAGES
-    labels, those of most rows among the sample count. No usable row: no model.
+    Rows without a label or text, or with remainder 2, teach nothing. Every label is learned; where there are so
+    many that the sample would pass ``texts``, each gets as many fewer, one at least. Of each text up to
+    STRETCHES_PER_TEXT stretches of STRETCH characters are read. No usable row: no model.
     """
     rows = df.filter((remainder(id_col) != 2) & F.col(lang_col).isNotNull() & text_of(text_col).rlike(r"\p{L}")).select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"))
     rows = rows.withColumn("h", F.xxhash64("text", "lang", F.lit(seed)))
     drawn = rows.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("h", "text"))).filter(F.col("k") <= per_language)
-    languages = [r["lang"] for r in drawn.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()]
+    languages = drawn.select("lang").distinct().count()
     if not languages:
         return None
+    drawn = drawn.filter(F.col("k") <= max(1, min(per_language, texts // languages)))
     last = F.greatest(F.length("text") - STRETCH + 1, F.lit(1))
     stretch = [F.substr("text", (F.pmod(F.xxhash64("text", F.lit(seed + j)), last) + 1).cast("int"), F.lit(STRETCH)) for j in range(STRETCHES_PER_TEXT)]
-    sample = sorted((r["lang"], r["h"], r["t"]) for r in drawn.filter(F.col("lang").isin(languages)).select("lang", "h", F.explode(F.array_distinct(F.array(*stretch))).alias("t")).collect())
+    sample = sorted((r["lang"], r["h"], r["t"]) for r in drawn.select("lang", "h", F.explode(F.array_distinct(F.array(*stretch))).alias("t")).collect())
     return train([t.encode() for _, _, t in sample], [lang for lang, _, _ in sample], seed=seed)
 
 
@@ -256,4 +264,9 @@ def predict(df: DataFrame, model: Model | None, id_col: str = "doc_id", text_col
 
 
 def identify(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """Learn from the labelled rows of ``df`` (:func:`fit`) and predict all of its rows (:func:`predict`).
+
+    Null, empty and letterless texts are ``und``; very long ones are read whole; ties, repeated rows, null ids,
+    an empty table and further columns of any name are as said there.
+    """
     return predict(df, fit(df, id_col, text_col, lang_col), id_col, text_col)
