@@ -5,6 +5,8 @@ import hashlib
 import re
 from collections import Counter
 
+import numpy as np
+
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
@@ -50,6 +52,13 @@ def without_repeats(rows, window=35):
     return out
 
 
+def sequences(ids, end, length=128):
+    """A text's ids and an end mark in rows, the last filled up with end marks."""
+    own = [*ids, end]
+    own += [end] * (-len(own) % length)
+    return [np.array(own[i:i + length], "<u2") for i in range(0, len(own), length)]
+
+
 def sha(text):
     return hashlib.sha256(text.encode()).hexdigest()
 

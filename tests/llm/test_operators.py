@@ -131,12 +131,15 @@ def test_tokens(spark, docs):
     path, own = P.path("byte_bpe_50k.tiktoken"), [(r.doc_id, r.text) for r in docs.collect()] + [(10_000 + i, t) for i, t in ODD]
     coder, expected = tokens.encoding(path, P.PATTERN), {}
     for i, t in own:
-        for j, x in enumerate(tokens.sequences(np.array(coder.encode_ordinary(t or ""), "<u2"), 50_256)):
+        for j, x in enumerate(brute.sequences(coder.encode_ordinary(t or ""), 50_256)):
             expected[i, j] = hashlib.sha256(x.tobytes()).hexdigest()
     found = tokens.materialise(frame(spark, own), path, P.PATTERN, shard=500).collect()
     assert {(r.doc_id, r.seq): r.ids_sha256 for r in found} == expected
     assert sorted(r.slot for r in found) == list(range(len(expected)))
     assert tokens.materialise(docs.limit(0), path, P.PATTERN).count() == 0
+    again = [(1, "a b"), (1, "a b"), (None, "a b"), (None, None)]
+    found = tokens.materialise(frame(spark, again), path, P.PATTERN).collect()
+    assert sorted(r.slot for r in found) == [0, 1, 2, 3] and sorted(str(r.doc_id) for r in found) == ["1", "1", "None", "None"]
 
 
 def test_tokens_resume(spark, docs, tmp_path):
@@ -199,6 +202,20 @@ def test_language(spark, sf_dir):
     assert language.identify(odd.limit(0)).count() == 0
 
 
+def test_language_of_few_texts(spark):
+    """Fifteen texts a language, two of three bytes a letter; ties, repeated rows and an empty text."""
+    words = {"el": "και το νερο στην πολη ειναι καλο σημερα", "ru": "и вода в городе сегодня хорошая очень", "hi": "पानी शहर में आज अच्छा है और", "ja": "みずはまちできょうよいですとても"}
+    rng, own = random.Random(4), []
+    for lang, w in words.items():
+        parts = w.split() if " " in w else [w[i:i + 3] for i in range(0, len(w), 3)]
+        own += [(len(own) + i, " ".join(rng.choice(parts) for _ in range(60)), lang) for i in range(30)]
+    own += [(1000, own[0][1], "el"), (1000, own[0][1], "el"), (1001, "", "ru"), (1002, own[40][1], None)]
+    out = language.identify(spark.createDataFrame(own, "doc_id long, text string, lang string")).collect()
+    known = {i: lang for i, t, lang in own if t and lang}
+    assert len(out) == len(own) and all(r.lang_pred == known[r.doc_id] for r in out if r.doc_id in known)
+    assert {r.lang_pred for r in out if r.doc_id == 1001} == {"und"}
+
+
 def test_language_gradients():
     m = language.new_model(["a", "b", "c"], 4)
     rng = np.random.default_rng(0)
@@ -235,6 +252,32 @@ def test_neighbours(spark, sf_dir):
     assert neighbours.search(odd.limit(0)).count() == 0
 
 
+def test_neighbours_that_stop(spark, monkeypatch):
+    """Clusters over several cells and blocks: under half of all pairs are verified, and nine in ten neighbours found."""
+    monkeypatch.setattr(neighbours, "BLOCK_ROWS", 500)
+    rng = np.random.default_rng(3)
+    centres = rng.standard_normal((40, 32)) * 4
+    vectors = centres[rng.integers(0, 40, 4_000)] + rng.standard_normal((4_000, 32)) * 0.5
+    vectors = vectors / np.linalg.norm(vectors, axis=1)[:, None]
+    vectors[:900] = vectors[0]  # one very frequent vector
+    rows = [(i, v.tolist(), "x") for i, v in enumerate(vectors)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, block string")
+    found = {}
+    for r in neighbours.search(df).collect():
+        found.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
+    hit = total = 0
+    for i in range(0, 4_000, 20):
+        score = (vectors * vectors[i]).sum(axis=1)
+        score[i] = -np.inf
+        own = sorted(found[i])
+        assert [x[0] for x in own] == list(range(1, 21)) and all(abs(score[j] - s) < 1e-12 for _, j, s in own)
+        hit, total = hit + sum(s >= np.sort(score)[-20] - 1e-12 for _, _, s in own), total + 20
+    assert hit >= 0.9 * total
+    assert neighbours.verified_share(df) < 0.5
+    two = spark.createDataFrame([(0, [1.0, 2.0]), (1, [1.0, 0.0]), (20, [1.0]), (21, [3.0]), (22, [2.0])], "vec_id long, embedding array<double>")
+    assert [(r.query_id, r.vec_id) for r in neighbours.search(two).orderBy("query_id", "rank").collect()] == [(0, 1), (20, 21), (20, 22)]
+
+
 def test_bpe(spark, rows):
     from tokenizers import Tokenizer
 
