@@ -63,7 +63,7 @@ def test_warc_restores_records(spark, tmp_path):
     assert {(3, 3, "response", None), (5, 3, "revisit", 3), (None, 3, "revisit", 3), (None, 1, "response", None), (9, 0, "revisit", 1)} <= found
 
 
-def test_mixing(spark, sf_dir):
+def test_mixing(spark, sf_dir, monkeypatch):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW documents AS SELECT * FROM '{sf_dir}/documents.parquet'")
     found = [tuple(r) for r in queries.op2_mixing(spark, sf_dir).collect()]
@@ -74,6 +74,14 @@ def test_mixing(spark, sf_dir):
     target = brute.mix([len(brute.WORD.findall(t or "")) for _, t, _ in data], [s for _, _, s in data])
     assert len(out) == len(data) and all(abs(r.target - target[r.source]) < 1e-6 for r in out)
     assert all(r.taken <= 3 * r["size"] for r in out)
+    same = spark.createDataFrame([(None, "one two three four five", "a", "x")] * 50 + [(i, "w " * 40, "b", "y") for i in range(40)], "doc_id long, text string, source string, `copies` string")
+    for most, salts in ((50_000, 32), (0, 4)):
+        monkeypatch.setattr(mixing, "MOST_SENT", most)
+        monkeypatch.setattr(mixing, "SALTS", salts)
+        taken = {s: (sum(r.taken for r in rows), rows[0].target) for s, rows in {s: [r for r in mixing.mixed(same).collect() if r.source == s] for s in "ab"}.items()}
+        assert all(abs(n - t) <= (5 if s == "a" else 40) for s, (n, t) in taken.items())
+        back = mixing.materialise(same).collect()
+        assert all(sum(len(brute.WORD.findall(r.text)) for r in back if r.source == s) == taken[s][0] for s in "ab")
     again = mixing.materialise(df)
     assert again.columns == df.columns and again.count() == sum(r.copies for r in out)
     assert mixing.mixed(df.limit(0)).count() == 0
