@@ -18,7 +18,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, WORD, discard, ngram_hashes, one_row_each, release, staged, text_key, text_of, text_slices, words_by_row
+from .common import SPACE, WORD, columns, discard, new_names, ngram_hashes, one_row_each, release, rows_among, staged, text_key, text_of, text_slices, words_by_row
 
 WINDOW, SEED = 35, 8
 
@@ -199,11 +199,14 @@ def repeated_spans(rows: DataFrame, window: int, seed: int) -> tuple[DataFrame,
         F.count("*").alias("n"), F.count("next").alias("n_next"), F.min("next").alias("next_a"), F.max("next").alias("next_b"),
         F.count("prev").alias("n_prev"), F.min("prev").alias("prev_a"), F.max("prev").alias("prev_b"),
     ).filter(F.col("n") > 1)
-    alone = of.select("h", ((F.col("n_next") == F.col("n")) & (F.col("next_a") == F.col("next_b"))).alias("alone_out"), ((F.col("n_prev") == F.col("n")) & (F.col("prev_a") == F.col("prev_b"))).alias("alone_in"))
+    # Written first, so that the join is of two plain tables and a window with very many places is more than one task.
+    alone = staged(of.select("h", ((F.col("n_next") == F.col("n")) & (F.col("next_a") == F.col("next_b"))).alias("alone_out"), ((F.col("n_prev") == F.col("n")) & (F.col("prev_a") == F.col("prev_b"))).alias("alone_in")), "alone")
+    release(spark)
     flag = lambda c: F.coalesce(F.col(c), F.lit(False)).alias(c)
     places = edges.select("h", "doc", "pos").join(alone, "h").select("doc", "pos", flag("alone_out"), flag("alone_in"))
     spans = staged(_paths(places.repartition("doc").sortWithinPartitions("doc", "pos")), "paths")
     discard(edges)
+    discard(alone)
     release(spark)
     by_doc = spans.groupBy("doc").agg(F.collect_list(F.struct("first", "count")).alias("spans"))
     read = staged(_read_spans(texts.select("doc", "text").join(by_doc, "doc"), window), "spans")
@@ -222,7 +225,7 @@ def _classes(df: DataFrame, id_col: str, text_col: str, window: int):
         "plain",
     )
     multi = plain.filter(F.col("n_words") >= window).groupBy("tid").agg(F.count("*").alias("n")).filter(F.col("n") > 1).select("tid", F.lit(True).alias("copied"))
-    return rows, plain, multi
+    return rows, plain, staged(multi, "multi")
 
 
 def _kept(rows: DataFrame, window: int, seed: int) -> DataFrame:
@@ -234,7 +237,7 @@ def _kept(rows: DataFrame, window: int, seed: int) -> DataFrame:
 def substrings(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, seed: int = SEED) -> DataFrame:
     """Per row: doc_id, n_words, n_removed and kept_sha256 (of the kept words, joined by one space).
 
-    Null and empty texts have no words. A text shorter than a window loses nothing. Repeated rows, and equal
+    Null and empty texts have no words. A text shorter than a window loses nothing; very long ones are read whole. Repeated rows, and equal
     texts under any ids, each stand somewhere else: every window of theirs is repeated, so all their words
     go. Ids only name rows; null and repeated ids are fine. An empty table gives no rows.
     """
@@ -255,14 +258,23 @@ def without_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """``df`` with the repeated words cut from its texts; a text that loses nothing stays as it is, to the byte.
 
     A text that loses words becomes its kept words joined by one space; a document that loses all keeps its row
-    with an empty text. All rows and columns stay.
+    with an empty text, as does each of several rows of one text. Null and empty texts and those shorter than a window
+    stay; very long ones are read whole. Ids only name rows. All rows and columns stay, whatever their names. An empty
+    table gives no rows.
+
+    Only rows that may lose words are shuffled: a bit field of their texts lets the others through.
     """
-    rows, _, multi = _classes(df, id_col, text_col, window)
-    cut = _kept(rows, window, seed).select("tid", F.col("kept").alias("_kept_text"))
-    tid = text_key(text_of(text_col))
-    text = F.when(F.col("_copied"), F.lit("")).when(F.col("_kept_text").isNotNull(), F.col("_kept_text")).otherwise(F.col(text_col))
-    joined = (
-        df.withColumn("_tid", tid).join(multi.select(F.col("tid").alias("_tid"), F.col("copied").alias("_copied")), "_tid", "left")
-        .join(cut.withColumnRenamed("tid", "_tid"), "_tid", "left").withColumn("_new_text", text)
-    )
-    return joined.select(*[F.col("_new_text").alias(c) if c == text_col else F.col(f"`{c}`") for c in df.columns])
+    rows, plain, multi = _classes(df, id_col, text_col, window)
+    discard(plain)
+    key, flag, kept, tid = new_names(df.columns, 4)
+    cut = _kept(rows, window, seed)
+    marks = cut.join(multi, "tid", "left_anti").select("tid", "kept").unionByName(multi.select("tid", F.lit("").alias("kept")))
+    marks = staged(marks.select(F.col("tid").alias(tid), F.col("kept").alias(kept)), "marks")
+    discard(cut)
+    discard(multi)
+    marked = df.withColumn(key, text_key(text_of(text_col)))
+    marked = marked.withColumn(flag, rows_among(marks.select(tid))(F.xxhash64(key)))
+    clear = marked.filter(~F.col(flag)).select(*columns(df))
+    held = marked.filter(flag).join(marks, F.col(key) == F.col(tid), "left")
+    new = F.coalesce(F.col(kept), F.col(f"`{text_col}`")).alias(text_col)
+    return clear.unionByName(held.select(*[new if name == text_col else c for name, c in zip(df.columns, columns(df), strict=True)]))
