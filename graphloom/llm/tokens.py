@@ -26,7 +26,8 @@ STRIDE = 2 * LENGTH + 1
 ROUNDS = 6
 #: Bytes of sequences that a task gathers before it sends its blocks.
 GATHER = 8 << 20
-LEVEL = 3
+#: Compression of the staged ids, and of the blocks that travel.
+STAGED_LEVEL, BLOCK_LEVEL = 5, 7
 #: Most partitions that slots are dealt to; beyond, each writes several shards.
 MOST_RANGES = 20_000
 
@@ -67,6 +68,13 @@ def sequences(ids: np.ndarray, counts: np.ndarray, end: int, length: int = LENGT
     return out.reshape(-1, length)
 
 
+def _fixed(rows: np.ndarray, width: int):
+    """The rows of an array, ``width`` bytes each, as a binary column."""
+    import pyarrow as pa
+
+    return pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer((np.arange(len(rows) + 1) * width).astype(np.int32)), pa.py_buffer(rows)])
+
+
 def _tokenised(rows: DataFrame, path: str, pattern: str, end: int, length: int) -> DataFrame:
     """For each batch of rows: id and n_tokens lists, all their ids (compressed), part (the task), before and after.
 
@@ -79,7 +87,7 @@ def _tokenised(rows: DataFrame, path: str, pattern: str, end: int, length: int)
         import zstandard
         from pyspark import TaskContext
 
-        part, before, pack = TaskContext.get().partitionId(), 0, zstandard.ZstdCompressor(level=LEVEL)
+        part, before, pack = TaskContext.get().partitionId(), 0, zstandard.ZstdCompressor(level=STAGED_LEVEL)
         coder = encoding(path, pattern)
         for batch in batches:
             found = [coder.encode_to_numpy(x, disallowed_special=()) for x in batch.column("text").to_pylist()]
@@ -126,7 +134,7 @@ def write(df: DataFrame, out: str, path: str, pattern: str, end: int = 50_256, k
         import pyarrow as pa
         import zstandard
 
-        unpack, pack = zstandard.ZstdDecompressor(), zstandard.ZstdCompressor(level=LEVEL)
+        unpack, pack = zstandard.ZstdDecompressor(), zstandard.ZstdCompressor(level=BLOCK_LEVEL)
         slots, bodies, size = [], [], 0
 
         def blocks():
@@ -134,7 +142,8 @@ def write(df: DataFrame, out: str, path: str, pattern: str, end: int = 50_256, k
             order = np.argsort(slot)
             of = slot[order] // shard
             groups = np.split(order, np.flatnonzero(np.diff(of)) + 1)
-            data = [pack.compress(slot[g].astype("<i8").tobytes() + body[g].tobytes()) for g in groups]
+            steps = [np.diff(slot[g], prepend=slot[g[0]] // shard * shard).astype("<u4") for g in groups]
+            data = [pack.compress(x.tobytes() + body[g].tobytes()) for x, g in zip(steps, groups, strict=True)]
             return pa.RecordBatch.from_arrays([pa.array([int(slot[g[0]]) // shard for g in groups], pa.int64()), pa.array([len(g) for g in groups], pa.int64()), pa.array(data, pa.binary())], ["shard", "n", "block"])
 
         for batch in batches:
@@ -159,8 +168,7 @@ def write(df: DataFrame, out: str, path: str, pattern: str, end: int = 50_256, k
         def whole(of, slots, bodies):
             slot, body = np.concatenate(slots), np.concatenate(bodies)
             order = np.argsort(slot)
-            flat = pa.py_buffer(np.ascontiguousarray(body[order]))
-            value = pa.Array.from_buffers(pa.binary(), len(order), [None, pa.py_buffer((np.arange(len(order) + 1) * width).astype(np.int32)), flat])
+            value = _fixed(np.ascontiguousarray(body[order]), width)
             return pa.RecordBatch.from_arrays([pa.array(np.full(len(order), of)), pa.array(slot[order]), value], ["shard", "slot", "value"])
 
         open_, slots, bodies = None, [], []
@@ -169,10 +177,10 @@ def write(df: DataFrame, out: str, path: str, pattern: str, end: int = 50_256, k
                 if of != open_ and slots:
                     yield whole(open_, slots, bodies)
                     slots, bodies = [], []
-                raw = unpack.decompress(block, max_output_size=n * (8 + width) + 16)
+                raw = unpack.decompress(block, max_output_size=n * (4 + width) + 16)
                 open_ = of
-                slots.append(np.frombuffer(raw[: 8 * n], "<i8"))
-                bodies.append(np.frombuffer(raw[8 * n:], "<u2").reshape(n, length))
+                slots.append(of * shard + np.cumsum(np.frombuffer(raw[: 4 * n], "<u4"), dtype=np.int64))
+                bodies.append(np.frombuffer(raw[4 * n:], "<u2").reshape(n, length))
         if slots:
             yield whole(open_, slots, bodies)
 
@@ -187,6 +195,8 @@ def write(df: DataFrame, out: str, path: str, pattern: str, end: int = 50_256, k
                 filled.select("shard", F.col("value").cast("string").alias("value"))
                 .write.option("lineSep", "\n").partitionBy("shard").text(out)
             )
+    del blocks, dealt, filled
+    release(spark)
     index = _index(held, base, total, key, length, shard)
     index.write.parquet(f"{out}-index")
     discard(held)
@@ -230,15 +240,18 @@ def read(spark: SparkSession, out: str, first_slot: int = 0, length: int = LENGT
                     raise ValueError(f"shard {k} is out of step")
                 at = max(0, first_slot - k * shard)
                 for a in range(at, len(table), 8_192):
-                    body = np.ascontiguousarray(table[a:a + 8_192, :-1]).tobytes()
-                    n = len(body) // (2 * length)
-                    yield pa.RecordBatch.from_arrays([pa.array(k * shard + a + np.arange(n)), pa.array([body[i * 2 * length:(i + 1) * 2 * length] for i in range(n)], pa.binary())], ["slot", "ids"])
+                    body = np.ascontiguousarray(table[a:a + 8_192, :-1])
+                    yield pa.RecordBatch.from_arrays([pa.array(k * shard + a + np.arange(len(body))), _fixed(body, 2 * length)], ["slot", "ids"])
 
     return files.mapInArrow(run, "slot long, ids binary")
 
 
 def materialise(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, shard: int = SHARD) -> DataFrame:
-    """Write the shards into the shared folder, read them back: doc_id, seq, slot, shard, n_tokens and ids_sha256 of each sequence."""
+    """Write the shards into the shared folder, read them back: doc_id, seq, slot, shard, n_tokens and ids_sha256 of each sequence.
+
+    Null, empty and very long texts, repeated rows and ids, and an empty table are as in :func:`write`; further columns
+    of any name are ignored. Slots have no ties.
+    """
     spark = df.sparkSession
     out = new_path(spark, "shards")
     index = write(df, out, path, pattern, id_col=id_col, text_col=text_col, length=length, shard=shard)
