@@ -12,7 +12,7 @@ def label_counts(ag: AGFrame, edges: bool = False, top: int | None = None) -> Da
     """label, n, share: labels of nodes or edges, most frequent first, equal ones by name."""
     x = ag.base.select(F.explode("edges" if edges else "nodes").alias("x")).select(F.get("x.labels", F.size("x.labels") - 1).alias("label"))
     n = x.groupBy("label").agg(F.count("*").alias("n"))
-    out = n.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy()))
+    out = n.crossJoin(F.broadcast(n.agg(F.sum("n").alias("_all")))).select("label", "n", (F.col("n") / F.col("_all")).alias("share"))  # one row is sent
     return out if top is None else out.orderBy(F.desc("n"), "label").limit(top)
 
 
@@ -36,15 +36,43 @@ def method_table(df: DataFrame, dataset: str, method: str, value: str, order: st
     return last.groupBy(dataset).pivot(method, methods).agg(F.first("v"))
 
 
+#: Rows of a block of all rows, and of the queries that go past it.
+ROWS, QUERIES = 16_384, 1_024
+
+
 def knn_vote(df: DataFrame, queries: DataFrame, id_col: str, vector_col: str, label_col: str, k: int = 5) -> DataFrame:
     """id and vote: the label most frequent among the k nearest rows, itself left out; ties go to the smallest label.
 
-    ``queries`` are compared with all rows of ``df``.
+    ``queries`` go past all rows of ``df``, block by block; of each block only their k nearest rows travel on.
     """
-    q = queries.select(F.col(id_col).alias("q"), F.col(vector_col).cast("array<double>").alias("qv"))
-    c = df.select(F.col(id_col).alias("c"), F.col(vector_col).cast("array<double>").alias("cv"), F.col(label_col).alias("label"))
-    far = F.aggregate(F.zip_with("qv", "cv", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda a, x: a + x)
-    near = q.join(c, F.col("q") != F.col("c")).select("q", "c", "label", far.alias("d"))
+    vector = F.col(vector_col).cast("array<double>")
+    blocks = F.lit(max(1, -(-df.count() // ROWS)))
+    parts = F.lit(max(1, -(-queries.count() // QUERIES)))
+    deal = lambda n: F.pmod(F.xxhash64(id_col), n).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), n.cast("int") - 1))
+    q = queries.select(F.col(id_col).alias("id"), vector.alias("v"), deal(parts).alias("part")).withColumn("block", every(blocks))
+    c = df.select(F.col(id_col).alias("id"), vector.alias("v"), F.col(label_col).cast("long").alias("label"), deal(blocks).alias("block")).withColumn("part", every(parts))
+    schema = "q long, c long, label long, d double"
+
+    def run(left, right):
+        import numpy as np
+        import pyarrow as pa
+
+        matrix = lambda t: np.array(t.column("v").to_pylist(), dtype=float)
+        out = [[], [], [], []]
+        if left.num_rows and right.num_rows:
+            ids, v, labels = left.column("id").to_numpy(), matrix(left), left.column("label").to_pylist()
+            for i, x in zip(right.column("id").to_pylist(), matrix(right), strict=True):
+                far = ((v - x) ** 2).sum(axis=1)
+                far[ids == i] = np.inf
+                near = np.lexsort((ids, far))[:k]
+                for j in near[np.isfinite(far[near])].tolist():
+                    for column, value in zip(out, (i, int(ids[j]), labels[j], float(far[j])), strict=True):
+                        column.append(value)
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.float64())
+        return pa.table({n: pa.array(x, t) for n, x, t in zip(("q", "c", "label", "d"), out, kinds, strict=True)})
+
+    near = c.groupBy("block", "part").cogroup(q.groupBy("block", "part")).applyInArrow(run, schema)
     ranked = near.withColumn("k", F.row_number().over(Window.partitionBy("q").orderBy("d", "c"))).filter(F.col("k") <= k)
     votes = ranked.groupBy("q", "label").agg(F.count("*").alias("n"))
     return votes.groupBy("q").agg(F.max_by("label", F.struct("n", -F.col("label"))).alias("vote")).withColumnRenamed("q", id_col)

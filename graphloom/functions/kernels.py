@@ -64,6 +64,15 @@ def neighborhood(g: Graph, low: int, high: int) -> list[list[int]]:
     return out
 
 
+def of_degree(g: Graph, low: int, high: int) -> list[list[int]]:
+    """The nodes of a degree in range; an arc counts at both its ends."""
+    count = dict.fromkeys(g.nodes, 0)
+    for u, v in g.edges:
+        count[u] += 1
+        count[v] += 1
+    return [[n for n in g.nodes if low <= count[n] <= high]]
+
+
 def _forest(g: Graph) -> tuple[dict[int, int | None], dict[int, int]]:
     parent: dict[int, int | None] = {}
     depth: dict[int, int] = {}
@@ -411,20 +420,54 @@ def _overlap(g: Graph, parts: list[list[int]], p: dict) -> list[set[int]]:
     return out
 
 
-def set_distance(g: Graph, low: int, high: int, sets: list[list[int]]) -> list[list[bool]]:
-    """Which ordered pairs of node sets have all their nodes within reach and a least distance from low to high."""
-    far = {n: distances(g.out, n) for s in sets for n in s if n in g.out}
-    ok = [[False] * len(sets) for _ in sets]
-    for i, a in enumerate(sets):
-        for j, b in enumerate(sets):
-            if i != j and a and b and all(y in far[x] for x in a for y in b):
-                ok[i][j] = low <= min(far[x][y] for x in a for y in b) <= high
-    return ok
+class Reach:
+    """Distances between node sets up to ``high``, each found by one search that goes no farther."""
+
+    def __init__(self, g: Graph, high: int):
+        self.g, self.high, self.all_of = g, high, {}
+        self.part = {n: i for i, c in enumerate(components(g)) for n in c}
+
+    def whole(self, a: list[int], b: list[int]) -> bool:
+        """Whether every node of b can be reached from every node of a, however far."""
+        if not self.g.directed:
+            return len({self.part.get(n, -1 - i) for i, n in enumerate([*a, *b])}) == 1
+        for x in a:
+            if x not in self.all_of:
+                self.all_of[x] = set(distances(self.g.out, x)) if x in self.g.out else set()
+        return all(y in self.all_of[x] for x in a for y in b)
+
+    def ball(self, a: list[int]) -> dict[int, int]:
+        """The least distance from any node of a, of the nodes within ``high``."""
+        found = {n: 0 for n in a if n in self.g.out}
+        queue = deque(found)
+        while queue:
+            u = queue.popleft()
+            if found[u] < self.high:
+                for v in self.g.out[u]:
+                    if v not in found:
+                        found[v] = found[u] + 1
+                        queue.append(v)
+        return found
+
+
+def close_sets(g: Graph, low: int, high: int, left: list[list[int]], right: list[list[int]], same: bool = False) -> list[set[int]]:
+    """For each set of the left the numbers of those of the right that are wholly in reach at a least distance from low to high."""
+    reach, holders, out = Reach(g, high), defaultdict(set), []
+    for j, b in enumerate(right):
+        for y in b:
+            holders[y].add(j)
+    for i, a in enumerate(left):
+        least: dict[int, int] = {}
+        for y, d in reach.ball(a).items():
+            for j in holders[y]:
+                least[j] = min(d, least.get(j, d))
+        out.append({j for j, d in least.items() if low <= d and not (same and i == j) and reach.whole(a, right[j])})
+    return out
 
 
 def combinations_within(g: Graph, sets: list[list[int]], count: tuple[int, int], distance: tuple[int, int]) -> list[list[int]]:
     """Unions of every choice of k sets, each pair of which is at a distance in range."""
-    ok, out = set_distance(g, *distance, sets), []
+    ok, out = close_sets(g, *distance, sets, sets, True), []
 
     def grow(chosen: list[int], start: int) -> None:
         if count[0] <= len(chosen):
@@ -432,9 +475,9 @@ def combinations_within(g: Graph, sets: list[list[int]], count: tuple[int, int],
             if len(out) > MOST_FOUND:
                 raise ValueError("too many combinations")
         if len(chosen) < count[1]:
-            for j in range(start, len(sets)):
-                if all(ok[i][j] for i in chosen):
-                    grow([*chosen, j], j + 1)
+            every = set.intersection(*(ok[i] for i in chosen))
+            for j in sorted(x for x in every if x >= start):
+                grow([*chosen, j], j + 1)
 
     for i in range(len(sets)):
         grow([i], i + 1)
@@ -499,9 +542,3 @@ def bounded(text: str, nbits: int) -> int:
 
 
 Kernel = Callable[..., list[list[int]]]
-
-
-def set_distance_between(g: Graph, low: int, high: int, left: list[list[int]], right: list[list[int]]) -> list[list[bool]]:
-    """For each set of the left and of the right whether the right is wholly in reach at a least distance from low to high."""
-    far = {n: distances(g.out, n) for s in left for n in s}
-    return [[bool(a) and bool(b) and all(y in far[x] for x in a for y in b) and low <= min(far[x][y] for x in a for y in b) <= high for b in right] for a in left]

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from ..model import SG_COLUMNS, AGFrame
+from ..model import SG_COLUMNS, AGFrame, renumbered
 from ..operators.selection import label_at, with_labels
 from . import kernels as K
 
@@ -81,11 +81,15 @@ def name_hash(ag: AGFrame, nbits: int = 14) -> AGFrame:
 
 
 def _attributes(ag: AGFrame, combine) -> AGFrame:
-    of = ag.base.select("graph_id", F.col("nodes").alias("_bn"))
+    """Graphs in which no node has an attribute need nothing of their nodes: every one counts as [1.0]."""
+    none = ~F.exists("nodes", lambda n: n["attribute"].isNotNull())
+    of = ag.base.select("graph_id", none.alias("_none"), F.when(none, None).otherwise(F.transform("nodes", lambda n: F.struct(n["id"].alias("id"), n["attribute"].alias("attribute")))).alias("_bn"))
     own = F.transform(F.filter("_bn", lambda n: F.array_contains(F.col("nodes"), n["id"])), lambda n: F.coalesce(n["attribute"], F.array(F.lit(1.0))))
-    start = F.transform(F.get("_own", F.lit(0)), lambda x: F.lit(0.0))
-    total = F.aggregate("_own", start, lambda a, x: F.zip_with(a, x, lambda p, q: p + q))
-    rows = ag.sg.join(of, "graph_id").withColumn("_own", own).withColumn("attribute", F.when(F.size("_own") > 0, combine(total, F.size("_own"))).otherwise(F.array(F.lit(0.0))))
+    start = F.transform(F.get(own, F.lit(0)), lambda x: F.lit(0.0))
+    total = F.aggregate(own, start, lambda a, x: F.zip_with(a, x, lambda p, q: p + q))
+    plain = F.array(F.size("nodes").cast("double"))
+    value = F.when(F.col("_none"), combine(plain, F.size("nodes"))).otherwise(combine(total, F.size("nodes")))
+    rows = ag.sg.join(of, "graph_id").withColumn("attribute", F.when(F.size("nodes") > 0, value).otherwise(F.array(F.lit(0.0))))
     return ag.with_sg(rows.select(*SG_COLUMNS), ag.links)
 
 
@@ -109,8 +113,10 @@ def to_array(ag: AGFrame) -> DataFrame:
 
 
 def _degrees(ag: AGFrame) -> DataFrame:
-    ids = ag.base.select("graph_id", F.explode("nodes").alias("n"), "edges")
-    return ids.select("graph_id", F.col("n.id").alias("node_id"), F.size(F.filter("edges", lambda e: (e["src"] == F.col("n.id")) | (e["dst"] == F.col("n.id")))).cast("double").alias("degree"))
+    """Every base node's degree: the ends of all edges and the nodes themselves, counted together."""
+    ends = F.concat(F.transform("nodes", lambda n: F.struct(n["id"].alias("id"), F.lit(0).alias("one"))), F.transform("edges", lambda e: F.struct(e["src"].alias("id"), F.lit(1).alias("one"))), F.transform("edges", lambda e: F.struct(e["dst"].alias("id"), F.lit(1).alias("one"))))
+    each = ag.base.select("graph_id", F.explode(ends).alias("x")).select("graph_id", F.col("x.id").alias("node_id"), "x.one")
+    return each.groupBy("graph_id", "node_id").agg(F.sum("one").cast("double").alias("degree"))
 
 
 def vectorize(ag: AGFrame) -> DataFrame:
@@ -199,8 +205,9 @@ def to_graph(ag: AGFrame) -> DataFrame:
 
 
 def inverse_mappings(ag: AGFrame) -> DataFrame:
-    """graph_id, node_id and the ids of the subgraphs that hold the node."""
-    return ag.sg.select("graph_id", "sg_id", F.explode("nodes").alias("node_id")).groupBy("graph_id", "node_id").agg(F.sort_array(F.collect_list("sg_id")).alias("sg_ids"))
+    """graph_id, node_id and the ids of the subgraphs that hold the node; without links they are numbered first."""
+    sg = renumbered(ag.sg) if ag.links is None else ag.sg
+    return sg.select("graph_id", "sg_id", F.explode("nodes").alias("node_id")).groupBy("graph_id", "node_id").agg(F.sort_array(F.collect_list("sg_id")).alias("sg_ids"))
 
 
 #: Names of the label modes.

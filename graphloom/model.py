@@ -9,17 +9,23 @@ sg:    graph_id, sg_id, nodes array<long>, edges array<struct<src, dst>>, versio
 links: graph_id, u, v, shared_base_nodes, connected_by_base_edge
 
 Labels are kept in versions: a label rewriter adds one, and a subgraph keeps the version it was induced at.
-Undirected edges are stored once, with src <= dst. A graph has to fit into one row.
+Undirected edges are stored once, with src <= dst. A graph has to fit into one row; ``graphloom.large`` has
+the operators of graphs that don't.
+
+A subgraph names its parent by a hash of the parent's node and edge sets; the parents themselves stay in the
+collections that they were made in, which a collection holds as unevaluated plans.
 """
 
 from __future__ import annotations
 
+import re
+import uuid
 from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-META = "struct<source_function:string,params:map<string,string>,source_chain:string,user_name:string,parent_nodes:array<bigint>,parent_edges:array<struct<src:bigint,dst:bigint>>>"
+META = "struct<source_function:string,params:map<string,string>,source_chain:string,user_name:string,parent:bigint>"
 EDGE_SET = "array<struct<src:bigint,dst:bigint>>"
 SG_COLUMNS = ("graph_id", "sg_id", "nodes", "edges", "version", "label", "attribute", "ord", "meta")
 
@@ -30,7 +36,10 @@ def null_of(kind: str) -> Column:
 
 @dataclass(frozen=True)
 class AGFrame:
-    """A collection of graphs of one directedness with their subgraphs and the links among these."""
+    """A collection of graphs of one directedness with their subgraphs and the links among these.
+
+    ``induced``: all subgraphs have every base edge between their nodes; ``untouched``: they are the whole graphs.
+    """
 
     base: DataFrame
     sg: DataFrame
@@ -39,9 +48,13 @@ class AGFrame:
     version: int = 0
     chain: str | None = None
     extra: dict = field(default_factory=dict)
+    parents: tuple[DataFrame, ...] = ()
+    induced: bool = False
+    untouched: bool = False
 
-    def with_sg(self, sg: DataFrame, links: DataFrame | None = None) -> AGFrame:
-        return replace(self, sg=sg.select(*SG_COLUMNS), links=links)
+    def with_sg(self, sg: DataFrame, links: DataFrame | None = None, induced: bool | None = None) -> AGFrame:
+        """The same base with other subgraphs, whose parents may be the present ones."""
+        return replace(self, sg=sg.select(*SG_COLUMNS), links=links, parents=(*self.parents, self.sg), induced=self.induced if induced is None else induced, untouched=False)
 
     @property
     def spark(self):
@@ -53,26 +66,38 @@ class AGFrame:
             return self
         if self.directed != other.directed:
             raise ValueError("collections of different directedness can't be added")
-        base = self.base if self.base is other.base else _united(self.base, other.base)
-        sg = self.sg.unionByName(other.sg.withColumn("ord", F.col("ord") + F.lit(1 << 20)))
-        return replace(self, base=base, sg=renumbered(sg), links=None, version=max(self.version, other.version))
+        if self.base is other.base:
+            base, shift = self.base, 0
+        else:  # the right side's label versions follow the left side's
+            base, shift = _united(self, other), self.version + 1
+        sg = self.sg.unionByName(other.sg.withColumns({"ord": F.col("ord") + F.lit(1 << 20), "version": F.col("version") + F.lit(shift)}))
+        return replace(
+            self, base=base, sg=renumbered(sg), links=None, version=max(self.version, other.version + shift),
+            parents=tuple(dict.fromkeys((*self.parents, *other.parents))), induced=self.induced and other.induced, untouched=False,
+        )
 
 
-def _united(a: DataFrame, b: DataFrame) -> DataFrame:
-    both = a.withColumn("side", F.lit(0)).unionByName(b.withColumn("side", F.lit(1)))
+def padded(labels: Column, count: int) -> Column:
+    """A list of label versions made ``count`` long: the last one goes on; a missing list is all null."""
+    known = F.coalesce(labels, F.array(null_of("string")))
+    return F.slice(F.concat(known, F.array_repeat(F.get(known, F.size(known) - 1), count)), 1, count)
 
-    joined = both.groupBy("graph_id").agg(
-        F.max_by("target", "side").alias("target"),
-        F.sort_array(F.collect_list(F.struct("side", "nodes"))).alias("n"),
-        F.sort_array(F.collect_list(F.struct("side", "edges"))).alias("e"),
-    )
-    pick = lambda c, f: F.flatten(F.transform(c, lambda x: x[f]))
-    later = lambda items, same: F.filter(items, lambda x, i: ~F.exists(F.slice(items, i + 2, F.size(items)), lambda y: same(x, y)))
-    return joined.select("graph_id", "target", pick("n", "nodes").alias("nodes"), pick("e", "edges").alias("edges")).select(
-        "graph_id", "target",
-        F.sort_array(later(F.col("nodes"), lambda x, y: x["id"] == y["id"])).alias("nodes"),
-        F.sort_array(later(F.col("edges"), lambda x, y: (x["src"] == y["src"]) & (x["dst"] == y["dst"]))).alias("edges"),
-    )
+
+def _united(a: AGFrame, b: AGFrame) -> DataFrame:
+    """The nodes and edges of both sides' base graphs; label versions of the left, then of the right; else the right side counts."""
+
+    def both(column: str, key: list[str], rest: list[str]) -> DataFrame:
+        side = lambda ag, s: ag.base.select("graph_id", F.explode(column).alias("x")).select("graph_id", *[F.col(f"x.{k}").alias(k) for k in key], F.lit(True).alias(f"{s}_is"), *[F.col(f"x.{k}").alias(f"{s}_{k}") for k in ["labels", "original", *rest]])
+        joined = side(a, "a").join(side(b, "b"), ["graph_id", *key], "full_outer")
+        labels = F.concat(padded(F.col("a_labels"), a.version + 1), padded(F.col("b_labels"), b.version + 1))
+        later = lambda k: F.when(F.col("b_is"), F.col(f"b_{k}")).otherwise(F.col(f"a_{k}")).alias(k)
+        return joined.groupBy("graph_id").agg(F.sort_array(F.collect_list(F.struct(*key, labels.alias("labels"), later("original"), *[later(k) for k in rest]))).alias(column))
+
+    graphs = a.base.select("graph_id", F.lit(0).alias("side"), "target").unionByName(b.base.select("graph_id", F.lit(1).alias("side"), "target"))
+    graphs = graphs.groupBy("graph_id").agg(F.max_by("target", "side").alias("target"))
+    out = graphs.join(both("nodes", ["id"], ["attribute"]), "graph_id", "left").join(both("edges", ["src", "dst"], []), "graph_id", "left")
+    empty = lambda c: F.coalesce(F.col(c), F.array().cast(a.base.schema[c].dataType)).alias(c)
+    return out.select("graph_id", "target", empty("nodes"), empty("edges"))
 
 
 def base_from(nodes: DataFrame, edges: DataFrame, directed: bool, targets: DataFrame | None = None) -> DataFrame:
@@ -99,13 +124,33 @@ def base_from(nodes: DataFrame, edges: DataFrame, directed: bool, targets: DataF
     return out.select(F.col("graph_id").cast("long").alias("graph_id"), "target", "nodes", "edges")
 
 
+def shared_folder(spark) -> str:
+    """The folder that driver and executors share, from ``spark.checkpoint.dir``.
+
+    Where that is unset, a folder under /tmp, if driver and executors are one process; elsewhere that is an error.
+    """
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not found:
+        if not re.fullmatch(r"local(\[[^]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        found = f"/tmp/graphloom-{spark.sparkContext.applicationId}"
+    return found.rstrip("/")
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """``df`` with its lineage cut: written to the shared folder and read again."""
+    path = f"{shared_folder(df.sparkSession)}/graphloom/cut-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def whole(base: DataFrame, directed: bool) -> AGFrame:
     """The default: one subgraph per graph, the graph itself."""
     sg = base.select(
         "graph_id", F.lit(0).cast("long").alias("sg_id"), F.transform("nodes", lambda x: x["id"]).alias("nodes"), pairs(F.col("edges")).alias("edges"),
-        F.lit(0).alias("version"), null_of("long").alias("label"), null_of("array<double>").alias("attribute"), F.lit(0).cast("long").alias("ord"), null_of(META).alias("meta"),
+        F.lit(0).alias("version"), null_of("long").alias("label"), null_of("array<double>").alias("attribute"), F.lit(0).cast("long").alias("ord"), no_meta().alias("meta"),
     )
-    return AGFrame(base, sg, directed)
+    return AGFrame(base, sg, directed, induced=True, untouched=True)
 
 
 def pairs(edges: Column) -> Column:
@@ -116,24 +161,44 @@ def from_tables(nodes: DataFrame, edges: DataFrame, directed: bool, targets: Dat
     return whole(base_from(nodes, edges, directed, targets), directed)
 
 
-def meta_of(name: str, params: dict, chain: str | None, parents: bool = True) -> Column:
-    """The meta of a new subgraph; its parent is the subgraph in columns nodes and edges, if there is one."""
+def no_meta() -> Column:
+    """The meta of a graph that no operator has touched: present, but empty."""
+    fields = [("source_function", "string"), ("params", "map<string,string>"), ("source_chain", "string"), ("user_name", "string"), ("parent", "bigint")]
+    return F.struct(*[null_of(kind).alias(name) for name, kind in fields])
+
+
+def set_key() -> Column:
+    """Names the subgraph in columns nodes and edges among those of its graph."""
+    return F.xxhash64("nodes", "edges")
+
+
+def meta_of(name: str, params: dict, chain: str | None, parent: bool | Column = True) -> Column:
+    """The meta of a new subgraph; its parent is the subgraph in columns nodes and edges, a given key, or none."""
     shown = F.create_map(*[F.lit(x) for k, v in params.items() for x in (k, repr(v))]) if params else F.create_map().cast("map<string,string>")
-    nodes, edges = (F.col("nodes"), F.col("edges")) if parents else (null_of("array<bigint>"), null_of(EDGE_SET))
+    own = parent if isinstance(parent, Column) else set_key() if parent else null_of("bigint")
     return F.struct(
-        F.lit(name).alias("source_function"), shown.alias("params"), (F.lit(chain) if chain else F.lit(name)).alias("source_chain"),
-        null_of("string").alias("user_name"), nodes.alias("parent_nodes"), edges.alias("parent_edges"),
+        F.lit(name).alias("source_function"), shown.alias("params"), (F.lit(chain) if chain else F.lit(name)).alias("source_chain"), null_of("string").alias("user_name"), own.alias("parent"),
     ).cast(META)
 
 
-def induced(ag: AGFrame, rows: DataFrame, keep_label: bool = False) -> AGFrame:
+def induced(ag: AGFrame, rows: DataFrame) -> AGFrame:
     """Subgraphs from ``rows`` (graph_id, nodes, meta[, ord]): all base edges between the nodes, at the current label version."""
     if "ord" not in rows.columns:
         rows = rows.withColumn("ord", F.lit(0).cast("long"))
     of = ag.base.select("graph_id", pairs(F.col("edges")).alias("_base_edges"))
     inside = F.filter("_base_edges", lambda e: F.array_contains(F.col("nodes"), e["src"]) & F.array_contains(F.col("nodes"), e["dst"]))
     edges = F.when(F.size("nodes") < 2, F.array().cast(EDGE_SET)).otherwise(inside)
-    return ag.with_sg(_fresh(rows.join(of, "graph_id").withColumn("edges", edges), ag.version))
+    return ag.with_sg(_fresh(rows.join(of, "graph_id").withColumn("edges", edges), ag.version), induced=True)
+
+
+def kept(ag: AGFrame, rows: DataFrame) -> AGFrame:
+    """Some of the subgraphs, induced anew unless they are already, at the current label version."""
+    return ag.with_sg(_fresh(rows, ag.version)) if ag.induced else induced(ag, rows.select("graph_id", "nodes", "ord", "meta"))
+
+
+def ready(ag: AGFrame, rows: DataFrame) -> AGFrame:
+    """Subgraphs from ``rows`` (graph_id, nodes, edges, ord, meta) whose edges are all base edges between the nodes."""
+    return ag.with_sg(_fresh(rows, ag.version), induced=True)
 
 
 def edge_induced(ag: AGFrame, rows: DataFrame) -> AGFrame:
@@ -141,7 +206,7 @@ def edge_induced(ag: AGFrame, rows: DataFrame) -> AGFrame:
     if "ord" not in rows.columns:
         rows = rows.withColumn("ord", F.lit(0).cast("long"))
     ends = F.array_sort(F.array_distinct(F.concat(F.transform("edges", lambda e: e["src"]), F.transform("edges", lambda e: e["dst"]))))
-    return ag.with_sg(_fresh(rows.withColumn("edges", F.sort_array("edges")).withColumn("nodes", ends), ag.version))
+    return ag.with_sg(_fresh(rows.withColumn("edges", F.sort_array("edges")).withColumn("nodes", ends), ag.version), induced=False)
 
 
 def _fresh(rows: DataFrame, version: int) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
 from ..functions import kernels as K
-from ..model import EDGE_SET, SG_COLUMNS, AGFrame, edge_induced, induced, meta_of, null_of, pairs, renumbered
+from ..model import EDGE_SET, SG_COLUMNS, AGFrame, cut, edge_induced, induced, meta_of, null_of, pairs, renumbered, set_key
 from .registry import operator, span
 from .structure import global_nodes
 
@@ -63,7 +63,8 @@ def add(ag: AGFrame, children, dedup: bool = True) -> AGFrame:
         for i, r in enumerate(results):
             own = r.sg.withColumn("ord", F.lit(i).cast("long"))
             sg = own if sg is None else sg.unionByName(own)
-        return replace(ag.with_sg(sg), version=max(r.version for r in results))
+        parents = tuple(dict.fromkeys(p for r in results for p in r.parents))
+        return replace(ag.with_sg(sg), version=max(r.version for r in results), parents=parents, induced=all(r.induced for r in results))
     total = results[0]
     for r in results[1:]:
         total = total + r
@@ -107,7 +108,8 @@ def _gathered(parts: list[AGFrame], ag: AGFrame) -> AGFrame:
     base, sg = parts[0].base, parts[0].sg
     for p in parts[1:]:
         base, sg = base.unionByName(p.base), sg.unionByName(p.sg)
-    return replace(ag, base=base, sg=sg, links=None, version=max(p.version for p in parts))
+    parents = tuple(dict.fromkeys(x for p in parts for x in p.parents))
+    return replace(ag, base=base, sg=sg, links=None, version=max(p.version for p in parts), parents=parents, induced=all(p.induced for p in parts), untouched=False)
 
 
 @operator("if_then_elif_else", "agnostic", "control")
@@ -138,12 +140,8 @@ def for_loop(ag: AGFrame, children, n_iterations: int = 1) -> AGFrame:
 
 
 def _written(ag: AGFrame) -> AGFrame:
-    """The collection with its lineage cut: checkpointed in the folder that all executors share."""
-    sc = ag.spark.sparkContext
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        found = ag.spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-        sc.setCheckpointDir(found or f"/tmp/graphloom-{sc.applicationId}")
-    return replace(ag, sg=ag.sg.checkpoint(), base=ag.base.checkpoint())
+    """The collection with its lineage cut, in the folder that all executors share."""
+    return replace(ag, sg=cut(ag.sg), base=cut(ag.base))
 
 
 @operator("while_loop", "agnostic", "control", max_iterations=100)
@@ -184,9 +182,14 @@ def edge_complement(ag: AGFrame) -> AGFrame:
 
 
 def _by_parent(ag: AGFrame) -> DataFrame:
-    p_nodes, p_edges = F.coalesce(F.col("meta.parent_nodes"), F.col("nodes")), F.coalesce(F.col("meta.parent_edges"), F.col("edges"))
-    rows = ag.sg.select("graph_id", "nodes", "edges", "ord", p_nodes.alias("p_nodes"), p_edges.alias("p_edges"))
-    return rows.groupBy("graph_id", "p_nodes", "p_edges").agg(F.array_distinct(F.flatten(F.collect_list("nodes"))).alias("all_nodes"), F.array_distinct(F.flatten(F.collect_list("edges"))).alias("all_edges"), F.min("ord").alias("ord"))
+    """graph_id, p_nodes, p_edges, all_nodes, all_edges, ord: each parent's sets, and those of its children together."""
+    every = None
+    for sg in dict.fromkeys((*ag.parents, ag.sg)):
+        own = sg.select("graph_id", set_key().alias("parent"), F.col("nodes").alias("p_nodes"), F.col("edges").alias("p_edges"))
+        every = own if every is None else every.unionByName(own)
+    rows = ag.sg.select("graph_id", F.coalesce("meta.parent", set_key()).alias("parent"), "nodes", "edges", "ord")
+    children = rows.groupBy("graph_id", "parent").agg(F.array_distinct(F.flatten(F.collect_list("nodes"))).alias("all_nodes"), F.array_distinct(F.flatten(F.collect_list("edges"))).alias("all_edges"), F.min("ord").alias("ord"))
+    return children.join(every.dropDuplicates(["graph_id", "parent"]), ["graph_id", "parent"])
 
 
 @operator("local_complement", "weak")
@@ -194,15 +197,15 @@ def local_complement(ag: AGFrame) -> AGFrame:
     """For each parent its nodes in none of its children, with the parent's edges among them; none if all are covered."""
     rows = _by_parent(ag).withColumn("left", F.array_sort(F.array_except("p_nodes", "all_nodes"))).filter(F.size("left") > 0)
     inside = F.filter("p_edges", lambda e: F.array_contains(F.col("left"), e["src"]) & F.array_contains(F.col("left"), e["dst"]))
-    rows = rows.select("graph_id", F.col("left").alias("nodes"), inside.alias("edges"), "ord").withColumn("meta", meta_of("local_complement", {}, ag.chain))
-    return ag.with_sg(_plain(rows, ag.version))
+    rows = rows.withColumn("meta", meta_of("local_complement", {}, ag.chain, F.col("parent"))).select("graph_id", F.col("left").alias("nodes"), inside.alias("edges"), "ord", "meta")
+    return ag.with_sg(_plain(rows, ag.version), induced=False)
 
 
 @operator("local_edge_complement", "preserve")
 def local_edge_complement(ag: AGFrame) -> AGFrame:
     """For each parent its edges in none of its children; none if all are covered."""
     rows = _by_parent(ag).withColumn("edges", F.sort_array(F.array_except("p_edges", "all_edges"))).filter(F.size("edges") > 0)
-    rows = rows.withColumn("nodes", F.col("p_nodes")).withColumn("meta", meta_of("local_edge_complement", {}, ag.chain))
+    rows = rows.withColumn("meta", meta_of("local_edge_complement", {}, ag.chain, F.col("parent")))
     return edge_induced(ag, rows.select("graph_id", "edges", "ord", "meta"))
 
 
@@ -294,8 +297,7 @@ def binary_combination(a: AGFrame, b: AGFrame, first_second_distance=(0, 1)) ->
 
     def run(sets, g):
         left, right = ([s[1:] for s in sets if s[0] == k] for k in (0, 1))
-        ok = K.set_distance_between(g, low, high, left, right)
-        return [sorted({*x, *y}) for x, row in zip(left, ok, strict=True) for y, yes in zip(right, row, strict=True) if yes]
+        return [sorted({*x, *right[j]}) for x, near in zip(left, K.close_sets(g, low, high, left, right), strict=True) for j in sorted(near)]
 
     return global_nodes(replace(a, sg=sides), run, "binary_combination", {"first_second_distance": first_second_distance})
 

@@ -8,33 +8,28 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import kernels as K
-from ..model import SG_COLUMNS, AGFrame, induced, meta_of, renumbered
+from ..model import SG_COLUMNS, AGFrame, induced, kept, meta_of, padded, ready, renumbered
 from .algebra import n_components
 from .registry import operator, span
-from .structure import local_parts
-
-
-def _again(ag: AGFrame, sg: DataFrame) -> AGFrame:
-    """What a filter keeps is induced anew from the base graph; meta is kept."""
-    return induced(ag, sg.select("graph_id", "nodes", "ord", "meta"))
+from .structure import local_parts, random_part
 
 
 @operator("filter_by_number_of_connected_components", "weak", number_of_components=(1, 1))
 def filter_by_number_of_connected_components(ag: AGFrame, number_of_components=(1, 1)) -> AGFrame:
     """Subgraphs whose number of components is in range."""
-    return _again(ag, ag.sg.filter(n_components("nodes", "edges").between(*span(number_of_components))))
+    return kept(ag, ag.sg.filter(n_components("nodes", "edges").between(*span(number_of_components))))
 
 
 @operator("filter_by_number_of_nodes", "preserve", number_of_nodes=(1, 10))
 def filter_by_number_of_nodes(ag: AGFrame, number_of_nodes=(1, 10)) -> AGFrame:
     """Subgraphs whose number of nodes is in range."""
-    return _again(ag, ag.sg.filter(F.size("nodes").between(*span(number_of_nodes))))
+    return kept(ag, ag.sg.filter(F.size("nodes").between(*span(number_of_nodes))))
 
 
 @operator("filter_by_number_of_edges", "preserve", number_of_edges=(1, 10))
 def filter_by_number_of_edges(ag: AGFrame, number_of_edges=(1, 10)) -> AGFrame:
     """Subgraphs whose number of edges is in range."""
-    return _again(ag, ag.sg.filter(F.size("edges").between(*span(number_of_edges))))
+    return kept(ag, ag.sg.filter(F.size("edges").between(*span(number_of_edges))))
 
 
 def label_at(labels: Column, version: Column) -> Column:
@@ -42,53 +37,66 @@ def label_at(labels: Column, version: Column) -> Column:
     return F.get(labels, F.least(version, F.size(labels) - 1))
 
 
-def with_labels(ag: AGFrame, sg: DataFrame) -> DataFrame:
-    """``sg`` with node_labels array<struct<id, label>> and edge_labels array<struct<src, dst, label>>, at each row's version."""
+def with_labels(ag: AGFrame, sg: DataFrame, key: str = "label") -> DataFrame:
+    """``sg`` with node_labels array<struct<id, label>> and edge_labels array<struct<src, dst, label>>, at each row's version.
+
+    With ``key`` original_label the saved labels in their place; any other key is one that nothing has.
+    """
     of = ag.base.select("graph_id", F.col("nodes").alias("_bn"), F.col("edges").alias("_be"))
     rows = sg.join(of, "graph_id")
-    v = F.col("version")
-    nodes = F.transform(F.filter("_bn", lambda n: F.array_contains(F.col("nodes"), n["id"])), lambda n: F.struct(n["id"].alias("id"), label_at(n["labels"], v).alias("label")))
+    of_key = {"label": lambda x: label_at(x["labels"], F.col("version")), "original_label": lambda x: x["original"]}.get(key, lambda x: F.lit(None).cast("string"))
+    nodes = F.transform(F.filter("_bn", lambda n: F.array_contains(F.col("nodes"), n["id"])), lambda n: F.struct(n["id"].alias("id"), of_key(n).alias("label")))
     edges = F.transform(
         F.filter("_be", lambda e: F.array_contains(F.col("edges"), F.struct(e["src"].alias("src"), e["dst"].alias("dst")))),
-        lambda e: F.struct(e["src"].alias("src"), e["dst"].alias("dst"), label_at(e["labels"], v).alias("label")),
+        lambda e: F.struct(e["src"].alias("src"), e["dst"].alias("dst"), of_key(e).alias("label")),
     )
     return rows.withColumn("node_labels", nodes).withColumn("edge_labels", edges).drop("_bn", "_be")
 
 
-def _by_label(ag: AGFrame, column: str, must, cannot) -> AGFrame:
-    rows = with_labels(ag, ag.sg)
+def _by_label(ag: AGFrame, column: str, key: str, must, cannot) -> AGFrame:
+    rows = with_labels(ag, ag.sg, key)
     value = lambda x: F.coalesce(x["label"], F.lit("0"))
-    if must is not None:
+    if must:
         rows = rows.filter(F.exists(column, lambda x: value(x).isin([str(m) for m in must])))
-    if cannot is not None:
+    if cannot:
         rows = rows.filter(~F.exists(column, lambda x: value(x).isin([str(m) for m in cannot])))
-    return _again(ag, rows.select(*SG_COLUMNS))
+    return kept(ag, rows.select(*SG_COLUMNS))
 
 
 @operator("filter_by_node_label", "preserve", key="label", must_have_one_of=None, cannot_have_any_in=None)
 def filter_by_node_label(ag: AGFrame, key: str = "label", must_have_one_of=None, cannot_have_any_in=None) -> AGFrame:
-    """Subgraphs with one of these node labels at least, and none of those; a missing label counts as 0."""
-    return _by_label(ag, "node_labels", must_have_one_of, cannot_have_any_in)
+    """Subgraphs with one of these node labels at least, and none of those; what has no such key counts as 0. An empty list asks for nothing."""
+    return _by_label(ag, "node_labels", key, must_have_one_of, cannot_have_any_in)
 
 
 @operator("filter_by_edge_label", "preserve", key="label", must_have_one_of=None, cannot_have_any_in=None)
 def filter_by_edge_label(ag: AGFrame, key: str = "label", must_have_one_of=None, cannot_have_any_in=None) -> AGFrame:
-    """Subgraphs with one of these edge labels at least, and none of those; a missing label counts as 0."""
-    return _by_label(ag, "edge_labels", must_have_one_of, cannot_have_any_in)
+    """Subgraphs with one of these edge labels at least, and none of those; what has no such key counts as 0. An empty list asks for nothing."""
+    return _by_label(ag, "edge_labels", key, must_have_one_of, cannot_have_any_in)
 
 
-def _stay(ag: AGFrame, kept: DataFrame) -> AGFrame:
-    """``kept`` rows as they are, with the links among them."""
+def _stay(ag: AGFrame, rows: DataFrame) -> AGFrame:
+    """``rows`` of the subgraphs as they are, with the links among them."""
     if ag.links is None:
-        return ag.with_sg(kept)
-    ids = kept.select("graph_id", F.col("sg_id").alias("id"))
+        return ag.with_sg(rows)
+    ids = rows.select("graph_id", F.col("sg_id").alias("id"))
     links = ag.links.join(ids.withColumnRenamed("id", "u"), ["graph_id", "u"], "left_semi").join(ids.withColumnRenamed("id", "v"), ["graph_id", "v"], "left_semi")
-    return ag.with_sg(kept, links)
+    return ag.with_sg(rows, links)
 
 
 @operator("filter_by_sampling", "preserve", n_samples=1, seed=None)
 def filter_by_sampling(ag: AGFrame, n_samples=1, seed=None) -> AGFrame:
-    """A seeded sample of each graph's subgraphs: so many, or a fraction of them and one at least."""
+    """A seeded sample of each graph's subgraphs: so many, or a fraction of them and one at least. A graph whose only subgraph is itself gives random parts."""
+    of = ag.base.select("graph_id", F.size("nodes").alias("_n"), F.size("edges").alias("_e"))
+    alone = ag.sg.groupBy("graph_id").agg(F.count("*").alias("_c"), F.max(F.size("nodes")).alias("_sn"), F.max(F.size("edges")).alias("_se")).filter(F.col("_c") == 1)
+    whole = alone.join(of, "graph_id").filter((F.col("_sn") == F.col("_n")) & (F.col("_se") == F.col("_e"))).select("graph_id")
+    drawn = random_part(n_samples=n_samples, seed=0 if seed is None else seed)(replace(ag, sg=ag.sg.join(whole, "graph_id", "left_semi"), links=None))
+    several = replace(ag, sg=ag.sg.join(whole, "graph_id", "left_anti"))
+    sampled = _sampled(several, n_samples, seed)
+    return replace(sampled, sg=sampled.sg.unionByName(drawn.sg), parents=(*sampled.parents, *drawn.parents), induced=sampled.induced and drawn.induced)
+
+
+def _sampled(ag: AGFrame, n_samples, seed) -> AGFrame:
     sg = renumbered(ag.sg) if ag.links is None else ag.sg
     by = Window.partitionBy("graph_id")
     order = by.orderBy(F.xxhash64(F.lit(0 if seed is None else int(seed)), "graph_id", "nodes", "edges"), "sg_id")
@@ -119,9 +127,8 @@ def connected_components_from_feature_ranking(ag: AGFrame, ranked_features=(), m
     top = scored.withColumn("_k", k).filter(F.col("_k") <= max_num_base_nodes).groupBy("graph_id").agg(F.sort_array(F.collect_list("n")).alias("nodes"))
     params = {"max_num_base_nodes": max_num_base_nodes, "node_agg": node_agg, "min_component_size": min_component_size}
     picked = induced(ag, top.withColumn("meta", meta_of("connected_components_from_feature_ranking", params, ag.chain, False)))
-    parts = local_parts(picked.sg, K.components, ag.directed).filter(F.size("part") >= min_component_size)
-    rows = parts.select("graph_id", F.array_sort("part").alias("nodes"), "ord").withColumn("meta", meta_of("connected_components_from_feature_ranking", params, ag.chain, False))
-    return induced(ag, rows)
+    parts = local_parts(picked, K.components).filter(F.size("nodes") >= min_component_size)
+    return ready(ag, parts.withColumn("meta", meta_of("connected_components_from_feature_ranking", params, ag.chain, False)))
 
 
 # ---- labels ------------------------------------------------------------------------------------
@@ -132,7 +139,7 @@ def _relabelled(ag: AGFrame, new, original) -> AGFrame:
 
     def step(x: Column) -> Column:
         last = F.get(x["labels"], F.size(x["labels"]) - 1)
-        return F.array_append(F.slice(F.concat(x["labels"], F.array_repeat(last, ag.version + 1)), 1, ag.version + 1), new(last, x["original"]))
+        return F.array_append(padded(x["labels"], ag.version + 1), new(last, x["original"]))
 
     keep = lambda x: original(F.get(x["labels"], F.size(x["labels"]) - 1), x["original"])
     nodes = F.transform("nodes", lambda x: F.struct(x["id"].alias("id"), step(x).alias("labels"), keep(x).alias("original"), x["attribute"].alias("attribute")))

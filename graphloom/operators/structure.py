@@ -1,110 +1,198 @@
-"""Decompositions of each mapped subgraph: native where they are expressions, Arrow kernels where they aren't."""
+"""Decompositions of each mapped subgraph: native where they are expressions, Arrow kernels where they aren't.
+
+A kernel gets a subgraph's adjacency once and hands back lists of nodes; their induced edges are looked up in the
+adjacency of the base graph, which travels with the few rows that go in and not with the many that come out.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import kernels as K
-from ..model import EDGE_SET, AGFrame, edge_induced, induced, meta_of
+from ..model import EDGE_SET, AGFrame, edge_induced, meta_of, pairs, ready, set_key
 from .registry import operator, span
 
 #: Components that a kernel hands back at once.
-FLUSH = 4_096
-PARTS = f"graph_id bigint, nodes array<bigint>, edges {EDGE_SET}, ord bigint, part array<bigint>"
+FLUSH = 8_192
+PARTS = f"graph_id bigint, ord bigint, parent bigint, nodes array<bigint>, edges {EDGE_SET}"
 
 
-def _pairs(edges) -> list[tuple[int, int]]:
-    return [(e["src"], e["dst"]) for e in edges]
+def _lists(column) -> list[list[int]]:
+    return column.to_pylist()
 
 
-def local_parts(sg: DataFrame, fn, directed: bool) -> DataFrame:
-    """graph_id, nodes, edges, ord of each subgraph with ``part``: one row per list of nodes that ``fn(Graph)`` gives.
+def _arcs(column) -> list[list[tuple[int, int]]]:
+    """The edge lists of a column, without a dictionary for each edge."""
+    flat, offsets = column.flatten(), column.offsets.to_pylist()
+    every = list(zip(flat.field(0).to_pylist(), flat.field(1).to_pylist(), strict=True))
+    return [every[a - offsets[0]:b - offsets[0]] for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
 
-    One pass over the rows, without a shuffle.
-    """
 
-    def run(batches):
+def _checked(found):
+    if not isinstance(found, list):
+        raise TypeError(f"a decomposition gives a list of components, not {type(found).__name__}")
+    return found
+
+
+class _Out:
+    """Rows of PARTS, gathered column by column."""
+
+    def __init__(self):
+        self.heads, self.nodes, self.src, self.dst, self.n_at, self.e_at = [], [], [], [], [0], [0]
+
+    def add(self, head, nodes, edges) -> None:
+        self.heads.append(head)
+        self.nodes += nodes
+        self.src += [u for u, _ in edges]
+        self.dst += [v for _, v in edges]
+        self.n_at.append(len(self.nodes))
+        self.e_at.append(len(self.src))
+
+    def full(self) -> bool:
+        return len(self.heads) >= FLUSH
+
+    def batch(self):
         import pyarrow as pa
 
-        kinds = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.struct([("src", pa.int64()), ("dst", pa.int64())])), pa.int64(), pa.list_(pa.int64())]
+        arcs = pa.StructArray.from_arrays([pa.array(self.src, pa.int64()), pa.array(self.dst, pa.int64())], ["src", "dst"])
+        out = [pa.array([h[i] for h in self.heads], pa.int64()) for i in range(3)]
+        out += [pa.ListArray.from_arrays(pa.array(self.n_at, pa.int32()), pa.array(self.nodes, pa.int64())), pa.ListArray.from_arrays(pa.array(self.e_at, pa.int32()), arcs)]
+        self.__init__()
+        return pa.RecordBatch.from_arrays(out, ["graph_id", "ord", "parent", "nodes", "edges"])
+
+
+def _among(nodes: list[int], ahead: dict[int, list[int]]) -> list[tuple[int, int]]:
+    """The edges between these nodes, which are in order."""
+    if len(nodes) < 2:
+        return []
+    inside = set(nodes)
+    return [(u, v) for u in nodes for v in ahead.get(u, ()) if v in inside]
+
+
+def _ahead(arcs: list[tuple[int, int]]) -> dict[int, list[int]]:
+    out: dict[int, list[int]] = {}
+    for u, v in sorted(arcs):
+        out.setdefault(u, []).append(v)
+    return out
+
+
+def _going_in(ag: AGFrame) -> DataFrame:
+    """The subgraphs with their key and the base graph's edges (null where these are their own)."""
+    rows = ag.sg.select("graph_id", "ord", set_key().alias("parent"), "nodes", "edges")
+    if ag.untouched:
+        return rows.withColumn("arcs", F.lit(None).cast(EDGE_SET))
+    return rows.join(ag.base.select("graph_id", pairs(F.col("edges")).alias("arcs")), "graph_id")
+
+
+def local_parts(ag: AGFrame, fn) -> DataFrame:
+    """graph_id, ord, parent, nodes, edges: one row per list of nodes that ``fn(Graph)`` gives for a subgraph, with the edges of the base graph.
+
+    One pass over the rows. Node lists are made distinct and put in order.
+    """
+    directed = ag.directed
+
+    def run(batches):
+        out = _Out()
         for batch in batches:
-            out: list[list] = [[], [], [], [], []]
-
-            def flush(out=out):
-                got = pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, kinds, strict=True)], ["graph_id", "nodes", "edges", "ord", "part"])
-                for x in out:
-                    x.clear()
-                return got
-
-            for graph_id, nodes, edges, order in zip(*(batch.column(c).to_pylist() for c in ("graph_id", "nodes", "edges", "ord")), strict=True):
-                found = fn(K.Graph(nodes, _pairs(edges), directed))
-                if not isinstance(found, list):
-                    raise TypeError(f"a decomposition gives a list of components, not {type(found).__name__}")
+            arcs_of = batch.column("arcs")
+            columns = [batch.column(c).to_pylist() for c in ("graph_id", "ord", "parent")]
+            given, held = _arcs(arcs_of) if arcs_of.null_count == 0 else None, (None, {})
+            for i, (nodes, edges) in enumerate(zip(_lists(batch.column("nodes")), _arcs(batch.column("edges")), strict=True)):
+                graph_id, order, parent = (c[i] for c in columns)
+                found = _checked(fn(K.Graph(nodes, edges, directed)))
+                if given is None:
+                    ahead = _ahead(edges)
+                else:
+                    held = held if held[0] == graph_id else (graph_id, _ahead(given[i]))
+                    ahead = held[1]
                 for part in found:
-                    for column, v in zip(out, (graph_id, nodes, edges, order, part), strict=True):
-                        column.append(v)
-                    if len(out[0]) >= FLUSH:
-                        yield flush()
-            yield flush()
+                    own = sorted(set(part))
+                    out.add((graph_id, order, parent), own, _among(own, ahead))
+                    if out.full():
+                        yield out.batch()
+        yield out.batch()
 
-    return sg.select("graph_id", "nodes", "edges", "ord").mapInArrow(run, PARTS)
+    return _going_in(ag).mapInArrow(run, PARTS)
 
 
 def local_nodes(ag: AGFrame, fn, name: str, params: dict | None = None, skip_empty: bool = False) -> AGFrame:
     """Custom operator: ``fn(Graph) -> list of node lists`` for each subgraph; each becomes a node-induced subgraph."""
-    parts = local_parts(ag.sg, fn, ag.directed)
-    rows = parts.withColumn("meta", meta_of(name, params or {}, ag.chain)).select("graph_id", F.array_sort(F.array_distinct("part")).alias("nodes"), "ord", "meta")
-    return induced(ag, rows.filter(F.size("nodes") > 0) if skip_empty else rows)
+    rows = local_parts(ag, fn).withColumn("meta", meta_of(name, params or {}, ag.chain, F.col("parent")))
+    return ready(ag, rows.filter(F.size("nodes") > 0) if skip_empty else rows)
+
+
+def _edge_rows(found, directed: bool, head, out: _Out) -> None:
+    for part in _checked(found):
+        arcs = list(dict.fromkeys((u, v) if directed else (min(u, v), max(u, v)) for u, v in part))
+        out.add(head, [], arcs)
 
 
 def local_edges(ag: AGFrame, fn, name: str, params: dict | None = None, skip_empty: bool = False) -> AGFrame:
     """Custom operator: ``fn(Graph) -> list of edge lists``; each becomes an edge-induced subgraph."""
+    directed = ag.directed
 
-    def flat(g: K.Graph) -> list[list[int]]:
-        found = fn(g)
-        if not isinstance(found, list):
-            raise TypeError(f"a decomposition gives a list of components, not {type(found).__name__}")
-        return [[n for e in part for n in e] for part in found]
-
-    parts = local_parts(ag.sg, flat, ag.directed).withColumn("meta", meta_of(name, params or {}, ag.chain))
-    ends = F.transform(F.sequence(F.lit(0), F.greatest(F.floor(F.size("part") / 2).cast("int") - 1, F.lit(0))), lambda i: F.struct(F.get("part", 2 * i).alias("src"), F.get("part", 2 * i + 1).alias("dst")))
-    edges = F.when(F.size("part") == 0, F.array().cast(EDGE_SET)).otherwise(F.array_distinct(ends if ag.directed else F.transform(ends, lambda e: F.struct(F.least(e["src"], e["dst"]).alias("src"), F.greatest(e["src"], e["dst"]).alias("dst")))))
-    rows = parts.select("graph_id", edges.alias("edges"), "ord", "meta")
+    def run(batches):
+        out = _Out()
+        for batch in batches:
+            columns = [batch.column(c).to_pylist() for c in ("graph_id", "ord", "parent")]
+            for i, (nodes, edges) in enumerate(zip(_lists(batch.column("nodes")), _arcs(batch.column("edges")), strict=True)):
+                _edge_rows(fn(K.Graph(nodes, edges, directed)), directed, tuple(c[i] for c in columns), out)
+                if out.full():
+                    yield out.batch()
+        yield out.batch()
+
+    rows = ag.sg.select("graph_id", "ord", set_key().alias("parent"), "nodes", "edges").mapInArrow(run, PARTS)
+    rows = rows.withColumn("meta", meta_of(name, params or {}, ag.chain, F.col("parent"))).select("graph_id", "edges", "ord", "meta")
     return edge_induced(ag, rows.filter(F.size("edges") > 0) if skip_empty else rows)
 
 
-def global_parts(ag: AGFrame, fn) -> DataFrame:
-    """graph_id, part for each list that ``fn(list of node lists, Graph of the base)`` gives; one row per graph goes in."""
+def _all_of_each(ag: AGFrame, with_edges: bool) -> DataFrame:
+    """graph_id, ids, arcs (of the base graph), sets and set_edges (of all subgraphs in order): one row a graph."""
+    item = [F.col("ord"), F.size("nodes").alias("size"), F.col("nodes"), *([F.col("edges")] if with_edges else [])]
+    per_graph = ag.sg.groupBy("graph_id").agg(F.sort_array(F.collect_list(F.struct(*item))).alias("all"))
+    rows = ag.base.select("graph_id", F.transform("nodes", lambda x: x["id"]).alias("ids"), pairs(F.col("edges")).alias("arcs")).join(per_graph, "graph_id")
+    more = [F.transform("all", lambda x: x["edges"]).alias("set_edges")] if with_edges else []
+    return rows.select("graph_id", "ids", "arcs", F.transform("all", lambda x: x["nodes"]).alias("sets"), *more)
+
+
+def global_nodes(ag: AGFrame, fn, name: str, params: dict | None = None, skip_empty: bool = False) -> AGFrame:
+    """Custom operator: ``fn(list of node lists, Graph of the base) -> node lists`` over all subgraphs of a graph; no parent is recorded."""
     directed = ag.directed
-    per_graph = ag.sg.groupBy("graph_id").agg(F.sort_array(F.collect_list(F.struct("ord", F.size("nodes").alias("size"), "nodes"))).alias("all"))
-    rows = ag.base.select("graph_id", F.transform("nodes", lambda x: x["id"]).alias("ids"), F.transform("edges", lambda e: F.struct(e["src"].alias("src"), e["dst"].alias("dst"))).alias("arcs"))
-    rows = rows.join(per_graph, "graph_id").select("graph_id", "ids", "arcs", F.transform("all", lambda x: x["nodes"]).alias("sets"))
 
     def run(batches):
-        import pyarrow as pa
-
+        out = _Out()
         for batch in batches:
-            for graph_id, ids, arcs, sets in zip(*(batch.column(c).to_pylist() for c in ("graph_id", "ids", "arcs", "sets")), strict=True):
-                found = fn(sets, K.Graph(ids, _pairs(arcs), directed))
-                if not isinstance(found, list):
-                    raise TypeError(f"a decomposition gives a list of components, not {type(found).__name__}")
-                for at in range(0, len(found), FLUSH):
-                    part = found[at:at + FLUSH]
-                    yield pa.RecordBatch.from_arrays([pa.array([graph_id] * len(part), pa.int64()), pa.array(part, pa.list_(pa.int64()))], ["graph_id", "part"])
+            for graph_id, ids, arcs, sets in zip(batch.column("graph_id").to_pylist(), _lists(batch.column("ids")), _arcs(batch.column("arcs")), _lists(batch.column("sets")), strict=True):
+                ahead = _ahead(arcs)
+                for part in _checked(fn(sets, K.Graph(ids, arcs, directed))):
+                    own = sorted(set(part))
+                    out.add((graph_id, 0, 0), own, _among(own, ahead))
+                    if out.full():
+                        yield out.batch()
+        yield out.batch()
 
-    return rows.mapInArrow(run, "graph_id bigint, part array<bigint>")
+    rows = _all_of_each(ag, False).mapInArrow(run, PARTS).withColumn("meta", meta_of(name, params or {}, ag.chain, False))
+    return ready(ag, rows.filter(F.size("nodes") > 0) if skip_empty else rows)
 
 
-def global_nodes(ag: AGFrame, fn, name: str, params: dict | None = None, skip_empty: bool = False) -> AGFrame:
-    """Custom operator over all subgraphs of a graph at once; no parent is recorded."""
-    rows = global_parts(ag, fn).withColumn("meta", meta_of(name, params or {}, ag.chain, False))
-    rows = rows.select("graph_id", F.array_sort(F.array_distinct("part")).alias("nodes"), "meta")
-    return induced(ag, rows.filter(F.size("nodes") > 0) if skip_empty else rows)
-
+def global_edges(ag: AGFrame, fn, name: str, params: dict | None = None, skip_empty: bool = False) -> AGFrame:
+    """Custom operator: ``fn(list of Graphs, Graph of the base) -> edge lists`` over all subgraphs of a graph; no parent is recorded."""
+    directed = ag.directed
 
-def _rows(ag: AGFrame, sg: DataFrame, nodes: Column, name: str, params: dict) -> DataFrame:
-    return sg.withColumn("meta", meta_of(name, params, ag.chain)).select("graph_id", nodes.alias("nodes"), "ord", "meta")
+    def run(batches):
+        out = _Out()
+        for batch in batches:
+            for graph_id, ids, arcs, sets, edges in zip(batch.column("graph_id").to_pylist(), _lists(batch.column("ids")), _arcs(batch.column("arcs")), _lists(batch.column("sets")), batch.column("set_edges").to_pylist(), strict=True):
+                graphs = [K.Graph(n, [(x["src"], x["dst"]) for x in e], directed) for n, e in zip(sets, edges, strict=True)]
+                _edge_rows(fn(graphs, K.Graph(ids, arcs, directed)), directed, (graph_id, 0, 0), out)
+                if out.full():
+                    yield out.batch()
+        yield out.batch()
+
+    rows = _all_of_each(ag, True).mapInArrow(run, PARTS).withColumn("meta", meta_of(name, params or {}, ag.chain, False))
+    rows = rows.select("graph_id", "edges", "ord", "meta")
+    return edge_induced(ag, rows.filter(F.size("edges") > 0) if skip_empty else rows)
 
 
 @operator("identity", "preserve")
@@ -118,42 +206,17 @@ def node(ag: AGFrame) -> AGFrame:
     """One subgraph for each node."""
     rows = ag.sg.withColumn("meta", meta_of("node", {}, ag.chain)).withColumn("n", F.explode("nodes"))
     out = rows.select("graph_id", F.lit(0).cast("long").alias("sg_id"), F.array("n").alias("nodes"), F.array().cast(EDGE_SET).alias("edges"), F.lit(ag.version).alias("version"), F.lit(None).cast("long").alias("label"), F.lit(None).cast("array<double>").alias("attribute"), "ord", "meta")
-    return ag.with_sg(out)
+    return ag.with_sg(out, induced=True)
 
 
 @operator("edge", "preserve")
 def edge(ag: AGFrame) -> AGFrame:
     """One subgraph of two nodes for each edge, with all base edges between them."""
-    rows = ag.sg.withColumn("meta", meta_of("edge", {}, ag.chain)).withColumn("e", F.explode("edges"))
     if ag.directed:
-        return induced(ag, rows.select("graph_id", F.array_sort(F.array("e.src", "e.dst")).alias("nodes"), "ord", "meta"))
+        return local_nodes(ag, lambda g: [list(e) for e in g.edges], "edge")
+    rows = ag.sg.withColumn("meta", meta_of("edge", {}, ag.chain)).withColumn("e", F.explode("edges"))
     out = rows.select("graph_id", F.lit(0).cast("long").alias("sg_id"), F.array_sort(F.array("e.src", "e.dst")).alias("nodes"), F.array("e").alias("edges"), F.lit(ag.version).alias("version"), F.lit(None).cast("long").alias("label"), F.lit(None).cast("array<double>").alias("attribute"), "ord", "meta")
-    return ag.with_sg(out)
-
-
-@operator("degree", "preserve", value=(0, 2))
-def degree(ag: AGFrame, value=(0, 2)) -> AGFrame:
-    """The nodes whose degree inside the subgraph is in range; one subgraph for each, even if empty."""
-    low, high = span(value)
-    deg = lambda n: F.size(F.filter("edges", lambda e: (e["src"] == n) | (e["dst"] == n)))
-    return induced(ag, _rows(ag, ag.sg, F.filter("nodes", lambda n: deg(n).between(low, high)), "degree", {"value": value}))
-
-
-@operator("neighborhood", "directed", radius=(0, 1))
-def neighborhood(ag: AGFrame, radius=(0, 1)) -> AGFrame:
-    """For each node and radius in range the nodes within reach, inside the subgraph."""
-    low, high = span(radius)
-    rows = ag.sg.withColumn("meta", meta_of("neighborhood", {"radius": radius}, ag.chain)).withColumn("n", F.explode("nodes")).withColumn("ball", F.array("n"))
-    balls = []
-    for r in range(high + 1):
-        if r:
-            ahead = F.transform(F.filter("edges", lambda e: F.array_contains(F.col("ball"), e["src"])), lambda e: e["dst"])
-            back = F.transform(F.filter("edges", lambda e: F.array_contains(F.col("ball"), e["dst"])), lambda e: e["src"])
-            rows = rows.withColumn("ball", F.array_sort(F.array_distinct(F.concat("ball", ahead, *([] if ag.directed else [back])))))
-        if r >= low:
-            rows = rows.withColumn(f"ball_{r}", F.col("ball"))
-            balls.append(f"ball_{r}")
-    return induced(ag, rows.withColumn("each", F.explode(F.array(*balls))).select("graph_id", F.col("each").alias("nodes"), "ord", "meta"))
+    return ag.with_sg(out, induced=True)
 
 
 def _kernel(name: str, support: str, fn, doc: str, **defaults):
@@ -167,6 +230,8 @@ def _kernel(name: str, support: str, fn, doc: str, **defaults):
     return operator(name, support, **defaults)(run)
 
 
+degree = _kernel("degree", "preserve", lambda g, value: K.of_degree(g, *span(value)), "The nodes whose degree inside the subgraph is in range; one subgraph for each, even if empty.", value=(0, 2))
+neighborhood = _kernel("neighborhood", "directed", lambda g, radius: K.neighborhood(g, *span(radius)), "For each node and radius in range the nodes within reach, inside the subgraph.", radius=(0, 1))
 connected_component = _kernel("connected_component", "weak", lambda g: K.components(g), "Connected components; of digraphs the weak ones.")
 cycle = _kernel("cycle", "directed", lambda g: K.cycles(g), "Undirected: a basis of the cycles; directed: all simple cycles.")
 tree = _kernel("tree", "weak", lambda g: K.trees(g), "What is left without the edges on cycles, in components of two nodes or more.")

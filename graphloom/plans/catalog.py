@@ -8,10 +8,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .. import large as large_graphs
 from .. import operators as O
 from ..functions import analysis as A
 from ..functions import labels as L
-from ..model import AGFrame, members
+from ..model import AGFrame, cut, members
 from ..sources import views as V
 
 
@@ -40,18 +41,96 @@ def links(view, program, adjacent=False):
     return run
 
 
+#: The eight reducers, by the column that shows them.
+REDUCERS = {
+    "n": O.number_of_interpretation_graph_nodes(), "n_links": O.number_of_interpretation_graph_edges(),
+    "max_nodes": O.max_number_of_subgraph_nodes(), "min_nodes": O.min_number_of_subgraph_nodes(), "max_edges": O.max_number_of_subgraph_edges(),
+    "min_edges": O.min_number_of_subgraph_edges(), "mid_nodes": O.quantile_number_of_subgraph_nodes(0.5), "mid_edges": O.quantile_number_of_subgraph_edges(0.5),
+}
+
+
 def reduced(view, program):
+    def run(spark, sf_dir):
+        ag, out = program(view(spark, sf_dir)), None
+        for name, reducer in REDUCERS.items():
+            own = reducer(ag).withColumnRenamed("value", name)
+            out = own if out is None else out.join(own, "graph_id")
+        return out
+
+    return run
+
+
+def partitioned(view, program):
+    """What a partition promises, for each graph: the nodes that its parts cover, and whether each part is connected."""
+
+    def run(spark, sf_dir):
+        parts = program(view(spark, sf_dir)).sg.withColumn("c", O.n_components("nodes", "edges"))
+        covered = F.size(F.array_distinct(F.flatten(F.collect_list("nodes")))).cast("long").alias("covered")
+        return parts.groupBy("graph_id").agg(covered, F.max("c").cast("long").alias("components"))
+
+    return run
+
+
+def named(view, program):
+    return lambda spark, sf_dir: program(view(spark, sf_dir)).sg.select("graph_id", members("nodes").alias("members"), F.col("meta.user_name").alias("user_name"))
+
+
+def relabelled(view, program):
+    """How often each label stands in a subgraph of how many nodes."""
+
     def run(spark, sf_dir):
         ag = program(view(spark, sf_dir))
-        n, e = F.size("nodes"), F.size("edges")
-        return ag.sg.groupBy("graph_id").agg(
-            F.count("*").alias("n"), F.max(n).cast("long").alias("max_nodes"), F.min(n).cast("long").alias("min_nodes"), F.max(e).cast("long").alias("max_edges"),
-            F.min(e).cast("long").alias("min_edges"), F.percentile(n, F.lit(0.5)).alias("mid_nodes"), F.percentile(e, F.lit(0.5)).alias("mid_edges"),
-        )
+        rows = O.with_labels(ag, ag.sg).select(F.size("nodes").cast("long").alias("n_nodes"), F.explode("node_labels").alias("x"))
+        return rows.groupBy("n_nodes", F.col("x.label").alias("label")).agg(F.count("*").alias("n"))
 
     return run
 
 
+def all_edges(view):
+    """Every edge of every edge subgraph in one subgraph, by a custom operator."""
+
+    def run(spark, sf_dir):
+        ag = O.global_edges(O.edge()(view(spark, sf_dir)), lambda graphs, base: [[e for g in graphs for e in g.edges]], "all_edges", skip_empty=True)
+        return shown(ag, N_NODES, N_EDGES)
+
+    return run
+
+
+def held_by(view, program):
+    return lambda spark, sf_dir: L.inverse_mappings(program(view(spark, sf_dir))).select("graph_id", "node_id", F.size("sg_ids").cast("long").alias("n"))
+
+
+def grouped_labels(spark, sf_dir):
+    ag = L.source_function_hash(O.add(O.node(), O.edge())(V.dialog(spark, sf_dir)), 14)
+    return L.by_label(ag).select("label", "n", F.size("mapped").cast("long").alias("listed"))
+
+
+def large(view, work):
+    """All graphs of a view as node and edge tables."""
+
+    def run(spark, sf_dir):
+        base = view(spark, sf_dir).base
+        nodes = base.select("graph_id", F.explode("nodes").alias("x")).select("graph_id", F.col("x.id").alias("node_id"))
+        edges = base.select("graph_id", F.explode("edges").alias("x")).select("graph_id", "x.src", "x.dst")
+        return work(cut(nodes), cut(edges))
+
+    return run
+
+
+def large_components(nodes, edges):
+    found = large_graphs.components(nodes, edges)
+    return found.groupBy("graph_id", "component").agg(F.sort_array(F.collect_list("node_id")).alias("nodes")).select("graph_id", members("nodes").alias("members"))
+
+
+def last_prices(spark, sf_dir):
+    li = spark.read.parquet(f"{sf_dir}/lineitem.parquet").withColumn("at", F.col("l_orderkey") * 1e7 + F.col("l_extendedprice"))
+    return A.method_table(li, "l_returnflag", "l_linestatus", "l_extendedprice", "at", ["F", "O"]).select("l_returnflag", F.col("F").alias("price_f"), F.col("O").alias("price_o"))
+
+
+def sizes_over(n):
+    return lambda ag: O.number_of_interpretation_graph_nodes()(O.node()(ag)).select("graph_id", F.col("value") > n)
+
+
 def label_histogram(view, program):
     return lambda spark, sf_dir: A.label_counts(program(view(spark, sf_dir))).select("label", "n")
 
@@ -78,10 +157,6 @@ def ranked(view, program):
 NODE_LABEL, EDGE_LABEL = 8750, 881
 
 
-def many(ag: AGFrame):
-    return O.number_of_interpretation_graph_nodes()(O.node()(ag)).select("graph_id", F.col("value") > 50)
-
-
 def knn(spark, sf_dir):
     e = spark.read.parquet(f"{sf_dir}/embeddings.parquet").filter(F.col("embedding").isNotNull())
     return A.knn_vote(e, e.filter(F.col("vec_id") % 100 == 0), "vec_id", "embedding", "label", 5).select("vec_id", F.col("vote").cast("long").alias("vote"))
@@ -93,7 +168,7 @@ def pareto(spark, sf_dir):
 
 
 def hash_dedup(spark, sf_dir):
-    return L.GraphHashDeduper(31).fit_filter(V.session(spark, sf_dir)).agg(F.count("*").alias("n"))
+    return L.GraphHashDeduper(31).fit_filter(V.session(spark, sf_dir)).select("graph_id")
 
 
 def features(view, program):
@@ -135,9 +210,21 @@ QUERIES = {
     "betweenness_centrality": q(V.dialog, O.betweenness_centrality(1)),
     "betweenness_centrality_split": q(V.dialog, O.betweenness_centrality_split(3)),
     "betweenness_centrality_hop_split": q(V.dialog, O.betweenness_centrality_hop_split(1)),
-    "split": q(V.copart, O.split(3)),
-    "low_cut_partition": q(V.copart, O.low_cut_partition()),
-    "random_part": q(V.copart, O.random_part(1)),
+    "split": partitioned(V.copart, O.split(3)),
+    "low_cut_partition": partitioned(V.copart, O.low_cut_partition()),
+    "random_part": partitioned(V.copart, O.random_part(1)),
+    "name": named(V.copart, O.add(O.name("whole"), F2(O.node(), O.name("one")))),
+    "if_then_elif_else": q(V.basket, O.if_then_elif_else((sizes_over(60), O.node()), (sizes_over(40), O.edge()), O.connected_component())),
+    "global_edges": all_edges(V.basket),
+    "add_relabelled": relabelled(V.basket, O.add(F2(O.unlabel("-"), O.node()), O.edge())),
+    "filter_original_label": q(V.basket, F2(O.prepend_label("p:"), O.node(), O.filter_by_node_label(key="original_label", must_have_one_of=["1-URGENT"]))),
+    "inverse_mappings": held_by(V.copart, O.edge()),
+    "by_label": grouped_labels,
+    "method_table": last_prices,
+    "large_components": large(V.basket, large_components),
+    "large_degrees": large(V.copart, large_graphs.degrees),
+    "large_within": large(V.basket, lambda n, e: large_graphs.within(n, e, 2).select("graph_id", "centre", "node_id", F.col("hops").cast("long").alias("hops"))),
+    "large_paths": large(V.basket, lambda n, e: large_graphs.geodesics(n, e, 1, 3).select("graph_id", members("members").alias("members"))),
     "merge": q(V.basket, F2(O.edge(), O.merge()), N_NODES, N_EDGES),
     "merge_edges": q(V.basket, F2(O.edge(), O.merge(use_edges=True)), N_NODES, N_EDGES),
     "deduplicate": q(V.basket, F2(NB1, O.deduplicate(), dedup=False)),
@@ -163,7 +250,7 @@ QUERIES = {
     "label_counts": label_histogram(V.geo, O.identity()),
     "add": q(V.copart, O.add(O.node(), O.edge())),
     "compose": q(V.copart, O.compose(O.filter_by_number_of_nodes((3, 6)), NB1)),
-    "if_then_else": q(V.basket, O.if_then_else(many, O.node(), O.edge())),
+    "if_then_else": q(V.basket, O.if_then_else(sizes_over(50), O.node(), O.edge())),
     "for_loop": q(V.dialog, F2(O.for_loop(O.neighborhood(1), n_iterations=2))),
     "while_loop": q(V.dialog, F2(O.while_loop(O.edge(), lambda ag: O.max_number_of_subgraph_nodes()(ag).select("graph_id", F.col("value") > 2)))),
     "scalars": reduced(V.copart, O.clique((2, 3))),
@@ -266,8 +353,8 @@ ORACLE = {
     "add": _sql(COPART, select=f"SELECT g AS graph_id, n::VARCHAR AS members FROM bn UNION ALL SELECT g, {PAIR} FROM be"),
     "compose": _sql(COPART, ADJ, BALL1, NB, select=f"SELECT g AS graph_id, {TEXT.format('m')} AS members FROM nb WHERE len(m) BETWEEN 3 AND 6"),
     "if_then_else": _sql(BASKET, "v AS (SELECT g, count(DISTINCT n) > 50 AS y FROM bn GROUP BY g)", select=f"SELECT DISTINCT bn.g AS graph_id, n::VARCHAR AS members FROM bn JOIN v ON bn.g = v.g WHERE y UNION ALL SELECT be.g, {PAIR} FROM be JOIN v ON be.g = v.g WHERE NOT y"),
-    "scalars": _sql(COPART, CLIQUE, "k AS (SELECT g, 2 AS n, 1 AS e FROM k2 UNION ALL SELECT g, 3, 3 FROM k3)", select="""SELECT g AS graph_id, count(*) AS n, max(n)::BIGINT AS max_nodes, min(n)::BIGINT AS min_nodes, max(e)::BIGINT AS max_edges, min(e)::BIGINT AS min_edges,
-      quantile_cont(n::DOUBLE, 0.5) AS mid_nodes, quantile_cont(e::DOUBLE, 0.5) AS mid_edges FROM k GROUP BY g"""),
+    "scalars": _sql(COPART, CLIQUE, "k AS (SELECT g, 2 AS n, 1 AS e FROM k2 UNION ALL SELECT g, 3, 3 FROM k3)", select="""SELECT v.g AS graph_id, count(n) AS n, 0::BIGINT AS n_links, max(n)::BIGINT AS max_nodes, min(n)::BIGINT AS min_nodes, max(e)::BIGINT AS max_edges, min(e)::BIGINT AS min_edges,
+      quantile_cont(n::DOUBLE, 0.5) AS mid_nodes, quantile_cont(e::DOUBLE, 0.5) AS mid_edges FROM (SELECT DISTINCT g FROM bn) v LEFT JOIN k ON v.g = k.g GROUP BY v.g"""),
     "vectorize_node": _sql(BASKET, ADJ, "d AS (SELECT DISTINCT g, n FROM bn)", "k AS (SELECT d.g, d.n, count(adj.b) AS k FROM d LEFT JOIN adj ON d.g = adj.g AND d.n = adj.a GROUP BY d.g, d.n)", select=f"""
       SELECT g AS graph_id, n AS node_id, 0::BIGINT AS col, 1.0::DOUBLE AS value FROM k UNION ALL SELECT g, n, 1, k::DOUBLE FROM k UNION ALL SELECT g, n, {NODE_LABEL}, 1.0 FROM k UNION ALL SELECT g, n, {EDGE_LABEL}, k::DOUBLE FROM k WHERE k > 0"""),
     "vectorize_graph": _sql(BASKET, "d AS (SELECT g, count(DISTINCT n) AS v FROM bn GROUP BY g)", "e AS (SELECT g, count(*) AS e FROM be GROUP BY g)", select=f"""
@@ -300,3 +387,31 @@ ORACLE |= {
 ORACLE["merge_edges"] = ORACLE["merge"]
 ORACLE["intersection_edges"] = _sql(BASKET, select="""SELECT x.g AS graph_id, x.s || ',' || x.d AS u_members, y.s || ',' || y.d AS v_members, 1::BIGINT AS shared FROM be x JOIN be y
   ON x.g = y.g AND (x.s < y.s OR (x.s = y.s AND x.d < y.d)) AND (x.s = y.s OR x.s = y.d OR x.d = y.s OR x.d = y.d)""")
+LINES = "k3 AS (SELECT x.g, x.s AS a, x.d AS b, y.d AS c FROM be x JOIN be y ON x.g = y.g AND x.d = y.s JOIN be z ON z.g = x.g AND z.s = x.s AND z.d = y.d), num AS (SELECT g, [a, b, c] AS m, row_number() OVER () AS i FROM k3)"
+ORACLE |= {
+    "tree": _sql(BASKET, ADJ, "away(g, s, d, x) AS (SELECT g, s, d, s FROM be UNION SELECT r.g, r.s, r.d, a.b FROM away r JOIN adj a ON r.g = a.g AND r.x = a.a AND NOT (a.a = r.s AND a.b = r.d) AND NOT (a.a = r.d AND a.b = r.s))",
+        "br AS (SELECT g, s, d FROM be WHERE NOT EXISTS (SELECT 1 FROM away r WHERE r.g = be.g AND r.s = be.s AND r.d = be.d AND r.x = be.d))", "two AS (SELECT g, s AS a, d AS b FROM br UNION SELECT g, d, s FROM br)",
+        "reach(g, a, b) AS (SELECT DISTINCT g, a, a FROM two UNION SELECT r.g, r.a, x.b FROM reach r JOIN two x ON r.g = x.g AND r.b = x.a)", COMPONENTS, select=f"SELECT g AS graph_id, {TEXT.format('m')} AS members FROM cc", recursive=True),
+    "spine": _sql(DIALOG, ISLANDS, select=f"SELECT graph_id, members FROM (SELECT g AS graph_id, {TEXT.format('list_sort(list(n))')} AS members, row_number() OVER (PARTITION BY g ORDER BY count(*) DESC) AS r FROM isl GROUP BY g, k) WHERE r = 1"),
+    "betweenness_centrality_split": _sql(DIALOG, ISLANDS, select=f"""SELECT g AS graph_id, {TEXT.format('list_sort(list(n))')} AS members FROM (SELECT g, n, row_number() OVER (PARTITION BY g ORDER BY i * (c - 1 - i) DESC, n) - 1 AS r FROM pos) GROUP BY g, r // 3"""),
+    "betweenness_centrality_hop_split": _sql(DIALOG, ISLANDS, select="""SELECT a.g AS graph_id, CASE WHEN b.i + 1 < b.c THEN b.n || ',' || (b.n + 1) ELSE b.n::VARCHAR END AS members
+      FROM pos a JOIN pos b ON a.g = b.g AND a.n - a.i = b.n - b.i AND b.i >= a.i WHERE a.i <= (a.c - 1) // 2"""),
+    "intersection_connected": _sql(COPART, LINES, select=f"SELECT DISTINCT x.g AS graph_id, {TEXT.format('list_sort(list_intersect(x.m, y.m))')} AS members FROM num x JOIN num y ON x.g = y.g AND x.i < y.i WHERE list_has_any(x.m, y.m)"),
+    "name": _sql(COPART, select=f"SELECT g AS graph_id, {TEXT.format('list_sort(list(n))')} AS members, 'whole' AS user_name FROM bn GROUP BY g UNION ALL SELECT g, n::VARCHAR, 'one' FROM bn"),
+    "if_then_elif_else": _sql(BASKET, ADJ, REACH, COMPONENTS, "v AS (SELECT g, count(DISTINCT n) AS v FROM bn GROUP BY g)", select=f"""SELECT DISTINCT bn.g AS graph_id, n::VARCHAR AS members FROM bn JOIN v ON bn.g = v.g WHERE v > 60
+      UNION ALL SELECT be.g, {PAIR} FROM be JOIN v ON be.g = v.g WHERE v > 40 AND v <= 60 UNION ALL SELECT cc.g, {TEXT.format('m')} FROM cc JOIN v ON cc.g = v.g WHERE v <= 40""", recursive=True),
+    "add_relabelled": _sql(BASKET, "one AS (SELECT g, n, min(l) AS l FROM bn GROUP BY g, n)", select="""SELECT 1::BIGINT AS n_nodes, '-' AS label, count(*) AS n FROM one
+      UNION ALL SELECT 2, l, count(*) FROM (SELECT one.l FROM be JOIN one ON be.g = one.g AND be.s = one.n UNION ALL SELECT one.l FROM be JOIN one ON be.g = one.g AND be.d = one.n) GROUP BY l"""),
+    "filter_original_label": _sql(BASKET, select="SELECT g AS graph_id, n::VARCHAR AS members FROM (SELECT g, n, min(l) AS l FROM bn GROUP BY g, n) WHERE l = '1-URGENT'"),
+    "inverse_mappings": _sql(COPART, ADJ, select="SELECT g AS graph_id, a AS node_id, count(*) AS n FROM adj GROUP BY g, a"),
+    "by_label": _sql(DIALOG, select=f"SELECT {NODE_LABEL}::BIGINT AS label, count(*) AS n, count(*) AS listed FROM bn UNION ALL SELECT {EDGE_LABEL}, count(*), count(*) FROM be"),
+    "method_table": """SELECT l_returnflag, arg_max(l_extendedprice, l_orderkey * 1e7 + l_extendedprice) FILTER (l_linestatus = 'F') AS price_f, arg_max(l_extendedprice, l_orderkey * 1e7 + l_extendedprice) FILTER (l_linestatus = 'O') AS price_o
+      FROM lineitem GROUP BY l_returnflag""",
+    "large_degrees": _sql(COPART, ADJ, DEG, select="SELECT g AS graph_id, n AS node_id, k AS degree FROM deg"),
+    "large_within": _sql(BASKET, ADJ, "b1 AS (SELECT g, a AS c, b AS n FROM adj)", "b2 AS (SELECT DISTINCT x.g, x.a AS c, y.b AS n FROM adj x JOIN adj y ON x.g = y.g AND x.b = y.a WHERE x.a <> y.b)", select="""SELECT DISTINCT g AS graph_id, n AS centre, n AS node_id, 0::BIGINT AS hops FROM bn
+      UNION ALL SELECT g, c, n, 1 FROM b1 UNION ALL SELECT g, c, n, 2 FROM b2 WHERE NOT EXISTS (SELECT 1 FROM b1 WHERE b1.g = b2.g AND b1.c = b2.c AND b1.n = b2.n)"""),
+    "hash_dedup": _sql(SESSION, "shape AS (SELECT v.g, list_sort(list(n)) AS ns, (SELECT list_sort(list(s || '>' || d)) FROM be WHERE be.g = v.g) AS es FROM bn v GROUP BY v.g)", select="SELECT max(g) AS graph_id FROM shape GROUP BY ns, es"),
+    "large_components": ORACLE["connected_component"], "large_paths": ORACLE["path"], "global_edges": ORACLE["merge"],
+}
+ORACLE["split"] = _sql(COPART, select="SELECT g AS graph_id, count(*) AS covered, 1::BIGINT AS components FROM bn GROUP BY g")
+ORACLE["low_cut_partition"] = ORACLE["split"]

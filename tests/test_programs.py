@@ -11,7 +11,7 @@ def always(ag):
 
 
 PROGRAMS = [
-    O.node(), O.clique((2, 3)), O.forward_compose(O.edge(), O.merge(use_edges=True)), O.combination((2, 2), (0, 1)), O.compose_product(O.binary_intersection(), O.cycle(), O.neighborhood(1)),
+    O.degree((1, 4)), O.graphlet(2, (2, 4)), O.compose(O.merge(), O.path(2), O.cycle()), O.intersection(node_size=(1, 3)), O.compose_product(O.binary_intersection(), O.cycle(), O.neighborhood(1)),
     O.if_then_elif_else((always, O.node()), O.edge()), O.for_loop(O.neighborhood(1), n_iterations=2), O.filter_by_node_label(must_have_one_of=["a'\"<"]).annotate(why="test"),
 ]
 
@@ -35,5 +35,5 @@ def test_simplified():
 
 
 def test_catalog(spark):
-    assert explain_program(spark, PROGRAMS[2]).count() == 3
+    assert explain_program(spark, PROGRAMS[2]).count() == 4
     assert {r.name for r in O.catalog(spark).select("name").collect()} >= {"node", "low_cut_partition", "while_loop"}
