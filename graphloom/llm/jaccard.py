@@ -313,10 +313,9 @@ def _verify(pairs: DataFrame, texts: DataFrame, n: int, num: int, den: int) -> D
 def components(edges: DataFrame, most: int = 60) -> DataFrame:
     """node, root (smallest node of its component) for every node of an edge table (a, b).
 
-    Each round gives every node the smallest root among itself and its neighbours, and then its root's root;
-    roots are hooked to the smallest root seen from their trees. Each round is a written table, and replaces the
-    one before. The loop ends when nothing changes; ``most`` rounds (paths of 2^``most`` nodes) without an end are
-    an error.
+    Each round a node takes the smallest root among its own and its neighbours', hands it on to the node that was its
+    root, and then takes its root's root: pointers double in length. Each round is a written table, and replaces the
+    one before. The loop ends when nothing changes; ``most`` rounds without an end are an error.
     """
     both = edges.select(F.col("a").alias("u"), F.col("b").alias("v"))
     both = staged(both.unionByName(edges.select(F.col("b").alias("u"), F.col("a").alias("v"))).distinct(), "arcs")
@@ -326,12 +325,10 @@ def components(edges: DataFrame, most: int = 60) -> DataFrame:
         near = both.join(at.select(F.col("node").alias("v"), "root"), "v").groupBy("u").agg(F.min("root").alias("near"))
         seen = at.join(near, F.col("node") == F.col("u")).select("node", F.col("root").alias("old"), F.least("root", "near").alias("root"))
         hooks = seen.groupBy(F.col("old").alias("h_node")).agg(F.min("root").alias("hook"))
-        new = (
-            seen.join(hooks, F.col("root") == F.col("h_node"), "left")
-            .select("node", "old", F.least("root", F.coalesce("hook", "root")).alias("root"))
-        )
-        new = staged(new, "roots")
+        up = staged(seen.join(hooks, F.col("node") == F.col("h_node"), "left").select("node", "old", F.least("root", F.coalesce("hook", "root")).alias("root")), "roots")
+        new = staged(up.join(up.select(F.col("node").alias("root"), F.col("root").alias("next")), "root").select("node", "old", F.col("next").alias("root")), "roots")
         discard(held)
+        discard(up)
         if new.filter(F.col("root") != F.col("old")).isEmpty():
             discard(both)
             return new

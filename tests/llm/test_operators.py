@@ -105,6 +105,11 @@ def test_jaccard_near_copies(spark, monkeypatch):
     assert jaccard.join(df.limit(0)).count() == 0
 
 
+def test_components_of_long_paths(spark):
+    edges = spark.range(700).selectExpr("id AS a", "id + 1 AS b").unionByName(spark.createDataFrame([(2001, 2000), (2000, 2002)], "a long, b long"))
+    assert {(r.node, r.root) for r in jaccard.components(edges, most=16).select("node", "root").collect()} == {(i, 0) for i in range(701)} | {(2000, 2000), (2001, 2000), (2002, 2000)}
+
+
 def test_quality(spark, docs, rows):
     own = rows + [(10_000 + i, t) for i, t in ODD] + [(None, "a b c")]
     text = dict(own)
