@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import re
+import unicodedata
 from collections import Counter
 
 import numpy as np
@@ -73,15 +74,30 @@ def quality(text):
     return len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in text or ""), len(lines) - len(set(lines)), len(covered)
 
 
-def licenses(text, templates, off=2):
-    """Labels of the templates of which two words agree on a relative position, and whose key phrases stand there, further ones within ``off`` words."""
+def kept(text):
+    """Whether a text passes the base and every rule, by plain counting."""
+    words, chars, symbols, dup, repeated = quality(text)
+    if words < 10 or 100 * repeated > 20 * words:
+        return False
+    seen, again = set(), 0
+    for line in (text or "").split("\n"):
+        if WORD.search(line):
+            again += len(WORD.findall(line)) if line in seen else 0
+            seen.add(line)
+    letters = sum(unicodedata.category(c)[0] == "L" for c in text)
+    capitals = sum(unicodedata.category(c) == "Lu" for c in text)
+    return not (10 * symbols > 3 * words or (dup and 10 * again > 3 * words) or not 2 * words <= chars <= 25 * words or 2 * capitals > letters)
+
+
+def licenses(text, templates, off=2, share=0.25):
+    """Labels of the templates a share of whose words agree on a relative position, and whose key phrases stand there, further ones within ``off`` words."""
     w = re.findall(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", low(text))
     found = set()
     for label, notice, keys in templates:
         n = notice.split()
         place = [next(i for i in range(len(n)) if n[i:i + len(k.split())] == k.split()) for k in keys]
         votes = Counter(i - k for i, x in enumerate(w) for k, y in enumerate(n) if x == y)
-        for at in (x for x, v in votes.items() if v >= 2):
+        for at in (x for x, v in votes.items() if v >= max(2, share * len(n))):
             if all(any(at + p + d >= 0 and w[at + p + d:at + p + d + len(k.split())] == k.split() for d in (range(-off, off + 1) if m else (0,))) for m, (k, p) in enumerate(zip(keys, place, strict=True))):
                 found.add(label)
     return ",".join(sorted(found))

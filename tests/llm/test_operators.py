@@ -111,14 +111,17 @@ def test_components_of_long_paths(spark):
 
 
 def test_quality(spark, docs, rows):
-    own = rows + [(10_000 + i, t) for i, t in ODD] + [(None, "a b c")]
+    shout, lines = " ".join(f"LOUD{i} WORDS" for i in range(20)), "\n".join(f"one line {i % 6} of some words" for i in range(12))
+    own = rows + [(10_000 + i, t) for i, t in [*ODD, (90, shout), (91, lines), (92, "a " * 5 + " ".join("bcdefghij")), (93, " ".join(f"# {i}" for i in range(20)))]] + [(None, "a b c")]
     text = dict(own)
     for r in quality.quality(frame(spark, own)).collect():
         counts = brute.quality(text[r.doc_id])
         assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == counts
-        assert r.base_failed == (counts[0] < 10 or 100 * counts[4] > 20 * counts[0]) and not (r.kept and r.base_failed)
-    order = [x["name"] for x in quality.estimate(docs, quality.BASE_RULES + quality.OWN_RULES)]
-    assert len(order) == len(quality.BASE_RULES + quality.OWN_RULES)
+        assert r.base_failed == (counts[0] < 10 or 100 * counts[4] > 20 * counts[0])
+        assert r.kept == brute.kept(text[r.doc_id]) and (r.rejected_by is None) == (r.kept or r.base_failed)
+    found = {x["name"]: x for x in quality.estimate(docs, quality.BASE_RULES + quality.OWN_RULES)}
+    assert len(found) == len(quality.BASE_RULES + quality.OWN_RULES)
+    assert found["repeated_words"]["seconds"] > max(found[x]["seconds"] for x in ("symbols", "too_few_words"))
     assert quality.keep_clean(docs).columns == docs.columns
     assert quality.quality(docs.limit(0)).count() == 0
 
