@@ -52,6 +52,18 @@ def small_batches(spark: SparkSession):
         spark.conf.set(key, before)
 
 
+@contextmanager
+def partitions_at_least(spark: SparkSession, count: int):
+    """Shuffles of so many partitions at least, where they have to be small enough for one file each."""
+    key = "spark.sql.shuffle.partitions"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(max(int(before), count)))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
     """``df`` written to the shared folder and read again: cuts the lineage, outlives any executor."""
     path = new_path(df.sparkSession, name)

@@ -20,12 +20,12 @@ import zlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import new_path, release
+from .common import new_path, partitions_at_least, release
 
 #: Fixed values of the format.
 VERSION, END = "WARC/1.1", "\r\n\r\n"
-#: Records of one file at most; keeps a file, which is read as one row, small.
-RECORDS_PER_FILE = 2_000
+#: Records of one file at most, and bytes that it should hold: a file is read as one row.
+RECORDS_PER_FILE, FILE_BYTES = 2_000, 64 << 20
 DATE = "1970-01-01T00:00:00Z"
 _BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 _READ = "page_id string, record_type string, digest string, key string, refers_to string, header binary, payload binary"
@@ -73,7 +73,7 @@ def records(df: DataFrame, id_col: str = "page_id", url_col: str = "url", payloa
 
 
 def _record_id(of):
-    return F.concat(F.lit("<urn:page:"), F.coalesce(of.cast("string"), F.lit("none")), F.lit(">"))
+    return F.coalesce(F.concat(F.lit("<urn:page:"), of.cast("string"), F.lit(">")), F.lit("<urn:none>"))
 
 
 def header():
@@ -169,7 +169,7 @@ def _field(head: bytes, name: str) -> str | None:
 
 def _page(value: str | None) -> str | None:
     found = re.fullmatch(r"<urn:page:(.*)>", value or "")
-    return None if not found or found[1] == "none" else found[1]
+    return found[1] if found else None
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
@@ -204,21 +204,27 @@ def read(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _store(heads: DataFrame, payloads: DataFrame, path: str) -> str:
-    """``payloads`` (key, payload) as WARC records named by their key, each key once; ``heads`` as a table."""
+    """``payloads`` (key, payload) as WARC records named by their key, each key once; ``heads`` as a table.
+
+    The headers are written first: they tell how many bytes the distinct payloads have, and so how many files those need.
+    """
+    spark = heads.sparkSession
+    heads.select("page_id", "record_type", "digest", "key", "refers_to", "n", "header").write.parquet(f"{path}/headers")
+    size = spark.read.parquet(f"{path}/headers").groupBy("key").agg(F.max("n").alias("n")).agg(F.sum("n")).first()[0] or 0
     name = F.concat(F.lit("urn:sha256:"), F.col("key"))
     head = F.concat_ws(
         "\r\n", F.lit(VERSION), F.lit("WARC-Type: resource"), F.concat(F.lit("WARC-Record-ID: <"), name, F.lit(">")), F.concat(F.lit("WARC-Target-URI: "), name), F.lit(f"WARC-Date: {DATE}"),
         F.concat(F.lit("X-Payload-Key: sha256:"), F.col("key")), F.lit("Content-Type: application/octet-stream"), F.concat(F.lit("Content-Length: "), F.length("payload").cast("string")),
     )
-    _put(payloads.dropDuplicates(["key"]).select(F.concat(F.concat(head, F.lit(END)).cast("binary"), F.col("payload")).alias("record")), f"{path}/payloads")
-    heads.select("page_id", "record_type", "digest", "key", "refers_to", "header").write.parquet(f"{path}/headers")
-    release(heads.sparkSession)
+    with partitions_at_least(spark, size // FILE_BYTES + 1):
+        _put(payloads.dropDuplicates(["key"]).select(F.concat(F.concat(head, F.lit(END)).cast("binary"), F.col("payload")).alias("record")), f"{path}/payloads")
+    release(spark)
     return path
 
 
 def split_store(found: DataFrame, path: str) -> str:
     """Write a content-addressed store of records that were read: payloads once each, headers one row per record."""
-    return _store(found, found.filter(F.col("record_type") == "response").select("key", "payload"), path)
+    return _store(found.withColumn("n", F.length("payload").cast("long")), found.filter(F.col("record_type") == "response").select("key", "payload"), path)
 
 
 def store(df: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", least: int = 0) -> str:
@@ -254,8 +260,8 @@ def described(restored: DataFrame, id_type: str = "long") -> DataFrame:
         return F.regexp_extract(head, rf"(?md)^{name}: {value}\r$", 1)
 
     def page(name: str):
-        found = field(name, "<urn:page:([^\\r\\n]*)>")
-        return F.when(~found.isin("", "none"), found).cast(id_type)
+        of = field(name, "<([^\\r\\n]*)>")
+        return F.when(of.startswith("urn:page:"), F.substr(of, F.lit(len("urn:page:") + 1))).cast(id_type)
 
     digest = base32_sha1(F.col("payload"))
     block = F.length("record") - F.length("header") - F.lit(len(END))
@@ -268,6 +274,10 @@ def described(restored: DataFrame, id_type: str = "long") -> DataFrame:
 
 
 def archive(df: DataFrame, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", least: int = 0) -> DataFrame:
-    """Write the rows as a content-addressed store into the shared folder, restore every record and describe it."""
+    """Write the rows as a content-addressed store into the shared folder, restore every record and describe it.
+
+    Null payloads are empty ones; null ids sort last; repeated ids and rows, ties and payloads of any length up to
+    what a row holds are as in :func:`records`. Further columns of any name are ignored. An empty table gives no rows.
+    """
     path = store(df, new_path(df.sparkSession, "warc"), id_col, url_col, payload_col, least)
     return described(restore(df.sparkSession, path), dict(df.dtypes)[id_col])

@@ -6,6 +6,7 @@ import random
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from graphloom.llm import bpe, jaccard, language, licenses, mixing, neighbours, quality, queries, substrings, tokens, warc
 
@@ -50,6 +51,16 @@ def test_warc(spark, sf_dir, tmp_path):
     assert warc.archive(df.limit(0)).count() == 0
 
 
+def test_warc_odd_ids_and_sizes(spark, monkeypatch):
+    """Ids of text, one like a missing one; repeated ids; a payload above 10 MB; files of few bytes."""
+    monkeypatch.setattr(warc, "FILE_BYTES", 1_000)
+    big = "<p>é</p>" * 1_400_000
+    df = spark.createDataFrame([("none", "abc"), (None, "abc"), ("", "q"), ("b", big), ("b", big), ("c", big)], "page_id string, html string").withColumn("url", F.lit(None).cast("string"))
+    found = sorted(((r.page_id, r.payload_bytes, r.record_type, r.refers_to) for r in warc.archive(df).collect()), key=str)
+    n = len(big.encode())
+    assert found == sorted([("none", 3, "response", None), (None, 3, "revisit", "none"), ("", 1, "response", None), ("b", n, "response", None), ("b", n, "response", None), ("c", n, "revisit", "b")], key=str)
+
+
 def test_warc_restores_records(spark, tmp_path):
     """Through the store of the query's own path, every record comes back as write() writes it, revisits too."""
     own = [(5, "abc"), (3, "abc"), (9, None), (1, ""), (8, "\u00e9\n\n"), (10, "abc"), (None, "abc"), (None, "q"), (7, "x\r\n\r\nWARC/1.1\r\nContent-Length: 9\r\n\r\n")]
