@@ -1,9 +1,9 @@
 """License scan over a positional rare-token index, native expressions only.
 
-The templates are short licence notices. Each is looked up by a word of its own: of the words of its first key
+The templates are the notices by which licences are named, and the whole texts of short licences. Each is looked up by a word of its own: of the words of its first key
 phrase the rarest one (highest IDF over the corpus). A place of that word in the file less its place in the
-template is a relative position. There all words of the template vote, and a template of which two words or more
-agree is a candidate. A candidate counts only if its mandatory key phrases stand where that position puts them: the
+template is a relative position. There all words of the template vote, and a template of which two words and a share of LEAST_SHARE or
+more agree is a candidate. A candidate counts only if its mandatory key phrases stand where that position puts them: the
 first one exactly, any further one at most INSERTED words before or after its place. Whatever else the file holds,
 no template is left out: the phrase that a template must have holds the word it is looked up by.
 
@@ -50,8 +50,68 @@ TEMPLATES = (
     ("gpl-2.0", "under the terms of the gnu general public license as published by the free software foundation either version 2", ("gnu general public license as published by the free software foundation", "version 2")),
     ("gpl-3.0", "licensed under the gnu general public license version 2 or version 3", ("gnu general public license", "version 2 or version 3")),
     ("gpl-2.0", "licensed under the gnu general public license version 3 or version 2", ("gnu general public license", "version 3 or version 2")),
+    ("agpl-3.0", "under the terms of the gnu affero general public license as published by the free software foundation either version 3", ("gnu affero general public license as published by the free software foundation", "version 3")),
+    ("lgpl-2.1", "under the terms of the gnu lesser general public license as published by the free software foundation either version 2 1", ("gnu lesser general public license as published by the free software foundation", "version 2 1")),
+    ("lgpl-3.0", "under the terms of the gnu lesser general public license as published by the free software foundation either version 3", ("gnu lesser general public license as published by the free software foundation", "version 3")),
+    ("zlib", "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software", ("in no event will the authors be held liable for any damages arising from the use of this software",)),
+    (
+        "apache-2.0",
+        "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may obtain a copy of the license at "
+        "http www apache org licenses license 2 0 unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis "
+        "without warranties or conditions of any kind either express or implied see the license for the specific language governing permissions and limitations under the license",
+        ("you may not use this file except in compliance with the license you may obtain a copy of the license at", "unless required by applicable law or agreed to in writing software distributed under the license"),
+    ),
+    (
+        "mit",
+        "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction "
+        "including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished "
+        "to do so subject to the following conditions the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software",
+        ("permission is hereby granted free of charge", "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software"),
+    ),
+    (
+        "bsd-2-clause",
+        "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met "
+        "1 redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer "
+        "2 redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution "
+        "this software is provided by the copyright holders and contributors as is",
+        ("redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer", "materials provided with the distribution this software is provided"),
+    ),
+    (
+        "bsd-3-clause",
+        "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met "
+        "1 redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer "
+        "2 redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution "
+        "3 neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission",
+        ("redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer", "may be used to endorse or promote products derived from this software"),
+    ),
+    (
+        "isc",
+        "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies "
+        "the software is provided as is and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness",
+        ("for any purpose with or without fee is hereby granted", "the author disclaims all warranties with regard to this software"),
+    ),
+    (
+        "zlib",
+        "permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions "
+        "1 the origin of this software must not be misrepresented you must not claim that you wrote the original software if you use this software in a product an acknowledgment in the product documentation would be appreciated but is not required "
+        "2 altered source versions must be plainly marked as such and must not be misrepresented as being the original software 3 this notice may not be removed or altered from any source distribution",
+        ("the origin of this software must not be misrepresented", "altered source versions must be plainly marked as such"),
+    ),
+    (
+        "unlicense",
+        "this is free and unencumbered software released into the public domain anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary "
+        "for any purpose commercial or non commercial and by any means",
+        ("free and unencumbered software", "anyone is free to copy modify publish use compile sell or distribute this software"),
+    ),
+    (
+        "mpl-2.0",
+        "this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was not distributed with this file you can obtain one at",
+        ("mozilla public license", "if a copy of the mpl was not distributed with this file"),
+    ),
 )
 
+#: Part of a template's words that has to agree; the shortest way in which a notice names its licence has a quarter.
+LEAST_SHARE = 0.25
 #: Words by which a further key phrase may be off its place: "License (GPL), version 3", "License, either version 3".
 INSERTED = 2
 
@@ -96,7 +156,7 @@ def vocabulary() -> list[str]:
 
 def may_hold(text: Column) -> Column:
     """A cheap test that is true for every text in which a phrase can stand: most texts go no further."""
-    return text.rlike(r"(?i)licen[sc]e|hereby|(?<![a-z0-9])cc0?(?![a-z0-9])|redistribution|unencumbered|creative|mozilla")
+    return text.rlike(r"(?i)licen[sc]e|hereby|in no event will|misrepresented|(?<![a-z0-9])cc0?(?![a-z0-9])|redistribution|unencumbered|creative|mozilla")
 
 
 def frequencies(df: DataFrame, text_col: str) -> tuple[int, dict[str, int]]:
@@ -148,13 +208,13 @@ def matches(words: Column, wide: Column, idf: dict[str, float]) -> Column:
         return F.exists(F.sequence(-key["off"], key["off"]), here)
 
     def votes(at: Column, notice: Column) -> Column:
-        return F.size(F.filter(F.transform(notice, lambda w, k: F.get(words, at + k) == w), lambda x: x))
+        return F.size(F.filter(F.transform(notice, lambda w, k: (at + k >= 0) & (F.get(words, at + k) == w)), lambda x: x))
 
     def one(hs: Column, t: Column) -> Column:
         ats = F.transform(F.filter(hs, lambda h: h["w"] == t["word"]), lambda h: h["i"] - t["k"])
         ats = F.filter(ats, lambda at: F.forall(t["keys"], lambda key: stands(at, key)))
         agree = F.array_max(F.transform(ats, lambda at: votes(at, t["notice"])))
-        return let(agree, lambda n: F.when(n >= 2, F.struct(t["t"].alias("template"), (n / F.size(t["notice"])).alias("share"))))
+        return let(agree, lambda n: F.when((n >= 2) & (n >= F.lit(LEAST_SHARE) * F.size(t["notice"])), F.struct(t["t"].alias("template"), (n / F.size(t["notice"])).alias("share"))))
 
     held = F.filter(table, lambda t: F.forall(t["keys"], lambda key: F.contains(wide, key["padded"])))
     return let(hits, lambda hs: F.array_compact(F.transform(held, lambda t: one(hs, t))))
@@ -164,7 +224,8 @@ def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataF
     """Per row: doc_id, n_words, n_base, first_word, last_word, base_labels, labels and score.
 
     Null and empty texts have no words, no labels and a score of 0. Each row is judged by itself:
-    repeated rows give repeated results. A word is a run of ASCII letters, digits and anything beyond ASCII.
+    repeated rows give repeated results, ids (null ones too) only name rows. Very long texts are scanned whole. Extra
+    columns are ignored. An empty table gives no rows. A word is a run of ASCII letters, digits and anything beyond ASCII.
     Score: 1 where a base phrase stands, else the best share of agreeing template words, else 0.
     """
     n, df_of = frequencies(df, text_col)

@@ -95,6 +95,8 @@ def licenses(text, templates, off=2, share=0.25):
     found = set()
     for label, notice, keys in templates:
         n = notice.split()
+        if not all(f" {k} " in f" {' '.join(w)} " for k in keys):
+            continue
         place = [next(i for i in range(len(n)) if n[i:i + len(k.split())] == k.split()) for k in keys]
         votes = Counter(i - k for i, x in enumerate(w) for k, y in enumerate(n) if x == y)
         for at in (x for x, v in votes.items() if v >= max(2, share * len(n))):

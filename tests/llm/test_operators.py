@@ -189,7 +189,7 @@ def test_licenses(spark, rows):
 
 def test_licenses_of_one_file(spark):
     """No template depends on what else the file holds: an uncapped brute force, every template word voting."""
-    notices = [t for _, t, _ in licenses.TEMPLATES]
+    notices = [t for _, t, _ in licenses.TEMPLATES[:23]]
     four = ". ".join([notices[1], notices[14], "Subject to the terms of the Mozilla Public License, v. 2.0", notices[18]])
     prose = "The charge of a copy was granted with attribution to a universal domain of public creative mozilla files. " * 3
     rng = random.Random(3)
@@ -200,6 +200,17 @@ def test_licenses_of_one_file(spark):
     assert {r.doc_id: r.labels for r in licenses.scan(spark.createDataFrame(own, SCHEMA)).collect()} == expected
 
 
+def test_licenses_of_whole_texts(spark):
+    """Each template's own text, wrapped and punctuated, has its label; the first clauses alone don't make a BSD licence of three."""
+    texts = ["/* " + ", ".join(t.capitalize() for t in notice.split(" the ")).replace(", ", " the\n * ") + ". */" for _, notice, _ in licenses.TEMPLATES]
+    own = list(enumerate([*texts, "An origin of this software. Redistribution, and use in source: and binary forms!", "In no event will the authors be late."]))
+    found = {r.doc_id: set(r.labels.split(",")) for r in licenses.scan(spark.createDataFrame(own, SCHEMA)).collect()}
+    assert all(label in found[i] for i, (label, _, _) in enumerate(licenses.TEMPLATES))
+    assert {i: ",".join(sorted(x)) for i, x in found.items()} == {i: brute.licenses(t, licenses.TEMPLATES) for i, t in own}
+    assert found[len(texts)] == {"bsd"} and found[len(texts) + 1] == {""}
+    assert all("bsd-3-clause" not in found[i] for i, (label, _, _) in enumerate(licenses.TEMPLATES) if label == "bsd-2-clause")
+
+
 def test_licenses_phrases_in_place(spark):
     gpl = "You can redistribute it under the terms of the GNU General Public License as published by the Free Software Foundation"
     own = {
