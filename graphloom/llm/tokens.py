@@ -27,7 +27,7 @@ ROUNDS = 6
 #: Bytes of sequences that a task gathers before it sends its blocks.
 GATHER = 8 << 20
 #: Compression of the staged ids, and of the blocks that travel.
-STAGED_LEVEL, BLOCK_LEVEL = 5, 7
+STAGED_LEVEL, BLOCK_LEVEL = 5, 3
 #: Most partitions that slots are dealt to; beyond, each writes several shards.
 MOST_RANGES = 20_000
 
