@@ -1,7 +1,8 @@
 """BPE encoding by dynamic programming over prefixes, and decoding.
 
 For every prefix of a word there is exactly one token that can end its encoding. The tokens that end at
-a position come from a suffix automaton over the vocabulary; the one that counts is compatible with the
+a position, that is, the suffixes of the prefix that are in the vocabulary, come from an Aho-Corasick automaton: its
+state is the longest such suffix that begins a token, and its failure links lead through all shorter ones. The one that counts is compatible with the
 last token of the prefix before it, that is, encoding the two together gives just these two. The last
 tokens are stored with each prefix, and back-pointers from the end of the word give its ids. No merge
 loop is run.
@@ -26,8 +27,8 @@ from pyspark.sql import functions as F
 NEVER = 1 << 60
 #: A word's last symbol is another symbol than the same byte inside a word.
 _END = 0x10000
-#: Distinct words whose encodings one Python worker keeps; beyond it the older half goes.
-CACHE_WORDS = 600_000
+#: Distinct words whose encodings one Python worker keeps, and the longest of them; beyond it the oldest quarter goes.
+CACHE_WORDS, CACHE_LENGTH = 600_000, 64
 #: Pairs of tokens whose compatibility one Python worker keeps.
 CACHE_PAIRS = 600_000
 #: Every character below this has the same Unicode properties in all versions, and is its own NFC form.
@@ -146,7 +147,7 @@ class Bpe:
 
     def encode(self, text: str, cache: dict[str, bytes]) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
-        if self.added_pattern is not None and "<|" in text:
+        if self.added_pattern is not None and any(x in text for x in self.added):
             out = []
             for x in self.added_pattern.split(text):
                 if x:
@@ -167,10 +168,12 @@ class Bpe:
                     got = cache.get(w)
                     if got is None:
                         ids = self.word(w if w.isascii() and w.isprintable() else "".join(map(byte_char, w.encode())))
-                        if len(cache) >= CACHE_WORDS:
-                            for k in list(islice(cache, CACHE_WORDS // 4)):
-                                del cache[k]
-                        got = cache[w] = struct.pack(f"<{len(ids)}I", *ids)
+                        got = struct.pack(f"<{len(ids)}I", *ids)
+                        if len(w) <= CACHE_LENGTH:
+                            if len(cache) >= CACHE_WORDS:
+                                for k in list(islice(cache, CACHE_WORDS // 4)):
+                                    del cache[k]
+                            cache[w] = got
                     out[i] = got
         return b"".join(out)
 
@@ -221,7 +224,11 @@ def decode(df: DataFrame, path: str, ids_col: str = "ids", text_col: str = "deco
 
 
 def digests(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: doc_id, n_tokens, ids_sha256 and decoded_sha256, from the ids and the decoded texts."""
+    """Per row: doc_id, n_tokens, ids_sha256 and decoded_sha256, from the ids and the decoded texts.
+
+    Null and empty texts have no ids and decode to the empty text; very long texts and words are encoded whole. Null and
+    repeated ids and repeated rows each give their row. Extra columns are ignored. An empty table gives no rows.
+    """
     both = decode(encode(df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), path), path)
     return both.select(
         "doc_id", (F.length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"),

@@ -341,3 +341,32 @@ def test_substrings(spark, rows):
         found = sorted(((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in substrings.substrings(df).collect()), key=str)
         assert found == sorted(((i, n, gone, brute.sha(kept)) for i, n, gone, kept in brute.without_repeats(own)), key=str)
     assert substrings.substrings(df.limit(0)).count() == 0
+
+
+def test_very_long_texts(spark):
+    """A text of millions of words with one huge word, through every operator on texts; each whole."""
+    import public_tokenizers as P
+
+    rng = random.Random(9)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(rng.randint(1, 7))) for _ in range(5_000)]
+    long = " ".join(rng.choice(words) for _ in range(700_000)) + " " + "x" * 3_000_000 + " tail of the mit license"
+    near = long.replace(" tail of", " end of")
+    own = [(1, long, "en", "a"), (2, near, "en", "b"), (3, "a short text of the mit license in some ten words", "en", "a")]
+    df = spark.createDataFrame(own, "doc_id long, text string, lang string, source string").repartition(3)
+    n = len(long.split())
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.join(df).collect()} == {i: (s, c) for i, s, c in brute.components([r[:2] for r in own], 3, 9, 10)}
+    assert {r.doc_id: r.n_words for r in quality.quality(df).collect()} == {1: n, 2: n, 3: 11}
+    assert {r.doc_id: r.last_word for r in licenses.scan(df).collect()} == {1: n - 2, 2: n - 2, 3: 5}
+    assert {r.doc_id: r["size"] for r in mixing.mixed(df).collect()} == {1: n, 2: n, 3: 11}
+    cut = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in substrings.substrings(df).collect()}
+    assert cut == {i: (k, gone, brute.sha(kept)) for i, k, gone, kept in brute.without_repeats([r[:2] for r in own])}
+    coder = tokens.encoding(P.path("byte_bpe_50k.tiktoken"), P.PATTERN)
+    some = df.filter("doc_id > 1").withColumn("text", F.expr("CASE WHEN doc_id = 2 THEN concat(substr(text, 1, 2000000), repeat('y', 5000)) ELSE text END"))
+    count = {r.doc_id: r.n for r in tokens.materialise(some, P.path("byte_bpe_50k.tiktoken"), P.PATTERN).groupBy("doc_id").agg(F.sum("n_tokens").alias("n")).collect()}
+    assert count == {r.doc_id: len(coder.encode_ordinary(r.text)) for r in some.collect()}
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(queries.word_bpe_path())
+    found = {r.doc_id: r.ids_sha256 for r in bpe.digests(some, queries.word_bpe_path()).collect()}
+    assert found == {r.doc_id: hashlib.sha256(np.array(library.encode(r.text, add_special_tokens=False).ids, dtype="<u4").tobytes()).hexdigest() for r in some.collect()}
+    assert {r.lang_pred for r in language.identify(some).collect()} == {"en"}
