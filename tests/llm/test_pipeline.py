@@ -1,9 +1,14 @@
 """The pipeline on a small fixture against the plain versions of its stages."""
 
+import hashlib
 import random
+from collections import Counter
+
+import numpy as np
+from tokenizers import Tokenizer
 
 import corpus_pipeline
-from graphloom.llm import quality
+from graphloom.llm import mixing, queries
 from graphloom.llm.common import staged
 
 from . import brute
@@ -35,8 +40,31 @@ def test_stages(spark, tmp_path):
     assert after == {i: cut[i][1] if cut[i][0] else t for i, t in before}
     mixed = seen["mix_sources"].collect()
     assert all(after[r.doc_id] == r.text for r in mixed)
-    assert seen["token_ids"].count() == len(mixed)
-    assert quality.WINDOW == 5
+    target = brute.mix([len(brute.WORD.findall(r.text or "")) for r in seen["repeated_passages"].collect()], [r.source for r in seen["repeated_passages"].collect()])
+    longest = max(len(brute.WORD.findall(t or "")) for t in after.values())
+    for source, n in target.items():
+        assert abs(sum(len(brute.WORD.findall(r.text or "")) for r in mixed if r.source == source) - n) <= longest
+    assert Counter(r.doc_id for r in mixed) == Counter({r.doc_id: r.copies for r in mixing.mixed(seen["repeated_passages"]).collect() if r.copies})
+    library = Tokenizer.from_file(queries.word_bpe_path())
+    expected = Counter((r.doc_id, np.array(library.encode(r.text or "", add_special_tokens=False).ids, dtype="<u4").tobytes()) for r in mixed)
+    found = seen["token_ids"].collect()
+    assert Counter((r.doc_id, bytes(r.ids)) for r in found) == expected
+    assert all(r.n_tokens == len(r.ids) // 4 and r.ids_sha256 == hashlib.sha256(r.ids).hexdigest() for r in found)
+
+
+def test_stages_on_odd_tables(spark, tmp_path):
+    """An empty table, further and clashing columns, null and repeated ids, repeated rows."""
+    text = " ".join(f"word{i} stands here" for i in range(20))
+    rows = [(None, text, "en", "a"), (None, text, "en", "a"), (1, text + " x", "en", None), (1, "quite another text of more than ten words is standing right here today", None, "a"), (1, "quite another text of more than ten words is standing right here today", None, "a"), (2, None, None, None)]
+    df = spark.createDataFrame([(*r, len(r[1] or ""), 1, 2, 3) for r in rows], "doc_id long, text string, lang string, source string, n_chars long, tid int, _kept_text int, `a.b` int")
+    for own in (df, df.limit(0)):
+        docs = own
+        for name, stage in corpus_pipeline.STAGES:
+            docs = staged(stage(spark, docs, str(tmp_path)), name)
+            assert name == "token_ids" or docs.columns == df.columns
+            if name == "near_copies" and own is df:
+                assert sorted((r.doc_id, r.text) for r in docs.collect()) == sorted([(1, rows[2][1]), (1, rows[3][1])])
+        assert (docs.count() > 0) == (own is df)
 
 
 def test_run(spark, sf_dir):
