@@ -16,14 +16,21 @@ def label_counts(ag: AGFrame, edges: bool = False, top: int | None = None) -> Da
     return out if top is None else out.orderBy(F.desc("n"), "label").limit(top)
 
 
-def pareto_front(df: DataFrame, group: str, x: str, y: str, shells: int = 1) -> DataFrame:
-    """Rows with ``shell``: 1 for those that no other of the group beats in x (high) and y (low) at once, 2 once they are gone, and so on."""
+def pareto_front(df: DataFrame, group: str, x: str, y: str, shells: int = 1, tolerance: float | None = None) -> DataFrame:
+    """Rows with ``shell``: 1 for those that no other of the group beats in x (high) and y (low) at once, 2 once they are gone, and so on.
+
+    With a ``tolerance`` a row is on a front if no row of the same or a higher x is lower in y by more than that.
+    """
     left, found = df, None
     for shell in range(1, shells + 1):
         w = Window.partitionBy(group).orderBy(F.desc(x)).rangeBetween(Window.unboundedPreceding, -1)
         better = F.min(y).over(w)
         level = F.min(y).over(Window.partitionBy(group, x))
-        marked = left.withColumn("_on", (F.coalesce(F.col(y) < better, F.lit(True))) & (F.col(y) == level))
+        if tolerance is None:
+            on = F.coalesce(F.col(y) < better, F.lit(True)) & (F.col(y) == level)
+        else:
+            on = F.col(y) <= F.least(level, F.coalesce(better, level)) + F.lit(tolerance)
+        marked = left.withColumn("_on", on)
         own = marked.filter("_on").drop("_on").withColumn("shell", F.lit(shell).cast("long"))
         found = own if found is None else found.unionByName(own)
         left = marked.filter("NOT _on").drop("_on")
@@ -89,3 +96,13 @@ def medoids(df: DataFrame, id_col: str, vector_col: str, score_col: str, cluster
     centres = df.sparkSession.createDataFrame([(i, [float(x) for x in c]) for i, c in enumerate(model.clusterCenters())], "cluster int, centre array<double>")
     far = F.sqrt(F.aggregate(F.zip_with("_a", "centre", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda a, x: a + x))
     return pareto_front(placed.join(F.broadcast(centres), "cluster").withColumn("distance", far).drop("_v", "_a", "centre"), "cluster", score_col, "distance")
+
+
+def plane(df: DataFrame, id_col: str, vector_col: str) -> DataFrame:
+    """id, x, y: the rows on the two directions in which their vectors vary most, for a plot of an embedding."""
+    from pyspark.ml.feature import PCA
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+
+    rows = df.filter(F.col(vector_col).isNotNull()).select(id_col, array_to_vector(F.col(vector_col).cast("array<double>")).alias("_v"))
+    placed = PCA(k=2, inputCol="_v", outputCol="_p").fit(rows).transform(rows).withColumn("_p", vector_to_array("_p"))
+    return placed.select(id_col, F.col("_p")[0].alias("x"), F.col("_p")[1].alias("y"))

@@ -8,13 +8,9 @@ from __future__ import annotations
 import hashlib
 import random
 from collections import defaultdict, deque
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
 from itertools import combinations
 
-#: Subgraphs or cycles beyond which an exponential kernel gives up with an error.
-MOST_FOUND = 200_000
-
-
 class Graph:
     """Adjacency of a subgraph: ``out`` follows arcs, ``near`` ignores their direction."""
 
@@ -90,10 +86,12 @@ def _forest(g: Graph) -> tuple[dict[int, int | None], dict[int, int]]:
     return parent, depth
 
 
-def cycles(g: Graph) -> list[list[int]]:
-    """Undirected: the fundamental cycles of the breadth-first forest from the smallest ids; directed: all simple cycles."""
-    if g.directed:
-        return _directed_cycles(g)
+def cycles(g: Graph) -> Iterator[list[int]]:
+    """Undirected: the fundamental cycles of the breadth-first forest from the smallest ids; directed: all simple cycles, one by one."""
+    return _directed_cycles(g) if g.directed else iter(_fundamental_cycles(g))
+
+
+def _fundamental_cycles(g: Graph) -> list[list[int]]:
     parent, depth = _forest(g)
     out = []
     for u, v in sorted((min(e), max(e)) for e in g.edges):
@@ -110,8 +108,7 @@ def cycles(g: Graph) -> list[list[int]]:
     return out
 
 
-def _directed_cycles(g: Graph) -> list[list[int]]:
-    out = []
+def _directed_cycles(g: Graph) -> Iterator[list[int]]:
     for start in g.nodes:
         stack = [(start, iter(sorted(v for v in g.out[start] if v >= start)))]
         path, on = [start], {start}
@@ -121,14 +118,11 @@ def _directed_cycles(g: Graph) -> list[list[int]]:
                 on.discard(stack.pop()[0])
                 path.pop()
             elif v == start:
-                out.append(sorted(path))
-                if len(out) > MOST_FOUND:
-                    raise ValueError("too many simple cycles")
+                yield sorted(path)
             elif v not in on:
                 path.append(v)
                 on.add(v)
                 stack.append((v, iter(sorted(w for w in g.out[v] if w >= start))))
-    return out
 
 
 def bridges(g: Graph) -> list[tuple[int, int]]:
@@ -213,34 +207,45 @@ def spine(g: Graph, radius: int, seed: int) -> list[list[int]]:
     return [sorted({v for n in line for v in distances(g.out, n, radius)})]
 
 
-def connected_subsets(g: Graph, high: int) -> set[frozenset[int]]:
-    found = {frozenset([n]) for n in g.nodes}
-    layer = set(found)
-    for _ in range(high - 1):
-        layer = {s | {v} for s in layer for u in s for v in g.near[u] if v not in s}
-        found |= layer
-        if len(found) > MOST_FOUND:
-            raise ValueError("too many connected subsets")
-    return found
+def connected_subsets(g: Graph, high: int) -> Iterator[tuple[int, ...]]:
+    """Every connected node set of ``high`` nodes at most, once each, without any being held.
+
+    A set is grown from its smallest node; a node may join it if no node before the newest one was its neighbour, so
+    there's one way only to reach a set.
+    """
+    for root in g.nodes:
+        stack = [((root,), sorted(v for v in g.near[root] if v > root), {root} | g.near[root])]
+        while stack:
+            own, may, seen = stack.pop()
+            yield own
+            if len(own) < high:
+                for i, v in enumerate(may):
+                    fresh = [w for w in g.near[v] if w > root and w not in seen]
+                    stack.append(((*own, v), may[i + 1:] + fresh, seen | g.near[v]))
 
 
-def graphlets(g: Graph, radius: int, low: int, high: int) -> list[list[int]]:
+def graphlets(g: Graph, radius: int, low: int, high: int) -> Iterator[list[int]]:
+    """The connected node sets of low to high nodes that lie within a radius of some node, one by one."""
     balls = [frozenset(distances(g.out, n, radius)) for n in g.nodes]
     by_node = defaultdict(list)
     for b in balls:
         for n in b:
             by_node[n].append(b)
-    found = [sorted(s) for s in connected_subsets(g, high) if low <= len(s) and any(s <= b for b in by_node[next(iter(s))])]
-    return sorted(found, key=lambda s: (len(s), s))
+    for own in connected_subsets(g, high):
+        if low <= len(own) and any(b.issuperset(own) for b in by_node[own[0]]):
+            yield sorted(own)
 
 
-def cliques(g: Graph, low: int, high: int) -> list[list[int]]:
-    out, layer = [], [[n] for n in g.nodes]
-    for size in range(1, high + 1):
-        if size >= low:
-            out += layer
-        layer = [c + [v] for c in layer for v in sorted(set.intersection(*(g.near[u] for u in c))) if v > c[-1]]
-    return out
+def cliques(g: Graph, low: int, high: int) -> Iterator[list[int]]:
+    """All cliques of low to high nodes, one by one; each is grown by the common neighbours beyond its largest node."""
+    ahead = {n: {v for v in g.near[n] if v > n} for n in g.nodes}
+    stack = [([n], ahead[n]) for n in reversed(g.nodes)]
+    while stack:
+        own, may = stack.pop()
+        if len(own) >= low:
+            yield own
+        if len(own) < high:
+            stack += [([*own, v], may & ahead[v]) for v in may]
 
 
 def betweenness(g: Graph) -> list[tuple[float, int]]:
@@ -318,9 +323,8 @@ def random_parts(g: Graph, samples: int, seed: int) -> list[list[int]]:
     return out
 
 
-def bisect(g: Graph, seed: int, trials: int = 1) -> tuple[set[int], set[int]]:
-    """Two halves with few edges between: the best of some seeded starts, each improved by pairwise swaps."""
-    best: tuple[int, set[int], set[int]] | None = None
+def bisections(g: Graph, seed: int, trials: int = 1) -> Iterator[tuple[int, set[int], set[int]]]:
+    """(edges cut, half, half) of some seeded starts, each improved by pairwise swaps."""
     for trial in range(trials):
         order = sorted(g.nodes, key=lambda n: (_draw(seed + trial, str(n)), n))
         a = set(order[: len(order) // 2])
@@ -331,10 +335,12 @@ def bisect(g: Graph, seed: int, trials: int = 1) -> tuple[set[int], set[int]]:
             if top[0] <= 0:
                 break
             a = (a - {-top[1]}) | {-top[2]}
-        cut = sum((u in a) != (v in a) for u, v in g.edges)
-        if best is None or cut < best[0]:
-            best = (cut, a, set(g.nodes) - a)
-    return best[1], best[2]
+        yield sum((u in a) != (v in a) for u, v in g.edges), a, set(g.nodes) - a
+
+
+def bisect(g: Graph, seed: int, trials: int = 1) -> tuple[set[int], set[int]]:
+    """Two halves with few edges between: the first best of the bisections."""
+    return min(bisections(g, seed, trials), key=lambda x: x[0])[1:]
 
 
 def split(g: Graph, parts: int, seed: int) -> list[list[int]]:
@@ -353,31 +359,66 @@ def split(g: Graph, parts: int, seed: int) -> list[list[int]]:
     return sorted(done + left)
 
 
+def boundary(g: Graph, part: Iterable[int]) -> int:
+    """Nodes of a part that have a neighbour beyond it."""
+    own = set(part)
+    return sum(any(v not in own for v in g.near[n]) for n in own)
+
+
 def low_cut(g: Graph, p: dict) -> list[list[int]]:
-    """Split a graph where few edges are cut until parts are small: at a bridge or a pair of edges, else by halving."""
+    """Split a graph where few edges are cut until parts are small: at a bridge or a pair of edges, else by halving.
+
+    A halving is wanted if it cuts ``target_max_cut_edges`` at most, leaves ``target_max_boundary_nodes`` at most on
+    either side, and the smaller side has ``balance_tolerance`` of the larger one's nodes. Where no trial is, the
+    best one is taken for a part that is too large, or none without ``force_split_oversized``. With
+    ``strict_max_boundary`` a part that still has too long a boundary falls apart into its edges.
+    """
     accepted: list[list[int]] = []
     work = [(c, 0) for c in components(g)]
     seed = p["seed"] or 0
     while work:
         part, depth = work.pop()
         own = g.part(part)
-        if len(part) <= p["max_part_size"] or len(part) < 2 or (depth >= p["max_depth"] and not p["force_split_oversized"]) or depth >= 4 * p["max_depth"] + 40:
+        if len(part) <= max(1, p["max_part_size"]) or len(part) < 2 or depth >= p["max_depth"]:
             accepted.append(part)
             continue
         halves = _attached(own, p) if p["prefer_low_attachment_split"] else None
         if halves is None:
-            a, b = bisect(own, seed + depth, p["max_split_trials"])
-            halves = [c for h in (a, b) for c in components(own.part(h))]
-            small = [c for c in halves if len(c) < p["min_part_size"]]
-            if small and not p["allow_small_parts"] and len(halves) > 2:
-                halves = _absorb(own, halves, p["min_part_size"])
+            halves = _halved(own, seed + depth, p)
         if len(halves) < 2:
             accepted.append(part)
             continue
         work += [(c, depth + 1) for c in halves]
+    if p["strict_max_boundary"]:
+        accepted = [x for c in accepted for x in ([c] if boundary(g, c) <= p["target_max_boundary_nodes"] else _edge_cover(g, c))]
     return [sorted(c) for c in sorted(_overlap(g, accepted, p), key=lambda c: sorted(c))]
 
 
+def _halved(g: Graph, seed: int, p: dict) -> list[list[int]]:
+    """The connected parts of the halving that comes nearest to its targets; just one part if none is good enough."""
+    best = None
+    for cut, a, b in bisections(g, seed, max(1, p["max_split_trials"])):
+        halves = [c for h in (a, b) for c in components(g.part(h))]
+        if not p["allow_small_parts"]:
+            halves = _absorb(g, halves, p["min_part_size"])
+        small, large = min(map(len, halves)), max(map(len, halves))
+        misses = (
+            max(0, cut - p["target_max_cut_edges"]) + max(0, max(boundary(g, c) for c in halves) - p["target_max_boundary_nodes"])
+            + (small < p["balance_tolerance"] * large) + (small < p["min_part_size"] and not p["allow_small_parts"])
+        )
+        if best is None or (misses, cut) < best[:2]:
+            best = (misses, cut, halves)
+    return [g.nodes] if best[0] and not p["force_split_oversized"] else best[2]
+
+
+def _edge_cover(g: Graph, part: list[int]) -> list[list[int]]:
+    """The edges of a part, and its nodes without any."""
+    own = set(part)
+    arcs = [[u, v] for u, v in g.edges if u in own and v in own]
+    alone = own - {n for e in arcs for n in e}
+    return arcs + [[n] for n in sorted(alone)]
+
+
 def _attached(g: Graph, p: dict) -> list[list[int]] | None:
     """The split into two sides of enough nodes that hang together by one edge, or else by two."""
     least, tried = p["low_attachment_min_component_size"], 0
@@ -465,23 +506,20 @@ def close_sets(g: Graph, low: int, high: int, left: list[list[int]], right: list
     return out
 
 
-def combinations_within(g: Graph, sets: list[list[int]], count: tuple[int, int], distance: tuple[int, int]) -> list[list[int]]:
-    """Unions of every choice of k sets, each pair of which is at a distance in range."""
-    ok, out = close_sets(g, *distance, sets, sets, True), []
+def combinations_within(g: Graph, sets: list[list[int]], count: tuple[int, int], distance: tuple[int, int]) -> Iterator[list[int]]:
+    """Unions of every choice of k sets, each pair of which is at a distance in range, one by one."""
+    ok = close_sets(g, *distance, sets, sets, True)
 
-    def grow(chosen: list[int], start: int) -> None:
+    def grow(chosen: list[int], start: int) -> Iterator[list[int]]:
         if count[0] <= len(chosen):
-            out.append(sorted({n for i in chosen for n in sets[i]}))
-            if len(out) > MOST_FOUND:
-                raise ValueError("too many combinations")
+            yield sorted({n for i in chosen for n in sets[i]})
         if len(chosen) < count[1]:
             every = set.intersection(*(ok[i] for i in chosen))
             for j in sorted(x for x in every if x >= start):
-                grow([*chosen, j], j + 1)
+                yield from grow([*chosen, j], j + 1)
 
     for i in range(len(sets)):
-        grow([i], i + 1)
-    return out
+        yield from grow([i], i + 1)
 
 
 # ---- canonical form ----------------------------------------------------------------------------

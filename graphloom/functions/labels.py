@@ -7,11 +7,12 @@ labelled graph is an Arrow function over each distinct input.
 from __future__ import annotations
 
 
+from pyspark.ml import Transformer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from ..model import SG_COLUMNS, AGFrame, renumbered
+from ..model import SG_COLUMNS, AGFrame, renumbered, whole
 from ..operators.selection import label_at, with_labels
 from . import kernels as K
 
@@ -133,13 +134,13 @@ def vectorize_graphs(ag: AGFrame) -> DataFrame:
     return counted.unionByName(fixed.select("graph_id", "x.col", "x.value"))
 
 
-def to_vectors(features: DataFrame, width: int) -> DataFrame:
-    """graph_id and a sparse vector of its features."""
+def to_vectors(features: DataFrame, width: int, keys: tuple[str, ...] = ("graph_id",)) -> DataFrame:
+    """The keys and a sparse vector of their features. Arrow has no vectors, so they are made row by row, one for each key."""
     from pyspark.ml.linalg import SparseVector, VectorUDT
 
-    keep = features.groupBy("graph_id").agg(F.sort_array(F.collect_list(F.struct("col", "value"))).alias("f"))
-    make = F.udf(lambda f: SparseVector(width, [int(x["col"]) for x in f], [float(x["value"]) for x in f]), VectorUDT())
-    return keep.select("graph_id", make("f").alias("features"))
+    keep = features.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("col", "value"))).alias("f"))
+    make = F.udf(lambda cols, values: SparseVector(width, cols, values), VectorUDT())
+    return keep.select(*keys, make("f.col", "f.value").alias("features"))
 
 
 def feature_subgraphs(ag: AGFrame, nbits: int = 10) -> DataFrame:
@@ -219,3 +220,33 @@ def apply(ag: AGFrame, program, nbits: int = 14, label_mode: str = "graph_hash",
     return attribute(LABEL_MODES[label_mode](program(ag), nbits))
 
 
+class GraphFeatures(Transformer):
+    """A ``pyspark.ml`` stage: from rows of base graphs to a sparse vector of each graph's features.
+
+    ``program`` is an operator or its XML. Input columns: graph_id, nodes, edges (and target); all are kept, with the
+    vector in ``outputCol``.
+    """
+
+    def __init__(self, program, nbits: int = 10, label_mode: str = "graph_hash", directed: bool = False, outputCol: str = "features"):
+        super().__init__()
+        self.program, self.nbits, self.label_mode, self.directed, self.outputCol = program, nbits, label_mode, directed, outputCol
+
+    def _transform(self, dataset: DataFrame) -> DataFrame:
+        from ..plans.programs import from_xml
+
+        program = from_xml(self.program) if isinstance(self.program, str) else self.program
+        base = dataset if "target" in dataset.columns else dataset.withColumn("target", F.lit(None).cast("int"))
+        found = vectorize_graphs(apply(whole(base.select("graph_id", "target", "nodes", "edges"), self.directed), program, self.nbits, self.label_mode))
+        return dataset.join(to_vectors(found, 1 << self.nbits).withColumnRenamed("features", self.outputCol), "graph_id", "left")
+
+
+class NodeFeatures(GraphFeatures):
+    """As :class:`GraphFeatures`, with one row for each node: graph_id, node_id and its vector."""
+
+    def _transform(self, dataset: DataFrame) -> DataFrame:
+        from ..plans.programs import from_xml
+
+        program = from_xml(self.program) if isinstance(self.program, str) else self.program
+        base = dataset if "target" in dataset.columns else dataset.withColumn("target", F.lit(None).cast("int"))
+        found = vectorize(apply(whole(base.select("graph_id", "target", "nodes", "edges"), self.directed), program, self.nbits, self.label_mode))
+        return to_vectors(found, 1 << self.nbits, ("graph_id", "node_id")).withColumnRenamed("features", self.outputCol)

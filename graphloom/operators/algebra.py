@@ -285,7 +285,7 @@ def binary_intersection(a: AGFrame, b: AGFrame, first_second_node_size=None, mus
 def combination(ag: AGFrame, number_of_elements=(2, 2), distance=(0, 1)) -> AGFrame:
     """Unions of every choice of subgraphs, so many, each pair of which is at a base distance in range."""
     count, far = span(number_of_elements), span(distance)
-    return global_nodes(ag, lambda sets, g: K.combinations_within(g, sets, count, far), "combination", {"number_of_elements": number_of_elements, "distance": distance})
+    return global_nodes(ag, lambda sets, g: K.combinations_within(g, sets, count, far), "combination", {"number_of_elements": number_of_elements, "distance": distance}, streams=True)
 
 
 @operator("binary_combination", "weak", "binary", first_second_distance=(0, 1))

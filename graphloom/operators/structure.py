@@ -29,7 +29,10 @@ def _arcs(column) -> list[list[tuple[int, int]]]:
     return [every[a - offsets[0]:b - offsets[0]] for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
 
 
-def _checked(found):
+def _checked(found, streams: bool = False):
+    """What a decomposition gives: a list; the kernels here may give their results one by one, so that none has to hold them all."""
+    if streams:
+        return found
     if not isinstance(found, list):
         raise TypeError(f"a decomposition gives a list of components, not {type(found).__name__}")
     return found
@@ -85,7 +88,7 @@ def _going_in(ag: AGFrame) -> DataFrame:
     return rows.join(ag.base.select("graph_id", pairs(F.col("edges")).alias("arcs")), "graph_id")
 
 
-def local_parts(ag: AGFrame, fn) -> DataFrame:
+def local_parts(ag: AGFrame, fn, streams: bool = False) -> DataFrame:
     """graph_id, ord, parent, nodes, edges: one row per list of nodes that ``fn(Graph)`` gives for a subgraph, with the edges of the base graph.
 
     One pass over the rows. Node lists are made distinct and put in order.
@@ -100,7 +103,7 @@ def local_parts(ag: AGFrame, fn) -> DataFrame:
             given, held = _arcs(arcs_of) if arcs_of.null_count == 0 else None, (None, {})
             for i, (nodes, edges) in enumerate(zip(_lists(batch.column("nodes")), _arcs(batch.column("edges")), strict=True)):
                 graph_id, order, parent = (c[i] for c in columns)
-                found = _checked(fn(K.Graph(nodes, edges, directed)))
+                found = _checked(fn(K.Graph(nodes, edges, directed)), streams)
                 if given is None:
                     ahead = _ahead(edges)
                 else:
@@ -116,9 +119,9 @@ def local_parts(ag: AGFrame, fn) -> DataFrame:
     return _going_in(ag).mapInArrow(run, PARTS)
 
 
-def local_nodes(ag: AGFrame, fn, name: str, params: dict | None = None, skip_empty: bool = False) -> AGFrame:
+def local_nodes(ag: AGFrame, fn, name: str, params: dict | None = None, skip_empty: bool = False, streams: bool = False) -> AGFrame:
     """Custom operator: ``fn(Graph) -> list of node lists`` for each subgraph; each becomes a node-induced subgraph."""
-    rows = local_parts(ag, fn).withColumn("meta", meta_of(name, params or {}, ag.chain, F.col("parent")))
+    rows = local_parts(ag, fn, streams).withColumn("meta", meta_of(name, params or {}, ag.chain, F.col("parent")))
     return ready(ag, rows.filter(F.size("nodes") > 0) if skip_empty else rows)
 
 
@@ -156,7 +159,7 @@ def _all_of_each(ag: AGFrame, with_edges: bool) -> DataFrame:
     return rows.select("graph_id", "ids", "arcs", F.transform("all", lambda x: x["nodes"]).alias("sets"), *more)
 
 
-def global_nodes(ag: AGFrame, fn, name: str, params: dict | None = None, skip_empty: bool = False) -> AGFrame:
+def global_nodes(ag: AGFrame, fn, name: str, params: dict | None = None, skip_empty: bool = False, streams: bool = False) -> AGFrame:
     """Custom operator: ``fn(list of node lists, Graph of the base) -> node lists`` over all subgraphs of a graph; no parent is recorded."""
     directed = ag.directed
 
@@ -165,7 +168,7 @@ def global_nodes(ag: AGFrame, fn, name: str, params: dict | None = None, skip_em
         for batch in batches:
             for graph_id, ids, arcs, sets in zip(batch.column("graph_id").to_pylist(), _lists(batch.column("ids")), _arcs(batch.column("arcs")), _lists(batch.column("sets")), strict=True):
                 ahead = _ahead(arcs)
-                for part in _checked(fn(sets, K.Graph(ids, arcs, directed))):
+                for part in _checked(fn(sets, K.Graph(ids, arcs, directed)), streams):
                     own = sorted(set(part))
                     out.add((graph_id, 0, 0), own, _among(own, ahead))
                     if out.full():
@@ -224,7 +227,7 @@ def _kernel(name: str, support: str, fn, doc: str, **defaults):
 
     def run(ag: AGFrame, **params) -> AGFrame:
         given = defaults | params
-        return local_nodes(ag, lambda g: fn(g, **given), name, params)
+        return local_nodes(ag, lambda g: fn(g, **given), name, params, streams=True)
 
     run.__doc__ = doc
     return operator(name, support, **defaults)(run)

@@ -5,6 +5,8 @@ Every query runs its program over the whole view. Node sets are shown as ids in
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -71,6 +73,18 @@ def partitioned(view, program):
     return run
 
 
+def drawn(view, program):
+    """The parts drawn of each graph: how many, of how many components at most, and how many of their nodes aren't the graph's."""
+
+    def run(spark, sf_dir):
+        ag = program(view(spark, sf_dir))
+        of = ag.base.select("graph_id", F.transform("nodes", lambda x: x["id"]).alias("ids"))
+        parts = ag.sg.join(of, "graph_id").withColumn("c", O.n_components("nodes", "edges"))
+        return parts.groupBy("graph_id").agg(F.count("*").alias("n"), F.max("c").cast("long").alias("components"), F.sum(F.size(F.array_except("nodes", "ids"))).alias("foreign"))
+
+    return run
+
+
 def named(view, program):
     return lambda spark, sf_dir: program(view(spark, sf_dir)).sg.select("graph_id", members("nodes").alias("members"), F.col("meta.user_name").alias("user_name"))
 
@@ -162,15 +176,33 @@ def knn(spark, sf_dir):
     return A.knn_vote(e, e.filter(F.col("vec_id") % 100 == 0), "vec_id", "embedding", "label", 5).select("vec_id", F.col("vote").cast("long").alias("vote"))
 
 
-def pareto(spark, sf_dir):
+def pareto(spark, sf_dir, shells=2, tolerance=None):
     p = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_brand").alias("brand"), "p_partkey", F.col("p_size").cast("long").alias("size"), F.col("p_retailprice").alias("price"))
-    return A.pareto_front(p, "brand", "size", "price", 2)
+    return A.pareto_front(p, "brand", "size", "price", shells, tolerance)
+
+
+def generated(spark, sf_dir):
+    """Sizes of artificial graphs of each shape."""
+    from ..sources.generators import SHAPES, random_graphs
+
+    out = None
+    for shape in SHAPES:
+        own = random_graphs(spark, 3, shape, instance_size=10).base.select(F.lit(shape).alias("shape"), "graph_id", F.size("nodes").cast("long").alias("n_nodes"), F.when(F.lit(shape != "dense"), F.size("edges").cast("long")).alias("n_edges"))
+        out = own if out is None else out.unionByName(own)
+    return out
 
 
 def hash_dedup(spark, sf_dir):
     return L.GraphHashDeduper(31).fit_filter(V.session(spark, sf_dir)).select("graph_id")
 
 
+def hash_dedup_payload(spark, sf_dir):
+    """The graphs that stay, each with what was carried along."""
+    ag = V.session(spark, sf_dir)
+    ag = replace(ag, base=ag.base.withColumn("n_nodes", F.size("nodes").cast("long")))
+    return L.GraphHashDeduper(31, "n_nodes").fit_filter(ag).select("graph_id", "n_nodes")
+
+
 def features(view, program):
     def run(spark, sf_dir):
         return L.feature_subgraphs(program(view(spark, sf_dir)), 10).groupBy("label").agg(F.count("*").alias("n"))
@@ -212,7 +244,7 @@ QUERIES = {
     "betweenness_centrality_hop_split": q(V.dialog, O.betweenness_centrality_hop_split(1)),
     "split": partitioned(V.copart, O.split(3)),
     "low_cut_partition": partitioned(V.copart, O.low_cut_partition()),
-    "random_part": partitioned(V.copart, O.random_part(1)),
+    "random_part": drawn(V.copart, O.random_part(1)),
     "name": named(V.copart, O.add(O.name("whole"), F2(O.node(), O.name("one")))),
     "if_then_elif_else": q(V.basket, O.if_then_elif_else((sizes_over(60), O.node()), (sizes_over(40), O.edge()), O.connected_component())),
     "global_edges": all_edges(V.basket),
@@ -256,8 +288,13 @@ QUERIES = {
     "scalars": reduced(V.copart, O.clique((2, 3))),
     "vectorize_node": vectorized(V.basket, O.add(O.node(), O.edge()), False),
     "vectorize_graph": vectorized(V.basket, O.add(O.node(), O.edge()), True),
-    "vectorize_graph_hash": hashed(V.dialog, F2(NB1)),
-    "feature_subgraphs": features(V.dialog, F2(NB1)),
+    "vectorize_graph_hash": hashed(V.basket, F2(NB1)),
+    "feature_subgraphs": features(V.basket, F2(NB1)),
+    "token_chain": lambda spark, sf_dir: A.label_counts(V.token_chain(spark.read.parquet(f"{sf_dir}/benchmark.parquet"), "item_id")).select("label", "n"),
+    "dependency_arcs": lambda spark, sf_dir: V.dependency_graphs(V.parsed_tokens(spark.read.parquet(f"{sf_dir}/benchmark.parquet"), id_col="item_id")).base.select("graph_id", F.size("nodes").cast("long").alias("n_nodes"), F.size("edges").cast("long").alias("n_edges")),
+    "pareto_tolerance": lambda spark, sf_dir: pareto(spark, sf_dir, 1, 25.0),
+    "generated": generated,
+    "hash_dedup_payload": hash_dedup_payload,
     "hash_dedup": hash_dedup,
     "to_graph_export": lambda spark, sf_dir: L.to_graph(F2(O.edge(), O.intersection_edges())(V.basket(spark, sf_dir))).groupBy("kind").agg(F.count("*").alias("n")),
     "dom_nodes": lambda spark, sf_dir: A.label_counts(V.dom(spark, sf_dir)).select("label", "n"),
@@ -415,3 +452,11 @@ ORACLE |= {
 }
 ORACLE["split"] = _sql(COPART, select="SELECT g AS graph_id, count(*) AS covered, 1::BIGINT AS components FROM bn GROUP BY g")
 ORACLE["low_cut_partition"] = ORACLE["split"]
+ORACLE["random_part"] = _sql(COPART, select="SELECT DISTINCT g AS graph_id, 1::BIGINT AS n, 1::BIGINT AS components, 0::BIGINT AS foreign FROM bn").replace("AS foreign", 'AS "foreign"')
+ORACLE |= {
+    "token_chain": r"SELECT label, count(*) AS n FROM (SELECT unnest(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS label FROM benchmark) GROUP BY 1",
+    "dependency_arcs": r"SELECT item_id AS graph_id, n AS n_nodes, n - 1 AS n_edges FROM (SELECT item_id, len(regexp_extract_all(text, '[^\x20\x09-\x0D]+'))::BIGINT AS n FROM benchmark) WHERE n > 0",
+    "pareto_tolerance": "WITH p AS (SELECT p_brand AS brand, p_partkey, p_size::BIGINT AS size, p_retailprice AS price FROM part) SELECT *, 1::BIGINT AS shell FROM p x WHERE price <= (SELECT min(price) FROM p y WHERE y.brand = x.brand AND y.size >= x.size) + 25.0",
+    "generated": """SELECT shape, g AS graph_id, 10::BIGINT AS n_nodes, n_edges::BIGINT AS n_edges FROM (VALUES ('path', 9), ('cycle', 10), ('tree', 9), ('dense', NULL), ('regular', 15), ('degree', 9)) AS t(shape, n_edges), range(3) AS r(g)""",
+    "hash_dedup_payload": ORACLE["hash_dedup"].replace("SELECT max(g) AS graph_id FROM", "SELECT max(g) AS graph_id, max(len(ns))::BIGINT AS n_nodes FROM"),
+}

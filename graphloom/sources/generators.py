@@ -23,15 +23,26 @@ def shape_edges(shape: str, n: int, rng: random.Random) -> set[tuple[int, int]]:
         return {(rng.randrange(i), i) for i in range(1, n)}
     if shape == "dense":
         return {(i, j) for i in range(n) for j in range(i + 1, n) if rng.random() < DENSE}
-    if shape == "regular":  # a circle, and a chord from each node to one half the circle away
-        ring = shape_edges("cycle", n, rng)
-        return ring | {(i, i + n // 2) for i in range(n // 2)} if n > 3 else ring
+    if shape == "regular":
+        return _regular(n, rng)
     if shape == "degree":
         hubs = max(1, n // 4)
         return {(0, i) for i in range(1, hubs)} | {(rng.randrange(hubs), i) for i in range(hubs, n)}
     raise ValueError(f"unknown shape {shape!r}")
 
 
+def _regular(n: int, rng: random.Random, degree: int = 3) -> set[tuple[int, int]]:
+    """A random graph in which every node has three neighbours; two, if that can't be. Ends are paired at random until all fit."""
+    degree = min(degree, n - 1) - (n * min(degree, n - 1)) % 2
+    while degree > 0:
+        ends = [i for i in range(n) for _ in range(degree)]
+        rng.shuffle(ends)
+        made = {(min(a, b), max(a, b)) for a, b in zip(ends[::2], ends[1::2], strict=True) if a != b}
+        if 2 * len(made) == len(ends):
+            return made
+    return set()
+
+
 def _collection(spark: SparkSession, many: int, make, seed: int) -> AGFrame:
     def run(batches):
         import pyarrow as pa

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -66,6 +68,41 @@ def geo(spark: SparkSession, sf_dir: str) -> AGFrame:
     return from_tables(nodes, edges, True)
 
 
+#: Columns of a parsed token; ``head`` is the place of the token that it hangs on, null for a root.
+TOKEN = "graph_id long, node_id long, text string, lemma string, pos string, tag string, dep string, char_start long, char_end long, head long, label string"
+
+
+def _tokens_in_order(text: str) -> list[dict]:
+    """Words as tokens, each hanging on the one before it."""
+    return [
+        {"text": m[0], "lemma": m[0].lower(), "pos": None, "tag": None, "dep": "next", "char_start": m.start(), "char_end": m.end(), "head": i - 1 if i else None}
+        for i, m in enumerate(re.finditer(r"[^\x20\x09-\x0D]+", text))
+    ]
+
+
+def parsed_tokens(texts: DataFrame, parse=None, id_col: str = "doc_id", text_col: str = "text", label: str = "text") -> DataFrame:
+    """The TOKEN rows of each text. ``parse(text)`` gives a dictionary for each token; without one, words in order."""
+    make, names = parse or _tokens_in_order, [x.split()[0] for x in TOKEN.split(", ")]
+
+    def run(batches):
+        import pyarrow as pa
+
+        kinds = {"long": pa.int64(), "string": pa.string()}
+        schema = pa.schema([(x.split()[0], kinds[x.split()[1]]) for x in TOKEN.split(", ")])
+        for batch in batches:
+            for graph_id, text in zip(batch.column("graph_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                rows = [{"graph_id": graph_id, "node_id": i, **t, "label": str(t.get(label) or "")} for i, t in enumerate(make(text or ""))]
+                yield pa.RecordBatch.from_pylist([{n: r.get(n) for n in names} for r in rows], schema=schema)
+
+    return texts.select(F.col(id_col).cast("long").alias("graph_id"), F.col(text_col).alias("text")).mapInArrow(run, TOKEN)
+
+
+def dependency_graphs(tokens: DataFrame) -> AGFrame:
+    """A digraph for each text from its TOKEN rows: arcs from head to token, labelled by their relation."""
+    edges = tokens.filter(F.col("head").isNotNull()).select("graph_id", F.col("head").alias("src"), F.col("node_id").alias("dst"), F.col("dep").alias("label"))
+    return from_tables(tokens.select("graph_id", "node_id", "label"), edges, True)
+
+
 def token_chain(texts: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> AGFrame:
     """A digraph for each text: its words in order, each with a ``next`` arc to the following one."""
     words = texts.select(F.col(id_col).alias("graph_id"), F.posexplode(F.regexp_extract_all(F.coalesce(text_col, F.lit("")), F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))).alias("node_id", "label"))

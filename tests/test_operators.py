@@ -214,3 +214,72 @@ def test_streams(spark, molecule, tmp_path):
     assert {r.value for r in spark.read.parquet(str(tmp_path / "out")).filter("col = 0").collect()} == {8.0}
     rows = spark.createDataFrame([("2026-01-01 00:00:01", "a"), ("2026-01-01 00:00:09", "a"), ("2026-01-01 00:01:00", "b")], "ts string, label string").withColumn("ts", F.to_timestamp("ts"))
     assert sorted((r.label, r.n) for r in label_windows(rows, "ts", "label", "30 seconds", "1 minute").collect()) == [("a", 2), ("b", 1)]
+
+
+def test_partition_parameters():
+    """Two squares joined by one edge, and a long circle."""
+    two = K.Graph(range(8), [(0, 1), (1, 2), (2, 3), (0, 3), (4, 5), (5, 6), (6, 7), (4, 7), (3, 4)], False)
+    given = {"max_part_size": 4, "min_overlap_nodes": 0, "low_attachment_min_component_size": 3}
+    defaults = {**dict(O.REGISTRY["low_cut_partition"].defaults), **given}
+    assert K.low_cut(two, defaults) == [[0, 1, 2, 3], [4, 5, 6, 7]]
+    ring = K.Graph(range(12), [(i, (i + 1) % 12) for i in range(12)], False)
+    plain = {**defaults, "prefer_low_attachment_split": False}
+    whole = [list(range(12))]
+    assert len(K.low_cut(ring, plain)) > 1
+    assert K.low_cut(ring, {**plain, "target_max_cut_edges": 1, "force_split_oversized": False}) == whole
+    assert K.low_cut(ring, {**plain, "target_max_boundary_nodes": 1, "force_split_oversized": False}) == whole
+    assert K.low_cut(ring, {**plain, "max_depth": 0}) == whole
+    covered = K.low_cut(ring, {**plain, "strict_max_boundary": True, "target_max_boundary_nodes": 1})
+    assert sorted(map(tuple, covered)) == sorted((min(u, v), max(u, v)) for u, v in ring.edges if any({u, v} <= set(c) for c in K.low_cut(ring, {**plain, "target_max_boundary_nodes": 1})))
+
+
+def test_kernels_hold_nothing():
+    """Results come one by one: the first few of a graph of a great many."""
+    from itertools import islice
+
+    n = 40
+    full = K.Graph(range(n), [(i, j) for i in range(n) for j in range(i + 1, n)], False)
+    assert len(list(islice(K.cliques(full, 3, 20), 500))) == 500 and len(list(islice(K.connected_subsets(full, 20), 500))) == 500
+    arcs = K.Graph(range(n), [(i, j) for i in range(n) for j in range(n) if i != j], True)
+    assert len(list(islice(K.cycles(arcs), 500))) == 500
+    small = K.Graph(range(6), [(0, 1), (1, 2), (2, 3), (3, 0), (1, 4), (4, 5)], False)
+    sets_ = list(K.connected_subsets(small, 4))
+    from itertools import combinations
+
+    assert sorted(map(sorted, sets_)) == sorted(list(c) for k in range(1, 5) for c in combinations(range(6), k) if len(K.components(small.part(c))) == 1)
+
+
+def test_ml_stages(spark, molecule):
+    from graphloom.plans.programs import to_xml
+
+    stage = L.GraphFeatures(to_xml(O.edge()), nbits=8)
+    row = stage.transform(molecule.base).collect()[0]
+    assert row.features.size == 256 and row.features[0] == 8 and row.features[1] == 18 and row.graph_id == 1
+    nodes = L.NodeFeatures(O.node(), nbits=8).transform(molecule.base).collect()
+    assert {r.node_id: r.features[1] for r in nodes} == {0: 2, 1: 2, 2: 4, 3: 3, 4: 2, 5: 2, 6: 2, 7: 1}
+
+
+def test_tokens_and_parsers(spark):
+    from graphloom.sources import views as V
+
+    texts = spark.createDataFrame([(1, "The cat sat"), (2, None), (3, "one")], "doc_id long, text string")
+    rows = V.parsed_tokens(texts).orderBy("graph_id", "node_id").collect()
+    assert [(r.text, r.char_start, r.char_end, r.head) for r in rows if r.graph_id == 1] == [("The", 0, 3, None), ("cat", 4, 7, 0), ("sat", 8, 11, 1)]
+    star = lambda text: [{"text": w, "pos": "VERB" if i == 2 else "X", "dep": "root" if i == 2 else "nsubj", "head": None if i == 2 else 2} for i, w in enumerate(text.split())]
+    ag = V.dependency_graphs(V.parsed_tokens(texts.filter("doc_id = 1"), star, label="pos"))
+    base = ag.base.collect()[0]
+    assert ag.directed and {(e.src, e.dst) for e in base.edges} == {(2, 0), (2, 1)} and [n.labels for n in base.nodes] == [["X"], ["X"], ["VERB"]]
+
+
+def test_analysis(spark):
+    from graphloom.functions import analysis as A
+    from graphloom.sources.generators import random_graphs
+
+    rows = spark.createDataFrame([(i, [float(i), 2.0 * i, 0.1 * (i % 2)], i % 3) for i in range(12)], "id long, v array<double>, score int")
+    flat = {r.id: r.x for r in A.plane(rows, "id", "v").collect()}
+    assert abs(abs(flat[11] - flat[0]) - 11 * 5**0.5) < 0.1
+    assert {r.id for r in A.medoids(rows, "id", "v", "score", 2).collect()} <= set(range(12))
+    points = spark.createDataFrame([("a", 3, 1.0), ("a", 2, 1.05), ("a", 1, 2.0)], "g string, x int, y double")
+    assert sorted(r.x for r in A.pareto_front(points, "g", "x", "y", 1, 0.1).collect()) == [2, 3] and [r.x for r in A.pareto_front(points, "g", "x", "y").collect()] == [3]
+    g = random_graphs(spark, 2, "regular", instance_size=10).base.collect()
+    assert [sorted(sum(n.id in (e.src, e.dst) for e in r.edges) for n in r.nodes) for r in g] == [[3] * 10] * 2 and g[0].edges != g[1].edges
