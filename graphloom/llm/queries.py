@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from . import bpe, jaccard, language, licenses, mixing, neighbours, quality, substrings, tokens, warc
 from .common import table
+from .oracle import ORACLE  # noqa: F401
 
 
 def word_bpe_path() -> str:
@@ -21,11 +22,11 @@ def op2_mixing(spark, sf_dir):
 
 
 def op3_jaccard(spark, sf_dir):
-    return jaccard.join(table(spark, sf_dir, "documents"))
+    return jaccard.join(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
 def op4_quality(spark, sf_dir):
-    return quality.quality(table(spark, sf_dir, "documents"))
+    return quality.quality(table(spark, sf_dir, "documents")).drop("rejected_by")
 
 
 def op5_tokens(spark, sf_dir):
@@ -58,4 +59,3 @@ QUERIES = {
     "op1_warc": op1_warc, "op2_mixing": op2_mixing, "op3_jaccard": op3_jaccard, "op4_quality": op4_quality,
     "op5_tokens": op5_tokens, "op6_licenses": op6_licenses, "op7_language": op7_language, "op8_neighbours": op8_neighbours, "op9_bpe": op9_bpe, "op10_substrings": op10_substrings,
 }
-ORACLE: dict[str, str] = {"op2_mixing": mixing.ORACLE}

@@ -370,3 +370,15 @@ def test_very_long_texts(spark):
     found = {r.doc_id: r.ids_sha256 for r in bpe.digests(some, queries.word_bpe_path()).collect()}
     assert found == {r.doc_id: hashlib.sha256(np.array(library.encode(r.text, add_special_tokens=False).ids, dtype="<u4").tobytes()).hexdigest() for r in some.collect()}
     assert {r.lang_pred for r in language.identify(some).collect()} == {"en"}
+
+
+@pytest.mark.parametrize("name", sorted(queries.ORACLE))
+def test_same_as_sql(spark, sf_dir, name):
+    con = duckdb.connect()
+    for t in ("documents", "pages"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf_dir}/{t}.parquet'")
+    found, df = con.execute(queries.ORACLE[name]), queries.QUERIES[name](spark, sf_dir)
+    order = [c[0] for c in found.description]
+    assert sorted(order) == sorted(df.columns)
+    plain = lambda rows: sorted((tuple(round(x, 6) if isinstance(x, float) else x for x in r) for r in rows), key=str)
+    assert plain(tuple(r) for r in df.select(*order).collect()) == plain(found.fetchall())
