@@ -233,6 +233,7 @@ QUERIES = {
     "clique": q(V.copart, O.clique((1, 4))),
     "tree": q(V.basket, O.tree()),
     "cycle_count": counted(V.copart, O.cycle()),
+    "cycle_directed": q(V.session, F2(O.cycle())),
     "spine": q(V.dialog, O.spine(0)),
     "union_of_shortest_paths": q(V.basket, F2(O.union_of_shortest_paths((1, 2)))),
     "complement": q(V.basket, F2(O.edge(), O.complement()), N_NODES),
@@ -279,6 +280,7 @@ QUERIES = {
     "unlabel": label_histogram(V.basket, O.unlabel("x")),
     "prepend_label": label_histogram(V.basket, O.prepend_label("p:")),
     "restore_label": label_histogram(V.basket, F2(O.prepend_label("p:"), O.unlabel(), O.restore_label())),
+    "prepend_edge_label": lambda spark, sf_dir: A.label_counts(F2(O.prepend_label("p:"), O.prepend_label("q"))(V.basket(spark, sf_dir)), True).select("label", "n"),
     "label_counts": label_histogram(V.geo, O.identity()),
     "add": q(V.copart, O.add(O.node(), O.edge())),
     "compose": q(V.copart, O.compose(O.filter_by_number_of_nodes((3, 6)), NB1)),
@@ -454,6 +456,9 @@ ORACLE["split"] = _sql(COPART, select="SELECT g AS graph_id, count(*) AS covered
 ORACLE["low_cut_partition"] = ORACLE["split"]
 ORACLE["random_part"] = _sql(COPART, select="SELECT DISTINCT g AS graph_id, 1::BIGINT AS n, 1::BIGINT AS components, 0::BIGINT AS foreign FROM bn").replace("AS foreign", 'AS "foreign"')
 ORACLE |= {
+    "cycle_directed": _sql(SESSION, "p(g, st, last, m) AS (SELECT g, s, d, [s, d] FROM be WHERE d > s UNION ALL SELECT p.g, p.st, be.d, list_append(p.m, be.d) FROM p JOIN be ON p.g = be.g AND p.last = be.s WHERE be.d > p.st AND NOT list_contains(p.m, be.d))",
+        select=f"SELECT DISTINCT p.g AS graph_id, {TEXT.format('list_sort(p.m)')} AS members FROM p JOIN be ON p.g = be.g AND be.s = p.last AND be.d = p.st", recursive=True),
+    "prepend_edge_label": _sql(BASKET, select="SELECT 'qp:' || l AS label, count(*) AS n FROM be GROUP BY 1"),
     "token_chain": r"SELECT label, count(*) AS n FROM (SELECT unnest(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS label FROM benchmark) GROUP BY 1",
     "dependency_arcs": r"SELECT item_id AS graph_id, n AS n_nodes, n - 1 AS n_edges FROM (SELECT item_id, len(regexp_extract_all(text, '[^\x20\x09-\x0D]+'))::BIGINT AS n FROM benchmark) WHERE n > 0",
     "pareto_tolerance": "WITH p AS (SELECT p_brand AS brand, p_partkey, p_size::BIGINT AS size, p_retailprice AS price FROM part) SELECT *, 1::BIGINT AS shell FROM p x WHERE price <= (SELECT min(price) FROM p y WHERE y.brand = x.brand AND y.size >= x.size) + 25.0",
