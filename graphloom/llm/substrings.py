@@ -7,7 +7,8 @@ coordinates, are then read again in the texts, and count only if the very same w
 
 Most windows stand once. A window is only made an edge if its minimizer (the smallest hash among its runs of
 ``seed`` words, the same wherever the window stands) is itself repeated, which every repeated window's is; so
-about one row in fourteen words is shuffled to find the rest. Equal texts are one class throughout.
+about one row in fourteen words is shuffled to find the rest. Equal texts, by their SHA-256, are one class
+throughout; only the rows of minimizers name a text by 64 bits of it, each text's candidates being all of that name.
 """
 
 from __future__ import annotations
@@ -43,30 +44,28 @@ def minimizer_runs(words: np.ndarray, bounds: np.ndarray, window: int, seed: int
 
 
 def _minimizers(rows: DataFrame, window: int, seed: int) -> DataFrame:
-    """m, tid, first, last for the distinct texts of each task."""
+    """m, th, first, last for the distinct texts of each task. ``rows``: th, text."""
 
     def run(batches):
         import pyarrow as pa
 
-        seen: set[bytes] = set()
+        seen: set[int] = set()
         for batch in batches:
-            tids = batch.column("tid").to_pylist()
+            names = batch.column("th").to_numpy()
             for at, count, raw, offsets in text_slices(batch.column("text")):
                 words, bounds, *_ = words_by_row(raw, offsets)
                 row, first, last, m = minimizer_runs(words, bounds, window, seed)
                 fresh = np.zeros(count, dtype=bool)
-                for i in range(count):
-                    t = tids[at + i]
+                for i, t in enumerate(names[at:at + count].tolist()):
                     if t not in seen:
                         fresh[i] = True
                         if len(seen) < 200_000:
                             seen.add(t)
                 keep = fresh[row]
                 row, first, last, m = row[keep], first[keep], last[keep], m[keep]
-                ids = pa.array(tids[at:at + count], pa.binary()).take(pa.array(row))
-                yield pa.RecordBatch.from_arrays([pa.array(m.astype(np.int64)), ids, pa.array(first.astype(np.int32)), pa.array(last.astype(np.int32))], ["m", "tid", "first", "last"])
+                yield pa.RecordBatch.from_arrays([pa.array(m.astype(np.int64)), pa.array(names[at:at + count][row]), pa.array(first.astype(np.int32)), pa.array(last.astype(np.int32))], ["m", "th", "first", "last"])
 
-    return rows.mapInArrow(run, "m long, tid binary, first int, last int")
+    return rows.mapInArrow(run, "m long, th long, first int, last int")
 
 
 def _edges(texts: DataFrame, window: int) -> DataFrame:
@@ -184,13 +183,13 @@ def repeated_spans(rows: DataFrame, window: int, seed: int) -> tuple[DataFrame,
     """
     spark = rows.sparkSession
     pick = rows.groupBy("tid").agg(F.min("id").alias("p_id"))
-    found = staged(_minimizers(rows.select("tid", "text"), window, seed).groupBy("m", "tid", "first").agg(F.max("last").alias("last")), "minimizers")
+    found = staged(_minimizers(rows.select(F.xxhash64("tid").alias("th"), "text"), window, seed).groupBy("m", "th", "first").agg(F.max("last").alias("last")), "minimizers")
     release(spark)
     again = found.groupBy("m").agg(F.count("*").alias("n")).filter(F.col("n") > 1)
-    runs = staged(found.join(again, "m").groupBy("tid").agg(F.collect_list(F.struct("first", "last")).alias("runs")), "runs")
+    runs = staged(found.join(again, "m").groupBy("th").agg(F.collect_list(F.struct("first", "last")).alias("runs")), "runs")
     discard(found)
     release(spark)
-    wanted = runs.join(pick, "tid").select(F.col("tid").alias("p_tid"), "p_id", "runs")
+    wanted = runs.join(pick.withColumn("th", F.xxhash64("tid")), "th").select(F.col("tid").alias("p_tid"), "p_id", "runs")
     wanted = staged(wanted.withColumn("doc", F.monotonically_increasing_id()).withColumn("class", F.col("p_tid")), "wanted")
     texts = one_row_each(rows, wanted, "doc", "texts").withColumnRenamed("class", "tid")
     release(spark)
