@@ -151,7 +151,8 @@ def starts_of(words: Column, phrase: str) -> Column:
 
 
 def vocabulary() -> list[str]:
-    return sorted({w for _, notice, _ in TEMPLATES for w in notice.split()})
+    """The words by which templates may be looked up: those of their first key phrases."""
+    return sorted({w for _, _, keys in TEMPLATES for w in keys[0].split()})
 
 
 def may_hold(text: Column) -> Column:
@@ -160,14 +161,13 @@ def may_hold(text: Column) -> Column:
 
 
 def frequencies(df: DataFrame, text_col: str) -> tuple[int, dict[str, int]]:
-    """Number of documents, and of those that hold each template word, over all documents.
+    """Number of documents, and of those that hold each word of the vocabulary, over all documents.
 
-    Words outside the templates aren't counted, so the table has one row per template word at most.
+    Other words aren't counted, so the table has one row per word of the vocabulary at most. The counts only say which
+    word of a phrase is the rarest; any of them finds every place of the phrase.
     """
-    text = text_of(text_col)
-    words = F.regexp_extract_all(text, F.lit(_INSIDE), F.lit(0))
-    got = F.array_distinct(F.filter(F.transform(words, lambda w: F.lower(w)), lambda w: w.isin(*vocabulary())))
-    rows = df.select(got.alias("w"))
+    words = F.split(F.lower(text_of(text_col)), _BETWEEN)
+    rows = df.select(F.array_intersect(words, F.array(*map(F.lit, vocabulary()))).alias("w"))
     total = df.count()
     return total, {r["w"]: r["n"] for r in rows.select(F.explode("w").alias("w")).groupBy("w").agg(F.count("*").alias("n")).collect()}
 
