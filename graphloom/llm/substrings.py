@@ -2,9 +2,13 @@
 
 Edges are runs of ``window`` words, nodes the runs of one word less between two edges. An edge that stands
 at two places or more is repeated. Repeated edges that always follow one another form a nonbranching path;
-such paths are compacted by joining every edge's neighbours back to its places. A path's places, its source
+the places of an edge meet in one shuffle, learn there whether its neighbours are the same everywhere, and go back to
+their texts, where such paths are compacted. A path's places, its source
 coordinates, are then read again in the texts, and count only if the very same words stand at two of them.
 
+Edges whose minimizer stands at very many places, and the places of an edge beyond a number, take no part in
+that: they stay paths of one edge at all their places alike, which are verified like any other. So no edge is a hot key.
+
 Most windows stand once. A window is only made an edge if its minimizer (the smallest hash among its runs of
 ``seed`` words, the same wherever the window stands) is itself repeated, which every repeated window's is; so
 about one row in fourteen words is shuffled to find the rest. Equal texts, by their SHA-256, are one class
@@ -22,6 +26,8 @@ from pyspark.sql import functions as F
 from .common import SPACE, WORD, columns, discard, new_names, ngram_hashes, one_row_each, release, rows_among, staged, text_key, text_of, text_slices, words_by_row
 
 WINDOW, SEED = 35, 8
+#: Places of a minimizer, and of an edge, from which on edges aren't compacted; bounds what one task has to read or hold of one.
+HOT_SEED, HOT_EDGE = 20_000, 100_000
 
 
 def minimizer_runs(words: np.ndarray, bounds: np.ndarray, window: int, seed: int):
@@ -69,7 +75,10 @@ def _minimizers(rows: DataFrame, window: int, seed: int) -> DataFrame:
 
 
 def _edges(texts: DataFrame, window: int) -> DataFrame:
-    """h, doc, pos, next, prev for each candidate window; next and prev only where the neighbour is a candidate too."""
+    """h, doc, pos, next, prev for each candidate window; next and prev only where the neighbour is a candidate too.
+
+    h is null for a window of a hot minimizer, which depends on the window's words alone.
+    """
 
     def run(batches):
         import pyarrow as pa
@@ -81,26 +90,88 @@ def _edges(texts: DataFrame, window: int) -> DataFrame:
                 out = [[], [], [], [], []]
                 for i in range(count):
                     w = words[bounds[i]:bounds[i + 1]]
-                    hit = np.zeros(max(len(w) - window + 1, 0), dtype=bool)
+                    hit, hot = np.zeros((2, max(len(w) - window + 1, 0)), dtype=bool)
                     for r in runs[at + i].as_py():
                         hit[r["first"]:r["last"] + 1] = True
+                        if r["hot"]:
+                            hot[r["first"]:r["last"] + 1] = True
                     pos = np.flatnonzero(hit)
                     if not len(pos):
                         continue
                     h = ngram_hashes(w, window, seed=3).astype(np.int64)
                     wide = np.r_[False, hit, False]
-                    out[0].append(h[pos])
+                    out[0].append((h[pos], hot[pos]))
                     out[1].append(np.full(len(pos), docs[at + i], dtype=np.int64))
                     out[2].append(pos.astype(np.int32))
                     out[3].append((h[np.minimum(pos + 1, len(h) - 1)], ~wide[pos + 2]))
                     out[4].append((h[np.maximum(pos - 1, 0)], ~wide[pos]))
-                if out[0]:
-                    arrays = [pa.array(np.concatenate(x)) for x in out[:3]] + [pa.array(np.concatenate([v for v, _ in x]), mask=np.concatenate([k for _, k in x])) for x in out[3:]]
-                    yield pa.RecordBatch.from_arrays(arrays, ["h", "doc", "pos", "next", "prev"])
+                if out[1]:
+                    some = lambda x: pa.array(np.concatenate([v for v, _ in x]), mask=np.concatenate([k for _, k in x]))
+                    yield pa.RecordBatch.from_arrays([some(out[0]), pa.array(np.concatenate(out[1])), pa.array(np.concatenate(out[2])), some(out[3]), some(out[4])], ["h", "doc", "pos", "next", "prev"])
 
     return texts.select("doc", "text", "runs").mapInArrow(run, "h long, doc long, pos int, next long, prev long")
 
 
+def _places(edges: DataFrame) -> DataFrame:
+    """doc, pos, alone_out, alone_in for each place of a repeated edge: whether the edge after it, and before it, is the same at all places.
+
+    ``edges`` comes in order of h, all places of an edge in one task. They are held until they end or are HOT_EDGE; from
+    then on they are known to be branching, and pass by.
+    """
+    names = ["h", "doc", "pos", "next", "prev"]
+
+    def run(batches):
+        import pyarrow as pa
+
+        def columns(batch):
+            out = [batch.column(c) for c in names]
+            return [x.fill_null(0).to_numpy() for x in out] + [x.is_valid().to_numpy(zero_copy_only=False) for x in out[3:]]
+
+        def told(doc, pos, out_ok, in_ok):
+            return pa.RecordBatch.from_arrays([pa.array(doc), pa.array(pos), pa.array(out_ok), pa.array(in_ok)], ["doc", "pos", "alone_out", "alone_in"])
+
+        def whole(cols):
+            """The rows of edges that are all here."""
+            h = cols[0]
+            start = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
+            count = np.diff(np.r_[start, len(h)])
+            flags = []
+            for value, known in ((cols[3], cols[5]), (cols[4], cols[6])):
+                same = np.minimum.reduceat(value, start) == np.maximum.reduceat(value, start)
+                flags.append(np.repeat(same & np.logical_and.reduceat(known, start), count))
+            keep = np.repeat(count, count) > 1
+            return told(cols[1][keep], cols[2][keep], flags[0][keep], flags[1][keep])
+
+        held, branching = None, None  # the open edge's rows; the edge that is known to have HOT_EDGE places
+        for batch in batches:
+            cols = columns(batch)
+            if not len(cols[0]):
+                continue
+            if branching is not None:
+                same = cols[0] == branching
+                if same.any():
+                    no = np.zeros(int(same.sum()), dtype=bool)
+                    yield told(cols[1][same], cols[2][same], no, no)
+                    cols = [x[~same] for x in cols]
+                    if not len(cols[0]):
+                        continue
+                branching = None
+            if held is not None:
+                cols = [np.concatenate(x) for x in zip(held, cols, strict=True)]
+            last = int(np.searchsorted(cols[0], cols[0][-1], side="left"))
+            if last:
+                yield whole([x[:last] for x in cols])
+            held = [x[last:] for x in cols]
+            if len(held[0]) >= HOT_EDGE:
+                branching, no = held[0][0], np.zeros(len(held[0]), dtype=bool)
+                yield told(held[1], held[2], no, no)
+                held = None
+        if held is not None:
+            yield whole(held)
+
+    return edges.repartition("h").sortWithinPartitions("h").mapInArrow(run, "doc long, pos int, alone_out boolean, alone_in boolean")
+
+
 def _paths(places: DataFrame) -> DataFrame:
     """doc, first, count: the compacted paths. ``places``: doc, pos, alone_out, alone_in, in order of doc and pos."""
 
@@ -186,26 +257,23 @@ def repeated_spans(rows: DataFrame, window: int, seed: int) -> tuple[DataFrame,
     found = staged(_minimizers(rows.select(F.xxhash64("tid").alias("th"), "text"), window, seed).groupBy("m", "th", "first").agg(F.max("last").alias("last")), "minimizers")
     release(spark)
     again = found.groupBy("m").agg(F.count("*").alias("n")).filter(F.col("n") > 1)
-    runs = staged(found.join(again, "m").groupBy("th").agg(F.collect_list(F.struct("first", "last")).alias("runs")), "runs")
-    discard(found)
-    release(spark)
+    hot = (F.col("n") > HOT_SEED).alias("hot")
+    runs = found.join(again, "m").groupBy("th").agg(F.collect_list(F.struct("first", "last", hot)).alias("runs"))
     wanted = runs.join(pick.withColumn("th", F.xxhash64("tid")), "th").select(F.col("tid").alias("p_tid"), "p_id", "runs")
     wanted = staged(wanted.withColumn("doc", F.monotonically_increasing_id()).withColumn("class", F.col("p_tid")), "wanted")
-    texts = one_row_each(rows, wanted, "doc", "texts").withColumnRenamed("class", "tid")
+    any_hot = not again.filter(F.col("n") > HOT_SEED).isEmpty()
+    discard(found)
     release(spark)
-    edges = staged(_edges(texts, window), "edges")
-    of = edges.groupBy("h").agg(
-        F.count("*").alias("n"), F.count("next").alias("n_next"), F.min("next").alias("next_a"), F.max("next").alias("next_b"),
-        F.count("prev").alias("n_prev"), F.min("prev").alias("prev_a"), F.max("prev").alias("prev_b"),
-    ).filter(F.col("n") > 1)
-    # Written first, so that the join is of two plain tables and a window with very many places is more than one task.
-    alone = staged(of.select("h", ((F.col("n_next") == F.col("n")) & (F.col("next_a") == F.col("next_b"))).alias("alone_out"), ((F.col("n_prev") == F.col("n")) & (F.col("prev_a") == F.col("prev_b"))).alias("alone_in")), "alone")
+    texts = one_row_each(rows, wanted, "doc", "texts").withColumnRenamed("class", "tid")
+    discard(wanted)
     release(spark)
-    flag = lambda c: F.coalesce(F.col(c), F.lit(False)).alias(c)
-    places = edges.select("h", "doc", "pos").join(alone, "h").select("doc", "pos", flag("alone_out"), flag("alone_in"))
+    edges = _edges(texts, window)
+    if any_hot:  # the texts are read twice rather than the edges written
+        no = F.lit(False)
+        places = _places(edges.filter(F.col("h").isNotNull())).unionByName(edges.filter(F.col("h").isNull()).select("doc", "pos", no.alias("alone_out"), no.alias("alone_in")))
+    else:
+        places = _places(edges)
     spans = staged(_paths(places.repartition("doc").sortWithinPartitions("doc", "pos")), "paths")
-    discard(edges)
-    discard(alone)
     release(spark)
     by_doc = spans.groupBy("doc").agg(F.collect_list(F.struct("first", "count")).alias("spans"))
     read = staged(_read_spans(texts.select("doc", "text").join(by_doc, "doc"), window), "spans")

@@ -331,7 +331,10 @@ def test_bpe(spark, rows):
         assert np.frombuffer(ours.encode(x, {}), "<u4").tolist() == library.encode(x, add_special_tokens=False).ids
 
 
-def test_substrings(spark, rows):
+@pytest.mark.parametrize(("seed_places", "edge_places"), [(20_000, 100_000), (20_000, 4), (3, 4)])
+def test_substrings(spark, rows, monkeypatch, seed_places, edge_places):
+    monkeypatch.setattr(substrings, "HOT_SEED", seed_places)
+    monkeypatch.setattr(substrings, "HOT_EDGE", edge_places)
     rng = random.Random(2)
     parts = [" ".join(rng.choice("abc") for _ in range(60)) for _ in range(3)]
     made = [(i, " ".join(rng.choice(parts) if rng.random() < 0.5 else " ".join(rng.choice("abc") for _ in range(rng.randint(1, 40))) for _ in range(5))) for i in range(40)]
