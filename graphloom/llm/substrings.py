@@ -256,13 +256,15 @@ def repeated_spans(rows: DataFrame, window: int, seed: int) -> tuple[DataFrame,
     pick = rows.groupBy("tid").agg(F.min("id").alias("p_id"))
     found = staged(_minimizers(rows.select(F.xxhash64("tid").alias("th"), "text"), window, seed).groupBy("m", "th", "first").agg(F.max("last").alias("last")), "minimizers")
     release(spark)
-    again = found.groupBy("m").agg(F.count("*").alias("n")).filter(F.col("n") > 1)
+    # Written first, so that the join is of two plain tables and a frequent minimizer is more than one task.
+    again = staged(found.groupBy("m").agg(F.count("*").alias("n")).filter(F.col("n") > 1), "again")
     hot = (F.col("n") > HOT_SEED).alias("hot")
     runs = found.join(again, "m").groupBy("th").agg(F.collect_list(F.struct("first", "last", hot)).alias("runs"))
     wanted = runs.join(pick.withColumn("th", F.xxhash64("tid")), "th").select(F.col("tid").alias("p_tid"), "p_id", "runs")
     wanted = staged(wanted.withColumn("doc", F.monotonically_increasing_id()).withColumn("class", F.col("p_tid")), "wanted")
     any_hot = not again.filter(F.col("n") > HOT_SEED).isEmpty()
     discard(found)
+    discard(again)
     release(spark)
     texts = one_row_each(rows, wanted, "doc", "texts").withColumnRenamed("class", "tid")
     discard(wanted)
