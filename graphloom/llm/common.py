@@ -78,12 +78,13 @@ def discard(df: DataFrame) -> None:
 def release(spark: SparkSession) -> None:
     """Lets Spark delete the shuffle files of finished plans: it does so when the driver's objects are collected.
 
-    Only called after the large shuffles. The pause gives the thread that drops references the time to do so.
+    Only called after the large shuffles. The pauses give the threads that drop references and delete files, on either
+    side, the time to do so.
     """
     gc.collect()
-    time.sleep(0.2)
-    spark.sparkContext._jvm.System.gc()
     time.sleep(0.3)
+    spark.sparkContext._jvm.System.gc()
+    time.sleep(0.7)
 
 
 def text_key(text: Column | str) -> Column:
