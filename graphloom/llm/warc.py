@@ -206,11 +206,10 @@ def read(spark: SparkSession, path: str) -> DataFrame:
 def _store(heads: DataFrame, payloads: DataFrame, path: str) -> str:
     """``payloads`` (key, payload) as WARC records named by their key, each key once; ``heads`` as a table.
 
-    The headers are written first: they tell how many bytes the distinct payloads have, and so how many files those need.
+    The payloads' bytes, copies included, say how many files they may need.
     """
     spark = heads.sparkSession
-    heads.select("page_id", "record_type", "digest", "key", "refers_to", "n", "header").write.parquet(f"{path}/headers")
-    size = spark.read.parquet(f"{path}/headers").groupBy("key").agg(F.max("n").alias("n")).agg(F.sum("n")).first()[0] or 0
+    size = payloads.agg(F.sum(F.length("payload").cast("long"))).first()[0] or 0
     name = F.concat(F.lit("urn:sha256:"), F.col("key"))
     head = F.concat_ws(
         "\r\n", F.lit(VERSION), F.lit("WARC-Type: resource"), F.concat(F.lit("WARC-Record-ID: <"), name, F.lit(">")), F.concat(F.lit("WARC-Target-URI: "), name), F.lit(f"WARC-Date: {DATE}"),
@@ -218,13 +217,14 @@ def _store(heads: DataFrame, payloads: DataFrame, path: str) -> str:
     )
     with partitions_at_least(spark, size // FILE_BYTES + 1):
         _put(payloads.dropDuplicates(["key"]).select(F.concat(F.concat(head, F.lit(END)).cast("binary"), F.col("payload")).alias("record")), f"{path}/payloads")
+    heads.select("page_id", "record_type", "digest", "key", "refers_to", "header").write.parquet(f"{path}/headers")
     release(spark)
     return path
 
 
 def split_store(found: DataFrame, path: str) -> str:
     """Write a content-addressed store of records that were read: payloads once each, headers one row per record."""
-    return _store(found.withColumn("n", F.length("payload").cast("long")), found.filter(F.col("record_type") == "response").select("key", "payload"), path)
+    return _store(found, found.filter(F.col("record_type") == "response").select("key", "payload"), path)
 
 
 def store(df: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", least: int = 0) -> str:
