@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, jaccard, language, licenses, mixing, neighbours, quality, substrings, tokens, warc
+from . import bpe, jaccard, language, licenses, mixing, neighbours, pieces, quality, substrings, tokens, warc
 from .common import table
 from .oracle import ORACLE  # noqa: F401
 
@@ -13,6 +13,12 @@ def word_bpe_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def piece_bpe_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
 def op1_warc(spark, sf_dir):
     return warc.archive(table(spark, sf_dir, "pages"))
 
@@ -55,7 +61,12 @@ def op9_bpe(spark, sf_dir):
     return bpe.digests(table(spark, sf_dir, "documents"), word_bpe_path())
 
 
+def op13_pieces(spark, sf_dir):
+    return pieces.digests(table(spark, sf_dir, "documents"), piece_bpe_path())
+
+
 QUERIES = {
     "op1_warc": op1_warc, "op2_mixing": op2_mixing, "op3_jaccard": op3_jaccard, "op4_quality": op4_quality,
     "op5_tokens": op5_tokens, "op6_licenses": op6_licenses, "op7_language": op7_language, "op8_neighbours": op8_neighbours, "op9_bpe": op9_bpe, "op10_substrings": op10_substrings,
+    "op13_pieces": op13_pieces,
 }
