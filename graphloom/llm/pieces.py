@@ -285,12 +285,13 @@ class Pieces:
             while end < len(texts) and (end == row or size < SLICE):
                 size += len(texts[end] or "")
                 end += 1
-            out += self._encode(texts[row:end], cache)
+            out += self.encode_marked([" " + x if x else "" for x in texts[row:end]], cache)
             row = end
         return out
 
-    def _encode(self, texts: list[str | None], cache: dict[str, bytes]) -> list[bytes]:
-        found = [self.stretches.findall(" " + x.replace(MARK, " ")) if x else [] for x in texts]
+    def encode_marked(self, texts: list[str], cache: dict[str, bytes]) -> list[bytes]:
+        """The same for texts that already begin with the blank that encoding puts first."""
+        found = [self.stretches.findall(x.replace(MARK, " ")) for x in texts]
         got = [list(map(cache.get, f)) for f in found]
         missing = [i for i, g in enumerate(got) if None in g]
         fresh = list({s for i in missing for s, ids in zip(found[i], got[i], strict=True) if ids is None})
