@@ -25,7 +25,8 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import discard, small_batches, staged
+from .common import staged
+from .pieces import MARK
 from .pieces import load as load_pieces
 
 #: Fixed value: the public pattern by which byte-level tokenizers of this kind part a text before merging.
@@ -68,31 +69,31 @@ class Aligner:
         self.width = np.array(list(map(len, digits)), dtype=np.int64) + 1
         self.cache: dict[str, tuple] = {}
 
-    def _coded(self, segments: list[str], raw: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[bool]]:
-        """A's and B's ids of the segments that both sides write as they are, and which those are."""
-        b = [np.frombuffer(x, dtype=np.int32) for x in self.b.encode_marked(segments, self.b_cache)]
-        good = [b"".join(self.b_bytes[x].tolist()) == r for x, r in zip(b, raw, strict=True)]
-        # a segment that ends in white space ends its text: only it would be split otherwise if another followed
-        inner = [s for s, ok in zip(segments, good, strict=True) if ok and not s[-1].isspace()]
-        ends = [s for s, ok in zip(segments, good, strict=True) if ok and s[-1].isspace()]
-        a = self.a.encode_ordinary("".join(inner))
-        for s in ends:
-            a += self.a.encode_ordinary(s)
-        a = np.array(a, dtype=np.int64)
-        order = [x for x, s, ok in zip(b, segments, good, strict=True) if ok and not s[-1].isspace()] + [x for x, s, ok in zip(b, segments, good, strict=True) if ok and s[-1].isspace()]
-        return a, np.concatenate([np.zeros(0, dtype=np.int32), *order]).astype(np.int64), good
-
     def align(self, segments: list[str]) -> dict[str, tuple]:
         """For each segment: groups as text, numbers of A tokens, B tokens and groups, and its links as numbers (A id, B id); () if a side writes it otherwise."""
-        raw = [s.encode() for s in segments]
-        a, b, good = self._coded(segments, raw)
-        out: dict[str, tuple] = {s: () for s, ok in zip(segments, good, strict=True) if not ok}
-        own = [(s, r) for s, r, ok in zip(segments, raw, good, strict=True) if ok]
-        own.sort(key=lambda x: x[0][-1].isspace())
-        if not own:
-            return out
-        if b"".join(self.a_bytes[a].tolist()) != b"".join([r for _, r in own]):
-            raise ValueError("the byte-level tokenizer doesn't write texts as they are")
+        out: dict[str, tuple] = {}
+        inner = []
+        for s in segments:
+            if MARK in s:  # B writes a blank
+                out[s] = ()
+            elif s[-1].isspace():  # it ends its text, and would be split otherwise if another followed
+                out |= self._aligned([s])
+            else:
+                inner.append(s)
+        return out | self._aligned(inner)
+
+    def _aligned(self, segments: list[str]) -> dict[str, tuple]:
+        """The same for segments that may stand one after the other: all are encoded and aligned at once."""
+        if not segments:
+            return {}
+        joined = "".join(segments)
+        raw = joined.encode()
+        a = np.array(self.a.encode_ordinary(joined), dtype=np.int64)
+        b = np.frombuffer(self.b.encode_marked([joined], self.b_cache)[0], dtype=np.int32).astype(np.int64)
+        if b"".join(self.a_bytes[a].tolist()) != raw or b"".join(self.b_bytes[b].tolist()) != raw:
+            half = len(segments) // 2
+            return self._aligned(segments[:half]) | self._aligned(segments[half:]) if half else {segments[0]: ()}
+        out: dict[str, tuple] = {}
         a_ends, b_ends = np.cumsum(self.a_size[a]), np.cumsum(self.b_size[b])
         ends = np.union1d(a_ends, b_ends)  # elementary intervals, by their ends
         of_a, of_b = np.searchsorted(a_ends, ends), np.searchsorted(b_ends, ends)  # their owners
@@ -107,13 +108,13 @@ class Aligner:
         parts = np.where(side == 0, np.where(last, self.written[0, True][ids], self.written[0, False][ids]), np.where(last, self.written[1, True][ids], self.written[1, False][ids]))
         text, upto = b"".join(parts.tolist()), np.cumsum(self.width[ids])
         # segments end where both sides end
-        seg_end = np.cumsum([len(r) for _, r in own])
+        seg_end = np.cumsum(list(map(len, segments)) if len(raw) == len(joined) else [len(s.encode()) for s in segments])
         n_a, n_b, n_g = (np.searchsorted(x, seg_end, side="right") for x in (a_ends, b_ends, shared))
         at = [0, *upto[n_a + n_b - 1].tolist()]
         pairs, pair_at = self._pairs(a, b, of_a, of_b, closes, a_group, b_group, ends, seg_end)
-        n_a, n_b, n_g = ([int(y) for y in np.diff(x, prepend=0)] for x in (n_a, n_b, n_g))
-        for k, (s, _) in enumerate(own):
-            out[s] = (text[at[k]:at[k + 1] - 1], n_a[k], n_b[k], n_g[k], pairs[pair_at[k] * 8:pair_at[k + 1] * 8])
+        n_a, n_b, n_g = (np.diff(x, prepend=0).tolist() for x in (n_a, n_b, n_g))
+        for s, x, y, i, j, p, q in zip(segments, at, at[1:], n_a, n_b, pair_at, pair_at[1:]):  # noqa: B905
+            out[s] = (text[x:y - 1], i, j, n_g[len(out)], pairs[p * 8:q * 8])
         return out
 
     def _pairs(self, a, b, of_a, of_b, closes, a_group, b_group, ends, seg_end) -> tuple[bytes, list[int]]:
@@ -148,10 +149,10 @@ class Aligner:
             del self.cache[s]
         out: list[tuple | None] = []
         for g in got:
-            if not g or () in g:
+            if not g or not all(g):
                 out.append(None)
             else:
-                text, n_a, n_b, n_g, pairs = zip(*g, strict=True)
+                text, n_a, n_b, n_g, pairs = zip(*g)  # noqa: B905
                 out.append((b";".join(text), sum(n_a), sum(n_b), sum(n_g), b"".join(pairs)))
         return out
 
