@@ -46,4 +46,35 @@ left_ AS (SELECT x.doc_id, string_agg(word, ' ' ORDER BY x.p) AS kept FROM (SELE
 SELECT w.doc_id, len(w)::BIGINT AS n_words, coalesce(n.n, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
 FROM w LEFT JOIN n ON w.doc_id = n.doc_id LEFT JOIN left_ ON w.doc_id = left_.doc_id"""
 
-ORACLE = {"op1_warc": WARC, "op2_mixing": mixing.ORACLE, "op3_jaccard": JACCARD, "op4_quality": QUALITY, "op10_substrings": SUBSTRINGS}
+
+
+def _crc_table() -> str:
+    """The 256 entries of CRC-32, by its rule."""
+    out = []
+    for c in range(256):
+        for _ in range(8):
+            c = c >> 1 ^ (0xEDB88320 if c & 1 else 0)
+        out.append(c)
+    return "[" + ",".join(map(str, out)) + "]::BIGINT[]"
+
+
+_FEATURES = r"""SELECT doc_id, w, len(w) AS n_words, list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS f
+  FROM (SELECT {key} AS doc_id, regexp_extract_all(translate(coalesce(text, ''), '{upper}', '{lower}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM {table})"""
+
+RESAMPLING = f"""
+WITH d AS ({_FEATURES.format(key='doc_id', table='documents', upper=_ALPHABET, lower=_ALPHABET.lower())}),
+g AS ({_FEATURES.format(key='0', table='benchmark', upper=_ALPHABET, lower=_ALPHABET.lower())}),
+df AS (SELECT doc_id, unnest(f) AS x FROM d), gf AS (SELECT unnest(f) AS x FROM g),
+tab AS (SELECT {_crc_table()} AS t),
+names AS (SELECT x, hex(encode(x)) AS h FROM (SELECT x FROM df UNION SELECT x FROM gf)),
+b AS (SELECT x, xor(list_reduce(list_transform(range(0, length(h) // 2), lambda i: ('0x' || substr(h, (2 * i + 1)::INT, 2))::BIGINT), lambda c, y: xor(c >> 8, t[(xor(c, y) & 255) + 1]), 4294967295::BIGINT), 4294967295::BIGINT) % 10000 AS k FROM names, tab),
+s AS (SELECT k, count(*) AS n FROM df JOIN b ON df.x = b.x GROUP BY k), t AS (SELECT k, count(*) AS n FROM gf JOIN b ON gf.x = b.x GROUP BY k),
+gain AS (SELECT r.k, floor(1000 * ln((coalesce(t.n, 0) + 1)::DOUBLE * ((SELECT count(*) FROM df) + 10000)::DOUBLE / ((coalesce(s.n, 0) + 1)::DOUBLE * ((SELECT count(*) FROM gf) + 10000)::DOUBLE)))::BIGINT AS gain
+  FROM range(0, 10000) r(k) LEFT JOIN s ON r.k = s.k LEFT JOIN t ON r.k = t.k),
+m AS (SELECT doc_id, count(*) AS n, floor(sum(gain) / count(*))::BIGINT AS weight FROM df JOIN b ON df.x = b.x JOIN gain ON b.k = gain.k GROUP BY doc_id),
+z AS (SELECT d.doc_id, d.n_words, coalesce(m.n, 0)::BIGINT AS n_features, coalesce(m.weight, 0)::BIGINT AS weight,
+  coalesce(m.weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('7:' || d.doc_id), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296)))::BIGINT AS score FROM d LEFT JOIN m ON d.doc_id = m.doc_id),
+o AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank, count(*) OVER () AS n FROM z WHERE n_words >= 20)
+SELECT z.doc_id, n_features, weight, score::BIGINT AS score, CASE WHEN rank <= 25 * n // 100 THEN rank END AS rank FROM z LEFT JOIN o ON z.doc_id = o.doc_id"""
+
+ORACLE = {"op1_warc": WARC, "op2_mixing": mixing.ORACLE, "op3_jaccard": JACCARD, "op4_quality": QUALITY, "op10_substrings": SUBSTRINGS, "op11_resampling": RESAMPLING}

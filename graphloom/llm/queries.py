@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import alignment, bpe, jaccard, language, licenses, mixing, neighbours, pieces, quality, substrings, tokens, warc
+from . import alignment, bpe, jaccard, language, licenses, mixing, neighbours, pieces, quality, resampling, substrings, tokens, warc
 from .common import table
 from .oracle import ORACLE  # noqa: F401
 
@@ -61,6 +61,10 @@ def op9_bpe(spark, sf_dir):
     return bpe.digests(table(spark, sf_dir, "documents"), word_bpe_path())
 
 
+def op11_resampling(spark, sf_dir):
+    return resampling.resampled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def byte_bpe_path() -> str:
     import public_tokenizers
 
@@ -78,5 +82,5 @@ def op13_pieces(spark, sf_dir):
 QUERIES = {
     "op1_warc": op1_warc, "op2_mixing": op2_mixing, "op3_jaccard": op3_jaccard, "op4_quality": op4_quality,
     "op5_tokens": op5_tokens, "op6_licenses": op6_licenses, "op7_language": op7_language, "op8_neighbours": op8_neighbours, "op9_bpe": op9_bpe, "op10_substrings": op10_substrings,
-    "op12_alignment": op12_alignment, "op13_pieces": op13_pieces,
+    "op11_resampling": op11_resampling, "op12_alignment": op12_alignment, "op13_pieces": op13_pieces,
 }
