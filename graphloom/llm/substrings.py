@@ -280,7 +280,8 @@ def repeated_spans(rows: DataFrame, window: int, seed: int) -> tuple[DataFrame,
     by_doc = spans.groupBy("doc").agg(F.collect_list(F.struct("first", "count")).alias("spans"))
     read = staged(_read_spans(texts.select("doc", "text").join(by_doc, "doc"), window), "spans")
     release(spark)
-    same = read.groupBy("digest").agg(F.count("*").alias("n")).filter(F.col("n") > 1).select("digest")
+    # Written first, like the minimizers that stand again: a passage of very many places is more than one task.
+    same = staged(read.groupBy("digest").agg(F.count("*").alias("n")).filter(F.col("n") > 1).select("digest"), "same")
     return texts, read.join(same, "digest")
 
 
