@@ -20,7 +20,7 @@ import zlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import new_path, partitions_at_least, release
+from .common import new_path, partitions_at_least, release, staged
 
 #: Fixed values of the format.
 VERSION, END = "WARC/1.1", "\r\n\r\n"
@@ -57,12 +57,12 @@ def records(df: DataFrame, id_col: str = "page_id", url_col: str = "url", payloa
     payloads the record of the smallest id is the response; rows that repeat its id are responses too.
     A null id sorts last: such a record is a response only where no record of that payload has an id.
 
-    The digests are grouped without the payloads; a hot payload is pre-aggregated in each task, and the
-    join back is one that adaptive execution may split.
+    The digests are grouped without the payloads; a hot payload is pre-aggregated in each task. What comes of it is written before
+    it is joined: both sides are plain tables then, and adaptive execution may split the rows of a hot payload.
     """
     rows = df.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.coalesce(F.col(payload_col).cast("binary"), F.lit(b"")).alias("payload"))
     rows = rows.withColumn("digest", base32_sha1(F.col("payload"))).withColumn("key", F.sha2("payload", 256)).withColumn("n", F.length("payload").cast("long"))
-    first = rows.filter(F.col("n") >= least).groupBy("key").agg(F.min("page_id").alias("first_id"))
+    first = staged(rows.filter(F.col("n") >= least).groupBy("key").agg(F.min("page_id").alias("first_id")), "first-ids")
     again = F.col("first_id").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first_id"))
     return (
         rows.join(first, "key", "left")
@@ -72,8 +72,15 @@ def records(df: DataFrame, id_col: str = "page_id", url_col: str = "url", payloa
     )
 
 
+#: What an id of text may not hold inside a record's id, and how it is written there; undone in the other order.
+_ESCAPES = (("%", "%25"), ("<", "%3C"), (">", "%3E"), ("\r", "%0D"), ("\n", "%0A"))
+
+
 def _record_id(of):
-    return F.coalesce(F.concat(F.lit("<urn:page:"), of.cast("string"), F.lit(">")), F.lit("<urn:none>"))
+    text = of.cast("string")
+    for plain, written in _ESCAPES:
+        text = F.replace(text, F.lit(plain), F.lit(written))
+    return F.coalesce(F.concat(F.lit("<urn:page:"), text, F.lit(">")), F.lit("<urn:none>"))
 
 
 def header():
@@ -169,7 +176,10 @@ def _field(head: bytes, name: str) -> str | None:
 
 def _page(value: str | None) -> str | None:
     found = re.fullmatch(r"<urn:page:(.*)>", value or "")
-    return found[1] if found else None
+    text = found[1] if found else None
+    for plain, written in reversed(_ESCAPES if text else ()):
+        text = text.replace(written, plain)
+    return text
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
@@ -261,7 +271,10 @@ def described(restored: DataFrame, id_type: str = "long") -> DataFrame:
 
     def page(name: str):
         of = field(name, "<([^\\r\\n]*)>")
-        return F.when(of.startswith("urn:page:"), F.substr(of, F.lit(len("urn:page:") + 1))).cast(id_type)
+        text = F.when(of.startswith("urn:page:"), F.substr(of, F.lit(len("urn:page:") + 1)))
+        for plain, written in reversed(_ESCAPES):
+            text = F.replace(text, F.lit(written), F.lit(plain))
+        return text.cast(id_type)
 
     digest = base32_sha1(F.col("payload"))
     block = F.length("record") - F.length("header") - F.lit(len(END))

@@ -61,6 +61,38 @@ def test_warc_odd_ids_and_sizes(spark, monkeypatch):
     assert found == sorted([("none", 3, "response", None), (None, 3, "revisit", "none"), ("", 1, "response", None), ("b", n, "response", None), ("b", n, "response", None), ("c", n, "revisit", "b")], key=str)
 
 
+def test_warc_ids_of_any_text(spark, tmp_path):
+    """Ids with what ends a record's id or a line come back as they were, also from files."""
+    ids = ["a>b", "c\r\nWARC-Type: x", "<%3E>", "\n", "d"]
+    df = spark.createDataFrame([(i, "u", "one" if k < 3 else "two") for k, i in enumerate(ids)], "page_id string, url string, html string")
+    first = {"one": min(ids[:3]), "two": min(ids[3:])}
+    expected = {(i, None if i in first.values() else first["one" if k < 3 else "two"]) for k, i in enumerate(ids)}
+    assert {(r.page_id, r.refers_to) for r in warc.archive(df).collect()} == expected
+    assert {(r.page_id, r.refers_to) for r in warc.read(spark, warc.write(df, str(tmp_path / "w"))).collect()} == expected
+
+
+def test_hot_keys_are_split(spark, tmp_path):
+    """One payload in four fifths of the pages, one passage in four fifths of the texts: joins on their keys are of plain tables, which adaptive execution splits."""
+    names = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.shuffle.partitions": "16", "spark.sql.adaptive.coalescePartitions.enabled": "false",
+             "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "20k", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "20k"}
+    before = {k: spark.conf.get(k) for k in names}
+    for k, v in names.items():
+        spark.conf.set(k, v)
+    try:
+        pages = spark.range(20_000).selectExpr("id AS page_id", "sha2(cast(id AS string), 512) AS url", "CASE WHEN id % 5 < 4 THEN 'one and the same' ELSE cast(id AS string) END AS html").repartition(8)
+        sizes = [r.n for r in warc.records(pages).groupBy(F.spark_partition_id()).agg(F.count("*").alias("n"), F.max("url")).collect()]
+        assert sum(sizes) == 20_000 and max(sizes) < 6_000
+        passage = " ".join(f"w{i}" for i in range(40))
+        docs = spark.range(4_000).selectExpr("id AS doc_id", f"concat_ws(' ', sha1(cast(id AS string)), CASE WHEN id % 5 < 4 THEN '{passage}' ELSE 'none' END) AS text").repartition(8)
+        text = F.col("text")
+        _, spans = substrings.repeated_spans(docs.select(F.col("doc_id").alias("id"), text, substrings.text_key("text").alias("tid")), substrings.WINDOW, substrings.SEED)
+        sizes = [r.n for r in spans.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n"), F.max("doc")).collect()]
+        assert sum(sizes) >= 3_200 and max(sizes) < sum(sizes) / 2
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 def test_warc_restores_records(spark, tmp_path):
     """Through the store of the query's own path, every record comes back as write() writes it, revisits too."""
     own = [(5, "abc"), (3, "abc"), (9, None), (1, ""), (8, "\u00e9\n\n"), (10, "abc"), (None, "abc"), (None, "q"), (7, "x\r\n\r\nWARC/1.1\r\nContent-Length: 9\r\n\r\n")]
