@@ -16,6 +16,7 @@ from __future__ import annotations
 import json
 import math
 import re
+from collections import Counter
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -25,6 +26,11 @@ from .quality import let
 
 #: The base phrases and labels of the contract.
 BASE = (("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl"))
+#: Labels, and the names of licences on a line that says SPDX-License-Identifier, as words.
+SPDX = (
+    ("mit", "mit"), ("apache-2.0", "apache 2 0"), ("gpl-2.0", "gpl 2 0"), ("gpl-3.0", "gpl 3 0"), ("lgpl-2.1", "lgpl 2 1"), ("lgpl-3.0", "lgpl 3 0"), ("agpl-3.0", "agpl 3 0"),
+    ("bsd-2-clause", "bsd 2 clause"), ("bsd-3-clause", "bsd 3 clause"), ("isc", "isc"), ("mpl-2.0", "mpl 2 0"), ("epl-2.0", "epl 2 0"), ("cc0-1.0", "cc0 1 0"), ("bsl-1.0", "bsl 1 0"), ("unlicense", "unlicense"),
+)
 #: Label, notice, mandatory key phrases. The wording is the usual notice of each licence.
 TEMPLATES = (
     ("mit", "released under the mit license", ("mit license",)),
@@ -108,7 +114,30 @@ TEMPLATES = (
         "this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was not distributed with this file you can obtain one at",
         ("mozilla public license", "if a copy of the mpl was not distributed with this file"),
     ),
-)
+    (
+        "bsd-3-clause",
+        "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission",
+        ("neither the name of", "may be used to endorse or promote products derived from this software"),
+    ),
+    ("epl-2.0", "this program and the accompanying materials are made available under the terms of the eclipse public license 2 0 which is available at", ("eclipse public license 2 0",)),
+    ("epl-2.0", "eclipse public license v 2 0", ("eclipse public license v 2 0",)),
+    ("epl-1.0", "eclipse public license v 1 0", ("eclipse public license v 1 0",)),
+    ("cddl-1.0", "the contents of this file are subject to the terms of the common development and distribution license the license you may not use this file except in compliance with the license", ("common development and distribution license",)),
+    ("artistic-2.0", "licensed under the artistic license 2 0", ("artistic license 2 0",)),
+    ("artistic-2.0", "the artistic license 2 0 everyone is permitted to copy and distribute verbatim copies of this license document but changing it is not allowed", ("artistic license 2 0",)),
+    ("bsl-1.0", "distributed under the boost software license version 1 0", ("boost software license", "version 1 0")),
+    ("ofl-1.1", "this font software is licensed under the sil open font license version 1 1", ("sil open font license", "version 1 1")),
+    ("wtfpl", "do what the fuck you want to public license", ("do what the fuck you want to public license",)),
+    ("psf-2.0", "python software foundation license version 2", ("python software foundation license", "version 2")),
+    ("cc-by-4.0", "this work is licensed under a creative commons attribution 4 0 international license", ("creative commons attribution 4 0 international",)),
+    ("cc-by-sa-4.0", "this work is licensed under a creative commons attribution sharealike 4 0 international license", ("creative commons attribution sharealike 4 0",)),
+    ("cc-by-nc-4.0", "this work is licensed under a creative commons attribution noncommercial 4 0 international license", ("creative commons attribution noncommercial 4 0",)),
+    ("gpl-3.0", "gnu general public license version 3 29 june 2007", ("gnu general public license version 3 29 june 2007",)),
+    ("gpl-2.0", "gnu general public license version 2 june 1991", ("gnu general public license version 2 june 1991",)),
+    ("lgpl-3.0", "gnu lesser general public license version 3 29 june 2007", ("gnu lesser general public license version 3 29 june 2007",)),
+    ("lgpl-2.1", "gnu lesser general public license version 2 1 february 1999", ("gnu lesser general public license version 2 1 february 1999",)),
+    ("agpl-3.0", "gnu affero general public license version 3 19 november 2007", ("gnu affero general public license version 3 19 november 2007",)),
+) + tuple((label, f"spdx license identifier {name}", (f"license identifier {name}",)) for label, name in SPDX)
 
 #: Part of a template's words that has to agree; the shortest way in which a notice names its licence has a quarter.
 LEAST_SHARE = 0.25
@@ -117,6 +146,9 @@ INSERTED = 2
 
 _A_Z = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _BETWEEN = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+_LETTERS = r"0-9A-Za-z\x{80}-\x{10FFFF}"
+#: Letters of a word that texts are told apart by, if a phrase has one.
+LEAST_SIGN = 5
 _INSIDE = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 
@@ -155,9 +187,25 @@ def vocabulary() -> list[str]:
     return sorted({w for _, _, keys in TEMPLATES for w in keys[0].split()})
 
 
+def signs() -> list[str]:
+    """A few words of which every text that a template or a base phrase fits holds one, picked from the key phrases.
+
+    Again and again the word that the most phrases still without one have; of equal ones the longest. A template needs all its
+    key phrases, so any of their words will do.
+    """
+    open_ = [{w for k in keys for w in k.split()} for keys in [[p] for p, _ in BASE] + [keys for _, _, keys in TEMPLATES]]
+    out = []
+    while open_:
+        count = Counter(w for ws in open_ for w in ws)
+        best = max(count, key=lambda w: (count[w] if len(w) >= LEAST_SIGN else 0, len(w), w))
+        out.append(best)
+        open_ = [ws for ws in open_ if best not in ws]
+    return out
+
+
 def may_hold(text: Column) -> Column:
-    """A cheap test that is true for every text in which a phrase can stand: most texts go no further."""
-    return text.rlike(r"(?i)licen[sc]e|hereby|in no event will|misrepresented|(?<![a-z0-9])cc0?(?![a-z0-9])|redistribution|unencumbered|creative|mozilla")
+    """A cheap test that is true for every text in which a phrase can stand, however its words are parted: most texts go no further."""
+    return text.rlike(f"(?i)(?<![{_LETTERS}])(?:{'|'.join(signs())})(?![{_LETTERS}])")
 
 
 def frequencies(df: DataFrame, text_col: str) -> tuple[int, dict[str, int]]:

@@ -82,6 +82,8 @@ def test_hot_keys_are_split(spark, tmp_path):
         pages = spark.range(20_000).selectExpr("id AS page_id", "sha2(cast(id AS string), 512) AS url", "CASE WHEN id % 5 < 4 THEN 'one and the same' ELSE cast(id AS string) END AS html").repartition(8)
         sizes = [r.n for r in warc.records(pages).groupBy(F.spark_partition_id()).agg(F.count("*").alias("n"), F.max("url")).collect()]
         assert sum(sizes) == 20_000 and max(sizes) < 6_000
+        for k in list(names)[3:]:
+            spark.conf.set(k, "2k")
         passage = " ".join(f"w{i}" for i in range(40))
         docs = spark.range(4_000).selectExpr("id AS doc_id", f"concat_ws(' ', sha1(cast(id AS string)), CASE WHEN id % 5 < 4 THEN '{passage}' ELSE 'none' END) AS text").repartition(8)
         text = F.col("text")
@@ -243,6 +245,17 @@ def test_licenses_of_whole_texts(spark):
     assert all("bsd-3-clause" not in found[i] for i, (label, _, _) in enumerate(licenses.TEMPLATES) if label == "bsd-2-clause")
 
 
+def test_licenses_broken_anywhere(spark):
+    """Each template's text with a line break, two blanks or a comment mark between any two words has its label; so has each base phrase."""
+    own = [(len(licenses.TEMPLATES) * k + i, notice.replace(" ", gap)) for k, gap in enumerate((" \n", "  ", "\n * ", "-")) for i, (_, notice, _) in enumerate(licenses.TEMPLATES)]
+    found = {r.doc_id: r.labels.split(",") for r in licenses.scan(spark.createDataFrame(own, SCHEMA)).collect()}
+    assert all(licenses.TEMPLATES[i % len(licenses.TEMPLATES)][0] in found[i] for i, _ in own)
+    words = {w for p, _ in licenses.BASE for w in p.split()}
+    assert set(licenses.signs()) & words and all(set(licenses.signs()) & {w for k in keys for w in k.split()} for _, _, keys in licenses.TEMPLATES)
+    spdx = [(1, "// SPDX-License-Identifier: GPL-3.0-only"), (2, "# SPDX-License-Identifier: Apache-2.0"), (3, "driver-license identifier")]
+    assert {r.doc_id: r.labels for r in licenses.scan(spark.createDataFrame(spdx, SCHEMA)).collect()} == {1: "gpl-3.0", 2: "apache-2.0", 3: ""}
+
+
 def test_licenses_phrases_in_place(spark):
     gpl = "You can redistribute it under the terms of the GNU General Public License as published by the Free Software Foundation"
     own = {
