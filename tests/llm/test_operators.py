@@ -423,7 +423,7 @@ def test_very_long_texts(spark):
 @pytest.mark.parametrize("name", sorted(queries.ORACLE))
 def test_same_as_sql(spark, sf_dir, name):
     con = duckdb.connect()
-    for t in ("documents", "pages"):
+    for t in ("documents", "pages", "benchmark"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf_dir}/{t}.parquet'")
     found, df = con.execute(queries.ORACLE[name]), queries.QUERIES[name](spark, sf_dir)
     order = [c[0] for c in found.description]
