@@ -7,7 +7,7 @@ from __future__ import annotations
 
 import hashlib
 import random
-from collections import defaultdict, deque
+from collections import Counter, defaultdict, deque
 from collections.abc import Callable, Iterable, Iterator
 from itertools import combinations
 
@@ -108,21 +108,77 @@ def _fundamental_cycles(g: Graph) -> list[list[int]]:
     return out
 
 
+def strong_components(nodes: list[int], out: dict[int, set[int]]) -> list[list[int]]:
+    """Strongly connected components of the subgraph on ``nodes``: depth-first, a component is what stands above its first node."""
+    among, number, low, out_of, stack, found = set(nodes), {}, {}, set(), [], []
+    for root in nodes:
+        if root in number:
+            continue
+        number[root] = low[root] = len(number)
+        stack.append(root)
+        work = [(root, iter(out[root]))]
+        while work:
+            u, ahead = work[-1]
+            for v in ahead:
+                if v not in among or v in out_of:
+                    continue
+                if v not in number:
+                    number[v] = low[v] = len(number)
+                    stack.append(v)
+                    work.append((v, iter(out[v])))
+                    break
+                low[u] = min(low[u], number[v])
+            else:
+                work.pop()
+                if work:
+                    low[work[-1][0]] = min(low[work[-1][0]], low[u])
+                if low[u] == number[u]:
+                    part = []
+                    while not part or part[-1] != u:
+                        part.append(stack.pop())
+                    out_of.update(part)
+                    found.append(sorted(part))
+    return found
+
+
 def _directed_cycles(g: Graph) -> Iterator[list[int]]:
-    for start in g.nodes:
-        stack = [(start, iter(sorted(v for v in g.out[start] if v >= start)))]
-        path, on = [start], {start}
-        while stack:
-            v = next(stack[-1][1], None)
-            if v is None:
-                on.discard(stack.pop()[0])
+    """All simple cycles, each from its smallest node, one by one.
+
+    Searched inside strong components only, since a cycle leaves none. A node from which the start wasn't reached is blocked
+    until a node that it was blocked by is free again, so no dead end is walked twice without a cycle in between.
+    """
+    left = [c for c in strong_components(g.nodes, g.out) if len(c) > 1 or c[0] in g.out[c[0]]]
+    while left:
+        part = left.pop()
+        start, own = part[0], set(part)
+        path, on, waiting, closed = [start], {start}, defaultdict(set), set()
+        work = [(start, iter(sorted(g.out[start] & own)))]
+        while work:
+            u, ahead = work[-1]
+            for v in ahead:
+                if v == start:
+                    yield sorted(path)
+                    closed.update(path)
+                elif v not in on:
+                    path.append(v)
+                    on.add(v)
+                    closed.discard(v)
+                    work.append((v, iter(sorted(g.out[v] & own))))
+                    break
+            else:
+                work.pop()
                 path.pop()
-            elif v == start:
-                yield sorted(path)
-            elif v not in on:
-                path.append(v)
-                on.add(v)
-                stack.append((v, iter(sorted(w for w in g.out[v] if w >= start))))
+                if u in closed:  # a cycle went through it: free it and all that wait for it
+                    free = [u]
+                    while free:
+                        w = free.pop()
+                        if w in on:
+                            on.discard(w)
+                            free += waiting.pop(w, ())
+                else:
+                    for v in g.out[u] & own:
+                        waiting[v].add(u)
+        left += [c for c in strong_components(part[1:], g.out) if len(c) > 1 or c[0] in g.out[c[0]]]
 
 
 def bridges(g: Graph) -> list[tuple[int, int]]:
@@ -525,50 +581,133 @@ def combinations_within(g: Graph, sets: list[list[int]], count: tuple[int, int],
 # ---- canonical form ----------------------------------------------------------------------------
 
 
-def _refine(colors: dict[int, int], g: Graph, label: dict[tuple[int, int], str]) -> dict[int, int]:
-    while True:
-        sign = {}
-        for n in g.nodes:
-            around = [(1, label.get((n, v), ""), colors[v]) for v in g.out[n]]
-            if g.directed:
-                around += [(0, label.get((v, n), ""), colors[v]) for v in g.near[n] if n in g.out[v]]
-            sign[n] = (colors[n], sorted(around))
-        rank = {s: i for i, s in enumerate(sorted({repr(s) for s in sign.values()}))}
-        new = {n: rank[repr(s)] for n, s in sign.items()}
-        if len(rank) == len(set(colors.values())):
-            return new
-        colors = new
+class _Canonical:
+    """The search for a graph's least certificate.
 
+    Nodes get colours that are refined by their neighbours' until stable; where several nodes of one colour are left, each in turn
+    is singled out. Two prunings keep symmetric graphs small. A branch is left as soon as what its refinements looked like comes
+    after the best branch's. And where a leaf equals the best one, the two orders are an automorphism: it unites nodes
+    into orbits, of which one node each has to be tried wherever all nodes singled out before are fixed, and everything below the
+    place where the two branches part is left at once.
+    """
 
-def canonical(nodes: dict[int, str], edges: dict[tuple[int, int], str], directed: bool) -> str:
-    """A certificate that two labelled graphs share if and only if they are isomorphic.
+    def __init__(self, nodes: dict[int, str], edges: dict[tuple[int, int], str], directed: bool):
+        self.labels, self.edges, self.directed = nodes, edges, directed
+        codes = {x: k for k, x in enumerate(sorted(set(edges.values())))}
+        self.near: dict[int, list[tuple[int, int]]] = {n: [] for n in nodes}  # (kind of edge and way, other end)
+        for (u, v), x in edges.items():
+            self.near[u].append((2 * codes[x], v))
+            self.near[v].append((2 * codes[x] + directed, u))
+        self.best: tuple | None = None  # (refinements, certificate), its nodes in order, those singled out
+        self.moves: list[dict[int, int]] = []
+
+    def refined(self, colors: dict[int, int]) -> tuple[dict[int, int], tuple]:
+        """Stable colours, and what the way there looked like: the same for any numbering of the nodes."""
+        count, trace = len(set(colors.values())), []
+        while True:
+            sign = {n: (colors[n], *sorted([k * len(self.labels) + colors[v] for k, v in near])) for n, near in self.near.items()}
+            size = Counter(sign.values())
+            rank, at = {}, 0
+            for x in sorted(size):  # a colour is the number of nodes of smaller ones, so splitting one leaves the others' names
+                rank[x] = at
+                at += size[x]
+            colors = {n: rank[x] for n, x in sign.items()}
+            trace.append(tuple(sorted(size.items())))
+            if len(rank) == count:
+                return colors, tuple(trace[-1:])
+            count = len(rank)
+
+    def twins(self, members: list[int]) -> bool:
+        """Whether any two of these nodes can be swapped with all others left in place."""
+        own = set(members)
+        first = None
+        for n in members:
+            beyond = sorted((k, v) for k, v in self.near[n] if v not in own)
+            inside = sorted(k for k, v in self.near[n] if v in own)
+            if len(set(inside)) > (2 if self.directed else 1) or (inside and len(inside) != (len(own) - 1) * len(set(inside))):
+                return False
+            if first is not None and (beyond, inside) != first:
+                return False
+            first = (beyond, inside)
+        return True
+
+    def orbits(self, fixed: list[int]) -> Callable[[int], int]:
+        """The smallest node of each node's orbit under the known automorphisms that leave the fixed nodes in place."""
+        root: dict[int, int] = {}
+
+        def find(x: int) -> int:
+            while root.get(x, x) != x:
+                x = root[x]
+            return x
+
+        for move in self.moves:
+            if all(move[n] == n for n in fixed):
+                for a, b in move.items():
+                    a, b = find(a), find(b)
+                    if a != b:
+                        root[max(a, b)] = min(a, b)
+        return find
+
+    def leaf(self, colors: dict[int, int], traces: list[tuple], fixed: list[int]) -> int:
+        order = sorted(colors, key=colors.get)
+        place = {n: k for k, n in enumerate(order)}
+        arcs = sorted((*((place[u], place[v]) if self.directed else sorted((place[u], place[v]))), x) for (u, v), x in self.edges.items())
+        found = (traces[:], arcs)
+        if self.best is None or found < self.best[0]:
+            self.best = (found, order, fixed[:])
+        elif found == self.best[0]:
+            move = dict(zip(self.best[1], order, strict=True))
+            self.moves.append(move)
+            return next((k for k, (a, b) in enumerate(zip(fixed, self.best[2], strict=False)) if a != b), len(fixed))
+        return len(fixed)
+
+    def search(self, colors: dict[int, int], traces: list[tuple], fixed: list[int]) -> int:
+        """Works a branch off; gives the depth down to which the search may go back at once."""
+        colors, trace = self.refined(colors)
+        traces.append(trace)
+        depth = len(fixed)
+        try:
+            if self.best is not None and traces > self.best[0][0][:len(traces)]:
+                return depth
+            groups = defaultdict(list)
+            for n, c in colors.items():
+                groups[c].append(n)
+            tied = min((c for c, g in groups.items() if len(g) > 1), default=None)
+            if tied is None:
+                return self.leaf(colors, traces, fixed)
+            members = sorted(groups[tied])
+            if self.twins(members):  # in any order: all at once
+                place = {n: k for k, n in enumerate(members)}
+                fixed += members
+                back = self.search({n: c + place.get(n, 0) for n, c in colors.items()}, traces, fixed)
+                del fixed[depth:]
+                return min(back, depth)
+            tried: list[int] = []
+            for n in members:
+                if tried:
+                    orbit = self.orbits(fixed)
+                    if orbit(n) in {orbit(m) for m in tried}:
+                        continue
+                tried.append(n)
+                fixed.append(n)
+                back = self.search({m: c + (c == tied and m != n) for m, c in colors.items()}, traces, fixed)
+                fixed.pop()
+                if back < depth:
+                    return back
+            return depth
+        finally:
+            traces.pop()
+
+    def certificate(self) -> str:
+        names = {x: k for k, x in enumerate(sorted(set(self.labels.values())))}
+        self.search({n: names[x] for n, x in self.labels.items()}, [], [])
+        (_, arcs), order, _ = self.best
+        return f"{self.directed}|{([self.labels[n] for n in order], arcs)!r}"
 
-    Colours are refined until stable; where several nodes of one colour are left, each in turn is singled out and
-    the least certificate is kept.
-    """
-    g = Graph(nodes, edges, directed)
-    label = dict(edges) if directed else {**edges, **{(v, u): x for (u, v), x in edges.items()}}
-    names = {x: i for i, x in enumerate(sorted(set(nodes.values())))}
-
-    def search(colors: dict[int, int]) -> str:
-        colors = _refine(colors, g, label)
-        groups = defaultdict(list)
-        for n, c in colors.items():
-            groups[c].append(n)
-        tied = [c for c in sorted(groups) if len(groups[c]) > 1]
-        if not tied:
-            order = {n: i for i, n in enumerate(sorted(colors, key=colors.get))}
-            arcs = sorted((*((order[u], order[v]) if directed else sorted((order[u], order[v]))), x) for (u, v), x in edges.items())
-            return repr(([nodes[n] for n in order], arcs))
-        best, members = None, groups[tied[0]]
-        twins = {tuple(sorted((label.get((n, v), ""), label.get((v, n), ""), v) for v in g.near[n] if v not in members)) for n in members}
-        inner = any(v in members for n in members for v in g.near[n])
-        for n in members[:1] if len(twins) == 1 and not inner else members:
-            got = search({m: 2 * c + (m == n) for m, c in colors.items()})
-            best = got if best is None else min(best, got)
-        return best
-
-    return f"{directed}|{search({n: names[x] for n, x in nodes.items()})}"
+
+def canonical(nodes: dict[int, str], edges: dict[tuple[int, int], str], directed: bool) -> str:
+    """A certificate that two labelled graphs share if and only if they are isomorphic."""
+    return _Canonical(nodes, edges, directed).certificate()
 
 
 def bounded(text: str, nbits: int) -> int:
@@ -577,6 +716,3 @@ def bounded(text: str, nbits: int) -> int:
         raise ValueError("nbits must be at least 2")
     low = int.from_bytes(hashlib.sha256(text.encode()).digest(), "big") & ((1 << nbits) - 1)
     return low % ((1 << nbits) - 2) + 2
-
-
-Kernel = Callable[..., list[list[int]]]

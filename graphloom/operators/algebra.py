@@ -223,14 +223,47 @@ def merge(ag: AGFrame, use_edges: bool = False) -> AGFrame:
     return induced(ag, rows.select("graph_id", F.array_sort(F.coalesce("n", F.array().cast("array<bigint>"))).alias("nodes"), "meta"))
 
 
+#: Rows of one key that one block of a join by members holds.
+HUB_ROWS = 4_096
+
+
+def dealt(left: DataFrame, right: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame, list[str]]:
+    """Both sides and the columns to join them by, so that a key of very many rows is many tasks.
+
+    The rows of a key beyond HUB_ROWS are dealt to blocks, and every block of the left meets every block of the right under a key of
+    its own; so each pair of rows still meets exactly once. The keys that need it are written first and joined as a plain
+    table, whose rows of one key adaptive execution may split.
+    """
+
+    def heavy(side: DataFrame, name: str) -> DataFrame:
+        count = side.groupBy(*keys).agg(F.count("*").alias("_n")).filter(F.col("_n") > HUB_ROWS)
+        return count.select(*keys, F.ceil(F.col("_n") / HUB_ROWS).cast("int").alias(name))
+
+    hubs = cut(heavy(left, "_l").join(heavy(right, "_r"), keys, "full_outer"))
+    if hubs.isEmpty():
+        return left, right, keys
+    one = lambda c: F.coalesce(c, F.lit(1))
+    every = lambda n: F.explode(F.sequence(F.lit(0), one(F.col(n)) - 1))
+    own = lambda side, n: F.pmod(F.xxhash64(*side.columns), one(F.col(n))).cast("int")
+    a = left.join(hubs, keys, "left").withColumn("_i", own(left, "_l")).withColumn("_j", every("_r")).drop("_l", "_r")
+    b = right.join(hubs, keys, "left").withColumn("_j", own(right, "_r")).withColumn("_i", every("_l")).drop("_l", "_r")
+    return a, b, [*keys, "_i", "_j"]
+
+
+def met(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """Every pair of a left and a right row of equal keys."""
+    a, b, on = dealt(left, right, keys)
+    return a.join(b, on).drop("_i", "_j")
+
+
 @operator("remove_redundant_mapped_subgraphs", "preserve")
 def remove_redundant_mapped_subgraphs(ag: AGFrame) -> AGFrame:
     """Without the subgraphs whose nodes and edges all lie in another one that has more."""
-    sg = renumbered(ag.sg) if ag.links is None else ag.sg
+    sg = cut(renumbered(ag.sg) if ag.links is None else ag.sg)
     small = sg.select("graph_id", F.col("sg_id").alias("a"), F.col("nodes").alias("an"), F.col("edges").alias("ae"))
     large = sg.select("graph_id", F.col("sg_id").alias("b"), F.col("nodes").alias("bn"), F.col("edges").alias("be"), F.explode("nodes").alias("first"))
     within = (F.size(F.array_except("an", "bn")) == 0) & (F.size(F.array_except("ae", "be")) == 0) & ((F.size("an") < F.size("bn")) | (F.size("ae") < F.size("be")))
-    covered = small.withColumn("first", F.get("an", F.lit(0))).join(large, ["graph_id", "first"]).filter((F.col("a") != F.col("b")) & within)
+    covered = met(small.withColumn("first", F.get("an", F.lit(0))).filter(F.col("first").isNotNull()), large, ["graph_id", "first"]).filter((F.col("a") != F.col("b")) & within)
     empty = small.filter(F.size("an") == 0).join(sg.filter(F.size("nodes") > 0).select("graph_id").distinct(), "graph_id", "left_semi")
     gone = covered.select("graph_id", F.col("a").alias("sg_id")).unionByName(empty.select("graph_id", F.col("a").alias("sg_id")))
     kept = sg.join(gone, ["graph_id", "sg_id"], "left_anti")
@@ -245,7 +278,7 @@ def _shared(a: DataFrame, b: DataFrame, ordered: bool) -> DataFrame:
     """graph_id, u, v, nodes: for each pair of subgraphs with a common node all their common nodes."""
     left = a.select("graph_id", F.col("sg_id").alias("u"), F.explode("nodes").alias("n"))
     right = b.select("graph_id", F.col("sg_id").alias("v"), F.explode("nodes").alias("n"))
-    both = left.join(right, ["graph_id", "n"])
+    both = met(left, right, ["graph_id", "n"])
     if ordered:
         both = both.filter(F.col("u") < F.col("v"))
     return both.groupBy("graph_id", "u", "v").agg(F.sort_array(F.collect_list("n")).alias("nodes"))
@@ -268,7 +301,7 @@ def _intersections(ag: AGFrame, met: DataFrame, all_pairs: DataFrame, node_size,
 @operator("intersection", "preserve", node_size=None, must_be_connected=True)
 def intersection(ag: AGFrame, node_size=None, must_be_connected: bool = True) -> AGFrame:
     """The distinct common node sets of all pairs of subgraphs, of a size in range and connected in the base graph."""
-    sg = renumbered(ag.sg)
+    sg = cut(renumbered(ag.sg))
     count = sg.groupBy("graph_id").agg((F.count("*") * (F.count("*") - 1) / 2).alias("pairs"))
     return _intersections(ag, _shared(sg, sg, True), count, node_size, must_be_connected, "intersection")
 
@@ -276,7 +309,7 @@ def intersection(ag: AGFrame, node_size=None, must_be_connected: bool = True) ->
 @operator("binary_intersection", "weak", "binary", first_second_node_size=None, must_be_connected=True)
 def binary_intersection(a: AGFrame, b: AGFrame, first_second_node_size=None, must_be_connected: bool = True) -> AGFrame:
     """The distinct common node sets of one subgraph of each side."""
-    left, right = renumbered(a.sg), renumbered(b.sg)
+    left, right = cut(renumbered(a.sg)), cut(renumbered(b.sg))
     n = left.groupBy("graph_id").agg(F.count("*").alias("x")).join(right.groupBy("graph_id").agg(F.count("*").alias("y")), "graph_id")
     return _intersections(a, _shared(left, right, False), n.select("graph_id", (F.col("x") * F.col("y")).alias("pairs")), first_second_node_size, must_be_connected, "binary_intersection")
 
@@ -305,17 +338,17 @@ def binary_combination(a: AGFrame, b: AGFrame, first_second_distance=(0, 1)) ->
 @operator("intersection_edges", "preserve", size_threshold=1, accept_connection_by_edge=False)
 def intersection_edges(ag: AGFrame, size_threshold: int = 1, accept_connection_by_edge: bool = False) -> AGFrame:
     """Links between subgraphs with so many common nodes and, if asked for, between those that a base edge joins."""
-    sg = renumbered(ag.sg)
+    sg = cut(renumbered(ag.sg))  # numbered once, for both sides and what follows
     member = sg.select("graph_id", F.col("sg_id").alias("u"), F.explode("nodes").alias("n"))
     other = member.select("graph_id", F.col("u").alias("v"), "n")
-    shared = member.join(other, ["graph_id", "n"]).filter(F.col("u") < F.col("v")).groupBy("graph_id", "u", "v").agg(F.count("*").cast("int").alias("shared_base_nodes"))
+    shared = met(member, other, ["graph_id", "n"]).filter(F.col("u") < F.col("v")).groupBy("graph_id", "u", "v").agg(F.count("*").cast("int").alias("shared_base_nodes"))
     if not accept_connection_by_edge:
         links = shared.filter(F.col("shared_base_nodes") >= size_threshold).withColumn("connected_by_base_edge", F.lit(False))
         return ag.with_sg(sg, links)
     arcs = ag.base.select("graph_id", F.explode(pairs(F.col("edges"))).alias("e")).select("graph_id", F.col("e.src").alias("n"), F.col("e.dst").alias("m"))
     arcs = arcs.unionByName(arcs.select("graph_id", F.col("m").alias("n"), F.col("n").alias("m")))
     joined = (
-        member.join(arcs, ["graph_id", "n"]).select("graph_id", "u", F.col("m").alias("n")).join(other, ["graph_id", "n"])
+        met(met(member, arcs, ["graph_id", "n"]).select("graph_id", "u", F.col("m").alias("n")), other, ["graph_id", "n"])
         .filter(F.col("u") < F.col("v")).select("graph_id", "u", "v").distinct().withColumn("connected_by_base_edge", F.lit(True))
     )
     links = shared.join(joined, ["graph_id", "u", "v"], "full_outer").select(

@@ -217,6 +217,16 @@ def hashed(view, program):
     return run
 
 
+def hashes_of_sizes(view, program):
+    """How many labels the subgraphs of each number of nodes have, and how many of these there are."""
+
+    def run(spark, sf_dir):
+        ag = L.graph_structure_hash(program(view(spark, sf_dir)), 31)
+        return ag.sg.groupBy(F.size("nodes").cast("long").alias("n_nodes")).agg(F.countDistinct("label").alias("n_labels"), F.count("*").alias("n"))
+
+    return run
+
+
 F2 = O.forward_compose
 NB1 = O.neighborhood(1)
 QUERIES = {
@@ -291,6 +301,7 @@ QUERIES = {
     "vectorize_node": vectorized(V.basket, O.add(O.node(), O.edge()), False),
     "vectorize_graph": vectorized(V.basket, O.add(O.node(), O.edge()), True),
     "vectorize_graph_hash": hashed(V.basket, F2(NB1)),
+    "clique_hash": hashes_of_sizes(V.copart, O.clique((1, 4))),
     "feature_subgraphs": features(V.basket, F2(NB1)),
     "token_chain": lambda spark, sf_dir: A.label_counts(V.token_chain(spark.read.parquet(f"{sf_dir}/benchmark.parquet"), "item_id")).select("label", "n"),
     "dependency_arcs": lambda spark, sf_dir: V.dependency_graphs(V.parsed_tokens(spark.read.parquet(f"{sf_dir}/benchmark.parquet"), id_col="item_id")).base.select("graph_id", F.size("nodes").cast("long").alias("n_nodes"), F.size("edges").cast("long").alias("n_edges")),
@@ -423,6 +434,8 @@ ORACLE |= {
       n AS (SELECT q, label, count(*) AS n FROM d WHERE k <= 5 GROUP BY q, label)
       SELECT q AS vec_id, label::BIGINT AS vote FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY n DESC, label) AS r FROM n) WHERE r = 1""",
 }
+ORACLE["clique_hash"] = _sql(COPART, CLIQUE, select="""SELECT n_nodes, 1::BIGINT AS n_labels, count(*) AS n FROM (
+  SELECT 1::BIGINT AS n_nodes FROM bn UNION ALL SELECT 2 FROM k2 UNION ALL SELECT 3 FROM k3 UNION ALL SELECT 4 FROM k4) GROUP BY 1""")
 ORACLE["merge_edges"] = ORACLE["merge"]
 ORACLE["intersection_edges"] = _sql(BASKET, select="""SELECT x.g AS graph_id, x.s || ',' || x.d AS u_members, y.s || ',' || y.d AS v_members, 1::BIGINT AS shared FROM be x JOIN be y
   ON x.g = y.g AND (x.s < y.s OR (x.s = y.s AND x.d < y.d)) AND (x.s = y.s OR x.s = y.d OR x.d = y.s OR x.d = y.d)""")

@@ -89,28 +89,35 @@ def load(path: str) -> Op:
 
 
 def simplified(op: Op) -> Op:
-    """The same result with less work: no identities, no double deduplication, size filters next to each other joined.
+    """The same result with less work: identities, deduplication of what is distinct, and size filters next to each other.
 
-    A compose or forward_compose of one operator stays, for it deduplicates.
+    A stage of a compose or forward_compose deduplicates what it gives, unless ``dedup`` is off. So an identity that comes first
+    there still deduplicates, and becomes just that; later ones do nothing. A compose of one operator stays.
     """
     if not isinstance(op, Op):
         return op
     children = tuple(tuple(simplified(x) for x in c) if isinstance(c, (tuple, list)) else simplified(c) for c in op.children)
     if op.name in ("compose", "forward_compose"):
+        dedup = dict(op.params).get("dedup", True)
+        stages = children if op.name == "forward_compose" else children[::-1]
         kept: list = []
-        for c in children:
-            same = kept and isinstance(c, Op) and isinstance(kept[-1], Op) and c.name == kept[-1].name
-            if isinstance(c, Op) and c.name == "identity" and len(children) > 1:
+        for c in stages:
+            name = c.name if isinstance(c, Op) else None
+            same = bool(kept) and isinstance(kept[-1], Op) and name == kept[-1].name
+            if name == "identity" and len(children) > 1:
+                if dedup and not kept:
+                    kept.append(Op("deduplicate"))
                 continue
-            if same and c.name == "deduplicate":
+            if name == "deduplicate" and (same or (dedup and kept)):
                 continue
-            if same and c.name == "filter_by_number_of_nodes":
+            if same and name == "filter_by_number_of_nodes":
                 a, b = (dict(x.params).get("number_of_nodes", (1, 10)) for x in (kept[-1], c))
                 a, b = ((x, x) if isinstance(x, int) else x for x in (a, b))
-                kept[-1] = Op(c.name, (("number_of_nodes", (max(a[0], b[0]), min(a[1], b[1]))),))
+                kept[-1] = Op(name, (("number_of_nodes", (max(a[0], b[0]), min(a[1], b[1]))),))
                 continue
             kept.append(c)
-        children = tuple(kept) or children[:1]
+        kept = kept or list(stages[:1])
+        children = tuple(kept if op.name == "forward_compose" else kept[::-1])
     return Op(op.name, op.params, children, op.notes)
 
 
