@@ -32,9 +32,11 @@ from .pieces import load as load_pieces
 #: Fixed value: the public pattern by which byte-level tokenizers of this kind part a text before merging.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Segments whose alignments one Python worker keeps, and the longest of them; beyond it the oldest go.
-CACHE_SEGMENTS, CACHE_LENGTH = 250_000, 64
+CACHE_SEGMENTS, CACHE_LENGTH = 200_000, 64
+#: Stretches that B's encoder keeps beside them: those of a kept segment are never asked for again.
+CACHE_STRETCHES = 200_000
 #: Characters of text that are aligned at once, and bytes of text in one block.
-SLICE, BLOCK_BYTES = 1_500_000, 32 << 20
+SLICE, BLOCK_BYTES = 1_500_000, 8 << 20
 #: Token pairs of a group's product that are held at once.
 PRODUCT = 1 << 20
 LINKS = ("ends", "overlaps", "groups")
@@ -89,7 +91,7 @@ class Aligner:
         joined = "".join(segments)
         raw = joined.encode()
         a = np.array(self.a.encode_ordinary(joined), dtype=np.int64)
-        b = np.frombuffer(self.b.encode_marked([joined], self.b_cache)[0], dtype=np.int32).astype(np.int64)
+        b = np.frombuffer(self.b.encode_marked([joined], self.b_cache, CACHE_STRETCHES)[0], dtype=np.int32).astype(np.int64)
         if b"".join(self.a_bytes[a].tolist()) != raw or b"".join(self.b_bytes[b].tolist()) != raw:
             half = len(segments) // 2
             return self._aligned(segments[:half]) | self._aligned(segments[half:]) if half else {segments[0]: ()}

@@ -289,8 +289,8 @@ class Pieces:
             row = end
         return out
 
-    def encode_marked(self, texts: list[str], cache: dict[str, bytes]) -> list[bytes]:
-        """The same for texts that already begin with the blank that encoding puts first."""
+    def encode_marked(self, texts: list[str], cache: dict[str, bytes], most: int | None = None) -> list[bytes]:
+        """The same for texts that already begin with the blank that encoding puts first; the cache holds ``most`` stretches."""
         found = [self.stretches.findall(x.replace(MARK, " ")) for x in texts]
         got = [list(map(cache.get, f)) for f in found]
         missing = [i for i, g in enumerate(got) if None in g]
@@ -303,7 +303,7 @@ class Pieces:
         for i in missing:
             got[i] = [coded[s] if ids is None else ids for s, ids in zip(found[i], got[i], strict=True)]
         cache.update((s, ids) for s, ids in coded.items() if len(s) <= CACHE_LENGTH)
-        for s in list(islice(cache, max(0, len(cache) - CACHE_STRETCHES))):
+        for s in list(islice(cache, max(0, len(cache) - (CACHE_STRETCHES if most is None else most)))):
             del cache[s]
         return list(map(b"".join, got))
 
