@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
 from ..functions import kernels as K
+from ..large import met
 from ..model import EDGE_SET, SG_COLUMNS, AGFrame, cut, edge_induced, induced, meta_of, null_of, pairs, renumbered, set_key
 from .registry import operator, span
 from .structure import global_nodes
@@ -223,39 +224,6 @@ def merge(ag: AGFrame, use_edges: bool = False) -> AGFrame:
     return induced(ag, rows.select("graph_id", F.array_sort(F.coalesce("n", F.array().cast("array<bigint>"))).alias("nodes"), "meta"))
 
 
-#: Rows of one key that one block of a join by members holds.
-HUB_ROWS = 4_096
-
-
-def dealt(left: DataFrame, right: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame, list[str]]:
-    """Both sides and the columns to join them by, so that a key of very many rows is many tasks.
-
-    The rows of a key beyond HUB_ROWS are dealt to blocks, and every block of the left meets every block of the right under a key of
-    its own; so each pair of rows still meets exactly once. The keys that need it are written first and joined as a plain
-    table, whose rows of one key adaptive execution may split.
-    """
-
-    def heavy(side: DataFrame, name: str) -> DataFrame:
-        count = side.groupBy(*keys).agg(F.count("*").alias("_n")).filter(F.col("_n") > HUB_ROWS)
-        return count.select(*keys, F.ceil(F.col("_n") / HUB_ROWS).cast("int").alias(name))
-
-    hubs = cut(heavy(left, "_l").join(heavy(right, "_r"), keys, "full_outer"))
-    if hubs.isEmpty():
-        return left, right, keys
-    one = lambda c: F.coalesce(c, F.lit(1))
-    every = lambda n: F.explode(F.sequence(F.lit(0), one(F.col(n)) - 1))
-    own = lambda side, n: F.pmod(F.xxhash64(*side.columns), one(F.col(n))).cast("int")
-    a = left.join(hubs, keys, "left").withColumn("_i", own(left, "_l")).withColumn("_j", every("_r")).drop("_l", "_r")
-    b = right.join(hubs, keys, "left").withColumn("_j", own(right, "_r")).withColumn("_i", every("_l")).drop("_l", "_r")
-    return a, b, [*keys, "_i", "_j"]
-
-
-def met(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
-    """Every pair of a left and a right row of equal keys."""
-    a, b, on = dealt(left, right, keys)
-    return a.join(b, on).drop("_i", "_j")
-
-
 @operator("remove_redundant_mapped_subgraphs", "preserve")
 def remove_redundant_mapped_subgraphs(ag: AGFrame) -> AGFrame:
     """Without the subgraphs whose nodes and edges all lie in another one that has more."""

@@ -136,6 +136,20 @@ def large_components(nodes, edges):
     return found.groupBy("graph_id", "component").agg(F.sort_array(F.collect_list("node_id")).alias("nodes")).select("graph_id", members("nodes").alias("members"))
 
 
+def large_members(found: DataFrame) -> DataFrame:
+    return found.select("graph_id", members("members").alias("members"))
+
+
+def large_trees(nodes, edges):
+    found = large_graphs.trees(nodes, edges)
+    return large_members(found.groupBy("graph_id", "component").agg(F.sort_array(F.collect_list("node_id")).alias("members")))
+
+
+def large_cycles(nodes, edges):
+    found = large_graphs.cycles(nodes, edges)
+    return found.groupBy("graph_id").agg(F.countDistinct("src", "dst").alias("n"))
+
+
 def last_prices(spark, sf_dir):
     li = spark.read.parquet(f"{sf_dir}/lineitem.parquet").withColumn("at", F.col("l_orderkey") * 1e7 + F.col("l_extendedprice"))
     return A.method_table(li, "l_returnflag", "l_linestatus", "l_extendedprice", "at", ["F", "O"]).select("l_returnflag", F.col("F").alias("price_f"), F.col("O").alias("price_o"))
@@ -268,6 +282,11 @@ QUERIES = {
     "large_degrees": large(V.copart, large_graphs.degrees),
     "large_within": large(V.basket, lambda n, e: large_graphs.within(n, e, 2).select("graph_id", "centre", "node_id", F.col("hops").cast("long").alias("hops"))),
     "large_paths": large(V.basket, lambda n, e: large_graphs.geodesics(n, e, 1, 3).select("graph_id", members("members").alias("members"))),
+    "large_cliques": large(V.copart, lambda n, e: large_members(large_graphs.cliques(n, e, 1, 4))),
+    "large_graphlets": large(V.copart, lambda n, e: large_members(large_graphs.graphlets(n, e, 1, 1, 3))),
+    "large_betweenness": large(V.dialog, lambda n, e: large_graphs.betweenness(n, e, directed=True)),
+    "large_tree": large(V.basket, large_trees),
+    "large_cycles": large(V.copart, large_cycles),
     "merge": q(V.basket, F2(O.edge(), O.merge()), N_NODES, N_EDGES),
     "merge_edges": q(V.basket, F2(O.edge(), O.merge(use_edges=True)), N_NODES, N_EDGES),
     "deduplicate": q(V.basket, F2(NB1, O.deduplicate(), dedup=False)),
@@ -465,6 +484,8 @@ ORACLE |= {
     "hash_dedup": _sql(SESSION, "shape AS (SELECT v.g, list_sort(list(n)) AS ns, (SELECT list_sort(list(s || '>' || d)) FROM be WHERE be.g = v.g) AS es FROM bn v GROUP BY v.g)", select="SELECT max(g) AS graph_id FROM shape GROUP BY ns, es"),
     "large_components": ORACLE["connected_component"], "large_paths": ORACLE["path"], "global_edges": ORACLE["merge"],
 }
+ORACLE |= {"large_cliques": ORACLE["clique"], "large_graphlets": ORACLE["graphlet"], "large_tree": ORACLE["tree"], "large_cycles": ORACLE["cycle_count"]}
+ORACLE["large_betweenness"] = _sql(DIALOG, ISLANDS, select="SELECT g AS graph_id, n AS node_id, (i * (c - 1 - i))::DOUBLE AS score FROM pos")
 ORACLE["split"] = _sql(COPART, select="SELECT g AS graph_id, count(*) AS covered, 1::BIGINT AS components FROM bn GROUP BY g")
 ORACLE["low_cut_partition"] = ORACLE["split"]
 ORACLE["random_part"] = _sql(COPART, select="SELECT DISTINCT g AS graph_id, 1::BIGINT AS n, 1::BIGINT AS components, 0::BIGINT AS foreign FROM bn").replace("AS foreign", 'AS "foreign"')
