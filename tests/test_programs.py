@@ -1,8 +1,11 @@
 """Programs as text, and the registry."""
 
+import random
+
 import pytest
 
 from graphloom import operators as O
+from graphloom.model import from_tables
 from graphloom.plans.programs import explain_program, from_xml, load, register_callable, save, simplified, to_xml
 
 
@@ -31,7 +34,26 @@ def test_unknown_names_are_errors():
 
 def test_simplified():
     op = O.forward_compose(O.identity(), O.node(), O.deduplicate(), O.deduplicate(), O.filter_by_number_of_nodes((1, 5)), O.filter_by_number_of_nodes((2, 9)))
-    assert simplified(op) == O.forward_compose(O.node(), O.deduplicate(), O.filter_by_number_of_nodes((2, 5)))
+    assert simplified(op) == O.forward_compose(O.deduplicate(), O.node(), O.filter_by_number_of_nodes((2, 5)))
+    assert simplified(O.compose(O.identity(), O.node(), O.identity())) == O.compose(O.node(), O.deduplicate())
+    plain = O.forward_compose(O.identity(), O.node(), O.deduplicate(), O.deduplicate(), dedup=False)
+    assert simplified(plain) == O.forward_compose(O.node(), O.deduplicate(), dedup=False)
+    assert simplified(O.compose(O.identity(), O.identity(), dedup=False)) == O.compose(O.identity(), dedup=False)
+
+
+def test_simplified_on_repeated_subgraphs(spark):
+    """Random programs of stages, on subgraphs that stand twice: the same result with and without simplification."""
+    n = spark.createDataFrame([(1, i, "x") for i in range(5)], "graph_id long, node_id long, label string")
+    e = spark.createDataFrame([(1, i, (i + 1) % 5, "-") for i in range(5)], "graph_id long, src long, dst long, label string")
+    ag = from_tables(n, e, False)
+    ag = O.add(O.edge(), O.edge(), O.node())(ag)
+    stages = [O.identity(), O.identity(), O.deduplicate(), O.filter_by_number_of_nodes((1, 2)), O.filter_by_number_of_nodes((2, 9)), O.filter_by_sampling(2, 1), O.node()]
+    rng = random.Random(6)
+    for _ in range(14):
+        make = rng.choice([O.compose, O.forward_compose])
+        op = make(*rng.choices(stages, k=rng.randint(1, 5)), dedup=rng.random() < 0.6)
+        found = [sorted(tuple(r.nodes) for r in x(ag).sg.select("nodes").collect()) for x in (op, simplified(op))]
+        assert found[0] == found[1], op
 
 
 def test_catalog(spark):
