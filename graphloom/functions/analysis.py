@@ -16,6 +16,11 @@ def label_counts(ag: AGFrame, edges: bool = False, top: int | None = None) -> Da
     return out if top is None else out.orderBy(F.desc("n"), "label").limit(top)
 
 
+def size_counts(ag: AGFrame, edges: bool = False) -> DataFrame:
+    """size, n: how many base graphs have so many nodes (or edges)."""
+    return ag.base.groupBy(F.size("edges" if edges else "nodes").cast("long").alias("size")).agg(F.count("*").alias("n"))
+
+
 def pareto_front(df: DataFrame, group: str, x: str, y: str, shells: int = 1, tolerance: float | None = None) -> DataFrame:
     """Rows with ``shell``: 1 for those that no other of the group beats in x (high) and y (low) at once, 2 once they are gone, and so on.
 
@@ -45,6 +50,8 @@ def method_table(df: DataFrame, dataset: str, method: str, value: str, order: st
 
 #: Rows of a block of all rows, and of the queries that go past it.
 ROWS, QUERIES = 16_384, 1_024
+#: Rows of a group that one block holds.
+BLOCK = 4_096
 
 
 def knn_vote(df: DataFrame, queries: DataFrame, id_col: str, vector_col: str, label_col: str, k: int = 5) -> DataFrame:
@@ -85,17 +92,49 @@ def knn_vote(df: DataFrame, queries: DataFrame, id_col: str, vector_col: str, la
     return votes.groupBy("q").agg(F.max_by("label", F.struct("n", -F.col("label"))).alias("vote")).withColumnRenamed("q", id_col)
 
 
-def medoids(df: DataFrame, id_col: str, vector_col: str, score_col: str, clusters: int = 4, seed: int = 0) -> DataFrame:
-    """Rows of each cluster that no other beats in score (high) and distance from the cluster's centre (low)."""
-    from pyspark.ml.clustering import BisectingKMeans
-    from pyspark.ml.functions import array_to_vector, vector_to_array
+def mean_distances(df: DataFrame, id_col: str, vector_col: str, group_col: str) -> DataFrame:
+    """id and distance: each row's mean Euclidean distance to the other rows of its group, 0 for one alone.
 
-    rows = df.withColumn("_v", array_to_vector(F.col(vector_col).cast("array<double>")))
-    model = BisectingKMeans(k=clusters, seed=seed, featuresCol="_v", predictionCol="cluster").fit(rows)
-    placed = model.transform(rows).withColumn("_a", vector_to_array("_v"))
-    centres = df.sparkSession.createDataFrame([(i, [float(x) for x in c]) for i, c in enumerate(model.clusterCenters())], "cluster int, centre array<double>")
-    far = F.sqrt(F.aggregate(F.zip_with("_a", "centre", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda a, x: a + x))
-    return pareto_front(placed.join(F.broadcast(centres), "cluster").withColumn("distance", far).drop("_v", "_a", "centre"), "cluster", score_col, "distance")
+    A group's rows are dealt to blocks that meet in pairs; of each pair only one sum a row travels on.
+    """
+    vector = F.col(vector_col).cast("array<double>")
+    blocks = df.groupBy(group_col).agg(F.count("*").alias("size")).withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
+    rows = df.select(F.col(id_col).alias("id"), vector.alias("v"), F.col(group_col).alias("group")).join(blocks.withColumnRenamed(group_col, "group"), "group")
+    own, every = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    left = rows.withColumn("i", own).withColumn("j", every).select("group", "i", "j", "id", "v", "size")
+    right = rows.withColumn("j", own).withColumn("i", every).select(F.col("group").alias("group_"), F.col("i").alias("i_"), F.col("j").alias("j_"), F.col("v").alias("w"))
+    kind = dict(df.dtypes)[id_col]
+
+    def run(a, b):
+        import numpy as np
+        import pyarrow as pa
+
+        matrix = lambda t, c: np.array(t.column(c).to_pylist(), dtype=float)
+        sums = np.zeros(a.num_rows)
+        if a.num_rows and b.num_rows:
+            x, y = matrix(a, "v"), matrix(b, "w")
+            for k in range(len(x)):
+                sums[k] = np.sqrt(((y - x[k]) ** 2).sum(axis=1)).sum()
+        return pa.table({"id": a.column("id"), "size": a.column("size"), "far": pa.array(sums)})
+
+    far = left.groupBy("group", "i", "j").cogroup(right.groupBy("group_", "i_", "j_")).applyInArrow(run, f"id {kind}, size long, far double")
+    return far.groupBy("id").agg((F.sum("far") / F.greatest(F.max("size") - 1, F.lit(1))).alias("distance")).withColumnRenamed("id", id_col)
+
+
+def medoids(df: DataFrame, id_col: str, vector_col: str, score_col: str, clusters: int = 4, seed: int = 0, cluster_col: str | None = None) -> DataFrame:
+    """Rows of each cluster that no other beats in score (high) and mean distance to the cluster's other rows (low).
+
+    Clusters are those in ``cluster_col``, or found here (bisecting k-means).
+    """
+    placed = df
+    if cluster_col is None:
+        from pyspark.ml.clustering import BisectingKMeans
+        from pyspark.ml.functions import array_to_vector
+
+        cluster_col = "cluster"
+        rows = df.withColumn("_v", array_to_vector(F.col(vector_col).cast("array<double>")))
+        placed = BisectingKMeans(k=clusters, seed=seed, featuresCol="_v", predictionCol=cluster_col).fit(rows).transform(rows).drop("_v")
+    return pareto_front(placed.join(mean_distances(placed, id_col, vector_col, cluster_col), id_col), cluster_col, score_col, "distance")
 
 
 def plane(df: DataFrame, id_col: str, vector_col: str) -> DataFrame:

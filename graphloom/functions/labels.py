@@ -8,7 +8,7 @@ from __future__ import annotations
 
 
 from pyspark.ml import Transformer
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
@@ -150,9 +150,12 @@ def feature_subgraphs(ag: AGFrame, nbits: int = 10) -> DataFrame:
 
 
 def by_label(ag: AGFrame, unique: bool = False) -> DataFrame:
-    """label and the list of its subgraphs' node sets."""
-    collect = F.collect_set if unique else F.collect_list
-    return ag.sg.groupBy("label").agg(F.sort_array(collect(F.struct("graph_id", "nodes"))).alias("mapped"), F.count("*").alias("n"))
+    """label, graph_id, rank, nodes: a row for each subgraph; ``rank`` counts a label's subgraphs of one graph from 1. ``unique``: each node set once."""
+    rows = ag.sg.select("label", "graph_id", "ord", "nodes", "edges")
+    if unique:
+        rows = rows.groupBy("label", "graph_id", "nodes").agg(F.min("ord").alias("ord"), F.min("edges").alias("edges"))
+    order = Window.partitionBy("label", "graph_id").orderBy("ord", F.size("nodes"), "nodes", "edges")
+    return rows.withColumn("rank", F.row_number().over(order)).select("label", "graph_id", "rank", "nodes")
 
 
 class GraphHashDeduper:
@@ -211,6 +214,19 @@ def inverse_mappings(ag: AGFrame) -> DataFrame:
     return sg.select("graph_id", "sg_id", F.explode("nodes").alias("node_id")).groupBy("graph_id", "node_id").agg(F.sort_array(F.collect_list("sg_id")).alias("sg_ids"))
 
 
+def inverse_links(ag: AGFrame) -> DataFrame:
+    """graph_id, node_id, u, v: for every base node the links among the subgraphs that hold it, by the links' own ids.
+
+    With :func:`inverse_mappings` this is the part of the interpretation graph that stands over each base node. A link's common nodes
+    are looked up from its two ends, so nothing is gathered at a node.
+    """
+    if ag.links is None:
+        raise ValueError("subgraphs have to be linked first")
+    side = lambda c: ag.sg.select("graph_id", F.col("sg_id").alias(c), F.col("nodes").alias(f"{c}_nodes"))
+    both = ag.links.select("graph_id", "u", "v").join(side("u"), ["graph_id", "u"]).join(side("v"), ["graph_id", "v"])
+    return both.select("graph_id", F.explode(F.array_intersect("u_nodes", "v_nodes")).alias("node_id"), "u", "v")
+
+
 #: Names of the label modes.
 LABEL_MODES = {"graph_hash": graph_hash, "graph_structure_hash": graph_structure_hash, "source_function_hash": source_function_hash, "source_chain_hash": source_chain_hash, "operator_hash": name_hash}
 

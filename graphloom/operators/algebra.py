@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
+from .. import large
 from ..functions import kernels as K
 from ..large import met
 from ..model import EDGE_SET, SG_COLUMNS, AGFrame, cut, edge_induced, induced, meta_of, null_of, pairs, renumbered, set_key
@@ -282,17 +283,62 @@ def binary_intersection(a: AGFrame, b: AGFrame, first_second_node_size=None, mus
     return _intersections(a, _shared(left, right, False), n.select("graph_id", (F.col("x") * F.col("y")).alias("pairs")), first_second_node_size, must_be_connected, "binary_intersection")
 
 
+def _tables(ag: AGFrame) -> tuple[DataFrame, DataFrame]:
+    nodes = ag.base.select("graph_id", F.explode("nodes").alias("x")).select("graph_id", F.col("x.id").alias("node_id"))
+    edges = ag.base.select("graph_id", F.explode("edges").alias("x")).select("graph_id", "x.src", "x.dst")
+    return cut(nodes), cut(edges)
+
+
+def _close(ag: AGFrame, left: DataFrame, right: DataFrame, low: int, high: int) -> DataFrame:
+    """graph_id, u, v: the sets (graph_id, u or v, nodes) whose least base distance is in range and which lie in one component. Undirected.
+
+    Nodes near any of a left set's are found first, each once a set; right sets are met at them.
+    """
+    nodes, edges = _tables(ag)
+    part = cut(large.components(nodes, edges))
+    each = lambda side, c: side.select("graph_id", c, F.explode("nodes").alias("node_id"))
+
+    def whole(side: DataFrame, c: str) -> DataFrame:
+        found = each(side, c).join(part, ["graph_id", "node_id"], "left").groupBy("graph_id", c)
+        only = found.agg(F.min("component").alias(f"{c}_part"), F.max("component").alias("most"), F.count("*").alias("n"), F.count("component").alias("known"))
+        return only.filter((F.col(f"{c}_part") == F.col("most")) & (F.col("n") == F.col("known"))).select("graph_id", c, f"{c}_part")
+
+    near = large.within(nodes, edges, high).select("graph_id", F.col("centre").alias("node_id"), F.col("node_id").alias("m"), "hops")
+    reached = met(each(left, "u"), cut(near), ["graph_id", "node_id"]).groupBy("graph_id", "u", F.col("m").alias("node_id")).agg(F.min("hops").alias("hops"))
+    least = met(cut(reached), each(right, "v"), ["graph_id", "node_id"]).groupBy("graph_id", "u", "v").agg(F.min("hops").alias("hops")).filter(F.col("hops") >= low)
+    return least.join(whole(left, "u"), ["graph_id", "u"]).join(whole(right, "v"), ["graph_id", "v"]).filter("u_part = v_part").select("graph_id", "u", "v")
+
+
 @operator("combination", "weak", number_of_elements=(2, 2), distance=(0, 1))
 def combination(ag: AGFrame, number_of_elements=(2, 2), distance=(0, 1)) -> AGFrame:
-    """Unions of every choice of subgraphs, so many, each pair of which is at a base distance in range."""
+    """Unions of every choice of subgraphs, so many, each pair of which is at a base distance in range.
+
+    Of undirected graphs the pairs in range are a graph over the subgraphs, whose cliques are the choices; of digraphs,
+    where distances have a direction, a graph's subgraphs are combined in one row.
+    """
     count, far = span(number_of_elements), span(distance)
-    return global_nodes(ag, lambda sets, g: K.combinations_within(g, sets, count, far), "combination", {"number_of_elements": number_of_elements, "distance": distance}, streams=True)
+    params = {"number_of_elements": number_of_elements, "distance": distance}
+    if ag.directed:
+        return global_nodes(ag, lambda sets, g: K.combinations_within(g, sets, count, far), "combination", params, streams=True)
+    sg = cut(renumbered(ag.sg))
+    sets = sg.select("graph_id", F.col("sg_id").alias("u"), "nodes")
+    close = _close(ag, sets, sets.withColumnRenamed("u", "v"), *far).filter("u < v")
+    chosen = large.cliques(sets.select("graph_id", F.col("u").alias("node_id")), cut(close.select("graph_id", F.col("u").alias("src"), F.col("v").alias("dst"))), *count)
+    of = chosen.select("graph_id", "members", F.explode("members").alias("u")).join(sets, ["graph_id", "u"])
+    rows = of.groupBy("graph_id", "members").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("nodes")))).alias("nodes"))
+    return induced(ag, rows.withColumn("meta", meta_of("combination", params, ag.chain, False)).select("graph_id", "nodes", "meta"))
 
 
 @operator("binary_combination", "weak", "binary", first_second_distance=(0, 1))
 def binary_combination(a: AGFrame, b: AGFrame, first_second_distance=(0, 1)) -> AGFrame:
-    """Unions of one subgraph of each side whose base distance is in range."""
+    """Unions of one subgraph of each side whose base distance is in range; by joins if the graphs are undirected."""
     low, high = span(first_second_distance)
+    params = {"first_second_distance": first_second_distance}
+    if not a.directed:
+        left, right = (cut(renumbered(x.sg)).select("graph_id", F.col("sg_id").alias(c), "nodes") for x, c in ((a, "u"), (b, "v")))
+        pairs_ = cut(_close(a, left, right, low, high)).join(left.withColumnRenamed("nodes", "x"), ["graph_id", "u"]).join(right.withColumnRenamed("nodes", "y"), ["graph_id", "v"])
+        rows = pairs_.select("graph_id", F.array_sort(F.array_union("x", "y")).alias("nodes"))
+        return induced(a, rows.withColumn("meta", meta_of("binary_combination", params, a.chain, False)))
     marked = a.sg.withColumn("ord", F.lit(0).cast("long")).unionByName(b.sg.withColumn("ord", F.lit(1).cast("long")))
     sides = marked.withColumn("nodes", F.concat(F.array("ord"), F.col("nodes")))  # each list begins with its side
 
@@ -300,7 +346,7 @@ def binary_combination(a: AGFrame, b: AGFrame, first_second_distance=(0, 1)) ->
         left, right = ([s[1:] for s in sets if s[0] == k] for k in (0, 1))
         return [sorted({*x, *right[j]}) for x, near in zip(left, K.close_sets(g, low, high, left, right), strict=True) for j in sorted(near)]
 
-    return global_nodes(replace(a, sg=sides), run, "binary_combination", {"first_second_distance": first_second_distance})
+    return global_nodes(replace(a, sg=sides), run, "binary_combination", params)
 
 
 @operator("intersection_edges", "preserve", size_threshold=1, accept_connection_by_edge=False)

@@ -116,7 +116,25 @@ def held_by(view, program):
 
 def grouped_labels(spark, sf_dir):
     ag = L.source_function_hash(O.add(O.node(), O.edge())(V.dialog(spark, sf_dir)), 14)
-    return L.by_label(ag).select("label", "n", F.size("mapped").cast("long").alias("listed"))
+    each = L.by_label(ag).groupBy("label", "graph_id").agg(F.count("*").alias("n"), F.max("rank").cast("long").alias("listed"))
+    return each.groupBy("label").agg(F.sum("n").alias("n"), F.sum("listed").alias("listed"))
+
+
+def interpretation_links(view, program):
+    """Over each base node, the links among the subgraphs that hold it, by these subgraphs' members."""
+
+    def run(spark, sf_dir):
+        ag = program(view(spark, sf_dir))
+        side = lambda c: ag.sg.select("graph_id", F.col("sg_id").alias(c), members("nodes").alias(f"{c}_members"))
+        return L.inverse_links(ag).join(side("u"), ["graph_id", "u"]).join(side("v"), ["graph_id", "v"]).select("graph_id", "node_id", "u_members", "v_members")
+
+    return run
+
+
+def medoids(spark, sf_dir):
+    """Fronts of the classes in ``embeddings``: a score of the id's last digit against the mean distance within the class."""
+    e = spark.read.parquet(f"{sf_dir}/embeddings.parquet").filter(F.col("embedding").isNotNull()).withColumn("score", F.col("vec_id") % 10)
+    return A.medoids(e, "vec_id", "embedding", "score", cluster_col="label").select("vec_id", F.col("label").cast("long").alias("label"), F.round("distance", 6).alias("distance"))
 
 
 def large(view, work):
@@ -295,6 +313,11 @@ QUERIES = {
     "intersection_connected": q(V.copart, F2(O.clique((3, 3)), O.intersection())),
     "intersection_edges": links(V.basket, F2(O.edge(), O.intersection_edges())),
     "intersection_edges_adjacent": links(V.basket, F2(O.node(), O.intersection_edges(accept_connection_by_edge=True)), True),
+    "combination_undirected": q(V.copart, F2(O.node(), O.combination((2, 3), (1, 2)))),
+    "binary_combination_sets": q(V.copart, F2(O.compose_product(O.binary_combination((0, 1)), O.clique((3, 3)), NB1))),
+    "inverse_links": interpretation_links(V.copart, F2(O.edge(), O.intersection_edges())),
+    "medoids": medoids,
+    "size_counts": lambda spark, sf_dir: A.size_counts(V.copart(spark, sf_dir)),
     "combination": q(V.session, F2(O.node(), O.combination((2, 2), (2, 2)))),
     "binary_combination": q(V.dialog, F2(O.compose_product(O.binary_combination((0, 0)), O.node(), O.edge()))),
     "binary_intersection": q(V.basket, F2(O.compose_product(O.binary_intersection(must_be_connected=False, first_second_node_size=(1, 100)), O.edge(), NB1))),
@@ -484,6 +507,19 @@ ORACLE |= {
     "hash_dedup": _sql(SESSION, "shape AS (SELECT v.g, list_sort(list(n)) AS ns, (SELECT list_sort(list(s || '>' || d)) FROM be WHERE be.g = v.g) AS es FROM bn v GROUP BY v.g)", select="SELECT max(g) AS graph_id FROM shape GROUP BY ns, es"),
     "large_components": ORACLE["connected_component"], "large_paths": ORACLE["path"], "global_edges": ORACLE["merge"],
 }
+CLOSE = "near AS (SELECT g, s AS a, d AS b FROM be UNION SELECT x.g, x.a, y.b FROM adj x JOIN adj y ON x.g = y.g AND x.b = y.a WHERE x.a < y.b)"
+ORACLE |= {
+    "combination_undirected": _sql(COPART, ADJ, CLOSE, select=f"""SELECT DISTINCT graph_id, members FROM (SELECT g AS graph_id, a || ',' || b AS members FROM near
+      UNION ALL SELECT x.g, x.a || ',' || x.b || ',' || y.b FROM near x JOIN near y ON x.g = y.g AND x.b = y.a JOIN near z ON z.g = x.g AND z.a = x.a AND z.b = y.b)"""),
+    "binary_combination_sets": _sql(COPART, ADJ, BALL1, NB, CLIQUE, "tri AS (SELECT g, [a, b, c] AS t FROM k3)", "wide AS (SELECT nb.g, nb.m, list_distinct(list(b.n)) AS w FROM nb JOIN ball b ON nb.g = b.g AND list_contains(nb.m, b.c) GROUP BY nb.g, nb.m)",
+        select=f"SELECT DISTINCT tri.g AS graph_id, {TEXT.format('list_sort(list_distinct(list_concat(t, m)))')} AS members FROM tri JOIN wide ON tri.g = wide.g AND list_has_any(t, w)"),
+    "inverse_links": _sql(COPART, select=f"""SELECT x.g AS graph_id, n AS node_id, x.s || ',' || x.d AS u_members, y.s || ',' || y.d AS v_members FROM be x JOIN be y ON x.g = y.g AND (x.s < y.s OR (x.s = y.s AND x.d < y.d))
+      JOIN bn ON bn.g = x.g AND n IN (x.s, x.d) AND n IN (y.s, y.d)"""),
+    "size_counts": _sql(COPART, select="SELECT size, count(*) AS n FROM (SELECT g, count(*) AS size FROM bn GROUP BY g) GROUP BY size"),
+    "medoids": """WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v, label::BIGINT AS label, vec_id % 10 AS score FROM embeddings WHERE embedding IS NOT NULL),
+      d AS (SELECT x.vec_id, x.label, x.score, sum(list_distance(x.v, y.v)) / greatest(count(*) - 1, 1) AS distance FROM e x JOIN e y ON x.label = y.label GROUP BY x.vec_id, x.label, x.score)
+      SELECT vec_id, label, round(distance, 6) AS distance FROM d x WHERE NOT EXISTS (SELECT 1 FROM d y WHERE y.label = x.label AND ((y.score > x.score AND y.distance <= x.distance) OR (y.score = x.score AND y.distance < x.distance)))""",
+}
 ORACLE |= {"large_cliques": ORACLE["clique"], "large_graphlets": ORACLE["graphlet"], "large_tree": ORACLE["tree"], "large_cycles": ORACLE["cycle_count"]}
 ORACLE["large_betweenness"] = _sql(DIALOG, ISLANDS, select="SELECT g AS graph_id, n AS node_id, (i * (c - 1 - i))::DOUBLE AS score FROM pos")
 ORACLE["split"] = _sql(COPART, select="SELECT g AS graph_id, count(*) AS covered, 1::BIGINT AS components FROM bn GROUP BY g")
