@@ -9,6 +9,7 @@ import hashlib
 import random
 from collections import Counter, defaultdict, deque
 from collections.abc import Callable, Iterable, Iterator
+from heapq import heapify, heappop, heappush
 from itertools import combinations
 
 class Graph:
@@ -52,12 +53,11 @@ def components(g: Graph) -> list[list[int]]:
     return out
 
 
-def neighborhood(g: Graph, low: int, high: int) -> list[list[int]]:
-    out = []
+def neighborhood(g: Graph, low: int, high: int) -> Iterator[list[int]]:
     for n in g.nodes:
         far = distances(g.out, n, high)
-        out += [sorted(v for v, d in far.items() if d <= r) for r in range(low, high + 1)]
-    return out
+        for r in range(low, high + 1):
+            yield sorted(v for v, d in far.items() if d <= r)
 
 
 def of_degree(g: Graph, low: int, high: int) -> list[list[int]]:
@@ -357,16 +357,14 @@ def hop_windows(g: Graph, hops: int) -> list[list[int]]:
     return out
 
 
-def shortest_path_unions(g: Graph, low: int, high: int) -> list[list[int]]:
+def shortest_path_unions(g: Graph, low: int, high: int) -> Iterator[list[int]]:
     far = {n: distances(g.out, n, high) for n in g.nodes}
-    out = []
     for u, v in combinations(g.nodes, 2):
         d = far[u].get(v)
         if d is not None and low <= d <= high:
             part = sorted(w for w, x in far[u].items() if w in far[v] and x + far[v][w] == d)
             if len(part) > 1:
-                out.append(part)
-    return out
+                yield part
 
 
 def random_parts(g: Graph, samples: int, seed: int) -> list[list[int]]:
@@ -379,19 +377,59 @@ def random_parts(g: Graph, samples: int, seed: int) -> list[list[int]]:
     return out
 
 
+def _improved(g: Graph, a: set[int]) -> tuple[int, set[int]]:
+    """(edges cut, half): moves between two halves until a whole pass brings nothing (Fiduccia and Mattheyses).
+
+    In a pass every node moves once: always the one of the best gain, from the larger half, or from either if they are
+    equal. Gains may be negative on the way; the pass is rolled back to the best of its balanced states.
+    """
+    near = {n: [m for m in g.near[n] if m != n] for n in g.nodes}
+    odd = len(g.nodes) % 2
+    cut = sum(1 for n in a for m in near[n] if m not in a)
+    while True:
+        side = {n: n in a for n in g.nodes}
+        gain = {n: sum(1 if side[m] != side[n] else -1 for m in near[n]) for n in g.nodes}
+        heaps: dict[bool, list] = {True: [], False: []}
+        for n in g.nodes:
+            heaps[side[n]].append((-gain[n], n))
+        for h in heaps.values():
+            heapify(h)
+        free, size, now, moved = set(g.nodes), len(a), cut, []
+        best, kept = cut, 0
+        while free:
+            for h in heaps.values():  # entries of moved nodes and of older gains
+                while h and (h[0][1] not in free or -h[0][0] != gain[h[0][1]]):
+                    heappop(h)
+            sides = [s for s, many in ((True, size), (False, len(g.nodes) - size)) if heaps[s] and 2 * many >= len(g.nodes) - odd]
+            if not sides:
+                break
+            s = min(sides, key=lambda x: heaps[x][0])
+            n = heappop(heaps[s])[1]
+            free.discard(n)
+            moved.append(n)
+            now -= gain[n]
+            size += -1 if s else 1
+            side[n] = not s
+            for m in near[n]:
+                if m in free:
+                    gain[m] += 2 if side[m] == s else -2
+                    heappush(heaps[side[m]], (-gain[m], m))
+            if abs(2 * size - len(g.nodes)) <= odd and now < best:
+                best, kept = now, len(moved)
+        if not kept:
+            return cut, a
+        a, cut = a.symmetric_difference(moved[:kept]), best
+
+
 def bisections(g: Graph, seed: int, trials: int = 1) -> Iterator[tuple[int, set[int], set[int]]]:
-    """(edges cut, half, half) of some seeded starts, each improved by pairwise swaps."""
+    """(edges cut, half, half) of some seeded starts, each improved by moves; one start in two grows from a node."""
+    half = len(g.nodes) // 2
     for trial in range(trials):
         order = sorted(g.nodes, key=lambda n: (_draw(seed + trial, str(n)), n))
-        a = set(order[: len(order) // 2])
-        for _ in range(10):
-            gain = {n: sum(1 if (m in a) != (n in a) else -1 for m in g.near[n] if m != n) for n in g.nodes}
-            swaps = ((gain[x] + gain[y] - 2 * (y in g.near[x]), -x, -y) for x in a for y in g.nodes if y not in a)
-            top = max(swaps, default=(0, 0, 0))
-            if top[0] <= 0:
-                break
-            a = (a - {-top[1]}) | {-top[2]}
-        yield sum((u in a) != (v in a) for u, v in g.edges), a, set(g.nodes) - a
+        far = distances(g.near, order[0]) if order else {}
+        grown = sorted(g.nodes, key=lambda n: far.get(n, len(far)))
+        cut, a = min((_improved(g, set(x[:half])) for x in (order, grown)), key=lambda x: x[0])
+        yield cut, a, set(g.nodes) - a
 
 
 def bisect(g: Graph, seed: int, trials: int = 1) -> tuple[set[int], set[int]]:

@@ -26,7 +26,7 @@ def string_hash(text: Column, nbits: int) -> Column:
     return F.pmod(low, F.lit((1 << nbits) - 2)) + F.lit(2)
 
 
-def certificate(nodes: str, edges: str, directed: Column) -> Column:
+def certificate(nodes: str | Column, edges: str | Column, directed: Column) -> Column:
     """A labelled graph's certificate; equal inputs of a batch are worked out once."""
 
     @arrow_udf("string")
@@ -167,11 +167,15 @@ class GraphHashDeduper:
     def __init__(self, nbits: int = 31, payload: str | None = None):
         self.nbits, self.payload, self.index = nbits, payload, None
 
+    def code(self, ag: AGFrame) -> Column:
+        """The hash of the graph in a row of ``base``."""
+        label = lambda x: label_at(x["labels"], F.lit(ag.version)).alias("label")
+        nodes = F.transform("nodes", lambda x: F.struct(x["id"].alias("id"), label(x)))
+        edges = F.transform("edges", lambda x: F.struct(x["src"].alias("src"), x["dst"].alias("dst"), label(x)))
+        return string_hash(certificate(nodes, edges, F.lit(ag.directed)), self.nbits)
+
     def hashed(self, ag: AGFrame) -> DataFrame:
-        rows = ag.base.withColumn("node_labels", F.transform("nodes", lambda x: F.struct(x["id"].alias("id"), label_at(x["labels"], F.lit(ag.version)).alias("label"))))
-        rows = rows.withColumn("edge_labels", F.transform("edges", lambda x: F.struct(x["src"].alias("src"), x["dst"].alias("dst"), label_at(x["labels"], F.lit(ag.version)).alias("label"))))
-        code = string_hash(certificate("node_labels", "edge_labels", F.lit(ag.directed)), self.nbits)
-        return rows.select("graph_id", code.alias("hash"), *([self.payload] if self.payload else []))
+        return ag.base.select("graph_id", self.code(ag).alias("hash"), *([self.payload] if self.payload else []))
 
     def _last(self, rows: DataFrame) -> DataFrame:
         rest = [c for c in rows.columns if c != "hash"]

@@ -38,7 +38,8 @@ def null_of(kind: str) -> Column:
 class AGFrame:
     """A collection of graphs of one directedness with their subgraphs and the links among these.
 
-    ``induced``: all subgraphs have every base edge between their nodes; ``untouched``: they are the whole graphs.
+    ``induced``: all subgraphs have every base edge between their nodes; ``untouched``: they are the whole graphs; ``distinct``: no
+    graph has two subgraphs of the same nodes, so that deduplication may be left out.
     """
 
     base: DataFrame
@@ -51,10 +52,11 @@ class AGFrame:
     parents: tuple[DataFrame, ...] = ()
     induced: bool = False
     untouched: bool = False
+    distinct: bool = False
 
     def with_sg(self, sg: DataFrame, links: DataFrame | None = None, induced: bool | None = None) -> AGFrame:
         """The same base with other subgraphs, whose parents may be the present ones."""
-        return replace(self, sg=sg.select(*SG_COLUMNS), links=links, parents=(*self.parents, self.sg), induced=self.induced if induced is None else induced, untouched=False)
+        return replace(self, sg=sg.select(*SG_COLUMNS), links=links, parents=(*self.parents, self.sg), induced=self.induced if induced is None else induced, untouched=False, distinct=False)
 
     @property
     def spark(self):
@@ -73,7 +75,7 @@ class AGFrame:
         sg = self.sg.unionByName(other.sg.withColumns({"ord": F.col("ord") + F.lit(1 << 20), "version": F.col("version") + F.lit(shift)}))
         return replace(
             self, base=base, sg=renumbered(sg), links=None, version=max(self.version, other.version + shift),
-            parents=tuple(dict.fromkeys((*self.parents, *other.parents))), induced=self.induced and other.induced, untouched=False,
+            parents=tuple(dict.fromkeys((*self.parents, *other.parents))), induced=self.induced and other.induced, untouched=False, distinct=False,
         )
 
 
@@ -137,9 +139,28 @@ def shared_folder(spark) -> str:
     return found.rstrip("/")
 
 
+#: Tables that this process has written to the shared folder, until they are cleared.
+WRITTEN: list[str] = []
+
+
+def new_table(spark, name: str) -> str:
+    """A path of its own in the shared folder."""
+    WRITTEN.append(f"{shared_folder(spark)}/graphloom/{name}-{uuid.uuid4().hex}")
+    return WRITTEN[-1]
+
+
+def clear_tables(spark) -> int:
+    """Delete all tables that were written on the way, once no result that reads them is needed any more; how many there were."""
+    jvm, count = spark._jvm, len(WRITTEN)
+    while WRITTEN:
+        path = jvm.org.apache.hadoop.fs.Path(WRITTEN.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return count
+
+
 def cut(df: DataFrame) -> DataFrame:
     """``df`` with its lineage cut: written to the shared folder and read again."""
-    path = f"{shared_folder(df.sparkSession)}/graphloom/cut-{uuid.uuid4().hex}"
+    path = new_table(df.sparkSession, "cut")
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -150,7 +171,7 @@ def whole(base: DataFrame, directed: bool) -> AGFrame:
         "graph_id", F.lit(0).cast("long").alias("sg_id"), F.transform("nodes", lambda x: x["id"]).alias("nodes"), pairs(F.col("edges")).alias("edges"),
         F.lit(0).alias("version"), null_of("long").alias("label"), null_of("array<double>").alias("attribute"), F.lit(0).cast("long").alias("ord"), no_meta().alias("meta"),
     )
-    return AGFrame(base, sg, directed, induced=True, untouched=True)
+    return AGFrame(base, sg, directed, induced=True, untouched=True, distinct=True)
 
 
 def pairs(edges: Column) -> Column:

@@ -40,12 +40,14 @@ def _first_of(sg: DataFrame) -> DataFrame:
 @operator("deduplicate", "preserve")
 def deduplicate(ag: AGFrame) -> AGFrame:
     """The first subgraph of each node set, with its meta; links among those that stay are kept."""
+    if ag.distinct:
+        return ag
     kept = _first_of(ag.sg)
     if ag.links is None:
-        return ag.with_sg(kept)
+        return replace(ag.with_sg(kept), distinct=True)
     ids = kept.select("graph_id", F.col("sg_id").alias("id"))
     links = ag.links.join(ids.withColumnRenamed("id", "u"), ["graph_id", "u"], "left_semi").join(ids.withColumnRenamed("id", "v"), ["graph_id", "v"], "left_semi")
-    return ag.with_sg(kept, links)
+    return replace(ag.with_sg(kept, links), distinct=True)
 
 
 def _dedup(ag: AGFrame, dedup: bool) -> AGFrame:
@@ -111,7 +113,7 @@ def _gathered(parts: list[AGFrame], ag: AGFrame) -> AGFrame:
     for p in parts[1:]:
         base, sg = base.unionByName(p.base), sg.unionByName(p.sg)
     parents = tuple(dict.fromkeys(x for p in parts for x in p.parents))
-    return replace(ag, base=base, sg=sg, links=None, version=max(p.version for p in parts), parents=parents, induced=all(p.induced for p in parts), untouched=False)
+    return replace(ag, base=base, sg=sg, links=None, version=max(p.version for p in parts), parents=parents, induced=all(p.induced for p in parts), untouched=False, distinct=all(p.distinct for p in parts))
 
 
 @operator("if_then_elif_else", "agnostic", "control")

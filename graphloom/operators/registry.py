@@ -11,6 +11,11 @@ from typing import Any
 
 from ..model import AGFrame
 
+#: Operators that give every node set once if they are given whole graphs, and those that give some of the node sets they are given.
+ONCE_OF_WHOLE = frozenset(("node", "edge", "connected_component", "degree", "tree", "path", "graphlet", "clique"))
+KEEP_SETS = frozenset((
+    "filter_by_number_of_connected_components", "filter_by_number_of_nodes", "filter_by_number_of_edges", "filter_by_node_label", "filter_by_edge_label", "remove_redundant_mapped_subgraphs",
+))
 #: How an operator deals with direction.
 SUPPORT = ("agnostic", "preserve", "weak", "directed", "undirected_only")
 
@@ -49,9 +54,14 @@ class Op:
 
             frames = tuple(replace(f, chain=to_xml(self)) for f in frames)
             ag = frames[0]
-            out = entry.run(*frames, *([self.children] if entry.kind == "control" else []), **dict(self.params))
-            return replace(out, chain=None)
-        return entry.run(*frames, *([self.children] if entry.kind == "control" else []), **dict(self.params))
+            return replace(self._run(entry, frames), chain=None)
+        return self._run(entry, frames)
+
+    def _run(self, entry: Entry, frames: tuple[AGFrame, ...]) -> AGFrame:
+        out = entry.run(*frames, *([self.children] if entry.kind == "control" else []), **dict(self.params))
+        ag = frames[0]
+        once = (self.name in ONCE_OF_WHOLE and ag.untouched and not (ag.directed and self.name == "edge")) or (self.name in KEEP_SETS and ag.distinct)
+        return replace(out, distinct=True) if once and not out.distinct else out
 
     def annotate(self, **notes: str) -> Op:
         return replace(self, notes=(*self.notes, *notes.items()))

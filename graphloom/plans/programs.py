@@ -88,8 +88,27 @@ def load(path: str) -> Op:
     return from_xml(Path(path).read_text(encoding="utf-8"))
 
 
+#: Operators whose results have a number of nodes that a parameter bounds: the parameter, its default, and how many nodes more it means.
+SIZED = {"clique": ("number_of_nodes", (1, 3), 0), "graphlet": ("number_of_nodes", (1, 3), 0), "path": ("number_of_edges", (1, 3), 1)}
+
+
+def _bounded(op, size_filter: Op) -> Op | None:
+    """The operator made to give only what the filter after it lets through, if its parameters can say so."""
+    if not isinstance(op, Op) or op.name not in SIZED:
+        return None
+    name, default, more = SIZED[op.name]
+    as_pair = lambda x: (x, x) if isinstance(x, int) else tuple(x)
+    own, wanted = as_pair(dict(op.params).get(name, default)), as_pair(dict(size_filter.params).get("number_of_nodes", (1, 10)))
+    low, high = max(own[0], wanted[0] - more), min(own[1], wanted[1] - more)
+    if low > high:
+        return None
+    params = dict(op.params) | {name: (low, high)}
+    return Op(op.name, tuple((k, params[k]) for k in REGISTRY[op.name].defaults if k in params), op.children, op.notes)
+
+
 def simplified(op: Op) -> Op:
-    """The same result with less work: identities, deduplication of what is distinct, and size filters next to each other.
+    """The same node sets with less work: identities, deduplication of what is distinct, size filters next to each other, and
+    those after an operator that can bound the size itself.
 
     A stage of a compose or forward_compose deduplicates what it gives, unless ``dedup`` is off. So an identity that comes first
     there still deduplicates, and becomes just that; later ones do nothing. A compose of one operator stays.
@@ -115,6 +134,10 @@ def simplified(op: Op) -> Op:
                 a, b = ((x, x) if isinstance(x, int) else x for x in (a, b))
                 kept[-1] = Op(name, (("number_of_nodes", (max(a[0], b[0]), min(a[1], b[1]))),))
                 continue
+            bounded = _bounded(kept[-1], c) if name == "filter_by_number_of_nodes" and kept else None
+            if bounded is not None:
+                kept[-1] = bounded
+                continue
             kept.append(c)
         kept = kept or list(stages[:1])
         children = tuple(kept if op.name == "forward_compose" else kept[::-1])

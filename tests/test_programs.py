@@ -41,6 +41,24 @@ def test_simplified():
     assert simplified(O.compose(O.identity(), O.identity(), dedup=False)) == O.compose(O.identity(), dedup=False)
 
 
+def test_size_filters_become_bounds(spark):
+    """A filter after an operator that can bound the size itself goes into its parameters; where nothing would be left it stays."""
+    small = O.filter_by_number_of_nodes((2, 3))
+    assert simplified(O.forward_compose(O.clique((1, 4)), small)) == O.forward_compose(O.clique((2, 3)))
+    assert simplified(O.compose(small, O.graphlet(2, (1, 5)))) == O.compose(O.graphlet(2, (2, 3)))
+    assert simplified(O.forward_compose(O.path((1, 4)), small, O.node())) == O.forward_compose(O.path((1, 2)), O.node())
+    none = O.forward_compose(O.clique((4, 5)), small)
+    assert simplified(none) == none
+    n = spark.createDataFrame([(1, i, "x") for i in range(6)], "graph_id long, node_id long, label string")
+    e = spark.createDataFrame([(1, i, j, "-") for i in range(6) for j in range(i) if (i + j) % 3], "graph_id long, src long, dst long, label string")
+    ag = from_tables(n, e, False)
+    for made in (O.clique((1, 4)), O.graphlet(1, (1, 4)), O.path((1, 3))):
+        for filtered in (small, O.filter_by_number_of_nodes(3), O.filter_by_number_of_nodes((1, 2))):
+            op = O.forward_compose(made, filtered)
+            found = [sorted(tuple(r.nodes) for r in x(ag).sg.select("nodes").collect()) for x in (op, simplified(op))]
+            assert found[0] == found[1] and simplified(op) != op
+
+
 def test_simplified_on_repeated_subgraphs(spark):
     """Random programs of stages, on subgraphs that stand twice: the same result with and without simplification."""
     n = spark.createDataFrame([(1, i, "x") for i in range(5)], "graph_id long, node_id long, label string")
