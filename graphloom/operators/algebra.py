@@ -60,7 +60,12 @@ def _same_base(results: list[AGFrame], ag: AGFrame) -> bool:
 
 @operator("add", "agnostic", "control", dedup=True)
 def add(ag: AGFrame, children, dedup: bool = True) -> AGFrame:
-    """All children's subgraphs of the same input, those of earlier children first; each child's are deduplicated."""
+    """All children's subgraphs of the same input, those of earlier children first; each child's are deduplicated.
+
+    Subgraphs that an operator made are written once, and not worked out again for each child.
+    """
+    if len(children) > 1 and not ag.untouched:
+        ag = replace(ag, sg=cut(ag.sg))
     results = [_dedup(c(ag), dedup) for c in children]
     if _same_base(results, ag):  # one union, one numbering
         sg = None

@@ -14,7 +14,7 @@ from .. import large as large_graphs
 from .. import operators as O
 from ..functions import analysis as A
 from ..functions import labels as L
-from ..model import AGFrame, cut, members
+from ..model import AGFrame, cut, members, whole
 from ..sources import views as V
 
 
@@ -183,7 +183,8 @@ def label_histogram(view, program):
 
 def vectorized(view, program, graphs):
     def run(spark, sf_dir):
-        ag = L.apply(view(spark, sf_dir), program, 14, "source_function_hash")
+        made = view(spark, sf_dir)
+        ag = L.apply(whole(cut(made.base), made.directed), program, 14, "source_function_hash")  # read by subgraphs, attributes and degrees
         return L.vectorize_graphs(ag) if graphs else L.vectorize(ag)
 
     return run
@@ -278,6 +279,7 @@ QUERIES = {
     "cycle_directed": q(V.session, F2(O.cycle())),
     "spine": q(V.dialog, O.spine(0)),
     "union_of_shortest_paths": q(V.basket, F2(O.union_of_shortest_paths((1, 2)))),
+    "union_of_long_shortest_paths": q(V.basket, F2(O.union_of_shortest_paths((1, 3)))),
     "complement": q(V.basket, F2(O.edge(), O.complement()), N_NODES),
     "edge_complement": q(V.basket, F2(O.connected_component(), O.edge_complement(), dedup=False), N_EDGES),
     "local_complement": q(V.basket, F2(O.degree((0, 1)), O.local_complement())),
@@ -520,6 +522,11 @@ ORACLE |= {
       d AS (SELECT x.vec_id, x.label, x.score, sum(list_distance(x.v, y.v)) / greatest(count(*) - 1, 1) AS distance FROM e x JOIN e y ON x.label = y.label GROUP BY x.vec_id, x.label, x.score)
       SELECT vec_id, label, round(distance, 6) AS distance FROM d x WHERE NOT EXISTS (SELECT 1 FROM d y WHERE y.label = x.label AND ((y.score > x.score AND y.distance <= x.distance) OR (y.score = x.score AND y.distance < x.distance)))""",
 }
+P2 = "p2 AS (SELECT x.g, x.a, x.b, y.b AS c FROM adj x JOIN adj y ON x.g = y.g AND x.b = y.a WHERE x.a <> y.b AND NOT EXISTS (SELECT 1 FROM adj z WHERE z.g = x.g AND z.a = x.a AND z.b = y.b))"
+P3 = "far AS (SELECT DISTINCT g, a, c FROM p2), p3 AS (SELECT x.g, x.a, x.b, x.c, y.b AS d FROM p2 x JOIN adj y ON x.g = y.g AND x.c = y.a WHERE y.b <> x.a AND NOT EXISTS (SELECT 1 FROM adj z WHERE z.g = x.g AND z.a = x.a AND z.b = y.b) AND NOT EXISTS (SELECT 1 FROM far f WHERE f.g = x.g AND f.a = x.a AND f.c = y.b))"
+ORACLE["union_of_long_shortest_paths"] = _sql(BASKET, ADJ, P2, P3, select=f"""SELECT DISTINCT graph_id, members FROM (SELECT g AS graph_id, {PAIR} AS members FROM be
+  UNION ALL SELECT g, {TEXT.format('list_sort(list_distinct(list(b) || [a, c]))')} FROM p2 WHERE a < c GROUP BY g, a, c
+  UNION ALL SELECT g, {TEXT.format('list_sort(list_distinct(list(b) || list(c) || [a, d]))')} FROM p3 WHERE a < d GROUP BY g, a, d)""")
 ORACLE |= {"large_cliques": ORACLE["clique"], "large_graphlets": ORACLE["graphlet"], "large_tree": ORACLE["tree"], "large_cycles": ORACLE["cycle_count"]}
 ORACLE["large_betweenness"] = _sql(DIALOG, ISLANDS, select="SELECT g AS graph_id, n AS node_id, (i * (c - 1 - i))::DOUBLE AS score FROM pos")
 ORACLE["split"] = _sql(COPART, select="SELECT g AS graph_id, count(*) AS covered, 1::BIGINT AS components FROM bn GROUP BY g")
