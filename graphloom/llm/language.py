@@ -16,7 +16,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import text_of, text_slices
+from .common import staged, text_of, text_slices
 
 HIDDEN, STRETCH = 8, 96
 #: Bounds of what is learned from: texts a language, texts in all (but one of each language at least), stretches a text.
@@ -25,6 +25,8 @@ TEXTS_PER_LANGUAGE, TEXTS, STRETCHES_PER_TEXT = 160, 32_000, 4
 EPOCHS, LEAST_STEPS, BATCH, RATE = 8, 240, 128, 0.012
 #: Bytes worked on at once when predicting.
 SLICE = 1 << 19
+#: Tasks that thin out the labelled texts of a language before one task has what each of them leaves.
+WAYS = 64
 UNKNOWN = "und"
 
 
@@ -222,15 +224,18 @@ def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col:
     STRETCHES_PER_TEXT stretches of STRETCH characters are read. No usable row: no model.
     """
     rows = df.filter((remainder(id_col) != 2) & F.col(lang_col).isNotNull() & text_of(text_col).rlike(r"\p{L}")).select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"))
-    rows = rows.withColumn("h", F.xxhash64("text", "lang", F.lit(seed)))
-    drawn = rows.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("h", "text"))).filter(F.col("k") <= per_language)
+    last = F.greatest(F.length("text") - STRETCH + 1, F.lit(1))
+    stretch = [F.substr("text", (F.pmod(F.xxhash64("text", F.lit(seed + j)), last) + 1).cast("int"), F.lit(STRETCH)) for j in range(STRETCHES_PER_TEXT)]
+    # the stretches travel, not the texts; a frequent language is thinned out in WAYS tasks before one sees what is left of it
+    order = ["h", "tie"]
+    rows = rows.select("lang", F.xxhash64("text", "lang", F.lit(seed)).alias("h"), F.xxhash64(F.lit(seed), "text").alias("tie"), F.array(*stretch).alias("parts"), F.pmod(F.spark_partition_id(), F.lit(WAYS)).alias("way"))
+    few = rows.withColumn("k", F.row_number().over(Window.partitionBy("lang", "way").orderBy(*order))).filter(F.col("k") <= per_language)
+    drawn = staged(few.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy(*order))).filter(F.col("k") <= per_language).drop("way", "tie"), "drawn")
     languages = drawn.select("lang").distinct().count()
     if not languages:
         return None
     drawn = drawn.filter(F.col("k") <= max(1, min(per_language, texts // languages)))
-    last = F.greatest(F.length("text") - STRETCH + 1, F.lit(1))
-    stretch = [F.substr("text", (F.pmod(F.xxhash64("text", F.lit(seed + j)), last) + 1).cast("int"), F.lit(STRETCH)) for j in range(STRETCHES_PER_TEXT)]
-    sample = sorted((r["lang"], r["h"], r["t"]) for r in drawn.select("lang", "h", F.explode(F.array_distinct(F.array(*stretch))).alias("t")).collect())
+    sample = sorted((r["lang"], r["h"], r["t"]) for r in drawn.select("lang", "h", F.explode(F.array_distinct("parts")).alias("t")).collect())
     return train([t.encode() for _, _, t in sample], [lang for lang, _, _ in sample], seed=seed)
 
 
