@@ -52,11 +52,10 @@ def test_size_filters_become_bounds(spark):
     n = spark.createDataFrame([(1, i, "x") for i in range(6)], "graph_id long, node_id long, label string")
     e = spark.createDataFrame([(1, i, j, "-") for i in range(6) for j in range(i) if (i + j) % 3], "graph_id long, src long, dst long, label string")
     ag = from_tables(n, e, False)
-    for made in (O.clique((1, 4)), O.graphlet(1, (1, 4)), O.path((1, 3))):
-        for filtered in (small, O.filter_by_number_of_nodes(3), O.filter_by_number_of_nodes((1, 2))):
-            op = O.forward_compose(made, filtered)
-            found = [sorted(tuple(r.nodes) for r in x(ag).sg.select("nodes").collect()) for x in (op, simplified(op))]
-            assert found[0] == found[1] and simplified(op) != op
+    for made, filtered in ((O.clique((1, 4)), small), (O.graphlet(1, (1, 4)), O.filter_by_number_of_nodes(3)), (O.path((1, 3)), O.filter_by_number_of_nodes((1, 2)))):
+        op = O.forward_compose(made, filtered)
+        found = [sorted(tuple(r.nodes) for r in x(ag).sg.select("nodes").collect()) for x in (op, simplified(op))]
+        assert found[0] == found[1] and simplified(op) != op
 
 
 def test_simplified_on_repeated_subgraphs(spark):
@@ -67,7 +66,7 @@ def test_simplified_on_repeated_subgraphs(spark):
     ag = O.add(O.edge(), O.edge(), O.node())(ag)
     stages = [O.identity(), O.identity(), O.deduplicate(), O.filter_by_number_of_nodes((1, 2)), O.filter_by_number_of_nodes((2, 9)), O.filter_by_sampling(2, 1), O.node()]
     rng = random.Random(6)
-    for _ in range(14):
+    for _ in range(8):
         make = rng.choice([O.compose, O.forward_compose])
         op = make(*rng.choices(stages, k=rng.randint(1, 5)), dedup=rng.random() < 0.6)
         found = [sorted(tuple(r.nodes) for r in x(ag).sg.select("nodes").collect()) for x in (op, simplified(op))]
