@@ -1,11 +1,15 @@
 """What has to hold as tables grow: shares of tasks, rows that are made on the way."""
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from graphloom import model
+from graphloom.plans import catalog
 from graphloom.sources import views as V
 
+from .test_queries import TABLES, same
+
 
 @pytest.fixture
 def conf(spark):
@@ -27,3 +31,30 @@ def test_more_rows_more_tasks(spark, sf_dir, conf, monkeypatch):
     conf.set("spark.sql.shuffle.partitions", "1000")
     V.copart(spark, sf_dir)
     assert conf.get("spark.sql.shuffle.partitions") == "1000"
+
+
+@pytest.fixture(scope="module")
+def odd_dir(spark, sf_dir, tmp_path_factory):
+    """The tables and a customer whose only order has no line items."""
+    out = tmp_path_factory.mktemp("odd")
+    for t in TABLES:
+        (out / f"{t}.parquet").symlink_to(f"{sf_dir}/{t}.parquet")
+    (out / "orders.parquet").unlink()
+    con = duckdb.connect()
+    con.execute(f"""COPY (SELECT * FROM '{sf_dir}/orders.parquet' UNION ALL SELECT * REPLACE (o_orderkey + 1000000000 AS o_orderkey, o_custkey + 1000000000 AS o_custkey)
+      FROM (FROM '{sf_dir}/orders.parquet' LIMIT 1)) TO '{out}/orders.parquet' (FORMAT parquet)""")
+    return str(out)
+
+
+def check(spark, at, name):
+    con = duckdb.connect()
+    for t in TABLES:
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{at}/{t}.parquet'")
+    found, df = con.execute(catalog.ORACLE[name]), catalog.QUERIES[name](spark, at)
+    names = [c[0] for c in found.description]
+    assert same([tuple(r) for r in df.collect()], df.columns) == same(found.fetchall(), names)
+
+
+@pytest.mark.parametrize("name", ["merge", "merge_edges"])
+def test_a_graph_without_edges(spark, odd_dir, name):
+    check(spark, odd_dir, name)
