@@ -250,21 +250,59 @@ def remove_redundant_mapped_subgraphs(ag: AGFrame) -> AGFrame:
     return ag.with_sg(kept, links)
 
 
-def _shared(a: DataFrame, b: DataFrame, ordered: bool) -> DataFrame:
-    """graph_id, u, v, nodes: for each pair of subgraphs with a common node all their common nodes."""
+#: Nodes of a subgraph up to which its common nodes with others are found from its subsets, without making pairs.
+FEW_NODES = 4
+
+
+def _sets(ag: AGFrame) -> DataFrame:
+    """graph_id, sg_id, nodes (in order), written once; ids are only different ones."""
+    return cut(ag.sg.select("graph_id", F.monotonically_increasing_id().alias("sg_id"), F.array_sort(F.array_distinct("nodes")).alias("nodes")))
+
+
+def _subsets(nodes: str):
+    return F.explode(F.expr(f"transform(sequence(1, shiftleft(1, size({nodes})) - 1), m -> filter({nodes}, (x, i) -> (shiftright(m, i) & 1) = 1))"))
+
+
+def _holding(sets: DataFrame, name: str) -> DataFrame:
+    """graph_id, nodes and how many of the sets hold these, for all subsets of sets of few nodes."""
+    return sets.filter(F.size("nodes") > 0).select("graph_id", _subsets("nodes").alias("nodes")).groupBy("graph_id", "nodes").agg(F.count("*").alias(name))
+
+
+def _exactly(held: DataFrame) -> DataFrame:
+    """graph_id, nodes, n: from how many pairs hold a node set (column n) how many have just it in common; none are left out.
+
+    A pair that holds a set holds its subsets too: these are taken off by inclusion and exclusion, with one row for each subset.
+    """
+    parts = held.filter("n > 0").withColumn("size", F.size("nodes")).select("graph_id", "n", "size", _subsets("nodes").alias("nodes"))
+    sign = F.when((F.col("size") - F.size("nodes")) % 2 == 0, F.col("n")).otherwise(-F.col("n"))
+    return parts.groupBy("graph_id", "nodes").agg(F.sum(sign).alias("n")).filter("n > 0")
+
+
+def _shared(a: DataFrame, b: DataFrame, low_first: bool = False) -> DataFrame:
+    """graph_id, nodes, n: the common node sets of pairs of a subgraph of each side, and of how many pairs each is; sets may be repeated.
+
+    ``low_first``: only pairs of which the left id is the smaller one.
+    """
     left = a.select("graph_id", F.col("sg_id").alias("u"), F.explode("nodes").alias("n"))
     right = b.select("graph_id", F.col("sg_id").alias("v"), F.explode("nodes").alias("n"))
     both = met(left, right, ["graph_id", "n"])
-    if ordered:
+    if low_first:
         both = both.filter(F.col("u") < F.col("v"))
-    return both.groupBy("graph_id", "u", "v").agg(F.sort_array(F.collect_list("n")).alias("nodes"))
+    common = both.groupBy("graph_id", "u", "v").agg(F.sort_array(F.collect_list("n")).alias("nodes"))
+    return common.groupBy("graph_id", "nodes").agg(F.count("*").alias("n"))
+
+
+def _split(sets: DataFrame) -> tuple[DataFrame, DataFrame, bool]:
+    """Sets of few nodes, sets of more, and whether there are any of these."""
+    more = sets.filter(F.size("nodes") > FEW_NODES)
+    return sets.filter(F.size("nodes") <= FEW_NODES), more, not more.isEmpty()
 
 
 def _intersections(ag: AGFrame, met: DataFrame, all_pairs: DataFrame, node_size, must_be_connected: bool, name: str) -> AGFrame:
     low, high = (0, None) if node_size is None else span(node_size)
     sets = met.select("graph_id", "nodes").distinct()
     if not must_be_connected and low == 0:
-        some = met.groupBy("graph_id").agg(F.count("*").alias("met"))
+        some = met.groupBy("graph_id").agg(F.sum("n").alias("met"))
         none = all_pairs.join(some, "graph_id", "left").filter(F.col("pairs") > F.coalesce("met", F.lit(0)))
         sets = sets.unionByName(none.select("graph_id", F.array().cast("array<bigint>").alias("nodes")))
     if node_size is not None:
@@ -276,18 +314,31 @@ def _intersections(ag: AGFrame, met: DataFrame, all_pairs: DataFrame, node_size,
 
 @operator("intersection", "preserve", node_size=None, must_be_connected=True)
 def intersection(ag: AGFrame, node_size=None, must_be_connected: bool = True) -> AGFrame:
-    """The distinct common node sets of all pairs of subgraphs, of a size in range and connected in the base graph."""
-    sg = cut(renumbered(ag.sg))
+    """The distinct common node sets of all pairs of subgraphs, of a size in range and connected in the base graph.
+
+    Pairs of subgraphs of few nodes aren't made, but counted by the node sets that they hold.
+    """
+    sg = _sets(ag)
     count = sg.groupBy("graph_id").agg((F.count("*") * (F.count("*") - 1) / 2).alias("pairs"))
-    return _intersections(ag, _shared(sg, sg, True), count, node_size, must_be_connected, "intersection")
+    few, more, any_more = _split(sg)
+    found = _exactly(_holding(few, "k").select("graph_id", "nodes", (F.col("k") * (F.col("k") - 1) / 2).cast("long").alias("n")))
+    if any_more:
+        found = found.unionByName(_shared(more, more, True)).unionByName(_shared(more, few))
+    return _intersections(ag, found, count, node_size, must_be_connected, "intersection")
 
 
 @operator("binary_intersection", "weak", "binary", first_second_node_size=None, must_be_connected=True)
 def binary_intersection(a: AGFrame, b: AGFrame, first_second_node_size=None, must_be_connected: bool = True) -> AGFrame:
-    """The distinct common node sets of one subgraph of each side."""
-    left, right = cut(renumbered(a.sg)), cut(renumbered(b.sg))
+    """The distinct common node sets of one subgraph of each side; pairs are made as for ``intersection``."""
+    left, right = _sets(a), _sets(b)
     n = left.groupBy("graph_id").agg(F.count("*").alias("x")).join(right.groupBy("graph_id").agg(F.count("*").alias("y")), "graph_id")
-    return _intersections(a, _shared(left, right, False), n.select("graph_id", (F.col("x") * F.col("y")).alias("pairs")), first_second_node_size, must_be_connected, "binary_intersection")
+    (few, more, any_more), (few_, more_, any_more_) = _split(left), _split(right)
+    found = _exactly(_holding(few, "x").join(_holding(few_, "y"), ["graph_id", "nodes"]).select("graph_id", "nodes", (F.col("x") * F.col("y")).alias("n")))
+    if any_more_:
+        found = found.unionByName(_shared(left, more_))
+    if any_more:
+        found = found.unionByName(_shared(more, few_))
+    return _intersections(a, found, n.select("graph_id", (F.col("x") * F.col("y")).alias("pairs")), first_second_node_size, must_be_connected, "binary_intersection")
 
 
 def _tables(ag: AGFrame) -> tuple[DataFrame, DataFrame]:

@@ -1,13 +1,18 @@
 """What has to hold as tables grow: shares of tasks, rows that are made on the way."""
 
+from itertools import combinations
+
 import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from graphloom import model
+from graphloom import operators as O
+from graphloom.operators import algebra
 from graphloom.plans import catalog
 from graphloom.sources import views as V
 
+from .test_operators import collection, sets
 from .test_queries import TABLES, same
 
 
@@ -58,3 +63,20 @@ def check(spark, at, name):
 @pytest.mark.parametrize("name", ["merge", "merge_edges"])
 def test_a_graph_without_edges(spark, odd_dir, name):
     check(spark, odd_dir, name)
+
+
+def test_small_sets_meet_without_pairs(spark, monkeypatch):
+    """Equal results for sets of few and of more nodes; no join by members where all are small."""
+    star = [(0, i) for i in range(1, 7)] + [(1, 2), (3, 4), (2, 3), (5, 6)]
+    ag = collection(spark, "x" * 7, star)
+    some, others = O.add(O.clique((2, 3)), O.clique((3, 3)), O.neighborhood(1), dedup=False)(ag), O.edge()(ag)
+    plain = lambda frame: [set(r.nodes) for r in frame.sg.select("nodes").collect()]
+    own, theirs = plain(some), plain(others)
+    whole, halves = {tuple(sorted(a & b)) for a, b in combinations(own, 2)}, {tuple(sorted(a & b)) for a in own for b in theirs}
+    for few in (2, 4):
+        monkeypatch.setattr(algebra, "FEW_NODES", few)
+        assert {tuple(x) for x in sets(O.intersection(must_be_connected=False)(some))} == whole
+        assert {tuple(x) for x in sets(O.binary_intersection(must_be_connected=False)(some, others))} == halves
+    monkeypatch.setattr(algebra, "met", None)
+    small = O.clique((3, 3))(ag)
+    assert {tuple(x) for x in sets(O.intersection()(small))} == {x for a, b in combinations(plain(small), 2) if (x := tuple(sorted(a & b)))}
