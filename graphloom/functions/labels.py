@@ -26,35 +26,52 @@ def string_hash(text: Column, nbits: int) -> Column:
     return F.pmod(low, F.lit((1 << nbits) - 2)) + F.lit(2)
 
 
-def certificate(nodes: str | Column, edges: str | Column, directed: Column) -> Column:
-    """A labelled graph's certificate; equal inputs of a batch are worked out once."""
+def certificate(nodes: str | Column, edges: str | Column, directed: bool) -> Column:
+    """A labelled graph's certificate, from nodes with ids and labels and edges with ends and labels.
+
+    Python gets a graph as one string that names nodes by their places, and works out equal ones of a batch once.
+    """
+    nodes, edges = (F.col(c) if isinstance(c, str) else c for c in (nodes, edges))
+    ids = F.transform(nodes, lambda x: x["id"])
+    place = lambda x: F.array_position(ids, x) - 1
+    labels = F.transform(nodes, lambda x: F.coalesce(x["label"], F.lit("")))
+    arcs = F.transform(edges, lambda e: F.concat_ws(",", place(e["src"]), place(e["dst"]), F.coalesce(e["label"], F.lit(""))))
+    return _canonical(F.to_json(F.array(labels, arcs)), directed)
+
+
+def shape(nodes: str, edges: str, directed: bool) -> Column:
+    """The certificate of a subgraph all of whose labels are ``-``, from its own nodes and edges."""
+    place = lambda x: F.array_position(nodes, x) - 1
+    arcs = F.transform(edges, lambda e: F.concat_ws(",", place(e["src"]), place(e["dst"])))
+    return _canonical(F.concat_ws(";", F.size(nodes), F.array_join(arcs, ";")), directed)
+
+
+def _canonical(text: Column, directed: bool) -> Column:
+    import json
+
+    def read(x: str) -> tuple[dict[int, str], dict[tuple[int, int], str]]:
+        if x.startswith("["):
+            labels, arcs = json.loads(x)
+            return dict(enumerate(labels)), {(int(u), int(v)): label for u, v, label in (a.split(",", 2) for a in arcs)}
+        n, *arcs = x.split(";")
+        return dict.fromkeys(range(int(n)), "-"), {tuple(map(int, a.split(","))): "-" for a in arcs if a}
 
     @arrow_udf("string")
-    def canonical(n, e, d):
+    def canonical(column):
         import pyarrow as pa
 
-        held: dict[str, str] = {}
-        out = []
-        for ns, es, way in zip(n.to_pylist(), e.to_pylist(), d.to_pylist(), strict=True):
-            ids = {x["id"]: i for i, x in enumerate(ns)}
-            own = {ids[x["id"]]: x["label"] or "" for x in ns}
-            arcs = {(ids[x["src"]], ids[x["dst"]]): x["label"] or "" for x in es}
-            key = repr((own, arcs, way))
-            if key not in held:
-                held[key] = K.canonical(own, arcs, way)
-            out.append(held[key])
-        return pa.array(out, pa.string())
+        coded = column.dictionary_encode()
+        return pa.array([K.canonical(*read(x), directed) for x in coded.dictionary.to_pylist()], pa.string()).take(coded.indices)
 
-    return canonical(nodes, edges, directed)
+    return canonical(text)
 
 
 def graph_hash(ag: AGFrame, nbits: int = 14, structure_only: bool = False) -> AGFrame:
-    """Labels from the canonical form of each subgraph; with ``structure_only`` its labels count as blank."""
-    rows = with_labels(ag, ag.sg)
+    """Labels from the canonical form of each subgraph; with ``structure_only`` its labels count as blank, and none are looked up."""
     if structure_only:
-        rows = rows.withColumn("node_labels", F.transform("node_labels", lambda x: F.struct(x["id"].alias("id"), F.lit("-").alias("label"))))
-        rows = rows.withColumn("edge_labels", F.transform("edge_labels", lambda x: F.struct(x["src"].alias("src"), x["dst"].alias("dst"), F.lit("-").alias("label"))))
-    code = string_hash(certificate("node_labels", "edge_labels", F.lit(ag.directed)), nbits)
+        return ag.with_sg(ag.sg.withColumn("label", string_hash(shape("nodes", "edges", ag.directed), nbits)), ag.links)
+    rows = with_labels(ag, ag.sg)
+    code = string_hash(certificate("node_labels", "edge_labels", ag.directed), nbits)
     return ag.with_sg(rows.withColumn("label", code).select(*SG_COLUMNS), ag.links)
 
 
@@ -145,7 +162,7 @@ def to_vectors(features: DataFrame, width: int, keys: tuple[str, ...] = ("graph_
 
 def feature_subgraphs(ag: AGFrame, nbits: int = 10) -> DataFrame:
     """label, digest, nodes, graph_id: one representative of each distinct labelled subgraph of each feature."""
-    rows = with_labels(ag, graph_hash(ag, nbits).sg).withColumn("digest", F.sha2(certificate("node_labels", "edge_labels", F.lit(ag.directed)), 256))
+    rows = with_labels(ag, graph_hash(ag, nbits).sg).withColumn("digest", F.sha2(certificate("node_labels", "edge_labels", ag.directed), 256))
     return rows.groupBy("label", "digest").agg(F.min(F.struct("graph_id", "nodes")).alias("x")).select("label", "digest", "x.graph_id", "x.nodes")
 
 
@@ -172,7 +189,7 @@ class GraphHashDeduper:
         label = lambda x: label_at(x["labels"], F.lit(ag.version)).alias("label")
         nodes = F.transform("nodes", lambda x: F.struct(x["id"].alias("id"), label(x)))
         edges = F.transform("edges", lambda x: F.struct(x["src"].alias("src"), x["dst"].alias("dst"), label(x)))
-        return string_hash(certificate(nodes, edges, F.lit(ag.directed)), self.nbits)
+        return string_hash(certificate(nodes, edges, ag.directed), self.nbits)
 
     def hashed(self, ag: AGFrame) -> DataFrame:
         return ag.base.select("graph_id", self.code(ag).alias("hash"), *([self.payload] if self.payload else []))

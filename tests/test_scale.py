@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from graphloom import model
 from graphloom import operators as O
+from graphloom.functions import labels
 from graphloom.operators import algebra
 from graphloom.plans import catalog
 from graphloom.sources import views as V
@@ -80,3 +81,13 @@ def test_small_sets_meet_without_pairs(spark, monkeypatch):
     monkeypatch.setattr(algebra, "met", None)
     small = O.clique((3, 3))(ag)
     assert {tuple(x) for x in sets(O.intersection()(small))} == {x for a, b in combinations(plain(small), 2) if (x := tuple(sorted(a & b)))}
+
+
+def test_shapes_without_labels(spark, monkeypatch):
+    """Structure hashes look up no labels; equal shapes share one, others don't."""
+    monkeypatch.setattr(labels, "with_labels", None)
+    ag = O.add(O.clique((1, 3)), O.path((2, 2)))(collection(spark, "abcd", [(0, 1), (1, 2), (0, 2), (2, 3)]))
+    found = {}
+    for r in labels.graph_structure_hash(ag, 31).sg.selectExpr("size(nodes) AS n", "size(edges) AS e", "label").collect():
+        found.setdefault((r.n, r.e), set()).add(r.label)
+    assert all(len(x) == 1 for x in found.values()) and len(set.union(*found.values())) == len(found) == 4
