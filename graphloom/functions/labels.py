@@ -235,8 +235,8 @@ def inverse_mappings(ag: AGFrame) -> DataFrame:
     return sg.select("graph_id", "sg_id", F.explode("nodes").alias("node_id")).groupBy("graph_id", "node_id").agg(F.sort_array(F.collect_list("sg_id")).alias("sg_ids"))
 
 
-def inverse_links(ag: AGFrame) -> DataFrame:
-    """graph_id, node_id, u, v: for every base node the links among the subgraphs that hold it, by the links' own ids.
+def inverse_links(ag: AGFrame, with_nodes: bool = False) -> DataFrame:
+    """graph_id, node_id, u, v: for every base node the links among the subgraphs that hold it, by the links' own ids; ``with_nodes``: and u_nodes, v_nodes.
 
     With :func:`inverse_mappings` this is the part of the interpretation graph that stands over each base node. A link's common nodes
     are looked up from its two ends, so nothing is gathered at a node.
@@ -244,8 +244,8 @@ def inverse_links(ag: AGFrame) -> DataFrame:
     if ag.links is None:
         raise ValueError("subgraphs have to be linked first")
     side = lambda c: ag.sg.select("graph_id", F.col("sg_id").alias(c), F.col("nodes").alias(f"{c}_nodes"))
-    both = ag.links.select("graph_id", "u", "v").join(side("u"), ["graph_id", "u"]).join(side("v"), ["graph_id", "v"])
-    return both.select("graph_id", F.explode(F.array_intersect("u_nodes", "v_nodes")).alias("node_id"), "u", "v")
+    both = ag.links.select("graph_id", "u", "v").join(side("u").hint("merge"), ["graph_id", "u"]).join(side("v").hint("merge"), ["graph_id", "v"])
+    return both.select("graph_id", F.explode(F.array_intersect("u_nodes", "v_nodes")).alias("node_id"), "u", "v", *(["u_nodes", "v_nodes"] if with_nodes else []))
 
 
 #: Names of the label modes.

@@ -141,7 +141,7 @@ def base_from(nodes: DataFrame, edges: DataFrame, directed: bool, targets: DataF
         .groupBy("graph_id").agg(F.sort_array(F.collect_list(F.struct("src", "dst", F.array("label").alias("labels"), null_of("string").alias("original")))).alias("edges"))
     )
     none = F.array().cast("array<struct<src:bigint,dst:bigint,labels:array<string>,original:string>>")
-    out = n.join(e, "graph_id", "left").withColumn("edges", F.coalesce("edges", none))
+    out = n.join(e.hint("merge"), "graph_id", "left").withColumn("edges", F.coalesce("edges", none))
     out = out.join(targets, "graph_id", "left") if targets is not None else out.withColumn("target", null_of("int"))
     return out.select(F.col("graph_id").cast("long").alias("graph_id"), "target", "nodes", "edges")
 

@@ -423,15 +423,15 @@ def intersection_edges(ag: AGFrame, size_threshold: int = 1, accept_connection_b
         met(met(member, arcs, ["graph_id", "n"]).select("graph_id", "u", F.col("m").alias("n")), other, ["graph_id", "n"])
         .filter(F.col("u") < F.col("v")).select("graph_id", "u", "v").distinct().withColumn("connected_by_base_edge", F.lit(True))
     )
-    links = shared.join(joined, ["graph_id", "u", "v"], "full_outer").select(
+    links = shared.join(joined.hint("merge"), ["graph_id", "u", "v"], "full_outer").select(
         "graph_id", "u", "v", F.coalesce("shared_base_nodes", F.lit(0)).alias("shared_base_nodes"), F.coalesce("connected_by_base_edge", F.lit(False)).alias("connected_by_base_edge"),
     )
     return ag.with_sg(sg, links.filter((F.col("shared_base_nodes") >= size_threshold) | F.col("connected_by_base_edge")))
 
 
 def linked_members(ag: AGFrame) -> DataFrame:
-    """The links with both ends' node sets."""
+    """The links with both ends' node sets; by sorting, as subgraphs are written too small to be kept from a broadcast."""
     side = lambda c: ag.sg.select("graph_id", F.col("sg_id").alias(c), F.col("nodes").alias(f"{c}_nodes"))
-    return ag.links.join(side("u"), ["graph_id", "u"]).join(side("v"), ["graph_id", "v"])
+    return ag.links.join(side("u").hint("merge"), ["graph_id", "u"]).join(side("v").hint("merge"), ["graph_id", "v"])
 
 

@@ -19,9 +19,9 @@ def basket(spark: SparkSession, sf_dir: str) -> AGFrame:
     o = _t(spark, sf_dir, "orders").select(F.col("o_custkey").alias("graph_id"), "o_orderkey", "o_orderpriority")
     li = _t(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_returnflag")
     p = _t(spark, sf_dir, "part").select("p_partkey", "p_type")
-    lines = o.join(li, o.o_orderkey == li.l_orderkey)
+    lines = o.join(li.hint("merge"), o.o_orderkey == li.l_orderkey)
     orders = o.select("graph_id", (F.col("o_orderkey") * 2).alias("node_id"), F.col("o_orderpriority").alias("label"))
-    parts = lines.select("graph_id", "l_partkey").distinct().join(p, F.col("l_partkey") == F.col("p_partkey")).select("graph_id", (F.col("p_partkey") * 2 + 1).alias("node_id"), F.col("p_type").alias("label"))
+    parts = lines.select("graph_id", "l_partkey").distinct().join(p.hint("merge"), F.col("l_partkey") == F.col("p_partkey")).select("graph_id", (F.col("p_partkey") * 2 + 1).alias("node_id"), F.col("p_type").alias("label"))
     edges = lines.select("graph_id", (F.col("o_orderkey") * 2).alias("src"), (F.col("l_partkey") * 2 + 1).alias("dst"), F.col("l_returnflag").alias("label"))
     return from_tables(orders.unionByName(parts), edges, False)
 
@@ -31,8 +31,8 @@ def copart(spark: SparkSession, sf_dir: str) -> AGFrame:
     o = _t(spark, sf_dir, "orders").select(F.col("o_custkey").alias("graph_id"), "o_orderkey")
     li = _t(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey")
     p = _t(spark, sf_dir, "part").select("p_partkey", "p_brand")
-    lines = o.join(li, o.o_orderkey == li.l_orderkey).select("graph_id", "o_orderkey", "l_partkey").distinct()
-    nodes = lines.select("graph_id", "l_partkey").distinct().join(p, F.col("l_partkey") == F.col("p_partkey")).select("graph_id", F.col("p_partkey").alias("node_id"), F.col("p_brand").alias("label"))
+    lines = o.join(li.hint("merge"), o.o_orderkey == li.l_orderkey).select("graph_id", "o_orderkey", "l_partkey").distinct()
+    nodes = lines.select("graph_id", "l_partkey").distinct().join(p.hint("merge"), F.col("l_partkey") == F.col("p_partkey")).select("graph_id", F.col("p_partkey").alias("node_id"), F.col("p_brand").alias("label"))
     other = lines.select("o_orderkey", F.col("l_partkey").alias("dst"))
     edges = lines.join(other, "o_orderkey").filter(F.col("l_partkey") < F.col("dst")).select("graph_id", F.col("l_partkey").alias("src"), "dst", F.lit("co").alias("label"))
     return from_tables(nodes, edges, False)

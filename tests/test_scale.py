@@ -91,3 +91,10 @@ def test_shapes_without_labels(spark, monkeypatch):
     for r in labels.graph_structure_hash(ag, 31).sg.selectExpr("size(nodes) AS n", "size(edges) AS e", "label").collect():
         found.setdefault((r.n, r.e), set()).add(r.label)
     assert all(len(x) == 1 for x in found.values()) and len(set.union(*found.values())) == len(found) == 4
+
+
+def test_linked_members_are_not_broadcast(spark):
+    ag = O.forward_compose(O.node(), O.intersection_edges(accept_connection_by_edge=True))(collection(spark, "abc", [(0, 1), (1, 2)]))
+    found = algebra.linked_members(ag)
+    assert len(found.collect()) == 2
+    assert not {"BroadcastHashJoin", "BroadcastExchange"} & set(found._jdf.queryExecution().executedPlan().toString().replace("(", " ").split())
