@@ -14,6 +14,12 @@ from graphloom.functions import kernels as K
 from .test_operators import collection, sets
 
 
+@pytest.fixture(autouse=True)
+def beyond_a_row(monkeypatch):
+    """Every graph counts as one of many nodes here, so that the joins are what is tested."""
+    monkeypatch.setattr(large, "ROW_ITEMS", 0)
+
+
 def random_graphs(seed, count=4, most=11, directed=False):
     """Node and edge rows of some graphs, sparse and dense, in parts or not."""
     rng, out = random.Random(seed), []
@@ -49,6 +55,29 @@ def test_cliques_and_graphlets(spark, hub_rows):
     assert members(large.graphlets(nodes, edges, 1, 2, 4)) == sorted((g, *sorted(c)) for g, x in each for c in K.graphlets(x, 1, 2, 4))
 
 
+OPERATORS = {
+    "components": lambda n, e: large.components(n, e), "within": lambda n, e: large.within(n, e, 2), "directed": lambda n, e: large.within(n, e, 2, True), "geodesics": lambda n, e: large.geodesics(n, e, 1, 3),
+    "cliques": lambda n, e: large.cliques(n, e, 1, 4), "graphlets": lambda n, e: large.graphlets(n, e, 1, 1, 3), "trees": lambda n, e: large.trees(n, e), "cycles": lambda n, e: large.cycles(n, e).select("graph_id", "src", "dst").distinct(),
+}
+
+
+@pytest.mark.parametrize("name", OPERATORS)
+def test_small_graphs_are_worked_out_whole(spark, monkeypatch, name):
+    """The same by joins, whole, and with graphs of both kinds; whole, nothing is shuffled but the graphs themselves."""
+    nodes, edges = tables(spark, random_graphs(4, 5))
+    edges = edges.unionByName(edges).unionByName(nodes.select("graph_id", F.col("node_id").alias("src"), F.col("node_id").alias("dst")))
+    rows = lambda: OPERATORS[name](nodes, edges)
+    plain = lambda df: [tuple(map(tuple, [x if isinstance(x, list) else [x] for x in r])) for r in df.collect()]
+    by_joins = rows()
+    parts = dict.fromkeys(by_joins.columns)
+    for most in (14, 2_000):
+        monkeypatch.setattr(large, "ROW_ITEMS", most)
+        found = rows()
+        assert list(parts) == found.columns and sorted(plain(found), key=repr) == sorted(plain(by_joins), key=repr) != []
+    exchanges = found._jdf.queryExecution().executedPlan().toString().count("Exchange ")
+    assert exchanges <= (2 if name != "cycles" else 4)
+
+
 @pytest.mark.parametrize("directed", [False, True])
 def test_betweenness(spark, directed):
     graphs = random_graphs(2, directed=directed)
