@@ -90,6 +90,33 @@ def test_small_sets_meet_without_pairs(spark, monkeypatch):
     assert {tuple(x) for x in sets(O.intersection()(small))} == {x for a, b in combinations(plain(small), 2) if (x := tuple(sorted(a & b)))}
 
 
+def test_covered_sets_are_found_without_pairs(spark, monkeypatch):
+    """Equal results by subsets and by pairs; no join by members where all sets are small."""
+    ag = collection(spark, "x" * 7, [(0, i) for i in range(1, 5)] + [(1, 2), (3, 4), (2, 3), (5, 6)])
+    some = O.clique((2, 3))(ag)
+    monkeypatch.setattr(algebra, "FEW_NODES", 0)
+    by_pairs = sets(O.remove_redundant_mapped_subgraphs()(some))
+    monkeypatch.setattr(algebra, "FEW_NODES", 4)
+    monkeypatch.setattr(algebra, "met", None)
+    kept = O.remove_redundant_mapped_subgraphs()(some)
+    assert sets(kept) == by_pairs == [(0, 1, 2), (0, 2, 3), (0, 3, 4), (5, 6)]
+    assert {r.meta.source_function for r in kept.sg.select("meta").collect()} == {"clique"}
+
+
+def test_small_graphs_are_combined_in_rows(spark, monkeypatch):
+    """Equal results in rows and by joins; no distances by joins where all graphs are small."""
+    ag = collection(spark, "x" * 7, [(0, i) for i in range(1, 5)] + [(1, 2), (3, 4), (2, 3), (5, 6)])
+    one = lambda: sets(O.forward_compose(O.node(), O.combination((2, 3), (1, 2)))(ag))
+    two = lambda: sets(O.forward_compose(O.compose_product(O.binary_combination((0, 1)), O.clique((3, 3)), O.neighborhood(1)))(ag))
+    monkeypatch.setattr(algebra, "ROW_ITEMS", 0)
+    monkeypatch.setattr(algebra, "ROW_ITEMS_OF_TWO", 0)
+    by_joins = one(), two()
+    monkeypatch.setattr(algebra, "ROW_ITEMS", 1_000)
+    monkeypatch.setattr(algebra, "ROW_ITEMS_OF_TWO", 1_000)
+    monkeypatch.setattr(algebra, "_close", None)
+    assert (one(), two()) == by_joins and all(by_joins)
+
+
 def test_shapes_without_labels(spark, monkeypatch):
     """Structure hashes look up no labels; equal shapes share one, others don't."""
     monkeypatch.setattr(labels, "with_labels", None)
