@@ -46,6 +46,18 @@ def test_united_partitions_stay_small(spark, conf):
     assert per_task < 1_000_000
 
 
+def test_parts_of_an_order_are_paired_in_its_row(spark, tmp_path):
+    """The plan joins lines with orders once for nodes and once for edges, never with themselves; repeated and missing parts, orders and lines are as before."""
+    con = duckdb.connect()
+    con.execute(f"COPY (SELECT * FROM (VALUES (1::BIGINT, 7::BIGINT, 'x'), (2, 7, 'x'), (3, 8, 'x'), (3, 8, 'x'), (3, 9, 'x'), (4, NULL, 'x')) t(o_orderkey, o_custkey, o_orderpriority)) TO '{tmp_path}/orders.parquet' (FORMAT parquet)")
+    con.execute(f"COPY (SELECT * FROM (VALUES (1::BIGINT, 30::BIGINT), (1, 10), (1, 20), (1, 10), (1, NULL), (2, 20), (2, 30), (3, 10), (3, 40), (3, 99), (4, 10), (4, 20), (5, 10), (NULL, 20)) t(l_orderkey, l_partkey)) TO '{tmp_path}/lineitem.parquet' (FORMAT parquet)")
+    con.execute(f"COPY (SELECT range * 10 AS p_partkey, 'b' AS p_brand FROM range(1, 6)) TO '{tmp_path}/part.parquet' (FORMAT parquet)")
+    base = V.copart(spark, str(tmp_path)).base
+    found = {r.graph_id: ([x.id for x in r.nodes], [(x.src, x.dst) for x in r.edges]) for r in base.collect()}
+    assert found == {7: ([10, 20, 30], [(10, 20), (10, 30), (20, 30)]), 8: ([10, 40], [(10, 40), (10, 99), (40, 99)]), 9: ([10, 40], [(10, 40), (10, 99), (40, 99)]), None: ([10, 20], [])}
+    assert base._jdf.queryExecution().sparkPlan().toString().count("SortMergeJoin") == 4
+
+
 @pytest.fixture(scope="module")
 def odd_dir(spark, sf_dir, tmp_path_factory):
     """The tables and a customer whose only order has no line items."""
