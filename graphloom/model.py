@@ -40,6 +40,10 @@ class AGFrame:
 
     ``induced``: all subgraphs have every base edge between their nodes; ``untouched``: they are the whole graphs; ``distinct``: no
     graph has two subgraphs of the same nodes, so that deduplication may be left out. ``most``: nodes that a subgraph has at most, where known.
+
+    The others name the table that they tell of, and count as long as that is the collection's. ``together``: ``sg``, where a graph's rows follow
+    one another in one task. ``once``: ``sg``, the same with less or none of its repeated node sets, and whether there are none. ``linked``:
+    ``links``, the same with u_nodes and v_nodes.
     """
 
     base: DataFrame
@@ -54,6 +58,9 @@ class AGFrame:
     untouched: bool = False
     distinct: bool = False
     most: int | None = None
+    together: DataFrame | None = None
+    once: tuple[DataFrame, DataFrame, bool] | None = None
+    linked: tuple[DataFrame, DataFrame] | None = None
 
     def with_sg(self, sg: DataFrame, links: DataFrame | None = None, induced: bool | None = None) -> AGFrame:
         """The same base with other subgraphs, whose parents may be the present ones."""
@@ -192,7 +199,7 @@ def whole(base: DataFrame, directed: bool) -> AGFrame:
         "graph_id", F.lit(0).cast("long").alias("sg_id"), F.transform("nodes", lambda x: x["id"]).alias("nodes"), pairs(F.col("edges")).alias("edges"),
         F.lit(0).alias("version"), null_of("long").alias("label"), null_of("array<double>").alias("attribute"), F.lit(0).cast("long").alias("ord"), no_meta().alias("meta"),
     )
-    return AGFrame(base, sg, directed, induced=True, untouched=True, distinct=True)
+    return AGFrame(base, sg, directed, induced=True, untouched=True, distinct=True, together=sg)
 
 
 def pairs(edges: Column) -> Column:
@@ -233,6 +240,11 @@ def induced(ag: AGFrame, rows: DataFrame) -> AGFrame:
     return ag.with_sg(_fresh(rows.join(of, "graph_id").withColumn("edges", edges), ag.version), induced=True)
 
 
+def following(ag: AGFrame, out: AGFrame) -> AGFrame:
+    """``out``, each of whose rows is made of one subgraph of ``ag`` without a shuffle: a graph's rows follow one another if they did so before."""
+    return replace(out, together=out.sg) if ag.untouched or ag.together is ag.sg else out
+
+
 def kept(ag: AGFrame, rows: DataFrame) -> AGFrame:
     """Some of the subgraphs, induced anew unless they are already, at the current label version."""
     return ag.with_sg(_fresh(rows, ag.version)) if ag.induced else induced(ag, rows.select("graph_id", "nodes", "ord", "meta"))

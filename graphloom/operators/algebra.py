@@ -11,7 +11,7 @@ from pyspark.sql.functions import arrow_udf
 from .. import large
 from ..functions import kernels as K
 from ..large import met
-from ..model import EDGE_SET, SG_COLUMNS, AGFrame, cut, edge_induced, induced, meta_of, null_of, pairs, renumbered, set_key
+from ..model import EDGE_SET, SG_COLUMNS, AGFrame, cut, edge_induced, induced, meta_of, null_of, pairs, renumbered, set_key, whole
 from .registry import operator, span
 from .structure import global_nodes
 
@@ -123,14 +123,30 @@ def _gathered(parts: list[AGFrame], ag: AGFrame) -> AGFrame:
 
 @operator("if_then_elif_else", "agnostic", "control")
 def if_then_elif_else(ag: AGFrame, children) -> AGFrame:
-    """Each graph goes the way of the first predicate that holds for it; arguments: pairs (predicate, operator), then the last operator."""
+    """Each graph goes the way of the first predicate that holds for it; arguments: pairs (predicate, operator), then the last operator.
+
+    Base graphs are written once for the predicates and once with the way they go, so that no way works them out again.
+    """
     *cases, last = children
-    parts, left = [], ag
-    for predicate, then in cases:
-        yes = _holds(left, predicate)
-        parts.append(then(_only(left, yes.filter("yes"))))
-        left = _only(left, yes.filter("NOT yes"))
-    return _gathered([*parts, last(left)], ag)
+    plain = ag.untouched and ag.together is ag.sg and ag.version == 0  # the subgraphs are the base graphs, just as they are
+    of = lambda base, sg: replace(ag, base=base, sg=sg, together=sg if plain else None)
+    made = lambda base: whole(base, ag.directed).sg
+    base = cut(ag.base)
+    left = of(base, made(base) if plain else cut(ag.sg))
+    tables, ways = (left.base, left.sg), None
+    for i, (predicate, _) in enumerate(cases):
+        found = cut(_holds(left, predicate))
+        way = found.filter("yes").select("graph_id", F.lit(i).alias("_way"))
+        ways = way if ways is None else ways.unionByName(way)
+        left = _only(left, found.filter("NOT yes"))
+    ways = ways.unionByName(found.filter("NOT yes").select("graph_id", F.lit(len(cases)).alias("_way")))
+    base, sg = (cut(t.join(ways, "graph_id")) if i == 0 or not plain else None for i, t in enumerate(tables))
+    parts = []
+    for i, then in enumerate([*(then for _, then in cases), last]):
+        own = base.filter(F.col("_way") == i).drop("_way")
+        part = of(own, made(own) if plain else sg.filter(F.col("_way") == i).drop("_way"))
+        parts.append(then(part if ag.links is None else replace(part, links=ag.links.join(ways.filter(F.col("_way") == i), "graph_id", "left_semi"))))
+    return _gathered(parts, ag)
 
 
 @operator("if_then_else", "agnostic", "control")
