@@ -175,21 +175,46 @@ def name(ag: AGFrame, text: str = "default") -> AGFrame:
 # ---- scalars -----------------------------------------------------------------------------------
 
 
+#: The reducers that are worked out from the sizes of a graph's subgraphs, and their defaults.
+BY_SIZE: dict[str, tuple] = {}
+
+
+def _reduced(ag: AGFrame, columns: dict) -> DataFrame:
+    """graph_id and ``columns``, functions of nodes, edges and number of a graph's subgraphs of each size. Subgraphs are counted by size first, in one pass."""
+    sizes = ag.sg.groupBy("graph_id", F.size("nodes").alias("_n"), F.size("edges").alias("_e")).agg(F.count("*").alias("_k"))
+    found = sizes.groupBy("graph_id").agg(*[value(F.col("_n"), F.col("_e"), F.col("_k")).alias(name) for name, value in columns.items()])
+    return ag.base.select("graph_id").join(found, "graph_id", "left")
+
+
+def scalars(ag: AGFrame, reducers: dict) -> DataFrame:
+    """graph_id and a column for each reducer; those of the subgraphs' sizes from one pass over the subgraphs."""
+    here = {name: op for name, op in reducers.items() if op.name in BY_SIZE}
+    values = {name: (lambda n, e, k, op=op: BY_SIZE[op.name][0](n, e, k, **(BY_SIZE[op.name][1] | dict(op.params)))) for name, op in here.items()}
+    out = _reduced(ag, values) if here else ag.base.select("graph_id")
+    out = out.fillna(0, [name for name, op in here.items() if op.name == "number_of_interpretation_graph_nodes"])
+    for name, op in reducers.items():
+        if name not in here:
+            out = out.withColumn(name, F.lit(0).cast("long")) if op.name == "number_of_interpretation_graph_edges" and ag.links is None else out.join(op(ag).withColumnRenamed("value", name), "graph_id")
+    return out.select("graph_id", *reducers)
+
+
 def _scalar(name: str, doc: str, value, **defaults):
+    BY_SIZE[name] = value, defaults
+
     def run(ag: AGFrame, **params) -> DataFrame:
-        found = ag.sg.groupBy("graph_id").agg(value(**(defaults | params)).alias("value"))
-        return ag.base.select("graph_id").join(found, "graph_id", "left")
+        return _reduced(ag, {"value": lambda n, e, k: value(n, e, k, **(defaults | params))})
 
     run.__doc__ = doc
     return operator(name, "agnostic", "scalar", **defaults)(run)
 
 
-max_number_of_subgraph_nodes = _scalar("max_number_of_subgraph_nodes", "Most nodes of a subgraph; null without subgraphs.", lambda: F.max(F.size("nodes")).cast("long"))
-min_number_of_subgraph_nodes = _scalar("min_number_of_subgraph_nodes", "Fewest nodes of a subgraph; null without subgraphs.", lambda: F.min(F.size("nodes")).cast("long"))
-max_number_of_subgraph_edges = _scalar("max_number_of_subgraph_edges", "Most edges of a subgraph; null without subgraphs.", lambda: F.max(F.size("edges")).cast("long"))
-min_number_of_subgraph_edges = _scalar("min_number_of_subgraph_edges", "Fewest edges of a subgraph; null without subgraphs.", lambda: F.min(F.size("edges")).cast("long"))
-quantile_number_of_subgraph_nodes = _scalar("quantile_number_of_subgraph_nodes", "Quantile of the subgraphs' node counts, interpolated.", lambda q: F.percentile(F.size("nodes"), F.lit(q)), q=0.5)
-quantile_number_of_subgraph_edges = _scalar("quantile_number_of_subgraph_edges", "Quantile of the subgraphs' edge counts, interpolated.", lambda q: F.percentile(F.size("edges"), F.lit(q)), q=0.5)
+max_number_of_subgraph_nodes = _scalar("max_number_of_subgraph_nodes", "Most nodes of a subgraph; null without subgraphs.", lambda n, e, k: F.max(n).cast("long"))
+min_number_of_subgraph_nodes = _scalar("min_number_of_subgraph_nodes", "Fewest nodes of a subgraph; null without subgraphs.", lambda n, e, k: F.min(n).cast("long"))
+max_number_of_subgraph_edges = _scalar("max_number_of_subgraph_edges", "Most edges of a subgraph; null without subgraphs.", lambda n, e, k: F.max(e).cast("long"))
+min_number_of_subgraph_edges = _scalar("min_number_of_subgraph_edges", "Fewest edges of a subgraph; null without subgraphs.", lambda n, e, k: F.min(e).cast("long"))
+quantile_number_of_subgraph_nodes = _scalar("quantile_number_of_subgraph_nodes", "Quantile of the subgraphs' node counts, interpolated.", lambda n, e, k, q: F.percentile(n, F.lit(q), k), q=0.5)
+quantile_number_of_subgraph_edges = _scalar("quantile_number_of_subgraph_edges", "Quantile of the subgraphs' edge counts, interpolated.", lambda n, e, k, q: F.percentile(e, F.lit(q), k), q=0.5)
+BY_SIZE["number_of_interpretation_graph_nodes"] = (lambda n, e, k: F.sum(k)), {}
 
 
 @operator("number_of_interpretation_graph_nodes", "agnostic", "scalar")
