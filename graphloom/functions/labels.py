@@ -6,6 +6,8 @@ labelled graph is an Arrow function over each distinct input.
 
 from __future__ import annotations
 
+import json
+from functools import lru_cache
 
 from pyspark.ml import Transformer
 from pyspark.sql import Column, DataFrame, Window
@@ -29,7 +31,7 @@ def string_hash(text: Column, nbits: int) -> Column:
 def certificate(nodes: str | Column, edges: str | Column, directed: bool) -> Column:
     """A labelled graph's certificate, from nodes with ids and labels and edges with ends and labels.
 
-    Python gets a graph as one string that names nodes by their places, and works out equal ones of a batch once.
+    Python gets a graph as one string that names nodes by their places, and works out equal ones of a batch once, and keeps what came up last.
     """
     nodes, edges = (F.col(c) if isinstance(c, str) else c for c in (nodes, edges))
     ids = F.transform(nodes, lambda x: x["id"])
@@ -46,24 +48,24 @@ def shape(nodes: str, edges: str, directed: bool) -> Column:
     return _canonical(F.concat_ws(";", F.size(nodes), F.array_join(arcs, ";")), directed)
 
 
-def _canonical(text: Column, directed: bool) -> Column:
-    import json
+@lru_cache(1 << 15)
+def _certificate(x: str, directed: bool) -> str:
+    """The certificate of a graph in its string; a worker keeps those that came up last, as small ones come again in every batch."""
+    if x.startswith("["):
+        labels, arcs = json.loads(x)
+        return K.canonical(dict(enumerate(labels)), {(int(u), int(v)): label for u, v, label in (a.split(",", 2) for a in arcs)}, directed)
+    n, *arcs = x.split(";")
+    return K.canonical(dict.fromkeys(range(int(n)), "-"), {tuple(map(int, a.split(","))): "-" for a in arcs if a}, directed)
 
-    def read(x: str) -> tuple[dict[int, str], dict[tuple[int, int], str]]:
-        if x.startswith("["):
-            labels, arcs = json.loads(x)
-            return dict(enumerate(labels)), {(int(u), int(v)): label for u, v, label in (a.split(",", 2) for a in arcs)}
-        n, *arcs = x.split(";")
-        return dict.fromkeys(range(int(n)), "-"), {tuple(map(int, a.split(","))): "-" for a in arcs if a}
 
     @arrow_udf("string")
     def canonical(column):
         import pyarrow as pa
 
         coded = column.dictionary_encode()
-        return pa.array([K.canonical(*read(x), directed) for x in coded.dictionary.to_pylist()], pa.string()).take(coded.indices)
+        return pa.array([_certificate(x, directed) for x in coded.dictionary.to_pylist()], pa.string()).take(coded.indices)
 
-    return canonical(text)
+    return canonical.asNondeterministic()(text)  # else a filter on it would work it out again
 
 
 def graph_hash(ag: AGFrame, nbits: int = 14, structure_only: bool = False) -> AGFrame:

@@ -6,11 +6,15 @@ adjacency of the base graph, which travels with the few rows that go in and not
 
 from __future__ import annotations
 
+from array import array
+from dataclasses import replace
+from hashlib import blake2b
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import kernels as K
-from ..model import EDGE_SET, AGFrame, edge_induced, meta_of, pairs, ready, set_key
+from ..model import EDGE_SET, AGFrame, edge_induced, following, meta_of, pairs, ready, set_key
 from .registry import operator, span
 
 #: Components that a kernel hands back at once.
@@ -88,10 +92,10 @@ def _going_in(ag: AGFrame) -> DataFrame:
     return rows.join(ag.base.select("graph_id", pairs(F.col("edges")).alias("arcs")), "graph_id")
 
 
-def local_parts(ag: AGFrame, fn, streams: bool = False) -> DataFrame:
+def local_parts(ag: AGFrame, fn, streams: bool = False, once: bool = False) -> DataFrame:
     """graph_id, ord, parent, nodes, edges: one row per list of nodes that ``fn(Graph)`` gives for a subgraph, with the edges of the base graph.
 
-    One pass over the rows. Node lists are made distinct and put in order.
+    One pass over the rows. Node lists are made distinct and put in order. ``once``: of equal lists of a subgraph the first, known by 128 bits.
     """
     directed = ag.directed
 
@@ -103,7 +107,7 @@ def local_parts(ag: AGFrame, fn, streams: bool = False) -> DataFrame:
             given, held = _arcs(arcs_of) if arcs_of.null_count == 0 else None, (None, {})
             for i, (nodes, edges) in enumerate(zip(_lists(batch.column("nodes")), _arcs(batch.column("edges")), strict=True)):
                 graph_id, order, parent = (c[i] for c in columns)
-                found = _checked(fn(K.Graph(nodes, edges, directed)), streams)
+                found, seen = _checked(fn(K.Graph(nodes, edges, directed)), streams), set()
                 if given is None:
                     ahead = _ahead(edges)
                 else:
@@ -111,6 +115,11 @@ def local_parts(ag: AGFrame, fn, streams: bool = False) -> DataFrame:
                     ahead = held[1]
                 for part in found:
                     own = sorted(set(part))
+                    if once:
+                        key = blake2b(array("q", own).tobytes(), digest_size=16).digest()
+                        if key in seen:
+                            continue
+                        seen.add(key)
                     out.add((graph_id, order, parent), own, _among(own, ahead))
                     if out.full():
                         yield out.batch()
@@ -119,10 +128,11 @@ def local_parts(ag: AGFrame, fn, streams: bool = False) -> DataFrame:
     return _going_in(ag).mapInArrow(run, PARTS)
 
 
-def local_nodes(ag: AGFrame, fn, name: str, params: dict | None = None, skip_empty: bool = False, streams: bool = False) -> AGFrame:
+def local_nodes(ag: AGFrame, fn, name: str, params: dict | None = None, skip_empty: bool = False, streams: bool = False, once: bool = False) -> AGFrame:
     """Custom operator: ``fn(Graph) -> list of node lists`` for each subgraph; each becomes a node-induced subgraph."""
-    rows = local_parts(ag, fn, streams).withColumn("meta", meta_of(name, params or {}, ag.chain, F.col("parent")))
-    return ready(ag, rows.filter(F.size("nodes") > 0) if skip_empty else rows)
+    rows = local_parts(ag, fn, streams, once).withColumn("meta", meta_of(name, params or {}, ag.chain, F.col("parent")))
+    out = ready(ag, rows.filter(F.size("nodes") > 0) if skip_empty else rows)
+    return following(ag, out) if ag.untouched else out
 
 
 def _edge_rows(found, directed: bool, head, out: _Out) -> None:
@@ -209,7 +219,7 @@ def node(ag: AGFrame) -> AGFrame:
     """One subgraph for each node."""
     rows = ag.sg.withColumn("meta", meta_of("node", {}, ag.chain)).withColumn("n", F.explode("nodes"))
     out = rows.select("graph_id", F.lit(0).cast("long").alias("sg_id"), F.array("n").alias("nodes"), F.array().cast(EDGE_SET).alias("edges"), F.lit(ag.version).alias("version"), F.lit(None).cast("long").alias("label"), F.lit(None).cast("array<double>").alias("attribute"), "ord", "meta")
-    return ag.with_sg(out, induced=True)
+    return following(ag, ag.with_sg(out, induced=True))
 
 
 @operator("edge", "preserve")
@@ -219,22 +229,24 @@ def edge(ag: AGFrame) -> AGFrame:
         return local_nodes(ag, lambda g: [list(e) for e in g.edges], "edge")
     rows = ag.sg.withColumn("meta", meta_of("edge", {}, ag.chain)).withColumn("e", F.explode("edges"))
     out = rows.select("graph_id", F.lit(0).cast("long").alias("sg_id"), F.array_sort(F.array("e.src", "e.dst")).alias("nodes"), F.array("e").alias("edges"), F.lit(ag.version).alias("version"), F.lit(None).cast("long").alias("label"), F.lit(None).cast("array<double>").alias("attribute"), "ord", "meta")
-    return ag.with_sg(out, induced=True)
+    return following(ag, ag.with_sg(out, induced=True))
 
 
-def _kernel(name: str, support: str, fn, doc: str, **defaults):
-    """An operator that is one kernel on each subgraph; ``fn(Graph, **params)``."""
+def _kernel(name: str, support: str, fn, doc: str, few: bool = False, **defaults):
+    """An operator that is one kernel on each subgraph; ``fn(Graph, **params)``. ``few``: no more results than nodes, or some times as many."""
 
     def run(ag: AGFrame, **params) -> AGFrame:
         given = defaults | params
-        return local_nodes(ag, lambda g: fn(g, **given), name, params, streams=True)
+        made = lambda once: local_nodes(ag, lambda g: fn(g, **given), name, params, streams=True, once=once)
+        out = made(False)
+        return replace(out, once=(out.sg, made(True).sg, True)) if few and ag.untouched else out
 
     run.__doc__ = doc
     return operator(name, support, **defaults)(run)
 
 
 degree = _kernel("degree", "preserve", lambda g, value: K.of_degree(g, *span(value)), "The nodes whose degree inside the subgraph is in range; one subgraph for each, even if empty.", value=(0, 2))
-neighborhood = _kernel("neighborhood", "directed", lambda g, radius: K.neighborhood(g, *span(radius)), "For each node and radius in range the nodes within reach, inside the subgraph.", radius=(0, 1))
+neighborhood = _kernel("neighborhood", "directed", lambda g, radius: K.neighborhood(g, *span(radius)), "For each node and radius in range the nodes within reach, inside the subgraph.", few=True, radius=(0, 1))
 connected_component = _kernel("connected_component", "weak", lambda g: K.components(g), "Connected components; of digraphs the weak ones.")
 cycle = _kernel("cycle", "directed", lambda g: K.cycles(g), "Undirected: a basis of the cycles; directed: all simple cycles.")
 tree = _kernel("tree", "weak", lambda g: K.trees(g), "What is left without the edges on cycles, in components of two nodes or more.")
