@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
 from ..model import SG_COLUMNS, AGFrame, renumbered, whole
+from ..operators.algebra import linked_members
 from ..operators.selection import label_at, with_labels
 from . import kernels as K
 
@@ -58,6 +59,7 @@ def _certificate(x: str, directed: bool) -> str:
     return K.canonical(dict.fromkeys(range(int(n)), "-"), {tuple(map(int, a.split(","))): "-" for a in arcs if a}, directed)
 
 
+def _canonical(text: Column, directed: bool) -> Column:
     @arrow_udf("string")
     def canonical(column):
         import pyarrow as pa
@@ -245,8 +247,7 @@ def inverse_links(ag: AGFrame, with_nodes: bool = False) -> DataFrame:
     """
     if ag.links is None:
         raise ValueError("subgraphs have to be linked first")
-    side = lambda c: ag.sg.select("graph_id", F.col("sg_id").alias(c), F.col("nodes").alias(f"{c}_nodes"))
-    both = ag.links.select("graph_id", "u", "v").join(side("u").hint("merge"), ["graph_id", "u"]).join(side("v").hint("merge"), ["graph_id", "v"])
+    both = linked_members(ag)
     return both.select("graph_id", F.explode(F.array_intersect("u_nodes", "v_nodes")).alias("node_id"), "u", "v", *(["u_nodes", "v_nodes"] if with_nodes else []))
 
 
